@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from starloom.llm.common import table
 from starloom.llm.jaccard_join import jaccard_join
+from starloom.llm.line_rules import line_rules, line_rules_sql
+from starloom.llm.mixing import mix_sql, pareto_mix
+from starloom.llm.packing import best_fit_packing
+from starloom.llm.quality import quality_scores
+from starloom.llm.toxicity import toxicity_scores
+
+
+def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).drop("class_id")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op1_quality_bradley_terry": op1_quality_bradley_terry,
+    "op5_line_frequency_rules": op5_line_frequency_rules,
+    "op6_toxicity_boosted_trees": op6_toxicity_boosted_trees,
+    "op7_pareto_mix": op7_pareto_mix,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_line_frequency_rules": line_rules_sql(),
+    "op7_pareto_mix": mix_sql(),
+}
