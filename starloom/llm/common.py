@@ -132,7 +132,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def blocks(texts, limit: int = 4_000_000):
+def blocks(texts, limit: int = 1_000_000):
     """Slices (start, stop) of a list of byte strings, each of about limit bytes or one long text."""
     i = 0
     while i < len(texts):

@@ -119,7 +119,7 @@ def _pack(width: int, buckets: int):
             ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
             for doc_id, s in zip(ids, text_sets(texts, width, hasher)):
                 box.add(doc_id, s)
-                if box.size > 3_000_000:
+                if box.size > 2_000_000:
                     yield from _batches(box)
         yield from _batches(box)
 
@@ -267,7 +267,7 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         hasher = WordHasher()
         for batch in batches:
             ids, texts = batch.column("id"), [x or b"" for x in batch.column("text").to_pylist()]
-            for i, j in blocks(texts, 2_000_000):
+            for i, j in blocks(texts):
                 found = [x.view(np.int64) for x in text_sets(texts[i:j], width, hasher)]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(found, type=pa.list_(pa.int64()))], names=["c", "s"])
 
