@@ -4,16 +4,661 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from starloom.functions import scoring as S
+from starloom.functions import text as T
+from starloom.functions.text import FOLDED, MARKED
+from starloom.operators import filters as FL
+from starloom.operators import fusion as FU
+from starloom.operators import index as IX
+from starloom.operators import legs as LG
+from starloom.operators import merging as MG
+from starloom.operators import metrics as ME
+from starloom.operators import planning as PL
+from starloom.operators import ranking as RK
+from starloom.plans.engine import Engine
+from starloom.plans.lexicon import CONCEPTS
+from starloom.plans.query import SearchRequest, classified, expanded, tokenize
+from starloom.sources import tables, wire
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with DuckDB SQL that may use the views of tables.CTE."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = f"WITH RECURSIVE {tables.CTE}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().removeprefix('+')}"
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# ---- pieces of SQL that several oracles share ----
+
+TOKENS = lambda x: f"regexp_extract_all(translate(lower({x}), '{MARKED}', '{FOLDED}'), '[\\p{{L}}\\p{{N}}]+')"
+CAMEL = lambda x: f"regexp_extract_all(lower(regexp_replace(regexp_replace({x}, '(\\p{{Lu}}+)(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+PLAIN = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+INDEX = f"""+cols AS (SELECT id, {TOKENS("COALESCE(full_name, '')")} AS c1, {TOKENS("COALESCE(description, '')")} AS c2, {TOKENS("array_to_string(topics, ' ')")} AS c3, {TOKENS("COALESCE(readme, '')")} AS c4 FROM repos),
+lens AS (SELECT id, len(c1) + len(c2) + len(c3) + len(c4) AS len FROM cols),
+stats AS (SELECT count(*) AS n, avg(len) AS mean_len FROM lens),
+toks AS (SELECT id, unnest(c1) AS term, 10.0::DOUBLE AS w FROM cols UNION ALL SELECT id, unnest(c2), 5.0 FROM cols UNION ALL SELECT id, unnest(c3), 4.0 FROM cols UNION ALL SELECT id, unnest(c4), 1.0 FROM cols)"""
+SCORE = """dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+hits AS (SELECT tf.id, count(*) AS n_terms, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS score
+    FROM tf JOIN dfs USING (term) JOIN lens USING (id), stats GROUP BY tf.id)"""
+
+
+def _bm25_sql(terms: list[str], where: str = "TRUE", extra: str = "", k: int = 50) -> str:
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""{INDEX}, tf AS (SELECT id, term, sum(w) AS tf FROM toks WHERE term IN ({listed}) GROUP BY id, term), {SCORE}{extra}
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits WHERE {where} ORDER BY score DESC, id LIMIT {k}"""
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def _starred(spark, d) -> DataFrame:
+    links = tables.user_stars(spark, d).withColumnRenamed("repo_id", "id")
+    return tables.repos(spark, d).drop("readme").join(links, "id")
+
+
+STARRED = "starred AS (SELECT r.*, s.login, s.starred_at, s.star_page FROM repos r JOIN user_stars s ON r.id = s.repo_id)"
+ANY, BOTH, RARE = ["token", "idiot", "example"], ["than", "hain"], ["idiot", "token"]
+
+
+# ---- filters, joins, projections ----
+
+
+@query(f"+{STARRED} SELECT login, id, language FROM starred WHERE lower(language) = 'de'")
+def flt_language(spark, d):
+    return _starred(spark, d).where(FL.predicate(FL.Filters(language="DE"))).select("login", "id", "language")
+
+
+@query(f"+{STARRED} SELECT login, id, stars FROM starred WHERE stars BETWEEN 500 AND 1500")
+def flt_stars_range(spark, d):
+    return _starred(spark, d).where(FL.predicate(FL.Filters(min_stars=500, max_stars=1500))).select("login", "id", "stars")
+
+
+@query("SELECT id, archived FROM repos WHERE NOT archived")
+def flt_archived(spark, d):
+    return tables.repos(spark, d).where(FL.predicate(FL.Filters(archived=False))).select("id", "archived")
+
+
+@query("SELECT id, license FROM repos WHERE lower(COALESCE(license, '')) = 'mit'")
+def flt_license_like(spark, d):
+    return tables.repos(spark, d).where(FL.predicate(FL.Filters(license="MIT"))).select("id", "license")
+
+
+@query(f"+{STARRED} SELECT login, id, starred_at FROM starred WHERE starred_at >= '2024-01-05' AND starred_at <= '2024-01-20'")
+def flt_date_range(spark, d):
+    return _starred(spark, d).where(FL.predicate(FL.Filters(starred_after="2024-01-05", starred_before="2024-01-20"))).select("login", "id", "starred_at")
+
+
+@query("SELECT id FROM repos WHERE list_has_all(list_transform(topics, lambda x: lower(x)), ['en', 'src0'])")
+def flt_topics_all(spark, d):
+    return tables.repos(spark, d).where(FL.predicate(FL.Filters(topics=("EN", "src0")))).select("id")
+
+
+@query("SELECT id FROM repos WHERE EXISTS (SELECT 1 FROM group_repos g WHERE g.repo_id = id AND g.slug IN ('toxic', 'none'))")
+def flt_groups_any(spark, d):
+    return FL.in_groups(tables.repos(spark, d), tables.group_repos(spark, d), ("toxic", "none")).select("id")
+
+
+@query("SELECT id, language, stars FROM repos WHERE language = 'fr' AND stars >= 300 AND NOT archived AND list_contains(topics, 'src3')")
+def flt_lab_profile(spark, d):
+    return tables.repos(spark, d).where(FL.lab_predicate("FR", ("src3",), 300, None, False)).select("id", "language", "stars")
+
+
+@query("SELECT s.login, r.id, s.starred_at, s.star_page FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7'")
+def universe_join(spark, d):
+    return FL.universe(tables.repos(spark, d), tables.user_stars(spark, d), "u7").select(F.lit("u7").alias("login"), "id", "starred_at", "star_page")
+
+
+@query("SELECT id, owner, name, description, NULL::VARCHAR AS starred_at, (SELECT list_sort(list(DISTINCT slug)) FROM group_repos g WHERE g.repo_id = id) AS slugs FROM repos WHERE full_name = (SELECT full_name FROM repos WHERE id = 6)")
+def repo_detail(spark, d):
+    return Engine.over(spark, d).show("src6/doc-6").select("id", "owner", "name", "description", "starred_at", "slugs")
+
+
+@query("SELECT g.id::BIGINT AS id, g.slug, g.position, COALESCE(list_sort(list(DISTINCT r.repo_id) FILTER (r.repo_id IS NOT NULL)), []) AS repo_ids FROM groups g LEFT JOIN group_repos r USING (slug) GROUP BY ALL")
+def group_membership(spark, d):
+    return MG.memberships(tables.groups(spark), tables.group_repos(spark, d)).select("id", "slug", "position", "repo_ids")
+
+
+@query("SELECT repo_id, list_sort(list(DISTINCT slug)) AS slugs FROM group_repos GROUP BY repo_id")
+def groups_per_repo(spark, d):
+    return MG.groups_of(tables.group_repos(spark, d))
+
+
+@query("SELECT count(*) AS stars, count(r.id) AS repos, count(r.readme) AS readmes FROM user_stars s LEFT JOIN repos r ON r.id = s.repo_id WHERE s.login = 'u7'")
+def count_stats(spark, d):
+    return FL.counts(tables.repos(spark, d), tables.user_stars(spark, d), "u7")
+
+
+@query("SELECT star_page, count(*) AS links FROM user_stars GROUP BY star_page")
+def page_counts(spark, d):
+    return tables.user_stars(spark, d).groupBy("star_page").agg(F.count("*").alias("links"))
+
+
+@query(f"SELECT token, count(*) AS df FROM (SELECT id, unnest(list_distinct({CAMEL('name')})) AS token FROM repos) GROUP BY token")
+def name_df(spark, d):
+    return FU.name_df(tables.repos(spark, d))
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN readme IS NULL THEN 'missing' WHEN length(readme) > 0 THEN 'ok' ELSE 'error' END AS status FROM repos) GROUP BY status")
+def readme_states(spark, d):
+    state = F.when(F.col("readme").isNull(), "missing").when(F.length("readme") > 0, "ok").otherwise("error")
+    return tables.repos(spark, d).groupBy(state.alias("status")).agg(F.count("*").alias("n"))
+
+
+# ---- text ----
+
+
+@query(f"SELECT id, len({CAMEL('readme')}) AS n_tokens, len(list_distinct({CAMEL('readme')})) AS n_distinct FROM repos")
+def tokenize_stats(spark, d):
+    words = tables.repos(spark, d).select("id", T.tokens(F.col("readme")).alias("w"))
+    return words.select("id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+@query(f"+ws AS (SELECT id, {CAMEL('description')} AS w FROM repos) SELECT id, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrases FROM ws")
+def ngram_phrases(spark, d):
+    return tables.repos(spark, d).select("id", F.array_sort(T.phrases(T.tokens(F.col("description")))).alias("phrases"))
+
+
+@query(f"SELECT id, {PLAIN('full_name')} AS plain, regexp_replace(regexp_replace(lower(full_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM repos")
+def normalize_name(spark, d):
+    return tables.repos(spark, d).select("id", T.plain_name(F.col("full_name")).alias("plain"), T.slug(F.col("full_name")).alias("slug"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)\\b.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
+def strip_markup(spark, d):
+    return tables.read(spark, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def json_fields(spark, d):
+    return tables.read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN [] ELSE topics END AS topics FROM repos")
+def parse_topics(spark, d):
+    text = F.when(F.col("id") % 3 == 0, "not json").otherwise(F.to_json("topics"))
+    return tables.repos(spark, d).select("id", wire.topics_of(text).alias("topics"))
+
+
+@query("SELECT id, CASE WHEN length(trim(regexp_replace(description, '\\s+', ' ', 'g'))) > 40 THEN rtrim(substring(trim(regexp_replace(description, '\\s+', ' ', 'g')), 1, 39)) || '…' ELSE trim(regexp_replace(description, '\\s+', ' ', 'g')) END AS short FROM repos")
+def truncated_text(spark, d):
+    return tables.repos(spark, d).select("id", T.truncated(T.one_line(F.col("description")), 40).alias("short"))
+
+
+@query()
+def snippet_window(spark, d):
+    return tables.repos(spark, d).select("id", T.snippet(F.col("readme"), F.col("description"), ANY).alias("snippet"))
+
+
+@query("SELECT DISTINCT r.id FROM repos r WHERE contains(lower(concat_ws(chr(10), full_name, description, array_to_string(topics, ' '))), 'then')")
+def trigram_match(spark, d):
+    return LG.trigram_leg(tables.repos(spark, d), "then")
+
+
+# ---- ranking over the index ----
+
+
+def _index(spark, d):
+    repos = tables.repos(spark, d)
+    return repos, IX.corpus_stats(repos)
+
+
+@query(_bm25_sql(ANY))
+def bm25_or(spark, d):
+    return _rounded(LG.any_leg(*_index(spark, d), ANY, 50), "score")
+
+
+@query(_bm25_sql(BOTH, "n_terms = 2"))
+def bm25_and(spark, d):
+    return _rounded(LG.all_leg(*_index(spark, d), BOTH, 50), "score")
+
+
+@query(_bm25_sql(RARE, "n_terms = 2 OR (SELECT count(*) FROM hits WHERE n_terms = 2) < 3"))
+def bm25_fallback(spark, d):
+    return _rounded(LG.keyword_leg(*_index(spark, d), RARE, 50), "score")
+
+
+@query(_bm25_sql(ANY, "id IN (SELECT id FROM repos WHERE language = 'en' AND NOT archived)"))
+def bm25_candidates(spark, d):
+    repos, stats = _index(spark, d)
+    return _rounded(LG.any_leg(repos, stats, ANY, 50, repos.where(FL.predicate(FL.Filters(language="en", archived=False)))), "score")
+
+
+@query(f"{INDEX}, tf AS (SELECT id, term, sum(CASE w WHEN 10 THEN 8 WHEN 5 THEN 3 WHEN 4 THEN 3 ELSE 1 END)::DOUBLE AS tf FROM toks WHERE term IN ('token', 'idiot', 'example') GROUP BY id, term), {SCORE} SELECT id, n_terms, round(score, 6) AS score FROM hits")
+def bm25_weighted(spark, d):
+    repos, stats = _index(spark, d)
+    return _rounded(LG.scored(LG.term_matches(repos, ANY, IX.LAB_WEIGHTS), stats), "score")
+
+
+@query(f"""{INDEX}, runs AS (SELECT id, 'of the' AS term, 10.0 * len(list_filter(range(1, len(c1)), lambda i: c1[i] = 'of' AND c1[i + 1] = 'the')) + 5.0 * len(list_filter(range(1, len(c2)), lambda i: c2[i] = 'of' AND c2[i + 1] = 'the'))
+    + 4.0 * len(list_filter(range(1, len(c3)), lambda i: c3[i] = 'of' AND c3[i + 1] = 'the')) + 1.0 * len(list_filter(range(1, len(c4)), lambda i: c4[i] = 'of' AND c4[i + 1] = 'the')) AS t FROM cols),
+tf AS (SELECT id, term, t::DOUBLE AS tf FROM runs WHERE t > 0), {SCORE} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits ORDER BY score DESC, id LIMIT 50""")
+def bm25_phrase(spark, d):
+    return _rounded(LG.any_leg(*_index(spark, d), ["of the"], 50), "score")
+
+
+@query()
+def bm25_porter(spark, d):
+    repos, stats = _index(spark, d)
+    return _rounded(LG.keyword_leg(repos, stats, ["token", "exampl"], 50, stemmed=True), "score")
+
+
+@query(f"{INDEX} SELECT term, count(DISTINCT id) AS df, round(sum(w), 3) AS tf FROM toks GROUP BY term HAVING count(DISTINCT id) >= 5")
+def term_statistics(spark, d):
+    rows = IX.frequencies(tables.repos(spark, d))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 3).alias("tf")).where("df >= 5")
+
+
+BATCH_SQL = f"""{INDEX}, asked AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS("text")})) AS term FROM benchmark WHERE item_id % 4 = 0), tf AS (SELECT id, term, sum(w) AS tf FROM toks WHERE term IN (SELECT term FROM asked) GROUP BY id, term),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+worth AS (SELECT term, tf.id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len)) AS s FROM tf JOIN dfs USING (term) JOIN lens USING (id), stats),
+scores AS (SELECT query_id, id, round(sum(s), 6) AS score FROM asked JOIN worth USING (term) GROUP BY 1, 2)
+SELECT query_id, count(*) AS hits, round(max(score), 4) AS best FROM scores GROUP BY query_id"""
+
+
+@query(BATCH_SQL)
+def batch_search(spark, d):
+    asked = tables.read(spark, d, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = Engine.over(spark, d).batch_keyword(asked, 1 << 30)
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max(F.round("score", 6)), 4).alias("best"))
+
+
+# ---- vectors ----
+
+FIRST = "q AS (SELECT vector AS qv FROM vectors ORDER BY id LIMIT 1)"
+
+
+def _first_vector(vectors: DataFrame) -> list[float]:
+    return list(vectors.orderBy("id").first().vector)
+
+
+@query(f"+{FIRST} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, q ORDER BY 3 LIMIT 20")
+def knn_cosine(spark, d):
+    v = tables.vectors(spark, d)
+    return _rounded(LG.vector_leg(v, _first_vector(v), 20), "score")
+
+
+@query(f"+{FIRST} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, q WHERE label = 3 ORDER BY 3 LIMIT 20")
+def knn_filtered(spark, d):
+    v = tables.vectors(spark, d)
+    return _rounded(LG.vector_leg(v, _first_vector(v), 20, v.where("label = 3")), "score")
+
+
+@query(f"+{FIRST} SELECT id, round(list_dot_product(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_dot_product(vector, qv) DESC, id) AS rank FROM vectors, q ORDER BY 3 LIMIT 20")
+def dot_topk(spark, d):
+    v = tables.vectors(spark, d)
+    return _rounded(LG.vector_leg(v, _first_vector(v), 20, normalised=True), "score")
+
+
+@query("+qs AS (SELECT id AS query_id, vector AS qv FROM vectors ORDER BY id LIMIT 25), s AS (SELECT query_id, id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, qs) SELECT * FROM s WHERE rank <= 10")
+def knn_batch(spark, d):
+    v = tables.vectors(spark, d)
+    return _rounded(LG.batch_knn(v.orderBy("id").limit(25).withColumnRenamed("id", "query_id"), v, 10), "score")
+
+
+@query("+q AS (SELECT vector AS qv FROM vectors WHERE id = 10) SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, q WHERE id <> 10 ORDER BY 3 LIMIT 15")
+def similar_items(spark, d):
+    return _rounded(Engine.over(spark, d).similar(10, 15), "score")
+
+
+# ---- fusion ----
+
+LEGS = """legs AS (SELECT 'keyword' AS leg, id, row_number() OVER (ORDER BY stars DESC, id) AS rank FROM repos WHERE language = 'en' UNION ALL SELECT 'expanded', id, row_number() OVER (ORDER BY id) FROM repos WHERE owner IN ('src1', 'src2', 'src3') UNION ALL
+    SELECT 'semantic', id, row_number() OVER (ORDER BY id DESC) FROM repos WHERE NOT archived),
+top AS (SELECT * FROM legs WHERE rank <= 200),
+best AS (SELECT id, min(rank) FILTER (leg = 'keyword') AS k, min(rank) FILTER (leg = 'expanded') AS e, min(rank) FILTER (leg = 'semantic') AS s FROM top GROUP BY id),
+fused AS (SELECT id, COALESCE(1.0::DOUBLE / (60 + k), 0) + COALESCE(0.6::DOUBLE / (60 + e), 0) + COALESCE(1.0::DOUBLE / (60 + s), 0) AS rrf, k, e, s FROM best)"""
+PRIOR = "CASE WHEN stars > 0 THEN least(1.25::DOUBLE, 1 + 0.25::DOUBLE * log10(1.0::DOUBLE + stars) / log10(50001::DOUBLE)) ELSE 1.0::DOUBLE END"
+FUSED = f"""{LEGS}, base AS (SELECT r.*, rrf, k, e, s, rrf * {PRIOR} * CASE WHEN archived THEN 0.4::DOUBLE ELSE 1 END AS score FROM repos r JOIN fused USING (id)),
+ranked AS (SELECT *, score * power(0.85::DOUBLE, row_number() OVER (PARTITION BY lower(owner) ORDER BY score DESC, stars DESC, id) - 1) * power(0.7::DOUBLE, row_number() OVER (PARTITION BY {PLAIN('name')} ORDER BY score DESC, stars DESC, id) - 1) AS final FROM base)"""
+
+
+def _legs(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
+    repos = tables.repos(spark, d)
+    by = lambda rows, score: LG.top(rows.select("id", score.cast("double").alias("score")), 200)
+    return repos, {"keyword": by(repos.where("language = 'en'"), F.col("stars")), "expanded": by(repos.where(F.col("owner").isin("src1", "src2", "src3")), -F.col("id")), "semantic": by(repos.where("not archived"), F.col("id"))}
+
+
+@query(f"+{LEGS} SELECT id, round(rrf, 9) AS rrf, k AS rank_keyword, e AS rank_expanded, s AS rank_semantic FROM fused")
+def rrf_fuse(spark, d):
+    return _rounded(FU.fuse_ranks(FU.union_legs(_legs(spark, d)[1])), "rrf", digits=9)
+
+
+@query(f"+{LEGS} SELECT id, round(COALESCE(2.0::DOUBLE / (60 + k), 0) + COALESCE(0.5::DOUBLE / (60 + s), 0), 9) AS rrf FROM best WHERE k IS NOT NULL OR s IS NOT NULL")
+def rrf_weighted(spark, d):
+    legs = {k: v for k, v in _legs(spark, d)[1].items() if k != "expanded"}
+    return _rounded(FU.fuse_ranks(FU.union_legs(legs), {"keyword": 2.0, "semantic": 0.5}).select("id", "rrf"), "rrf", digits=9)
+
+
+@query(f"SELECT id, round({PRIOR}, 9) AS prior, round(least(1.25::DOUBLE, 1 + 0.04::DOUBLE * log10(stars + 1.0::DOUBLE)), 9) AS lab_prior FROM repos")
+def star_prior(spark, d):
+    return tables.repos(spark, d).select("id", F.round(S.star_prior(F.col("stars")), 9).alias("prior"), F.round(S.lab_star_prior(F.col("stars")), 9).alias("lab_prior"))
+
+
+@query(f"+names AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({CAMEL('full_name')})) AS token FROM repos) GROUP BY token) SELECT token, round(1 / (1 + log2(1.0::DOUBLE + df)), 9) AS specificity FROM names")
+def term_specificity(spark, d):
+    df = FU.name_df(tables.repos(spark, d).withColumn("name", F.col("full_name")))
+    return df.select("token", F.round(S.specificity(F.col("df")), 9).alias("specificity"))
+
+
+@query(f"""+df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({CAMEL("owner")})) AS token FROM repos) GROUP BY token),
+spec AS (SELECT 1 / (1 + log2(1.0::DOUBLE + COALESCE((SELECT df FROM df WHERE token = 'src1'), 0))) AS s)
+SELECT id, round(1 + (CASE WHEN {PLAIN("owner")} = 'src1' THEN 1.45::DOUBLE WHEN starts_with({PLAIN("owner")}, 'src1') THEN 1.2::DOUBLE WHEN list_contains({CAMEL("owner")}, 'src1') THEN 1.1::DOUBLE ELSE 1 END - 1) * s, 9) AS boost FROM repos, spec""")
+def name_boost(spark, d):
+    repos = tables.repos(spark, d).withColumn("name", F.col("owner"))
+    with_spec = FU.with_specificity(repos, ["src1"], repos)
+    return with_spec.select("id", F.round(FU.name_boost(["src1"], F.col("name"), F.col("spec")), 9).alias("boost"))
+
+
+@query(f"""+terms AS (SELECT unnest(['en', 'the', 'of', 'src1']) AS t),
+m AS (SELECT r.id, count(*) FILTER (len(list_filter(r.topics, lambda x: list_contains({CAMEL("x")}, t))) > 0) AS a, count(*) FILTER (list_contains({CAMEL("COALESCE(r.description, '')")}, t)) AS b FROM repos r, terms GROUP BY r.id)
+SELECT id, round(0.003::DOUBLE * least(a, 3) + 0.0015::DOUBLE * least(b, 3), 9) AS bonus FROM m""")
+def overlap_bonus(spark, d):
+    return tables.repos(spark, d).select("id", F.round(FU.overlap_bonus(["en", "the", "of", "src1"], F.col("topics"), F.col("description")), 9).alias("bonus"))
+
+
+@query(f"+{FUSED} SELECT id, round(final, 9) AS score FROM ranked")
+def dup_penalty(spark, d):
+    repos, legs = _legs(spark, d)
+    return _rounded(FU.fuse(legs, repos, []).select("id", "score"), "score", digits=9)
+
+
+@query(f"+{FUSED} SELECT id, round(final, 9) AS score, stars, row_number() OVER (ORDER BY final DESC, stars DESC, id) AS position FROM ranked ORDER BY final DESC, stars DESC, id LIMIT 50")
+def hybrid_search(spark, d):
+    repos, legs = _legs(spark, d)
+    return _rounded(RK.page(FU.fuse(legs, repos, []), "relevance", 0, 50).select("id", "score", "stars", "position"), "score", digits=9)
+
+
+@query()
+def search_page(spark, d):
+    return Engine.over(spark, d).search(SearchRequest("u7", "the ereath token", limit=20))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over the whole collection: BM25, vector and browse evidence fused."""
+    return hybrid_search(spark, sf_dir)
+
+
+# ---- orders and pages ----
+
+
+@query(f"+{STARRED}, o AS (SELECT id, login, stars, row_number() OVER (ORDER BY stars DESC, starred_at DESC, id, login) AS position FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY login) AS k FROM starred) WHERE k = 1) SELECT id, stars, position FROM o WHERE position > 10 AND position <= 40")
+def sort_stars(spark, d):
+    one = _starred(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("login"))).where("k = 1")
+    return RK.page(one, "stars", 10, 30).select("id", "stars", "position")
+
+
+@query("+u AS (SELECT r.id, s.starred_at FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7') SELECT id, starred_at, row_number() OVER (ORDER BY starred_at DESC, id) AS position FROM u LIMIT 20")
+def sort_starred(spark, d):
+    found = FL.universe(tables.repos(spark, d), tables.user_stars(spark, d), "u7")
+    return RK.page(found, "starred", 0, 20).select("id", "starred_at", "position")
+
+
+@query("+u AS (SELECT r.id, s.starred_at, CASE WHEN id % 4 = 0 THEN 'bad date' ELSE strftime(TIMESTAMP '2024-01-01' + to_days((id % 97)::INT), '%Y-%m-%dT%H:%M:%SZ') END AS pushed_at FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7') SELECT id, pushed_at, row_number() OVER (ORDER BY CASE WHEN pushed_at = 'bad date' THEN NULL ELSE pushed_at END DESC NULLS LAST, starred_at DESC, id) AS position FROM u")
+def sort_pushed(spark, d):
+    found = FL.universe(tables.repos(spark, d), tables.user_stars(spark, d), "u7")
+    day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + (F.col("id") % 97) * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return RK.page(found.withColumn("pushed_at", F.when(F.col("id") % 4 == 0, "bad date").otherwise(day)), "pushed", 0, 10_000).select("id", "pushed_at", "position")
+
+
+@query("SELECT r.id, s.starred_at FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7' AND r.language = 'en'")
+def browse_page(spark, d):
+    return Engine.over(spark, d).browse("u7", FL.Filters(language="en")).select("id", "starred_at")
+
+
+@query("+u AS (SELECT repo_id AS id, max(starred_at) AS starred_at FROM user_stars GROUP BY 1) SELECT id, starred_at, row_number() OVER (ORDER BY starred_at DESC NULLS LAST, id) AS place, (row_number() OVER (ORDER BY starred_at DESC NULLS LAST, id) - 1) // 25 AS batch FROM u ORDER BY place LIMIT 150")
+def newest_batches(spark, d):
+    newest = tables.user_stars(spark, d).groupBy(F.col("repo_id").alias("id")).agg(F.max("starred_at").alias("starred_at"))
+    return RK.batches(RK.newest(newest, 150), 25)
+
+
+# ---- query understanding ----
+
+ASKED = [(1, "auth"), (2, "http client with retries"), (3, "durable background jobs"), (4, "tui for git"), (5, "vector database"), (6, "rate-limit"), (7, "useEffect"), (8, "foo/bar"), (9, "author"), (10, "  "), (11, "OAuth2 login"), (12, "state management store")]
+_VALUES = ", ".join(f"({i}, '{q}')" for i, q in ASKED)
+_LEXICON = ", ".join(f"('{k}', {i}, '{' '.join(tokenize(t))}')" for i, (k, v) in enumerate(CONCEPTS.items()) for t in v[1])
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id int, query string")
+
+
+@query(f"+asked AS (SELECT * FROM (VALUES {_VALUES}) t(query_id, query)), c AS (SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS q FROM asked) SELECT query_id, query, CASE WHEN q <> '' AND NOT contains(q, ' ') AND (regexp_matches(q, '[0-9_./@:#-]') OR regexp_matches(q, '\\p{{Ll}}\\p{{Lu}}')) THEN 'identifier' WHEN len({CAMEL('q')}) <= 2 THEN 'keyword' ELSE 'descriptive' END AS kind, len({CAMEL('q')})::INT AS n_tokens FROM c")
+def classify_queries(spark, d):
+    return classified(_asked(spark))
+
+
+@query(f"""+asked AS (SELECT * FROM (VALUES {_VALUES}) t(query_id, query)), lex AS (SELECT * FROM (VALUES {_LEXICON}) t(concept, place, trigger)), w AS (SELECT query_id, {CAMEL("query")} AS w FROM asked),
+said AS (SELECT query_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS trigger FROM w),
+hit AS (SELECT DISTINCT query_id, place, concept FROM said JOIN lex USING (trigger)) SELECT query_id, list(concept ORDER BY place) AS concepts FROM hit GROUP BY query_id""")
+def expand_queries(spark, d):
+    return expanded(_asked(spark))
+
+
+# ---- merges ----
+
+OLD_NEW = """old AS (SELECT id, stars, readme AS body, 'old' AS seen FROM repos WHERE id % 3 <> 0), new AS (SELECT id, stars + 1 AS stars, CASE WHEN id % 5 = 0 THEN NULL ELSE description END AS body, 'new' AS seen FROM repos WHERE id % 2 = 0)"""
+
+
+def _old_new(spark, d) -> tuple[DataFrame, DataFrame]:
+    repos = tables.repos(spark, d)
+    old = repos.where("id % 3 <> 0").select("id", "stars", F.col("readme").alias("body"), F.lit("old").alias("seen"))
+    return old, repos.where("id % 2 = 0").select("id", (F.col("stars") + 1).alias("stars"), F.when(F.col("id") % 5 != 0, F.col("description")).alias("body"), F.lit("new").alias("seen"))
+
+
+@query(f"+{OLD_NEW} SELECT id, COALESCE(n.stars, o.stars) AS stars, COALESCE(n.body, o.body) AS body, COALESCE(o.seen, n.seen) AS seen FROM old o FULL JOIN new n USING (id)")
+def upsert_repos(spark, d):
+    return MG.upsert(*_old_new(spark, d), ["id"], keep_old=["seen"], fill=["body"])
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id")
+def upsert_latest(spark, d):
+    return MG.latest(tables.read(spark, d, "events").select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id").drop("event_id")
+
+
+SIDES = "stored AS (SELECT repo_id, star_page FROM user_stars WHERE login = 'u7'), fresh AS (SELECT repo_id FROM user_stars WHERE login = 'u8' UNION SELECT repo_id FROM user_stars WHERE login = 'u7' AND repo_id % 2 = 0)"
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = tables.user_stars(spark, d)
+    return s.where("login = 'u7'").select("repo_id", "star_page"), s.where("login = 'u8' or (login = 'u7' and repo_id % 2 = 0)").select("repo_id").distinct()
+
+
+@query(f"+{SIDES} SELECT repo_id, 'added' AS change FROM fresh WHERE repo_id NOT IN (SELECT repo_id FROM stored) UNION ALL SELECT repo_id, 'removed' FROM stored WHERE repo_id NOT IN (SELECT repo_id FROM fresh)")
+def star_diff(spark, d):
+    return MG.star_diff(*_sides(spark, d))
+
+
+@query(f"+{SIDES} SELECT repo_id FROM fresh UNION SELECT repo_id FROM stored WHERE star_page IN (0, 2, 3) OR star_page IS NULL")
+def listing_union(spark, d):
+    stored, fresh = _sides(spark, d)
+    return MG.listed(fresh, stored, [0, 2, 3])
+
+
+@query("SELECT login, repo_id, starred_at, star_page FROM user_stars WHERE NOT (login = 'u7' AND repo_id % 2 = 1)")
+def unstar(spark, d):
+    s = tables.user_stars(spark, d)
+    return MG.unstar(s, "u7", s.where("login = 'u7' and repo_id % 2 = 1").select("repo_id"))
+
+
+@query("SELECT 'u2' AS login, slug, repo_id FROM group_repos WHERE repo_id % 2 = 0 UNION ALL SELECT DISTINCT 'u1', 'fresh', repo_id FROM group_repos WHERE repo_id % 7 = 0")
+def replace_groups(spark, d):
+    g = tables.group_repos(spark, d)
+    stored = g.select(F.when(F.col("repo_id") % 2 == 0, "u2").otherwise("u1").alias("login"), "slug", "repo_id")
+    return MG.replace_groups(stored, "u1", g.where("repo_id % 7 = 0").select(F.lit("fresh").alias("slug"), "repo_id"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN CASE WHEN id % 4 = 0 THEN 'missing' ELSE 'present' END ELSE CASE WHEN id % 3 = 0 THEN 'pending' ELSE 'ok' END END AS readme_state FROM repos")
+def publish_readmes(spark, d):
+    r = tables.repos(spark, d).select("id", F.when(F.col("id") % 4 != 0, F.col("readme")).alias("readme"), F.when(F.col("id") % 3 == 0, "pending").otherwise("ok").alias("readme_state"), F.lit("run1").alias("readme_run"))
+    return MG.publish_readmes(r, r.where("id % 2 = 0"), "run1").select("id", "readme_state")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS origin FROM vectors WHERE id % 5 <> 0 AND (id % 2 = 0 OR id % 3 = 0)")
+def vector_overlay(spark, d):
+    v = tables.vectors(spark, d).select("id")
+    side = lambda k, name: v.where(f"id % {k} = 0").withColumn("vector", F.lit(name))
+    return MG.overlay(side(3, "old"), side(2, "new"), v.where("id % 5 <> 0")).withColumnRenamed("vector", "origin")
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT id FROM vectors EXCEPT SELECT id FROM vectors WHERE id % 9 <> 0)) = 0 AS up_to_date")
+def vectors_up_to_date(spark, d):
+    v = tables.vectors(spark, d)
+    return MG.same_ids(v, v.where("id % 9 <> 0"))
+
+
+# ---- planning ----
+
+STATE = "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 'error' WHEN id % 3 = 0 THEN 'missing' ELSE 'ok' END"
+PLAN = f"""stars AS (SELECT repo_id AS id, max(starred_at) AS starred_at, '2024-01-' || lpad(((repo_id % 28) + 1)::VARCHAR, 2, '0') AS pushed_at FROM user_stars GROUP BY repo_id),
+states AS (SELECT id, {STATE} AS status, '2024-01-15' AS checked_at FROM stars WHERE id % 7 <> 0)"""
+
+
+def _plan(spark, d) -> tuple[DataFrame, DataFrame]:
+    s = tables.user_stars(spark, d).groupBy(F.col("repo_id").alias("id")).agg(F.max("starred_at").alias("starred_at"))
+    s = s.withColumn("pushed_at", F.concat(F.lit("2024-01-"), F.lpad(((F.col("id") % 28) + 1).cast("string"), 2, "0")))
+    return s, s.where("id % 7 <> 0").select("id", F.when(F.col("id") % 5 == 0, "error").when(F.col("id") % 3 == 0, "missing").otherwise("ok").alias("status"), F.lit("2024-01-15").alias("checked_at"))
+
+
+@query(f"+{PLAN}, recent AS (SELECT * FROM stars ORDER BY starred_at DESC NULLS LAST, id LIMIT 400), need AS (SELECT r.id, r.starred_at FROM recent r LEFT JOIN states s USING (id) WHERE s.status IS NULL OR s.status = 'error' OR r.pushed_at > s.checked_at) SELECT id, row_number() OVER (ORDER BY starred_at DESC NULLS LAST, id) AS place, (row_number() OVER (ORDER BY starred_at DESC NULLS LAST, id) - 1) // 25 AS batch FROM need")
+def readme_plan(spark, d):
+    return PL.readme_work(*_plan(spark, d), window=400)
+
+
+FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+@query(f"SELECT id, lpad(lower(to_hex({FNV.format(x='full_name')})), 8, '0') AS hash FROM repos")
+def fnv_hash(spark, d):
+    return tables.repos(spark, d).select("id", S.fnv1a(F.col("full_name")).alias("hash"))
+
+
+@query("SELECT user_id, sha256('2024-01-01' || chr(0) || user_id::VARCHAR) AS hash FROM (SELECT DISTINCT user_id FROM events)")
+def ip_hash(spark, d):
+    return tables.read(spark, d, "events").select("user_id").distinct().select("user_id", S.ip_hash(F.lit("2024-01-01"), F.col("user_id").cast("string")).alias("hash"))
+
+
+@query(f"SELECT id, lpad(lower(to_hex({FNV.format(x='full_name')})), 8, '0') AS hash FROM repos WHERE id % 4 <> 1")
+def embed_plan(spark, d):
+    docs = tables.repos(spark, d).select("id", F.col("full_name").alias("doc"))
+    return PL.embed_work(docs, docs.where("id % 4 in (1, 2)").select("id", F.when(F.col("id") % 4 == 1, S.fnv1a(F.col("doc"))).otherwise("").alias("hash")))
+
+
+@query("+s AS (SELECT user_id, count(*) % 2 = 1 AS running, (max(event_id) % 40000) AS t FROM events GROUP BY user_id), a AS (SELECT user_id, running, user_id % 5 = 0 AS force, greatest(t + 21600 - 40000, 0) AS full_left, greatest(t + 10000 + 900 - 40000, 0) AS list_left FROM s) SELECT user_id, CASE WHEN running THEN 'in-progress' WHEN NOT force AND full_left > 0 THEN 'cooldown-full' WHEN NOT force AND list_left > 0 THEN 'cooldown-relist' ELSE 'ok' END AS reason, CASE WHEN running THEN 0 WHEN NOT force AND full_left > 0 THEN full_left WHEN NOT force AND list_left > 0 THEN list_left ELSE 0 END::BIGINT AS wait_s FROM a")
+def can_sync(spark, d):
+    s = tables.read(spark, d, "events").groupBy("user_id").agg((F.count("*") % 2 == 1).alias("running"), (F.max("event_id") % 40000).alias("at"))
+    a = PL.admission(F.lit(40000), F.col("running"), F.col("at"), F.col("at") + 10000, F.col("user_id") % 5 == 0)
+    return s.select("user_id", a.alias("a")).select("user_id", "a.reason", "a.wait_s")
+
+
+@query("+s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'queued' ELSE 'listing' END AS phase, event_id % 5000 AS age FROM events) SELECT event_id, CASE WHEN phase = 'queued' THEN CASE WHEN age > 3600 THEN 'take-over' ELSE 'attach' END WHEN age > 1200 THEN 'take-over' WHEN age > 300 THEN 'probe' ELSE 'attach' END AS decision FROM s")
+def takeover(spark, d):
+    phase = F.when(F.col("event_id") % 3 == 0, "queued").otherwise("listing")
+    return tables.read(spark, d, "events").select("event_id", PL.takeover(phase, F.col("event_id") % 5000).alias("decision"))
+
+
+@query("SELECT event_id, least(900.0::DOUBLE, CASE WHEN event_id % 3 = 0 THEN event_id % 1000 + 5.0::DOUBLE ELSE greatest(60.0::DOUBLE, CASE WHEN event_id % 3 = 1 THEN event_id % 300 ELSE 60 * power(2.0, event_id % 6 - 1) END) END) AS wait FROM events")
+def rate_wait(spark, d):
+    e = F.col("event_id")
+    return tables.read(spark, d, "events").select("event_id", S.wait_seconds(e % 6, F.when(e % 3 == 0, e % 1000), F.when(e % 3 == 1, e % 300)).alias("wait"))
+
+
+@query("+r AS (SELECT event_id AS id, user_id AS key, ts::DATE AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS used FROM events) SELECT id, key, day, used, used <= 3 AS allowed FROM r")
+def budget_daily(spark, d):
+    e = tables.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts")
+    return PL.daily_budget(e, 3).drop("ts")
+
+
+@query("SELECT event_type AS key, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS requests, greatest(count(*) - 2, 0) AS denied FROM events GROUP BY 1, 2")
+def burst_window(spark, d):
+    return PL.burst_windows(tables.read(spark, d, "events").select(F.col("event_type").alias("key"), "ts"), 2)
+
+
+@query("SELECT user_id, max_by(event_type, event_id) FILTER (event_type <> 'view') AS phase, max_by(value, event_id) FILTER (event_type <> 'click') AS done FROM events GROUP BY user_id")
+def state_fold(spark, d):
+    e = tables.read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("phase"), F.when(F.col("event_type") != "click", F.col("value")).alias("done"))
+    return PL.fold_state(e, "user_id", "event_id", ["phase", "done"])
+
+
+@query()
+def fts_budget(spark, d):
+    docs = tables.repos(spark, d).select(F.col("owner").alias("login"), "id", "readme")
+    return MG.budgeted_text(docs, 40_000)
+
+
+# ---- metrics ----
+
+GRADED = """graded AS (SELECT d.source AS query_id, d.doc_id AS id, l.quality + CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 ELSE 0 END AS grade FROM documents d JOIN labels l USING (doc_id)),
+run AS (SELECT owner AS query_id, id, row_number() OVER (PARTITION BY owner ORDER BY stars DESC, id) AS rank FROM repos), q AS (SELECT DISTINCT owner AS query_id FROM repos),
+h AS (SELECT r.query_id, r.rank, COALESCE(g.grade, 0) AS grade FROM run r LEFT JOIN graded g USING (query_id, id) WHERE rank <= 10),
+got AS (SELECT query_id, count(*) FILTER (rank <= 5 AND grade >= 1) AS h5, count(*) FILTER (rank <= 5 AND grade = 2) AS s5, count(*) FILTER (grade = 2) AS s10, min(rank) FILTER (grade >= 1) AS first, sum((power(2, grade) - 1) / log2(rank + 1.0::DOUBLE)) AS dcg, count(*) FILTER (rank <= 3 AND grade >= 1) > 0 AS hit3 FROM h GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS place FROM graded),
+ideal AS (SELECT query_id, sum((power(2, grade) - 1) / log2(place + 1.0::DOUBLE)) FILTER (place <= 10) AS idcg, count(*) FILTER (grade = 2) AS n2 FROM placed GROUP BY 1),
+m AS (SELECT q.query_id, COALESCE(h5, 0) / 5.0::DOUBLE AS p5, COALESCE(s5, 0) / 5.0::DOUBLE AS p5_strict, CASE WHEN n2 > 0 THEN COALESCE(s10, 0)::DOUBLE / n2 END AS r10, 1.0::DOUBLE / first AS mrr, CASE WHEN idcg > 0 THEN COALESCE(dcg, 0) / idcg ELSE 0 END AS ndcg10, COALESCE(hit3, FALSE)::INT::DOUBLE AS success3 FROM q LEFT JOIN got USING (query_id) LEFT JOIN ideal USING (query_id))"""
+_METRICS = ("p5", "p5_strict", "r10", "mrr", "ndcg10", "success3")
+
+
+def _metrics(spark, d) -> DataFrame:
+    repos = tables.repos(spark, d)
+    docs, labels = tables.read(spark, d, "documents"), tables.read(spark, d, "labels")
+    grades = docs.join(labels, "doc_id").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), (F.col("quality") + F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("grade"))
+    run = RK.rank_by_score(repos.select(F.col("owner").alias("query_id"), "id", F.col("stars").alias("score")), "query_id")
+    return ME.query_metrics(run, grades, repos.select(F.col("owner").alias("query_id")).distinct())
+
+
+@query(f"+{GRADED} SELECT query_id, {', '.join(f'round({c}, 9) AS {c}' for c in _METRICS)} FROM m")
+def eval_metrics(spark, d):
+    return _rounded(_metrics(spark, d), *_METRICS, digits=9)
+
+
+@query(f"+{GRADED} SELECT length(query_id)::INT AS class, {', '.join(f'round(avg({c}), 8) AS {c}' for c in _METRICS)} FROM m GROUP BY 1")
+def eval_by_class(spark, d):
+    return _rounded(ME.mean_metrics(_metrics(spark, d).withColumn("class", F.length("query_id")), "class"), *_METRICS, digits=8)
+
+
+@query("SELECT l.doc_id AS id, l.quality AS grade FROM labels l WHERE l.doc_id % 3 = 0 OR l.doc_id NOT IN (SELECT id FROM repos)")
+def orphan_gold(spark, d):
+    labels = tables.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("grade"))
+    return ME.orphans(labels, tables.repos(spark, d).where("id % 3 <> 0"))
+
+
+@query("+l AS (SELECT length(readme) AS n FROM repos WHERE readme IS NOT NULL), s AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS total FROM l) SELECT count(*) AS n, avg(n) AS mean, max(n) AS longest, (max(n) FILTER (i = (total - 1) // 2) + max(n) FILTER (i = total // 2)) / 2.0::DOUBLE AS median, max(n) FILTER (i = floor(total * 0.9::DOUBLE)) AS p90 FROM s")
+def text_statistics(spark, d):
+    return ME.text_statistics(tables.repos(spark, d))
+
+
+# ---- facets and collections ----
+
+
+@query("SELECT 'language' AS facet, language AS value, count(*) AS n FROM repos WHERE NOT archived GROUP BY 2 UNION ALL SELECT 'topic', t, count(*) FROM (SELECT unnest(topics) AS t FROM repos WHERE NOT archived) GROUP BY 2 UNION ALL SELECT 'archived', archived::VARCHAR, count(*) FROM repos GROUP BY 2")
+def facet_counts(spark, d):
+    repos = tables.repos(spark, d)
+    live = repos.where("not archived")
+    count = lambda df, facet, value: df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(facet).alias("facet"), "value", "n")
+    topics = live.select(F.explode("topics").alias("t"))
+    return count(live, "language", F.col("language")).unionByName(count(topics, "topic", F.col("t"))).unionByName(count(repos, "archived", F.col("archived").cast("string")))
+
+
+@query("SELECT id, stars FROM repos WHERE (stars, -id) < (1500, -100) ORDER BY stars DESC, id LIMIT 25")
+def keyset_page(spark, d):
+    after = (F.col("stars") < 1500) | ((F.col("stars") == 1500) & (F.col("id") > 100))
+    return tables.repos(spark, d).where(after).orderBy(F.desc("stars"), "id").limit(25).select("id", "stars")
