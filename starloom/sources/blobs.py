@@ -13,7 +13,7 @@ MAGIC, VERSION = b"SW", 1
 
 def encode(rows: np.ndarray) -> bytes:
     rows = np.asarray(rows, dtype="<f4")
-    rows = rows.reshape(len(rows), -1)
+    rows = rows if rows.ndim == 2 else rows.reshape(0, 0)
     return MAGIC + bytes([VERSION, 0]) + np.array(rows.shape, dtype="<u4").tobytes() + rows.tobytes()
 
 
