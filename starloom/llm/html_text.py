@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -15,6 +16,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNWANTED = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
 MAIN = frozenset(["article", "main"])
+CONTAINERS = frozenset("article body center div html main section table tbody td".split())
 #: Parts of class names, ids and roles of what surrounds an article (fixed values).
 AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navigation|navbar|menu|breadcrumbs?|footer|contentinfo|sidebar|side|complementary|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|dialog|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|form|pagination|pager|skip|toolbar)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.I)
@@ -111,7 +113,7 @@ def main_text(html: str | None) -> str:
     """The article of a page: all wanted lines of the regions that hold the cluster of content lines.
 
     A region is the outermost article or main element with content, or where there is none the
-    smallest element that has four fifths of the content's characters.
+    smallest container of several lines that has four fifths of the content's characters.
     """
     if not html:
         return ""
@@ -138,8 +140,8 @@ def main_text(html: str | None) -> str:
     regions = {next(e for e in x[3] if page.kinds[e] in MAIN) for x, c in zip(lines, chosen) if c and any(page.kinds[e] in MAIN for e in x[3])}
     if not regions:
         total = sum(len(x[0]) for x, c in zip(lines, chosen) if c)
-        most = [e for e, w in weight.items() if 5 * w >= 4 * total]
-        regions = {max(most)} if most else set()
+        held = Counter(e for x in lines if x[2] for e in x[3] if page.kinds[e] in CONTAINERS)
+        regions = set(sorted(e for e, w in weight.items() if 5 * w >= 4 * total and held[e] > 1)[-1:])
     return "\n".join(x[0] for x in lines if x[2] and (not regions or regions.intersection(x[3])))
 
 
