@@ -281,3 +281,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     a, b = sets.select(F.col("c").alias("u"), F.col("s").alias("p")), sets.select(F.col("c").alias("v"), F.col("s").alias("q"))
     both = pairs.join(a, "u").join(b, "v").withColumn("i", F.size(F.array_intersect("p", "q")))
     return both.select("u", "v", (100 * F.col("i") >= pct * (F.size("p") + F.size("q") - F.col("i"))).alias("linked"))
+
+
+def reach_sql(links: str, nodes: str) -> str:
+    """A recursive step that gives (id, root) pairs: root is any node that id reaches over links(x, y)."""
+    return f"both_ways AS (SELECT x, y FROM {links} UNION SELECT y, x FROM {links}), reach AS (SELECT id, id AS root FROM {nodes} UNION SELECT r.id, b.y FROM reach r JOIN both_ways b ON r.root = b.x)"
+
+
+def jaccard_sql(documents: str = "documents", width: int = 4, similarity_pct: int = 85) -> str:
+    """The join by brute force over shared shingles, as DuckDB SQL."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, COALESCE(regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM {documents}),
+s AS (SELECT DISTINCT id, sh FROM (SELECT id, unnest(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(list_slice(w, i, i + {width - 1}), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT w.id, count(s.sh) AS n FROM w LEFT JOIN s USING (id) GROUP BY w.id),
+shared AS (SELECT a.id AS x, b.id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 100 * i >= {similarity_pct} * (p.n + q.n - i)),
+{reach_sql("links", "n")}
+SELECT id AS doc_id, n.n AS n_shingles, min(root) AS component_id FROM n JOIN reach USING (id) GROUP BY ALL"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starloom.llm.common import table
 from starloom.llm.html_text import extract_text
-from starloom.llm.jaccard_join import jaccard_join
+from starloom.llm.jaccard_join import jaccard_join, jaccard_sql
 from starloom.llm.line_rules import line_rules, line_rules_sql
 from starloom.llm.masked_lm import masked_scores
 from starloom.llm.mixing import mix_sql, pareto_mix
@@ -15,7 +15,7 @@ from starloom.llm.packing import best_fit_packing
 from starloom.llm.quality import quality_scores
 from starloom.llm.secret_scan import scan_secrets
 from starloom.llm.toxicity import toxicity_scores
-from starloom.llm.vector_graph import near_vectors
+from starloom.llm.vector_graph import near_vectors, vectors_sql
 
 
 def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_vector_graph": vectors_sql(),
     "op5_line_frequency_rules": line_rules_sql(),
     "op7_pareto_mix": mix_sql(),
+    "op8_ngram_jaccard_join": jaccard_sql(),
 }

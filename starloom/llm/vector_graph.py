@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import BROADCAST_KEYS, partitions, staged
 from starloom.llm.components import components
+from starloom.llm.jaccard_join import reach_sql
 
 #: The centroids are fitted on at most about so many vectors; every vector is indexed.
 MAX_FITTED, MAX_CENTROIDS = 20_000, 2_048
@@ -321,3 +322,14 @@ def _unusable(batches):
             if not good:
                 kept.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.int64())], names=["id"])
+
+
+def vectors_sql(embeddings: str = "embeddings", least: float = 0.95) -> str:
+    """Links and components by brute force, as DuckDB SQL, for vectors of one length."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM {embeddings}),
+ok AS (SELECT id, v FROM v WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+links AS (SELECT a.id AS x, b.id AS y FROM ok a JOIN ok b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {least}),
+{reach_sql("links", "v")},
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT v.id AS vec_id, (SELECT count(*) FROM both_ways WHERE x = v.id) AS n_links, root AS component_id, v.id = root AS kept FROM v JOIN roots USING (id)"""
