@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starloom.functions import display as D
 from starloom.functions import scoring as S
 from starloom.functions import text as T
 from starloom.functions.text import FOLDED, MARKED
@@ -19,6 +20,7 @@ from starloom.operators import metrics as ME
 from starloom.operators import planning as PL
 from starloom.operators import ranking as RK
 from starloom.plans.engine import Engine
+from starloom.plans.lab import lab_search as lab_plan
 from starloom.plans.lexicon import CONCEPTS
 from starloom.plans.query import SearchRequest, classified, expanded, tokenize
 from starloom.sources import tables, wire
@@ -204,6 +206,11 @@ def truncated_text(spark, d):
     return tables.repos(spark, d).select("id", T.truncated(T.one_line(F.col("description")), 40).alias("short"))
 
 
+@query("SELECT id, CASE WHEN stars >= 1000000 THEN regexp_replace(printf('%.1f', floor(stars / 1000000.0::DOUBLE * 10) / 10), '\\.0$', '') || 'M' WHEN stars >= 1000 THEN regexp_replace(printf('%.1f', floor(stars / 1000.0::DOUBLE * 10) / 10), '\\.0$', '') || 'k' ELSE stars::VARCHAR END AS stars FROM repos")
+def compact_numbers(spark, d):
+    return tables.repos(spark, d).select("id", D.compact(F.col("stars")).alias("stars"))
+
+
 @query()
 def snippet_window(spark, d):
     return tables.repos(spark, d).select("id", T.snippet(F.col("readme"), F.col("description"), ANY).alias("snippet"))
@@ -393,6 +400,13 @@ def search_page(spark, d):
     return Engine.over(spark, d).search(SearchRequest("u7", "the ereath token", limit=20))
 
 
+@query()
+def lab_search(spark, d):
+    repos, stats = _index(spark, d)
+    v = tables.vectors(spark, d)
+    return lab_plan(repos, stats, "the token", "hybrid+expand", 20, v, _first_vector(v), with_archived=False)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over the whole collection: BM25, vector and browse evidence fused."""
     return hybrid_search(spark, sf_dir)
