@@ -146,3 +146,17 @@ def test_state_stream_equals_batch(spark, tmp_path):
 def test_daily_budget(spark):
     rows = spark.createDataFrame([(1, "a", "2024-01-01 23:59:59"), (2, "a", "2024-01-01 01:00:00"), (3, "a", "2024-01-02 00:00:00")], "id long, key string, t string").select("id", "key", F.to_timestamp("t").alias("ts"))
     assert {r.id: r.allowed for r in PL.daily_budget(rows, 1).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_budget_stream_equals_batch(spark, tmp_path):
+    batch, stream = events(spark, str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = ST.budget_stream(stream.withColumn("ts", F.col("ts").cast("timestamp")), 5).writeStream.format("memory").queryName("budget").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    got = {(r.id, r.used, r.allowed) for r in spark.table("budget").collect()}
+    assert got == {(r.id, r.used, r.allowed) for r in PL.daily_budget(batch, 5).collect()}
