@@ -54,6 +54,27 @@ def keyword_leg(repos: DataFrame, stats: DataFrame, terms: list[str], k: int, ca
     return top(hits.select("id", "score"), k)
 
 
+def text_legs(repos: DataFrame, stats: DataFrame, words: list[str], more: list[str], k: int, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The keyword leg and, with more terms, the expanded leg, from one aggregate over the terms of both: their
+    exchanges are the same, so Spark scans the documents once."""
+    matches = term_matches(repos, list(dict.fromkeys([*words, *more])))
+    df = matches.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+    full = matches.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
+    worth = bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n"))
+    asked, added = F.col("term").isin(words), F.col("term").isin(more) if more else F.lit(False)
+    per = full.groupBy("id").agg(F.count(F.when(asked, 1)).alias("n_terms"), F.sum(F.when(asked, worth)).alias("asked"), F.sum(F.when(added, worth)).alias("added"))
+    per = among(per, candidates)
+    hits = per.where("n_terms > 0")
+    if len(words) > 1:
+        whole = F.col("n_terms") == len(words)
+        enough = hits.where(whole).limit(MIN_AND_HITS).agg((F.count("*") >= MIN_AND_HITS).alias("enough"))
+        hits = hits.crossJoin(F.broadcast(enough)).where(~F.col("enough") | whole)  # one row
+    legs = {"keyword": top(hits.select("id", F.col("asked").alias("score")), k)}
+    if more:
+        legs["expanded"] = top(per.where("added is not null").select("id", F.col("added").alias("score")), k)
+    return legs
+
+
 def any_leg(repos: DataFrame, stats: DataFrame, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
     return top(among(scored(term_matches(repos, terms), stats), candidates).select("id", "score"), k)
 

@@ -12,7 +12,7 @@ from starloom.functions.text import index_tokens
 from starloom.operators.filters import Filters, browse, candidates
 from starloom.operators.fusion import LEG_WEIGHTS, evidence, fuse, fuse_ranks
 from starloom.operators.index import corpus_stats, frequencies
-from starloom.operators.legs import any_leg, keyword_leg, vector_leg
+from starloom.operators.legs import text_legs, vector_leg
 from starloom.operators.merging import groups_of
 from starloom.operators.ranking import page, with_snippets
 from starloom.plans.query import SearchRequest, classify, expand, normalize, tokenize
@@ -61,11 +61,9 @@ class Engine:
         if not words:
             return found.withColumn("score", F.lit(0.0)).withColumn("matched_by", F.array().cast("array<string>")).limit(0), label, meant and not usable
         k = LEG if r.sort == "relevance" else SORTED_LEG
-        legs = {"keyword": keyword_leg(self.repos, self.stats, list(dict.fromkeys(words)), k, found)}
         more = expand(words) if r.mode in ("auto", "hybrid") and classify(q) != "identifier" else None
         terms = more.terms if more and more.concepts else []
-        if terms:
-            legs["expanded"] = any_leg(self.repos, self.stats, terms, k, found)
+        legs = text_legs(self.repos, self.stats, list(dict.fromkeys(words)), terms, k, found)
         if usable:
             legs["semantic"] = vector_leg(self.vectors, list(r.vector), k, found)
         return fuse(legs, found, evidence(words, terms), self.weights), label, meant and not usable

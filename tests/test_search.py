@@ -94,6 +94,15 @@ def test_few_full_matches_fall_back_to_any(docs):
     assert ids(LG.keyword_leg(docs, stats, ["tiny", "auth"], 10, docs.where("id = 1"))) == {1}
 
 
+def test_legs_from_one_scan(docs):
+    stats = IX.corpus_stats(docs)
+    rows = lambda df: {(r.id, round(r.score, 9), r["rank"]) for r in df.collect()}
+    for words, more in ((["auth"], ["session management", "oauth"]), (["tiny", "auth"], ["vector"]), (["tiny", "vector"], [])):
+        legs = LG.text_legs(docs, stats, words, more, 10, docs.where("id < 3"))
+        assert rows(legs["keyword"]) == rows(LG.keyword_leg(docs, stats, words, 10, docs.where("id < 3")))
+        assert ("expanded" in legs) == bool(more) and (not more or rows(legs["expanded"]) == rows(LG.any_leg(docs, stats, more, 10, docs.where("id < 3"))))
+
+
 def test_persisted_index(docs, tmp_path, spark):
     IX.write_index(docs, str(tmp_path / "ix"), buckets=4)
     got = {(r.id, r.term, r.tf) for r in IX.read_terms(spark, str(tmp_path / "ix"), ["auth", "vector"], buckets=4).collect()}
