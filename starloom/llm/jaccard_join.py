@@ -33,7 +33,7 @@ from starloom.llm.common import WordHasher, blocks, mix, partitions, semi_join,
 from starloom.llm.components import components
 
 #: Shingles that one bucket holds at about, and a text's characters for one shingle.
-BUCKET_SHINGLES, CHARS_PER_SHINGLE = 2_000_000, 6
+BUCKET_SHINGLES, CHARS_PER_SHINGLE = 1_500_000, 6
 #: Cost of scanning an inverted list, in subsets enumerated; sizes over MOST_LIGHT are never light.
 SCAN_COST, MOST_LIGHT = 8, 16
 
@@ -119,7 +119,7 @@ def _pack(width: int, buckets: int):
             ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
             for doc_id, s in zip(ids, text_sets(texts, width, hasher)):
                 box.add(doc_id, s)
-                if box.size > 2_000_000:
+                if box.size > 1_500_000:
                     yield from _batches(box)
         yield from _batches(box)
 
@@ -146,21 +146,22 @@ def _shared_fingerprints(groups: int):
     """A bucket's fingerprints that two classes or more hold, packed by the group of their class."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, parts, seen = table.column("bucket")[0].as_py(), [], np.zeros(0, np.uint64)
-        for payload in table.column("payload"):
-            keys, ns, counts, fp = _read_packed(payload.as_buffer())
-            new = ~np.isin(keys, seen)
-            seen = np.concatenate((seen, keys[new])) if new.any() else seen
-            keep = np.repeat(new, counts)
-            parts.append((np.repeat(keys[new], counts[new]), np.repeat(ns[new], counts[new]), fp[keep]))
-        key, n, fp = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(fp, kind="stable")
-        runs = np.flatnonzero(np.concatenate(([True], np.diff(fp[order]) != 0))) if len(fp) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.append(runs, len(fp))), np.diff(np.append(runs, len(fp))))
-        order, df = order[df > 1], df[df > 1]
+        bucket, heads = table.column("bucket")[0].as_py(), [_read_packed(x.as_buffer()) for x in table.column("payload")]
+        keys = np.concatenate([h[0] for h in heads])
+        new = np.zeros(len(keys), dtype=bool)  # classes come once from every block of texts that holds them
+        new[np.unique(keys, return_index=True)[1]] = True
+        ns, counts = (np.concatenate([h[k] for h in heads]) for k in (1, 2))
+        fp = np.concatenate([h[3] for h in heads])[np.repeat(new, counts)]
+        del heads
+        owner = np.repeat(np.flatnonzero(new).astype(np.uint32), counts[new])
+        order = np.argsort(fp)
+        fp = fp[order]
+        runs = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else np.zeros(0, np.int64)
+        df = np.diff(np.append(runs, len(fp)))
+        shared, df = np.repeat(df > 1, df), np.repeat(df[df > 1], df[df > 1])
+        order, fp = order[shared], fp[shared]
         out = np.empty(len(order), dtype=_ENTRY)
-        out["key"], out["n"], out["fp"], out["bucket"], out["df"] = key[order], n[order], fp[order], bucket, df
-        out["n"] = n[order]
+        out["key"], out["n"], out["fp"], out["bucket"], out["df"] = keys[owner[order]], ns[owner[order]], fp, bucket, df
         dest = (out["key"] % np.uint64(groups)).astype(np.uint32)
         by = np.lexsort((out["key"], dest))
         out, dest = out[by], dest[by]
