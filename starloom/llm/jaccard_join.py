@@ -229,7 +229,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     packed = staged(docs.mapInArrow(_pack(width, buckets), "bucket int, payload binary, ids array<long>, keys array<long>, ns array<int>"), "shingles")
 
     rows = packed.where("bucket = -1").select(F.inline(F.arrays_zip("ids", "keys", "ns"))).toDF("id", "key", "n")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id"))
+    classes = staged(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id")), "classes")  # apart from the joins on key, so that Spark may split a hot class there
     sizes = {r.n: r["count"] for r in rows.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}  # 16 rows at most
     boundary = light_boundary(sizes, pct)
 
