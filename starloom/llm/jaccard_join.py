@@ -33,7 +33,7 @@ from starloom.llm.common import WordHasher, blocks, mix, partitions, semi_join,
 from starloom.llm.components import components
 
 #: Shingles that one bucket holds at about, and a text's characters for one shingle.
-BUCKET_SHINGLES, CHARS_PER_SHINGLE = 1_500_000, 6
+BUCKET_SHINGLES, CHARS_PER_SHINGLE = 3_000_000, 6
 #: Cost of scanning an inverted list, in subsets enumerated; sizes over MOST_LIGHT are never light.
 SCAN_COST, MOST_LIGHT = 8, 16
 
@@ -119,7 +119,7 @@ def _pack(width: int, buckets: int):
             ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
             for doc_id, s in zip(ids, text_sets(texts, width, hasher)):
                 box.add(doc_id, s)
-                if box.size > 1_500_000:
+                if box.size > 1_000_000:
                     yield from _batches(box)
         yield from _batches(box)
 
