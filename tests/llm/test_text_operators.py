@@ -292,7 +292,7 @@ def test_ids_equal_the_tokenizers_library():
 
 def test_packing(spark, odd, none):
     rng = np.random.default_rng(8)
-    rows = [(i, "".join(rng.choice(list("abcdef gh\n"), int(rng.integers(0, 6000)))), "a") for i in range(150)] + [r for r in ODD]
+    rows = [(100 + i, "".join(rng.choice(list("abcdef gh\n"), int(rng.integers(0, 6000)))), "a") for i in range(150)] + ODD
     got = best_fit_packing(docs(spark, rows), VOCAB, public_tokenizers.PATTERN).toPandas()
     encode = _encoder(VOCAB, public_tokenizers.PATTERN)
     for i, t, _ in rows[:150]:
