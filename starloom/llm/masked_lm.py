@@ -1,19 +1,25 @@
-"""Masked pseudo-likelihood scores: a window network in numpy predicts every token from both sides."""
+"""Masked pseudo-likelihood scores: a window network in numpy predicts every word from both sides."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WordHasher, blocks
+from starloom.llm.common import WordHasher, blocks, partitions, staged
 
-#: Token classes: 0 pads, the commonest words have one each, all others share TAIL classes by hash.
+#: Word classes, the top of the prediction: 0 pads, the commonest words have one each, all others are dealt to TAIL classes by hash.
 WORDS, TAIL, WIDTH = 191, 64, 24
 CLASSES = 1 + WORDS + TAIL
+#: Words of a TAIL class that occur so often in the corpus have parameters of their own; rarer ones share those of their count.
+MIN_COUNT = 5
 #: Every text trains the network at one position in TRAIN_EVERY, in ROUNDS rounds of parameter averaging.
-TRAIN_EVERY, ROUNDS, BATCH, RATE = 8, 2, 1024, 0.08
+TRAIN_EVERY, ROUNDS, BATCH, RATE = 1, 2, 1024, 0.08
+#: Parameter rows that travel together when they are averaged.
+BLOCK = 8192
 
 
 def initial_parameters(seed: int = 4) -> dict[str, np.ndarray]:
@@ -28,15 +34,100 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
     v, a = v.astype(np.float32), 4 * CLASSES * WIDTH
-    return {"ctx": v[:a].reshape(4, CLASSES, WIDTH), "out": v[a : a + CLASSES * WIDTH].reshape(CLASSES, WIDTH), "bias": v[a + CLASSES * WIDTH :]}
-
-
-def token_classes(words: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Classes of word hashes; known: sorted hashes of the commonest words, rank: their classes."""
-    if not len(known):
-        return (1 + WORDS + (words % np.uint64(TAIL)).astype(np.int64)).astype(np.int32)
-    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-    return np.where(known[at] == words, rank[at], 1 + WORDS + (words % np.uint64(TAIL)).astype(np.int64)).astype(np.int32)
+    return {"ctx": v[:a].reshape(4, CLASSES, WIDTH), "out": v[a : a + CLASSES * WIDTH].reshape(CLASSES, WIDTH), "bias": v[a + CLASSES * WIDTH : a + CLASSES * WIDTH + CLASSES]}
+
+
+@dataclass
+class Lexicon:
+    """The units that are predicted. Unit 0 pads; a unit is a word, or all words of a TAIL class that occur
+    equally often and under MIN_COUNT times, which are equally likely inside it.
+
+    known: sorted hashes of all words that occur twice or more, unit: their units; once: the unit of a class's
+    other words; classes: each unit's class; inside: log-probability of a word inside its unit. Below its class
+    a unit is a leaf of a Huffman tree: nodes[start[u] : start[u + 1]] lead to it, by the turns in bits, and
+    bias is the log-odds of a node's turns in the counts of the corpus."""
+
+    known: np.ndarray
+    unit: np.ndarray
+    once: np.ndarray
+    classes: np.ndarray
+    inside: np.ndarray
+    start: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    bias: np.ndarray
+
+    def units(self, words: np.ndarray) -> np.ndarray:
+        other = self.once[(words % np.uint64(TAIL)).astype(np.int64)]
+        if not len(self.known):
+            return other
+        at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        return np.where(self.known[at] == words, self.unit[at], other)
+
+
+def huffman(weights: list[int]) -> tuple[list[int], list[int], list[float]]:
+    """Parents and turns of 2n - 1 places (ascending weights first, then inner nodes, the root last), log-odds of the inner nodes' turns."""
+    n = len(weights)
+    w, parent, turn, odds = weights + [0] * (n - 1), [-1] * (2 * n - 1), [0] * (2 * n - 1), []
+    leaf, inner = 0, n
+    for k in range(n, 2 * n - 1):
+        two = []
+        for _ in range(2):
+            if leaf < n and (inner >= k or w[leaf] <= w[inner]):
+                two.append(leaf)
+                leaf += 1
+            else:
+                two.append(inner)
+                inner += 1
+        w[k] = w[two[0]] + w[two[1]]
+        parent[two[0]] = parent[two[1]] = k
+        turn[two[1]] = 1
+        odds.append(float(np.log(w[two[1]] / w[two[0]])))
+    return parent, turn, odds
+
+
+def lexicon(words: np.ndarray, n: np.ndarray, singles: np.ndarray) -> Lexicon:
+    """words: hashes of all words that occur twice or more, n: how often; singles: how many words of each TAIL class occur once."""
+    order = np.lexsort((words, -n))
+    words, n = words[order], n[order]
+    head = min(WORDS, len(words))
+    tail, group = np.arange(head, len(words)), (words[head:] % np.uint64(TAIL)).astype(np.int64)
+    own = n[head:] >= MIN_COUNT
+    unit = np.zeros(len(words), np.int64)
+    unit[:head] = np.arange(1, head + 1)
+    unit[tail[own]] = 1 + head + np.arange(own.sum())
+    shared, inverse, members = np.unique(group[~own] * MIN_COUNT + n[head:][~own], return_inverse=True, return_counts=True)
+    first = 1 + head + int(own.sum())
+    unit[tail[~own]] = first + inverse
+    lone = np.flatnonzero(singles)
+    once = np.zeros(TAIL, np.int64)
+    once[lone] = first + len(shared) + np.arange(len(lone))
+    groups = np.concatenate([group[own], shared // MIN_COUNT, lone]).astype(np.int64)
+    weight = np.concatenate([n[head:][own], shared % MIN_COUNT * members, singles[lone]]).astype(np.int64)
+    size = np.concatenate([np.ones(1 + head + int(own.sum())), members, singles[lone]])
+    classes = np.concatenate([np.arange(head + 1), 1 + WORDS + groups])
+
+    leaves, nodes, bits, bias, base = [], [], [], [], 0
+    for g in range(TAIL):
+        mine = np.flatnonzero(groups == g)
+        mine = mine[np.argsort(weight[mine], kind="stable")]
+        if len(mine) < 2:
+            continue
+        parent, turn, odds = (np.array(x) for x in huffman(weight[mine].tolist()))
+        at, who = np.arange(len(mine)), mine
+        while len(at):
+            leaves.append(1 + head + who)
+            nodes.append(base + parent[at] - len(mine))
+            bits.append(turn[at])
+            up = parent[at]
+            at, who = up[parent[up] >= 0], who[parent[up] >= 0]
+        bias.append(odds)
+        base += len(odds)
+    leaves, nodes, bits, bias = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves, nodes, bits, bias))
+    by_leaf = np.argsort(leaves, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(leaves, minlength=len(classes)))])
+    by_hash = np.argsort(words)
+    return Lexicon(words[by_hash], unit[by_hash].astype(np.int32), once.astype(np.int32), classes.astype(np.int32), -np.log(size), start, nodes[by_leaf].astype(np.int32), bits[by_leaf].astype(np.int8), bias.astype(np.float32))
 
 
 def padded(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,50 +138,102 @@ def padded(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, place
 
 
+def summed(index: np.ndarray, values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct indexes, the sums of values[of] by index, and how many there are of each."""
+    order = np.argsort(index)
+    s = index[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[first], np.add.reduceat(values.take(of[order], axis=0), first, axis=0), np.diff(np.append(first, len(s)))
+
+
 class Network:
-    def __init__(self, p: dict[str, np.ndarray]) -> None:
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
+    """The class of a token from the tokens on either side; with a lexicon, which also gives p "emb" (a row a unit) and
+    "node" (a row a tree node), the word itself."""
+
+    def __init__(self, p: dict[str, np.ndarray], lex: Lexicon | None = None) -> None:
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.sums = {k: np.full(v.shape if k in ("ctx", "out", "bias") else len(v), 1e-6, np.float32) for k, v in p.items()}
+        self.seen = {k: np.zeros(len(p[k]), np.float32) for k in ("emb", "node") if k in p}
+        self.lex = lex
         self.left = self.right = None
 
+    def _step(self, name: str, rows: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
+        """An Adagrad step on some rows, which share a sum each."""
+        s = self.sums[name][rows] + (g * g).mean(axis=1)
+        self.sums[name][rows] = s
+        self.p[name][rows] -= RATE * g / np.sqrt(s)[:, None]
+        self.seen[name][rows] += n
+
+    def _paths(self, units: np.ndarray, h: np.ndarray):
+        """For each node above these units: whose it is, the node, the turn, its weights and the log-odds of turn 1."""
+        n = self.lex.start[units + 1] - self.lex.start[units]
+        of = np.repeat(np.arange(len(units)), n)
+        at = np.repeat(self.lex.start[units] - (np.cumsum(n) - n), n) + np.arange(len(of))
+        nodes = self.lex.nodes[at]
+        v = self.p["node"].take(nodes, axis=0)
+        return of, nodes, self.lex.bits[at], v, np.einsum("ij,ij->i", v, h.take(of, axis=0)) + self.lex.bias[nodes]
+
     def train(self, seq: np.ndarray, at: np.ndarray) -> None:
         """Adagrad steps on the log-probability of the tokens at these places."""
+        classes = seq if self.lex is None else self.lex.classes[seq]
+        slot = CLASSES * np.arange(4)[:, None]
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
-            near = [seq[a - 2], seq[a - 1], seq[a + 1], seq[a + 2]]
-            h = np.tanh(sum(self.p["ctx"][k][near[k]] for k in range(4)))
+            near = np.stack([a - 2, a - 1, a + 1, a + 2])
+            cells, of = (classes[near] + slot).ravel(), np.tile(np.arange(len(a)), 4)
+            x = self.p["ctx"].reshape(-1, WIDTH).take(cells, axis=0).reshape(4, -1, WIDTH).sum(axis=0)
+            if self.lex is not None:
+                x += self.p["emb"].take(seq[near], axis=0).sum(axis=0)
+            h = np.tanh(x)
             z = h @ self.p["out"].T + self.p["bias"]
             z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
             z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(a)), seq[a]] -= 1
-            z /= len(a)
-            dh = (z @ self.p["out"]) * (1 - h * h)
-            grad = {"out": z.T @ h, "bias": z.sum(axis=0), "ctx": np.zeros_like(self.p["ctx"])}
-            for k in range(4):
-                hot = np.zeros((len(a), CLASSES), np.float32)
-                hot[np.arange(len(a)), near[k]] = 1
-                grad["ctx"][k] = hot.T @ dh
+            z[np.arange(len(a)), classes[a]] -= 1
+            dh = z @ self.p["out"]
+            if self.lex is not None:
+                whose, nodes, bits, v, odds = self._paths(seq[a], h)
+                if len(whose):
+                    g = (1 / (1 + np.exp(-odds)) - bits).astype(np.float32)[:, None]
+                    first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+                    dh[whose[first]] += np.add.reduceat(g * v, first, axis=0)
+                    self._step("node", *summed(nodes, g * h.take(whose, axis=0), np.arange(len(whose))))
+            dh *= 1 - h * h
+            grad = {"out": z.T @ h / len(a), "bias": z.sum(axis=0) / len(a), "ctx": np.zeros_like(self.p["ctx"])}
+            rows, g, _ = summed(cells, dh, of)
+            grad["ctx"].reshape(-1, WIDTH)[rows] = g / len(a)
             for k, g in grad.items():
                 self.sums[k] += g * g
                 self.p[k] -= RATE * g / np.sqrt(self.sums[k])
+            if self.lex is not None:
+                rows, g, n = summed(seq[near].ravel(), dh, of)
+                real = rows > 0
+                self._step("emb", rows[real], g[real], n[real])
 
     def log_probs(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(token | two before, two after) at these places, from tables of both sides' pairs."""
+        """log P(token | two before, two after) at these places, from tables of both sides' pairs of classes."""
         if self.left is None:
             c = self.p["ctx"]
             self.left, self.right = ((c[k][:, None, :] + c[k + 1][None, :, :]).reshape(-1, WIDTH) for k in (0, 2))
+        classes = seq if self.lex is None else self.lex.classes[seq]
         out = np.empty(len(at))
         for i in range(0, len(at), 8192):
             a = at[i : i + 8192]
-            h = np.tanh(self.left[seq[a - 2] * CLASSES + seq[a - 1]] + self.right[seq[a + 1] * CLASSES + seq[a + 2]])
+            x = self.left.take(classes[a - 2] * CLASSES + classes[a - 1], axis=0) + self.right.take(classes[a + 1] * CLASSES + classes[a + 2], axis=0)
+            if self.lex is not None:
+                for k in (-2, -1, 1, 2):
+                    x += self.p["emb"].take(seq[a + k], axis=0)
+            h = np.tanh(x)
             z = h @ self.p["out"].T
             z += self.p["bias"]
-            own = z[np.arange(len(a)), seq[a]]
+            own = z[np.arange(len(a)), classes[a]]
             most = z.max(axis=1)
             z -= most[:, None]
             np.exp(z, out=z)
             out[i : i + 8192] = own - most - np.log(z.sum(axis=1))
+            if self.lex is not None:
+                whose, _, bits, _, odds = self._paths(seq[a], h)
+                out[i : i + 8192] += self.lex.inside[seq[a]] - np.bincount(whose, np.logaddexp(0, np.where(bits == 1, -odds, odds)), len(a))
         return out
 
 
@@ -117,60 +260,102 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
 
-def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the commonest words over all texts, sorted, and their classes by frequency."""
-    top = rows.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    words, classes = np.array([r.word for r in top], dtype=np.int64).view(np.uint64), np.arange(1, len(top) + 1)
-    order = np.argsort(words)
-    return words[order], classes[order]
+def vocabulary(rows: DataFrame) -> Lexicon:
+    """The lexicon of all words of all texts."""
+    counts = staged(rows.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    more = counts.where("n > 1").toArrow()
+    singles = np.zeros(TAIL, np.int64)
+    # TAIL divides 2 to the 64, so the sign of the stored hash does not matter
+    for r in counts.where("n = 1").groupBy(F.pmod("word", F.lit(TAIL)).alias("g")).count().collect():
+        singles[r.g] = r["count"]
+    return lexicon(more["word"].to_numpy().view(np.uint64), more["n"].to_numpy(), singles)
+
 
+def _rows_of(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All parameters as rows of WIDTH numbers: units, nodes, then the class network."""
+    v = flat(p)
+    return np.concatenate([p["emb"], p["node"], np.append(v, np.zeros(-len(v) % WIDTH)).reshape(-1, WIDTH)]).astype(np.float32)
 
-def train(rows: DataFrame, known: np.ndarray, rank: np.ndarray, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> dict[str, np.ndarray]:
-    """Parameters after rounds in which every partition trains on its own texts and the results are averaged,
-    weighted by positions. Each partition sends its whole parameter vector, so what is gathered grows with the corpus."""
-    p = initial_parameters()
-    for _ in range(rounds):
 
-        def local(batches, p=p):
-            hasher, net, n = WordHasher(), Network(p), 0
+def _mean(batches):
+    """The mean change of each parameter row of a block, weighted by n."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, row, n, change in zip(*(batch.column(k).to_pylist() for k in ("block", "row", "n", "change"))):
+            s, w = held.setdefault(block, (np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK)))
+            row, n = np.frombuffer(row, np.int16), np.frombuffer(n, np.float32)
+            s[row] += np.frombuffer(change, np.float16).reshape(-1, WIDTH) * n[:, None].astype(float)
+            w[row] += n
+    for block, (s, w) in held.items():
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "change": pa.array([(s / np.maximum(w, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> dict[str, np.ndarray]:
+    """Parameters after rounds in which every partition trains on its own texts and the changes are averaged: those of
+    the class network weighted by positions, a word's and a node's by how often the partition met it. Word and
+    node parameters start at 0, where the tree gives the words' shares of their class in the corpus."""
+    sc = rows.sparkSession.sparkContext
+    n_units, n_nodes = len(lex.classes), len(lex.bias)
+    p = initial_parameters() | {"emb": np.zeros((n_units, WIDTH), np.float32), "node": np.zeros((n_nodes, WIDTH), np.float32)}
+    shared_lex = sc.broadcast(lex)
+    for turn in range(rounds):
+        shared = sc.broadcast(p)
+
+        def local(batches, shared=shared, turn=turn):
+            hasher, net, n = WordHasher(), Network(shared.value, shared_lex.value), 0
             for batch in batches:
                 texts = [t or b"" for t in batch.column("text").to_pylist()]
                 for i, j in blocks(texts):
                     words, counts = hasher(texts[i:j])
-                    seq, place = padded(token_classes(words, known, rank), counts)
-                    at = place[n % every :: every]
+                    seq, place = padded(shared_lex.value.units(words), counts)
+                    at = place[(n + turn) % every :: every]
                     net.train(seq, at[np.random.default_rng(len(at)).permutation(len(at))])
                     n += len(words)
-            v = flat(net.p).astype(np.float64) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(v)), -1)), pa.array(np.append(v, float(n)))], names=["i", "x"])
-
-        sums = {r.i: r.x for r in rows.select("text").mapInArrow(local, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}  # one row a parameter
-        if sums.get(-1, 0) > 0:
-            p = unflat(np.array([sums[i] for i in range(len(sums) - 1)]) / sums[-1])
+            if not n:
+                return
+            change = _rows_of(net.p) - _rows_of(shared.value)
+            weight = np.concatenate([net.seen["emb"], net.seen["node"], np.full(len(change) - n_units - n_nodes, n, np.float32)])
+            for k in range(0, len(change), BLOCK):
+                row = np.flatnonzero(weight[k : k + BLOCK])
+                if len(row):
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "row": pa.array([row.astype(np.int16).tobytes()], pa.binary()), "n": pa.array([weight[k + row].astype(np.float32).tobytes()], pa.binary()), "change": pa.array([change[k + row].astype(np.float16).tobytes()], pa.binary())})
+
+        changes = rows.select("text").mapInArrow(local, "block int, row binary, n binary, change binary")
+        means = staged(changes.repartition(partitions(rows.sparkSession), "block").mapInArrow(_mean, "block int, change binary"), "parameters")
+        v = _rows_of(p)
+        for r in means.toLocalIterator():
+            part = v[r.block * BLOCK : (r.block + 1) * BLOCK]
+            part += np.frombuffer(r.change, np.float32).reshape(-1, WIDTH)[: len(part)]
+        p = unflat(v[n_units + n_nodes :].ravel()) | {"emb": v[:n_units], "node": v[n_units : n_units + n_nodes]}
     return p
 
 
 def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> DataFrame:
     """One row for each row of docs: id, n_tokens, log_prob (the sum over all tokens of the log-probability that
-    the network gives each from the two tokens on either side), mean_log_prob.
-
-    Tokens are words (A-Z lower-cased). Vocabulary counts cover all texts, training every text at one position
-    in every, scores every token. Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows
-    count as often as they come; null ids are scored. An empty table gives no rows. Other columns are not read.
-    The model (31,000 numbers) is fixed in size; averages do not depend on how tasks are retried.
+    the network gives each word from the two words on either side), mean_log_prob.
+
+    Tokens are words (A-Z lower-cased). The probability is that of the word among all distinct words of docs: of its
+    class, then of its leaf in the class's Huffman tree, both from the words around it, then (under MIN_COUNT occurrences)
+    an equal share among the words of that class and count. Counts cover all texts, training every text at one
+    position in every (1: all), scores every token. Null, empty and blank texts have no tokens, log_prob 0 and a null
+    mean. Repeated rows count as often as they come; null ids are scored. An empty table gives no rows. Other columns are
+    not read. The model grows with the vocabulary: about 300 bytes on the driver and in each worker for a word that occurs
+    MIN_COUNT times or more, 12 for another that occurs twice.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    known, rank = vocabulary(rows)
-    p = train(rows, known, rank, rounds, every)
+    lex = vocabulary(rows)
+    sc = docs.sparkSession.sparkContext
+    model = sc.broadcast((train(rows, lex, rounds, every), lex))
 
     def score(batches):
-        hasher, net = WordHasher(), Network(p)
+        p, lex = model.value
+        hasher, net = WordHasher(), Network(p, lex)
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for i, j in blocks(texts):
                 words, counts = hasher(texts[i:j])
-                seq, place = padded(token_classes(words, known, rank), counts)
+                seq, place = padded(lex.units(words), counts)
                 n[i:j] = counts
                 s[i:j] = np.bincount(np.repeat(np.arange(j - i), counts), net.log_probs(seq, place), j - i)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(s)], names=["id", "n_tokens", "log_prob"])

@@ -14,7 +14,7 @@ from starloom.llm import toxicity as X
 from starloom.llm.common import WordHasher
 from starloom.llm.html_text import extract_text, main_text
 from starloom.llm.line_rules import line_rules
-from starloom.llm.masked_lm import Network, initial_parameters, masked_scores, padded
+from starloom.llm.masked_lm import TAIL, WORDS, Network, initial_parameters, masked_scores, padded, train, vocabulary
 from starloom.llm.mixing import mixed_documents, pareto_mix
 from starloom.llm.packing import _encoder, best_fit_packing, cut, sum_of_squares
 from starloom.llm.quality import keep_good, quality_scores
@@ -337,6 +337,37 @@ def test_lm_prefers_the_order_of_the_corpus(spark, odd, none):
     assert masked_scores(none).count() == 0
 
 
+def test_lm_predicts_words_and_not_buckets(spark):
+    """With production parameters: words of one class are told apart by their counts and by the words around them."""
+    rng = np.random.default_rng(11)
+    words = [f"t{k}" for k in range(4000)]
+    classes = (WordHasher()([" ".join(words).encode()])[0] % np.uint64(TAIL)).astype(int)
+    a, b, rare = [w for w, c in zip(words, classes) if c == classes[0]][:3]
+    common = [f"c{k}" for k in range(WORDS)]
+    filler = [" ".join(rng.choice(common, 400)) for _ in range(400)]
+    pairs = [" ".join(f"c0 {a} c0 c1 {b} c1" for _ in range(5)) for _ in range(20)]
+    asked = [f"c0 {a} c0", f"c0 {b} c0", f"c1 {b} c1", f"c1 {a} c1", f"c0 {rare} c0"]
+    rows = [(i, t, "x") for i, t in enumerate(filler + pairs)] + [(10_000 + i, t, "x") for i, t in enumerate(asked)]
+    got = {r.doc_id: r.log_prob for r in masked_scores(docs(spark, rows)).collect()}
+    assert got[10_000] > got[10_001] + 0.5 and got[10_002] > got[10_003] + 0.5
+    assert got[10_001] > got[10_004] + 0.5
+
+
+def test_lm_probabilities_cover_the_vocabulary(spark):
+    texts = [" ".join(f"v{int(x)}" for x in np.random.default_rng(k).zipf(1.3, 300) % 3000) for k in range(60)]
+    table = docs(spark, [(i, t, "x") for i, t in enumerate(texts)])
+    rows = table.select(F.col("text").cast("binary").alias("text"))
+    lex = vocabulary(rows)
+    every = np.unique(WordHasher()([t.encode() for t in texts])[0])
+    net = Network(train(rows, lex), lex)
+    around = lex.units(every[[3, 5, 8, 9]])
+    seq = np.array([[around[0], around[1], u, around[2], around[3]] for u in lex.units(every)]).ravel()
+    p = np.exp(net.log_probs(seq, 5 * np.arange(len(every)) + 2))
+    pad = np.exp(net.p["bias"] + net.p["out"] @ np.tanh(sum(net.p["ctx"][k][lex.classes[u]] + net.p["emb"][u] for k, u in enumerate(around))))
+    assert p.sum() == pytest.approx(1 - (pad[0] + pad[1 + WORDS :][np.bincount(lex.classes, minlength=len(pad))[1 + WORDS :] == 0].sum()) / pad.sum(), abs=1e-4)
+    assert len(every) > WORDS + TAIL and len(lex.classes) > WORDS + TAIL and np.abs(net.p["emb"]).sum() > 0
+
+
 def test_registered_names():
     from starloom.llm import queries
 
