@@ -24,16 +24,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of near copies (five words, similarity 0.8); rows without an id stay."""
-    found = staged(jaccard_join(docs, width=5, similarity_pct=80), "groups")
-    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    """The document with the smallest id (null last) of each group of near copies (five words, similarity 0.8).
+
+    Rows are told apart by a 64-bit hash of id and text: a null id, or an id that several texts share, is a row like
+    others. Of rows that are equal in both, one stays. Texts without words are nobody's copies: all stay.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = staged(jaccard_join(keyed, id_col="__key", width=5, similarity_pct=80).where("n_shingles > 0").select("__key", "component_id"), "groups")
+    ids = keyed.select("__key", "doc_id").distinct()
+    members = staged(found.distinct().join(ids, "__key"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")).alias("f")).select(F.col("f.__key").alias("__first"))
+    gone = staged(members.join(first, F.col("__key") == F.col("__first"), "left_anti").select(F.col("__key").alias("__gone")), "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = found.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("__twice"))
+    kept = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    twice = found.groupBy("__key").count().where("count > 1").select(F.col("__key").alias("__twice"))
     if twice.isEmpty():
-        return kept
-    one = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(one)
+        return kept.select(*docs.columns)
+    one = kept.join(twice, F.col("__key") == F.col("__twice"), "left_semi").dropDuplicates(["__key"])
+    return kept.join(twice, F.col("__key") == F.col("__twice"), "left_anti").unionByName(one).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,8 +39,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...], max_copies: int) ->
     return scanned.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(fits * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, propensity_col: str | None = None, seed: int = 17) -> DataFrame:
-    """One row for each row of docs: id, source, size, source_size, target, copies, taken.
+def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, propensity_col: str | None = None, seed: int = 17, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: id, source, size, source_size, target, copies, taken, and the extra columns.
 
     A document's expected copies are its source's target over its source's words, times its propensity
     over the word-weighted mean if propensity_col is given (null: 0), max_copies at most. The whole part is taken for
@@ -54,7 +54,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     ranked row by row, so a source with most of the rows still spreads over all tasks.
     """
     propensity = F.lit(1.0) if propensity_col is None else F.greatest(F.coalesce(F.col(propensity_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), propensity.alias("g")), "sizes")
+    base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), propensity.alias("g"), *extra), "sizes")
     sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("g") * F.col("size")).alias("gs"))
     targets = source_targets(sums.select("source", "source_size"), cycle, max_copies)
     sources = staged(targets.alias("t").join(sums.select(F.col("source").alias("s2"), "gs"), F.expr("source <=> s2")).drop("s2"), "sources")
@@ -68,7 +68,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     ranked = of_source(base, sources).withColumn("expected", expected).withColumn("certain", F.floor("expected")).withColumn("p", F.col("expected") - F.col("certain"))
     u = random_of(F.col("id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = staged(ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds))).withColumn("step", F.floor(F.col("rank") * BINS)).select("id", "source", "size", "source_size", "target", "certain", "rank", "step"), "ranked")
+    ranked = staged(ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds))).withColumn("step", F.floor(F.col("rank") * BINS)).select("id", "source", "size", "source_size", "target", "certain", "rank", "step", *extra), "ranked")
 
     left = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("wanted"))
     steps = ranked.where("step is not null").groupBy("source", "step").agg(F.sum("size").alias("words"))
@@ -81,14 +81,27 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     within = Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)
     close = placed.where("step = cut_step").withColumn("more", F.when(F.sum("size").over(within) - F.col("size") / 2 <= F.col("wanted"), 1).otherwise(0))
     copies = F.col("certain") + F.col("more")
-    return sure.unionByName(close).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.round("target", 6).alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return sure.unionByName(close).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.round("target", 6).alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *extra)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as docs has them."""
-    taken = pareto_mix(docs.where(F.col(id_col).isNotNull()), id_col=id_col, **options).where("copies > 0").select(F.col(id_col).alias("__mix_id"), F.col("copies").alias("__mix_copies")).dropDuplicates(["__mix_id"])
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The documents of the mix, each as often as it is taken; columns as docs has them.
+
+    Rows are told apart by a 64-bit hash of id, source and text, so rows with a null id take part, and rows that share an
+    id each come as often as they are taken (as they share a random number too, they rank alike). Of rows that are
+    equal in all three, one comes as often as all of them are taken.
+    """
+    nulls = [F.col(c).isNull() for c in (id_col, source_col, text_col)]
+    keyed = docs.withColumn("__mix_key", F.xxhash64(*nulls, id_col, source_col, text_col))
+    taken = pareto_mix(keyed, id_col=id_col, source_col=source_col, text_col=text_col, extra=("__mix_key",), **options)
+    taken = staged(taken.groupBy(F.col("__mix_key").alias("__mix_row")).agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")).where("__mix_copies > 0"), "taken")
     times = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
-    return docs.join(taken, F.col(id_col) == F.col("__mix_id")).select(*docs.columns, times.alias("__mix_turn")).drop("__mix_turn")
+    drawn = lambda rows: rows.select(*docs.columns, times.alias("__mix_turn")).drop("__mix_turn")
+    alike = taken.where("__mix_rows > 1")
+    out = drawn(keyed.join(taken.where("__mix_rows = 1"), F.col("__mix_key") == F.col("__mix_row")))
+    if alike.isEmpty():
+        return out
+    return out.unionByName(drawn(keyed.join(alike, F.col("__mix_key") == F.col("__mix_row")).dropDuplicates(["__mix_key"])))
 
 
 def mix_sql(documents: str = "documents", seed: int = 17) -> str:

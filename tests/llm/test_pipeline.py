@@ -49,6 +49,24 @@ def test_stages(spark, made):
     assert (pieces.piece == 0).sum() == len(ids("mixture"))
 
 
+def test_null_and_repeated_ids_lose_no_clean_rows(spark, made):
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n)).capitalize() + "."
+    labelled = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{made}/documents.parquet").where("doc_id < 240").collect()]
+    bad, clean, other, third, copied = "SHOUT!! ### $$$ !! BUY!! " * 8, text(80), text(90), text(70), text(100)
+    rows = [(None, bad, "s0"), (None, clean, "s0"), (None, other, "s1"), (900, bad, "s0"), (900, third, "s1"), (901, copied, "s2"), (902, copied + " tail", "s2"), (902, text(60), "s2"), (None, copied, "s2"), (None, "", "s0"), (None, "", "s0")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda x: spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in x], schema)
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    good = [(i, t) for i, t, _ in rows if t != bad and t]
+    kept = plain(corpus_pipeline.quality(spark, table(labelled + rows), made))
+    assert [x for x in kept if (x[0] is None or x[0] >= 900) and x[1]] == sorted(good, key=str)
+    left = plain(corpus_pipeline.near_duplicates(spark, table(rows), made))
+    assert left == sorted([(900, bad), *((i, t) for i, t in good if (i, t) not in [(902, copied + " tail"), (None, copied)]), (None, ""), (None, "")], key=str)
+    mixed = corpus_pipeline.mixture(spark, table([(None, "a b c", "s"), (None, "d e f", "s"), (7, "g h i", "s"), (7, "j k l", "s"), (8, "m n o", "s"), (8, "m n o", "s")]), made)
+    assert plain(mixed) == sorted([(None, "a b c"), (None, "d e f"), (7, "g h i"), (7, "j k l"), (8, "m n o"), (8, "m n o")], key=str)
+
+
 def test_run(spark, made):
     assert corpus_pipeline.run(spark, made).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixture", "packing"]
