@@ -13,7 +13,7 @@ from starloom.llm import quality as Q
 from starloom.llm import toxicity as X
 from starloom.llm.common import WordHasher
 from starloom.llm.html_text import extract_text, main_text
-from starloom.llm.line_rules import line_rules
+from starloom.llm.line_rules import line_rules, without_common_lines
 from starloom.llm.masked_lm import TAIL, WORDS, Network, initial_parameters, masked_scores, padded, train, vocabulary
 from starloom.llm.mixing import mixed_documents, pareto_mix
 from starloom.llm.packing import _encoder, best_fit_packing, cut, sum_of_squares
@@ -114,10 +114,11 @@ def test_toxicity_on_tables(spark, labels, odd, none):
 # ---- line rules ----
 
 
-def brute_rules(rows, limit, max_removed=0.5):
+def brute_rules(rows, limit, max_removed=0.5, pct=1.0):
     norm = lambda x: " ".join(WORD.findall(x.lower()))
-    held = {}
+    held, size = {}, {}
     for i, (_, t, s) in enumerate(rows):
+        size[s] = size.get(s, 0) + 1
         for line in (t or "").split("\n"):
             if norm(line):
                 held.setdefault((s, norm(line)), set()).add(i)
@@ -127,7 +128,7 @@ def brute_rules(rows, limit, max_removed=0.5):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         runs = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
         covered = {j for k, r in enumerate(runs) if runs.count(r) > 1 for j in range(k, k + 8)} if len(w) < 2000 else set(range(len(w)))
-        gone = [x for x in lines if len(held[s, norm(x)]) > limit]
+        gone = [x for x in lines if len(held[s, norm(x)]) > limit and 100 * len(held[s, norm(x)]) > pct * size[s]]
         removed = sum(len(WORD.findall(x)) for x in gone)
         failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
         yield i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed, len(gone), removed, not failed and not removed > max_removed * len(w)
@@ -136,11 +137,29 @@ def brute_rules(rows, limit, max_removed=0.5):
 def test_line_rules(spark, none):
     body = " ".join(f"w{k}" for k in range(40))
     rows = [*ODD, *((10 + k, f"Common  Line a b c\n{body} {k}\ncommon line A B C\nCommon  Line a b c", "h") for k in range(5)), *((20 + k, body.replace(" ", "  ") + "\n" + "tail " * 3, None) for k in range(4)), (30, " ".join(["a b c d e f g h"] * 3) + " " + body, "h"), (31, "# $ " + body, "x")]
-    got = sorted(map(tuple, line_rules(docs(spark, rows), max_docs_per_host=3).collect()), key=str)
-    assert got == sorted(brute_rules(rows, 3), key=str)
+    for limit, pct in ((3, 1.0), (2, 40.0), (3, 60.0), (4, 50.0)):
+        got = sorted(map(tuple, line_rules(docs(spark, rows), min_docs=limit, host_pct=pct).collect()), key=str)
+        assert got == sorted(brute_rules(rows, limit, pct=pct), key=str)
     assert line_rules(none).count() == 0
 
 
+def test_limits_follow_the_host(spark):
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
+    small = [(k, "all of us share this line\n" + body(k), "small") for k in range(7)]
+    hot = [(100 + k, ("seven of us share this line\n" if k < 7 else "") + body(100 + k), "hot") for k in range(900)]
+    got = {r.doc_id: r.removed_lines for r in line_rules(docs(spark, small + hot)).collect()}
+    assert {got[k] for k in range(7)} == {1} and {got[100 + k] for k in range(900)} == {0}
+
+
+def test_texts_without_their_common_lines(spark, odd, none):
+    body = " ".join(f"w{k}" for k in range(10))
+    rows = [(k, f"Home  |  About\n\n{body} {k}\nhome | about", "h") for k in range(8)] + [(50, "Home | About\nhome | about\nx", "h"), (51, None, "h"), (51, "home | about", "g")]
+    table = docs(spark, rows)
+    got = {(r.doc_id, r.text) for r in without_common_lines(table).collect()}
+    assert got == {(k, f"\n{body} {k}") for k in range(8)} | {(51, None), (51, "home | about")}
+    assert without_common_lines(table).columns == table.columns and without_common_lines(none).count() == 0 and without_common_lines(odd).count() == len(ODD)
+
+
 # ---- pages ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies</div>
