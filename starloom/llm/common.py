@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ BROADCAST_KEYS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the one set by setCheckpointDir. A local session (tests)
+    without either gets a folder of its own; on a cluster that is an error, as executors could not read it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir()
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        if not found.isDefined() and not local:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='starloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
