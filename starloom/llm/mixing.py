@@ -9,6 +9,8 @@ from starloom.llm.common import BROADCAST_KEYS, WORD, staged
 
 #: Steps in which the ranking variable of a source is summed before the cut is looked for.
 BINS = 16_384
+#: The greatest propensity.
+MAX_GRADE = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -39,11 +41,29 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...], max_copies: int) ->
     return scanned.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(fits * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def grade_levels(grades: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """(source, level): a document of grade g is expected min(max_copies, level * g) times, which makes the expected words
+    of each source its target. grades(source, g, words) has a row for each source and grade over 0, at most
+    MAX_GRADE of a source, so the windows are small. Null where even max_copies of all are under the target."""
+    down = Window.partitionBy("source").orderBy(F.desc("g"))
+    upto = down.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source")
+    gw = F.col("g") * F.col("words")
+    facts = targets.select(F.col("source").alias("fact_source"), "target")
+    rows = grades.join(facts, F.expr("source <=> fact_source"))
+    rest = F.sum(gw).over(whole) - F.coalesce(F.sum(gw).over(upto), F.lit(0))
+    level = (F.col("target") - max_copies * F.coalesce(F.sum("words").over(upto), F.lit(0))) / rest
+    fits = rows.withColumn("level", level).where(F.col("level") * F.col("g") <= max_copies)
+    return fits.groupBy("source").agg(F.max_by("level", "g").alias("level"))
+
+
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", cycle: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, propensity_col: str | None = None, seed: int = 17, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: id, source, size, source_size, target, copies, taken, and the extra columns.
 
-    A document's expected copies are its source's target over its source's words, times its propensity
-    over the word-weighted mean if propensity_col is given (null: 0), max_copies at most. The whole part is taken for
+    Documents are drawn with unequal chances. A document's grade is its propensity, a number up to MAX_GRADE that is
+    rounded to a whole one (null and under a half: 0, never drawn); without propensity_col it is the length of its size
+    in bits, so longer documents are likelier. Its expected copies are its grade times a level of its source, max_copies
+    at most, where the level makes the expected words of the source its target. The whole part is taken for
     certain. The fraction left, p, is the chance of one more copy: with u fixed by the id, documents
     of a source are ranked by (u / (1 - u)) / (p / (1 - p)) and taken from the lowest until the
     words taken come nearest to the target. Sample size is thus fixed in words.
@@ -53,18 +73,20 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     A source's cut is found from sums over BINS steps of the rank; only the step that holds the cut is
     ranked row by row, so a source with most of the rows still spreads over all tasks.
     """
-    propensity = F.lit(1.0) if propensity_col is None else F.greatest(F.coalesce(F.col(propensity_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), propensity.alias("g"), *extra), "sizes")
-    sums = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("g") * F.col("size")).alias("gs"))
-    targets = source_targets(sums.select("source", "source_size"), cycle, max_copies)
-    sources = staged(targets.alias("t").join(sums.select(F.col("source").alias("s2"), "gs"), F.expr("source <=> s2")).drop("s2"), "sources")
+    size = n_words(F.col(text_col))
+    grade = F.length(F.bin(size)) if propensity_col is None else F.round(F.least(F.greatest(F.coalesce(F.col(propensity_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(float(MAX_GRADE))))
+    base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), grade.cast("long").alias("g"), *extra), "sizes")
+    grades = staged(base.groupBy("source", "g").agg(F.sum("size").alias("words")), "grades")
+    targets = staged(source_targets(grades.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, max_copies), "targets")
+    levels = grade_levels(grades.where("g > 0 and words > 0"), targets, max_copies).withColumnRenamed("source", "level_source")
+    sources = staged(targets.join(levels, F.expr("source <=> level_source"), "left").drop("level_source"), "sources")
     few = sources.count() <= BROADCAST_KEYS
 
     def of_source(df: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
         facts = facts.withColumnRenamed("source", "fact_source")
         return df.join(F.broadcast(facts) if few else facts, F.expr("source <=> fact_source"), how).drop("fact_source")
 
-    expected = F.least(F.lit(float(max_copies)), F.when(F.col("gs") > 0, F.col("g") * F.col("target") / F.col("gs")).otherwise(0.0))
+    expected = F.when(F.col("g") > 0, F.least(F.lit(float(max_copies)), F.coalesce(F.col("level") * F.col("g"), F.lit(float(max_copies))))).otherwise(0.0)
     ranked = of_source(base, sources).withColumn("expected", expected).withColumn("certain", F.floor("expected")).withColumn("p", F.col("expected") - F.col("certain"))
     u = random_of(F.col("id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
@@ -108,6 +130,7 @@ def mix_sql(documents: str = "documents", seed: int = 17) -> str:
     """The mix of all documents as DuckDB SQL, for weights 1, 2, 3 and three copies at most."""
     return f"""
 WITH base AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    length(bin(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT)) AS g,
     (('0x' || substr(md5('{seed}:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM {documents}),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 weighted AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sums),
@@ -116,10 +139,13 @@ levels AS (SELECT *, (sum(source_size) OVER () - COALESCE(sum(cap) OVER w, 0)) /
     FROM scan WINDOW w AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 chosen AS (SELECT level AS fit FROM levels WHERE level <= ratio ORDER BY ratio, level LIMIT 1),
 targets AS (SELECT source, source_size, least(cap::DOUBLE, fit * weight) AS target FROM levels, chosen),
-ranked AS (SELECT b.doc_id, b.source, b.size, b.u, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN floor(least(3.0::DOUBLE, t.target / t.source_size)) ELSE 0 END AS certain,
-    CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0 END AS expected
-    FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source),
+grades AS (SELECT source, g, sum(size)::BIGINT AS words FROM base GROUP BY source, g HAVING sum(size) > 0),
+scanned AS (SELECT grades.source, g, target, sum(g * words) OVER (PARTITION BY grades.source) - COALESCE(sum(g * words) OVER up, 0) AS rest, COALESCE(sum(words) OVER up, 0) AS sure
+    FROM grades JOIN targets ON grades.source IS NOT DISTINCT FROM targets.source WINDOW up AS (PARTITION BY grades.source ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lifted AS (SELECT source, g, (target - 3 * sure) / rest AS lift FROM scanned),
+fitted AS (SELECT source, max_by(lift, g) AS lift FROM lifted WHERE lift * g <= 3 GROUP BY source),
+ranked AS (SELECT b.doc_id, b.source, b.size, b.u, t.source_size, t.target, floor(least(3.0::DOUBLE, COALESCE(lift * g, 3))) AS certain, least(3.0::DOUBLE, COALESCE(lift * g, 3)) AS expected
+    FROM base b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN fitted f ON b.source IS NOT DISTINCT FROM f.source),
 odds AS (SELECT *, expected - certain AS p FROM ranked),
 running AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM odds),
 cut AS (SELECT *, sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto,

@@ -236,8 +236,37 @@ def test_mix_targets_and_sizes(spark, odd, none):
 def test_mix_with_propensities_prefers(spark):
     table = docs(spark, [(i, "a b c d", "s") for i in range(300)] + [(1000 + i, "a b", "t") for i in range(300)]).withColumn("p", (F.col("doc_id") % 3).cast("double"))
     got = pareto_mix(table, propensity_col="p").toPandas()
-    mean = got.assign(k=got.doc_id % 3).groupby("k").copies.mean()
-    assert mean[0] == 0 and mean[2] > 1.5 * mean[1]
+    mean = got.assign(k=got.doc_id % 3).groupby(["source", "k"]).copies.mean()
+    assert mean["s", 0] == 0 and mean["s", 2] > 1.5 * mean["s", 1]
+    assert mean["t", 0] == 0 and mean["t", 1] == mean["t", 2] == 3  # what is never drawn is made up for by the rest
+
+
+def test_mix_draws_by_expected_copies(spark):
+    """Over many seeds each document comes as often as its grade says, capped grades are refilled, and targets are met."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "w " * int(rng.choice([1, 3, 9, 40, 200])), ["a", "b", "b"][i % 3]) for i in range(240)]
+    table = docs(spark, rows)
+    runs = [pareto_mix(table, seed=k).toPandas().sort_values("doc_id") for k in range(4)]
+    one = runs[0]
+    for s, g in one.groupby("source"):
+        bits = np.array([int(n).bit_length() for n in g["size"]])
+        lo, hi = 0.0, 1e6
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (np.minimum(3, mid * bits) * g["size"]).sum() < g.target.iloc[0] else (lo, mid)
+        want = np.minimum(3, lo * bits)
+        got = np.mean([r[r.source == s].copies for r in runs], axis=0)
+        for b in set(bits):
+            assert abs(got[bits == b].mean() - want[bits == b].mean()) < 0.3
+        assert (np.floor(want - 1e-9) <= got + 1e-9).all() and (got <= np.ceil(want + 1e-9)).all()
+        assert all(abs(r[r.source == s].taken.sum() - g.target.iloc[0]) <= 200 for r in runs)
+    assert len({tuple(r.copies) for r in runs}) > 1
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    table = docs(spark, [(None, "a b c", "s"), (None, "d e f g", "s"), (4, "h i j", "t"), (4, "k l m", "t"), (5, None, None), (6, " ", "s")])
+    got = pareto_mix(table).collect()
+    assert len(got) == 6 and all(r.taken <= 3 * r["size"] for r in got) and all(r.taken == 0 for r in got if not r["size"])
 
 
 def test_mixed_documents_repeat(spark):
