@@ -80,21 +80,26 @@ class _Outbox:
     """Collects the sets of many documents, then yields them as one packed row for each bucket."""
 
     def __init__(self, buckets: int) -> None:
-        self.buckets, self.ids, self.keys, self.sets, self.size = buckets, [], [], [], 0
+        self.buckets, self.ids, self.keys, self.ns, self.sets, self.size = buckets, [], [], [], [], 0
 
     def add(self, doc_id, s: np.ndarray) -> None:
         self.ids.append(doc_id)
         self.keys.append(_key(s))
-        self.sets.append(s)
+        self.ns.append(len(s))
+        self.sets.append(s if doc_id is not None else s[:0])  # rows without an id link with nothing
         self.size += len(s) + 20
 
     def rows(self):
         if not self.ids:
             return
-        keys, ns = np.array(self.keys, dtype=np.uint64), np.array([len(s) for s in self.sets], dtype=np.uint32)
+        keys, ns = np.array(self.keys, dtype=np.uint64), np.array(self.ns, dtype=np.uint32)
         for i in range(0, len(keys), 20_000):
             yield -1, b"", self.ids[i : i + 20_000], keys[i : i + 20_000].view(np.int64).tolist(), ns[i : i + 20_000].tolist()
-        first = np.sort(np.unique(keys, return_index=True)[1])
+        named = np.flatnonzero([i is not None for i in self.ids])
+        if not len(named):
+            self.__init__(self.buckets)
+            return
+        first = np.sort(named[np.unique(keys[named], return_index=True)[1]])
         keys, ns = keys[first], ns[first]
         everything = np.concatenate([self.sets[i] for i in first])
         owner = np.repeat(np.arange(len(first), dtype=np.uint32), ns)
@@ -106,7 +111,7 @@ class _Outbox:
             who, counts = np.unique(owner[lo:hi], return_counts=True)
             head = np.array([len(who), hi - lo], dtype=np.uint32)
             yield int(bucket[lo]), b"".join(x.tobytes() for x in (head, keys[who], ns[who], counts.astype(np.uint32), fp[lo:hi])), [], [], []
-        self.ids, self.keys, self.sets, self.size = [], [], [], 0
+        self.ids, self.keys, self.ns, self.sets, self.size = [], [], [], [], 0
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32()))])
@@ -172,6 +177,24 @@ def _shared_fingerprints(groups: int):
     return run
 
 
+def _light_postings(gram: np.ndarray, key: np.ndarray, n: np.ndarray, start: np.ndarray, held: np.ndarray, pct: int, boundary: int) -> list[tuple]:
+    """The subsets that light classes post, for all classes of one size at once."""
+    out = []
+    light = n[start] <= boundary
+    for size, h in {*zip(n[start[light]].tolist(), held[light].tolist())}:
+        lo = start[light & (n[start] == size) & (held == h)]
+        for t in subset_sizes(size, pct):
+            chosen = np.array(list(combinations(range(h), t)), dtype=np.int64).reshape(-1, t)
+            step = max(1, 2_000_000 // max(1, chosen.size))
+            for i in range(0, len(lo) if len(chosen) else 0, step):
+                at = lo[i : i + step]
+                grams = np.sort(gram[at[:, None] + np.arange(h)], axis=1)
+                made = mix(np.bitwise_xor.reduce(mix(grams[:, chosen] + np.uint64(t)), axis=2)).ravel()
+                k = len(made)
+                out.append((made.view(np.int64), np.repeat(key[at].view(np.int64), len(chosen)), np.full(k, size), np.zeros(k, np.int64), np.full(k, t)))
+    return out
+
+
 def _postings(pct: int, boundary: int):
     """What each class of a group posts: its prefix's shared fingerprints, or subsets if it is light."""
     schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("need", pa.int32())])
@@ -186,13 +209,7 @@ def _postings(pct: int, boundary: int):
         pos = np.arange(len(e)) - np.repeat(start, held) + n - np.repeat(held, held)  # unshared ones come first
         listed = (pos < n - required(n, -(-pct * n // 100), pct) + 1) & (n * 100 >= pct * (boundary + 1))
         out = [(gram[listed].view(np.int64), e["key"][listed].view(np.int64), n[listed], pos[listed], np.zeros(listed.sum(), np.int64))]
-        extra = []
-        for lo, h in zip(start, held):
-            if n[lo] <= boundary:
-                for t in subset_sizes(int(n[lo]), pct):
-                    for c in combinations(np.sort(gram[lo : lo + h]), t):
-                        extra.append((int(mix(np.array([np.bitwise_xor.reduce(mix(np.array(c, np.uint64) + np.uint64(t)))]))[0].view(np.int64)), int(e["key"][lo].view(np.int64)), int(n[lo]), 0, t))
-        out += [tuple(np.array(x, dtype=np.int64) for x in zip(*extra))] if extra else []
+        out += _light_postings(gram, e["key"], n, start, held, pct, boundary)
         columns = [np.concatenate(x) for x in zip(*out)]
         return pa.table([pa.array(x).cast(f.type) for x, f in zip(columns, schema)], schema=schema)
 
@@ -218,9 +235,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words, or the whole sequence of a shorter text. Two documents link where
     100 * intersection >= similarity_pct * union. Null, empty and blank texts have empty sets and no
     links: class_id and component_id are their own id. Repeated rows come back as often as they came.
-    Rows with a null id come back with null class and component. Other columns of docs are not read.
-    Sets and classes are told apart by 64-bit hashes. Nothing is capped: every possible pair that the
-    bounds leave is verified on the whole sets.
+    Rows with a null id come back with null class and component and link nothing. Rows that share an id but not a text
+    each have the links of their own text; as a component is named by its smallest id, two may have the same name.
+    Other columns of docs are not read. Exactness is up to hashes: sets, shingles and classes are told apart by
+    64 bits. Nothing is capped: every possible pair that the bounds leave is verified on the whole sets.
     """
     spark, pct = docs.sparkSession, similarity_pct
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -235,12 +253,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     shared = packed.where("bucket >= 0").select("bucket", "payload").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_fingerprints(buckets), "dest int, payload binary")
     posted = shared.repartition(buckets, "dest").groupBy("dest").applyInArrow(_postings(pct, boundary), "gram long, key long, n int, pos int, need int")
-    posted = staged(posted.join(classes, "key").where("class_id is not null").select("gram", F.col("class_id").alias("c"), "n", "pos", "need"), "postings")
+    posted = staged(posted.select("gram", F.col("key").alias("c"), "n", "pos", "need"), "postings")
 
     leaders = posted.groupBy("gram").agg(F.min(F.struct("pos", "c", "n", "need")).alias("l"), F.count("*").alias("m")).where("m > 1").select("gram", "l.*")
-    members = posted.join(leaders.select("gram"), "gram", "left_semi").select("c").distinct()
-    members = staged(members, "members")
-    sets = _sets(docs, members, width)
+    members = staged(posted.join(leaders.select("gram"), "gram", "left_semi").select("c").distinct(), "members")
+    sets = _sets(docs, members, classes, width)
     pairs = posted.alias("a").join(leaders.alias("b"), "gram").where((F.col("a.c") != F.col("b.c")) & _possible(pct, boundary))
     pairs = pairs.select(F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct()
     tested = staged(_verified(pairs, sets, pct), "pairs")
@@ -255,26 +272,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = _verified(more, sets, pct).where("linked").select("u", "v")
     roots = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
-    found = classes.join(roots, classes["class_id"] == roots["node"], "left").select("key", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    # roots are the smallest class hash; the component is named by its smallest id, as are documents that share an id
+    rooted = classes.where("class_id is not null").join(roots, classes["key"] == roots["node"], "left").select("key", "class_id", F.coalesce("root", "key").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    found = rooted.join(named, "root").select("key", "class_id", "component_id")
     out = rows.join(found, "key", "left")
     has = (F.col("n") > 0) & F.col("id").isNotNull()
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(has, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.when(has, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """The whole shingle sets of the classes that meet another in some list, by class."""
+def _sets(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """The whole shingle sets of the classes that meet another in some list, by class. Read from the texts of each
+    class's smallest id; of those, texts of other classes that share the id fall out again by their hash."""
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
-            ids, texts = batch.column("id"), [x or b"" for x in batch.column("text").to_pylist()]
+            texts = [x or b"" for x in batch.column("text").to_pylist()]
             for i, j in blocks(texts):
-                found = [x.view(np.int64) for x in text_sets(texts[i:j], width, hasher)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(found, type=pa.list_(pa.int64()))], names=["c", "s"])
-
-    chosen = semi_join(docs, members.withColumnRenamed("c", "id"), "id", members.count())
-    sets = chosen.select("id", "text").mapInArrow(run, "c long, s array<long>")
-    return staged(sets, "sets").dropDuplicates(["c"])
+                found = list(text_sets(texts[i:j], width, hasher))
+                keys = np.array([_key(x) for x in found], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.view(np.int64) for x in found], type=pa.list_(pa.int64()))], names=["c", "s"])
+
+    named = staged(members.join(classes, F.col("c") == F.col("key")).select("c", F.col("class_id").alias("id")), "named")
+    n = named.count()
+    chosen = semi_join(docs, named.select("id").distinct(), "id", n)
+    sets = staged(chosen.select("text").mapInArrow(run, "c long, s array<long>"), "sets")
+    return semi_join(sets, members, "c", n).dropDuplicates(["c"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
