@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from starloom.llm import vector_graph as VG
 from starloom.llm.components import components
 from starloom.llm.jaccard_join import jaccard_join, light_boundary, required, subset_sizes
 from starloom.llm.vector_graph import build_graph, near_vectors, range_search
@@ -89,6 +90,29 @@ def test_jaccard_join_on_odd_tables(spark):
     assert jaccard_join(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts_keep_their_links(spark):
+    """Every row of every text has the smallest id that its own text reaches, whatever ids other texts share."""
+    rng = np.random.default_rng(9)
+    text = lambda: [f"w{x}" for x in rng.integers(0, 5000, 60)]
+    rows = []
+    for g in range(30):
+        base = text()
+        for _ in range(3):
+            rows.append((int(rng.integers(0, 25)), " ".join(mutated(rng, base, int(rng.integers(0, 2))))))
+    rows += [(None, rows[0][1]), (7, None), (7, "")]
+    sets = [shingle_set(t, 4) for _, t in rows]
+    named = [k for k, (i, _) in enumerate(rows) if i is not None]
+    links = [(a, b) for a, b in itertools.combinations(named, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    roots = roots_of(named, links)
+    smallest = {}
+    for k in named:
+        smallest[roots[k]] = min(smallest.get(roots[k], 10**9), rows[k][0])
+    want = sorted(((rows[k][0], len(sets[k]), smallest[roots[k]]) for k in named)) + [(None, len(sets[90]), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_bounds():
     for pct in (80, 85):
         for a in range(1, 60):
@@ -108,13 +132,66 @@ def vectors_of(seed=0):
     return np.concatenate([base, near, ball, np.repeat(base[:1], 30, axis=0)]).astype(np.float32)
 
 
+def units(x):
+    return x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+
+
 def test_search_in_a_shard():
-    x = vectors_of().astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    x = x[:-30]
-    a, b, cos = range_search(x, build_graph(x), 0.95)
-    true = np.argwhere(np.triu(x @ x.T, 1) >= 0.95)
-    assert {*zip(a.tolist(), b.tolist())} <= {tuple(t) for t in true.tolist()} and len(a) >= 0.98 * len(true) and (cos >= 0.95).all()
+    x = units(vectors_of())[:-30]
+    found = {(q, v) for qs, vs, cs in range_search(x, build_graph(x), 0.95) for q, v, c in zip(qs.tolist(), vs.tolist(), cs) if c >= 0.95}
+    true = x @ x.T >= 0.95
+    np.fill_diagonal(true, False)
+    assert found <= {tuple(t) for t in np.argwhere(true).tolist()} and len(found) >= 0.98 * true.sum()
+
+
+def true_links(x, sizes=None):
+    """Of each row: the number of others within the limit, and its root."""
+    n, got, links = len(x), np.zeros(len(x), int), []
+    for i in range(0, n, 500):
+        s = x[i : i + 500] @ x.T >= 0.95
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = False
+        got[i : i + 500] = s.sum(axis=1)
+        links += [(i + a, int(b)) for a, row in enumerate(s) for b in np.flatnonzero(row)[:40]]
+    return got, roots_of(range(n), links)
+
+
+def test_shards_that_are_dealt_again(spark, monkeypatch):
+    """One cluster of over 6,000 vectors in shards that it does not fit in: links between shards are found over the united lists."""
+    monkeypatch.setattr(VG, "MOST", 1_500)
+    monkeypatch.setattr(VG, "SHARD", 500)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.pad(rng.normal(size=(6_200, 3)), ((0, 0), (0, 5))), rng.normal(size=(800, 8))])  # all over a sphere, and others
+    reps = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    shards = VG.deal(reps.selectExpr("vec_id as c", "embedding as v"), len(x), 3).selectExpr("explode(shards) as s").groupBy("s").count().toPandas()["count"]
+    assert shards.max() <= 1_500 and shards.sum() >= len(x)
+    out, recall = VG.audited_vectors(reps)
+    got = {r.vec_id: r for r in out.collect()}
+    want, roots = true_links(units(x))
+    found = np.array([got[i].n_links for i in range(len(x))])
+    linked = want > 0
+    assert (found <= want).all() and (found[linked] / want[linked]).mean() >= 0.9 and recall >= 0.9
+    assert np.mean([got[i].component_id == roots[i] for i in range(len(x))]) > 0.98
+
+
+def test_vectors_of_any_length_link(spark):
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [1e200, 1e200, 0.0]), (3, [1e-200, 1e-200, 0.0]), (4, [5e-324, 5e-324, 0.0]), (5, [-1e200, 1.0, 0.0]), (6, [1.7e308, 1.7e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 6: (4, 1), 5: (0, 5)}
+
+
+def test_ids_that_vectors_share_and_ties(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    df = spark.createDataFrame([(7, a), (7, b), (8, near(a)), (9, near(b)), (2, c), (2, c)], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect())
+    assert got == [(2, 1, 2), (2, 1, 2), (7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7)]
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(VG, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        near_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>"))
 
 
 def test_near_vectors(spark):
