@@ -63,7 +63,7 @@ def features(text: str, lexicon: frozenset, stems: frozenset) -> list[float]:
 # ---- boosted trees on binned features ----
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 3.0, ridge: float = 1.0) -> dict:
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 1.0, ridge: float = 1.0) -> dict:
     """Boosted regression trees on the logistic loss. A tree is a list of (feature, edge) for each inner node and leaf values."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
@@ -134,6 +134,18 @@ def calibrated(model: dict, x: np.ndarray) -> np.ndarray:
     return np.clip(0.999 * rate + 0.001 / (1 + np.exp(-raw)), 0, 1)
 
 
+def fit_calibrated(x: np.ndarray, y: np.ndarray) -> dict:
+    """Trees on four rows of five, calibration on the fifth (on all where there is none)."""
+    part = np.arange(len(y)) % 5 == 4
+    if len(set(y[~part].tolist())) < 2:
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        return {"base": float(np.log(share / (1 - share))), "trees": [], "knots": (np.zeros(1), np.array([share]))}
+    model = fit_trees(x[~part], y[~part])
+    held = part if part.any() else ~part
+    model["knots"] = fit_isotonic(raw_scores(model, x[held]), y[held])
+    return model
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold_mod: int = 4, held_out: int = 2, threshold: float = 0.3, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> DataFrame:
     """One row for each row of docs: id, held_out, score, predicted.
 
@@ -142,12 +154,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     hold far more often than others make a lexicon (the max_lexicon with most support) for the features of the
     other half, so that trees (4 rows of 5) and calibration see how reliable such a lexicon is on fresh
     rows. The scores use the lexicon of both halves.
-    Whole texts are scored (null: empty); nothing but the text is an input. Without labels of both kinds
-    the score is the share of label 1. Rows that repeat an id come back as often; null ids never train.
+    Whole texts are scored (null: empty); nothing but the text is an input. Where the rows that trees learn from are of
+    one kind (or none) the score is the share of label 1, for want of anything to tell apart; few rows of both
+    kinds are learned from like many. Rows that repeat an id come back as often, and the smallest of their texts
+    trains; null ids never train. Equal texts have equal scores.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = staged(label_sample(labels, label_col, fold_mod, held_out, max_labelled), "sample")
-    chosen = staged(semi_join(rows, sample, "id", sample.count()).dropDuplicates(["id"]), "labelled")
+    chosen = staged(semi_join(rows, sample, "id", sample.count()).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "labelled")
     half = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2)).cast("int")
 
     def count(batches):
@@ -176,12 +190,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     fresh = [labelled.where(F.col("half") == 1 - k).select("id", "text").mapInArrow(featurise(*lexicon(f"t{k}", f"c{k}")), "id long, x array<double>") for k in (0, 1)]
     train = fresh[0].union(fresh[1]).join(F.broadcast(sample), "id").toPandas().sort_values("id")
     x, y = np.array(train["x"].tolist()).reshape(-1, len(FEATURES)), train["label"].to_numpy().astype(float)
-    part = np.arange(len(y)) % 5 == 4
-    if len(y) < 50 or y[~part].min() == y[~part].max():
-        model = {"base": float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), "trees": [], "knots": (np.zeros(1), np.array([(y.sum() + 0.5) / (len(y) + 1)]))}
-    else:
-        model = fit_trees(x[~part], y[~part])
-        model["knots"] = fit_isotonic(raw_scores(model, x[part]), y[part])
+    model = fit_calibrated(x, y)
     words, stems = lexicon("t", "c")
 
     def score(batches):

@@ -95,6 +95,54 @@ def test_trees_and_isotonic():
     assert ((s >= 0.5) == y[2500:]).mean() > 0.95 and (np.diff(m["knots"][1]) >= 0).all()
 
 
+def brute_split(x, y, least, ridge, bins):
+    """The best first split by trying every feature and edge, and the two leaves."""
+    p = (y.mean() + 1e-3) / ((y.mean() + 1e-3) + (1 - y.mean() + 1e-3))
+    g, h, best = y - p, np.full(len(y), p * (1 - p)), (1e-9, None)
+    for f in range(x.shape[1]):
+        for e in np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])):
+            r = x[:, f] > e
+            if min(h[r].sum(), h[~r].sum()) < least:
+                continue
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + ridge) for m in (r, ~r)) - g.sum() ** 2 / (h.sum() + ridge)
+            best = max(best, (gain, (f, e)), key=lambda b: b[0])
+    f, e = best[1]
+    return f, e, [g[m].sum() / (h[m].sum() + ridge) for m in (x[:, f] <= e, x[:, f] > e)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_splits_and_leaves_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = (x[:, seed % 4] + 0.5 * rng.normal(size=300) > 0.2).astype(float)
+    m = X.fit_trees(x, y, rounds=1, depth=1, rate=1.0, bins=16)
+    f, e, leaves = brute_split(x, y, 1.0, 1.0, 16)
+    (splits, got), = m["trees"]
+    assert splits[0][0] == (f, pytest.approx(e)) and got.tolist() == pytest.approx(leaves)
+    assert X.raw_scores(m, x).tolist() == pytest.approx((m["base"] + np.where(x[:, f] > e, leaves[1], leaves[0])).tolist())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pools_against_brute_force(seed):
+    """Isotonic fit as the largest mean of runs that start before, of the smallest of runs that end after."""
+    rng = np.random.default_rng(seed)
+    raw = rng.permutation(80).astype(float)
+    y = (rng.random(80) < raw / 80).astype(float)
+    t = y[np.argsort(raw)]
+    want = [max(min(t[a : b + 1].mean() for b in range(i, 80)) for a in range(i + 1)) for i in range(80)]
+    at, rate = X.fit_isotonic(raw, y)
+    assert np.interp(np.arange(80.0), at, rate).tolist() == pytest.approx(want)
+
+
+@pytest.mark.parametrize("n", [12, 40, 49, 50, 400])
+def test_few_rows_of_both_kinds_are_learned_from(n):
+    x = np.stack([np.arange(n) % 2, np.zeros(n)], axis=1).astype(float)
+    y = x[:, 0].copy()
+    s = X.calibrated(X.fit_calibrated(np.repeat(x, 2, axis=0), np.repeat(y, 2)), x)
+    assert s[y == 1].min() > 0.9 and s[y == 0].max() < 0.1
+    assert len(set(X.calibrated(X.fit_calibrated(x, np.ones(n)), x).tolist())) == 1
+
+
 def test_toxic_features():
     f = dict(zip(X.FEATURES, X.features("You are an IDIOT! id1ot", X.SEED, frozenset(["scum"]))))
     assert f["lexicon"] == 1 and f["near_you"] == 1 and f["masked_hits"] == 1
@@ -107,6 +155,8 @@ def test_toxicity_on_tables(spark, labels, odd, none):
     got = toxicity_scores(docs(spark, rows), labels).toPandas()
     assert got.held_out.tolist() == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]
     assert ((got.doc_id % 3 == 0).astype(int) == got.predicted).mean() > 0.97
+    twice = toxicity_scores(docs(spark, rows + [(3, None, "a"), (3, "other words", "a"), (1, rows[1][1], "a"), (900, rows[1][1], "b")]), labels).toPandas()
+    assert len(twice) == len(rows) + 4 and twice[twice.doc_id.isin([1, 900])].score.nunique() == 1
     assert toxicity_scores(odd, labels).count() == len(ODD) and toxicity_scores(none, labels).count() == 0
     assert toxicity_scores(odd, labels.limit(0)).toPandas().score.between(0, 1).all()
 
