@@ -11,123 +11,88 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import WordHasher, blocks, partitions, staged
 
-#: Word classes, the top of the prediction: 0 pads, the commonest words have one each, all others are dealt to TAIL classes by hash.
-WORDS, TAIL, WIDTH = 191, 64, 24
-CLASSES = 1 + WORDS + TAIL
-#: Words of a TAIL class that occur so often in the corpus have parameters of their own; rarer ones share those of their count.
-MIN_COUNT = 5
-#: Every text trains the network at one position in TRAIN_EVERY, in ROUNDS rounds of parameter averaging.
-TRAIN_EVERY, ROUNDS, BATCH, RATE = 1, 2, 1024, 0.08
+#: Words with parameters of their own, at most: the commonest that occur twice or more. Bounds the model's memory, to about
+#: 2 * WIDTH * 4 bytes a word in a task; all other words are one unit and share theirs.
+MAX_OWN = 4_000_000
+#: Numbers a word is embedded in, tokens that are predicted in one step, and the step's length.
+WIDTH, BATCH, RATE = 16, 2048, 0.3
+#: Units that a prediction is normalised over, in training and in scores: the commonest for certain, others drawn in
+#: proportion to their counts and weighted up. A vocabulary of no more units is summed whole.
+AGAINST_TRAIN, AGAINST = 64, 128
+OFFSETS = np.array([-2, -1, 1, 2])[:, None]
+PAD, RARE = 0, 1
 #: Parameter rows that travel together when they are averaged.
 BLOCK = 8192
 
 
-def initial_parameters(seed: int = 4) -> dict[str, np.ndarray]:
-    """ctx: embeddings of the class two and one before, one and two after; out: output weights; bias."""
-    rng = np.random.default_rng(seed)
-    return {"ctx": rng.normal(0, 0.1, (4, CLASSES, WIDTH)).astype(np.float32), "out": rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32), "bias": np.zeros(CLASSES, np.float32)}
-
-
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p["ctx"].ravel(), p["out"].ravel(), p["bias"]])
-
-
-def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
-    v, a = v.astype(np.float32), 4 * CLASSES * WIDTH
-    return {"ctx": v[:a].reshape(4, CLASSES, WIDTH), "out": v[a : a + CLASSES * WIDTH].reshape(CLASSES, WIDTH), "bias": v[a + CLASSES * WIDTH : a + CLASSES * WIDTH + CLASSES]}
-
-
 @dataclass
 class Lexicon:
-    """The units that are predicted. Unit 0 pads; a unit is a word, or all words of a TAIL class that occur
-    equally often and under MIN_COUNT times, which are equally likely inside it.
+    """The units that are predicted: 0 pads (and is never predicted), 1 is all words without parameters of their own,
+    the others are words in the order of their counts.
 
-    known: sorted hashes of all words that occur twice or more, unit: their units; once: the unit of a class's
-    other words; classes: each unit's class; inside: log-probability of a word inside its unit. Below its class
-    a unit is a leaf of a Huffman tree: nodes[start[u] : start[u + 1]] lead to it, by the turns in bits, and
-    bias is the log-odds of a node's turns in the counts of the corpus."""
+    known: sorted hashes of the words with units of their own, unit: these units; share: of each unit in all
+    tokens; inside: log-probability of a word inside unit 1, where all words are equally likely.
+    """
 
     known: np.ndarray
     unit: np.ndarray
-    once: np.ndarray
-    classes: np.ndarray
-    inside: np.ndarray
-    start: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
-    bias: np.ndarray
+    share: np.ndarray
+    inside: float
 
     def units(self, words: np.ndarray) -> np.ndarray:
-        other = self.once[(words % np.uint64(TAIL)).astype(np.int64)]
         if not len(self.known):
-            return other
+            return np.full(len(words), RARE, np.int32)
         at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
-        return np.where(self.known[at] == words, self.unit[at], other)
-
-
-def huffman(weights: list[int]) -> tuple[list[int], list[int], list[float]]:
-    """Parents and turns of 2n - 1 places (ascending weights first, then inner nodes, the root last), log-odds of the inner nodes' turns."""
-    n = len(weights)
-    w, parent, turn, odds = weights + [0] * (n - 1), [-1] * (2 * n - 1), [0] * (2 * n - 1), []
-    leaf, inner = 0, n
-    for k in range(n, 2 * n - 1):
-        two = []
-        for _ in range(2):
-            if leaf < n and (inner >= k or w[leaf] <= w[inner]):
-                two.append(leaf)
-                leaf += 1
-            else:
-                two.append(inner)
-                inner += 1
-        w[k] = w[two[0]] + w[two[1]]
-        parent[two[0]] = parent[two[1]] = k
-        turn[two[1]] = 1
-        odds.append(float(np.log(w[two[1]] / w[two[0]])))
-    return parent, turn, odds
-
-
-def lexicon(words: np.ndarray, n: np.ndarray, singles: np.ndarray) -> Lexicon:
-    """words: hashes of all words that occur twice or more, n: how often; singles: how many words of each TAIL class occur once."""
+        return np.where(self.known[at] == words, self.unit[at], RARE).astype(np.int32)
+
+
+def lexicon(words: np.ndarray, n: np.ndarray, other_words: int, other_tokens: int) -> Lexicon:
+    """words: hashes of the words with units of their own, n: how often they occur; how many words and tokens the rest is."""
     order = np.lexsort((words, -n))
-    words, n = words[order], n[order]
-    head = min(WORDS, len(words))
-    tail, group = np.arange(head, len(words)), (words[head:] % np.uint64(TAIL)).astype(np.int64)
-    own = n[head:] >= MIN_COUNT
-    unit = np.zeros(len(words), np.int64)
-    unit[:head] = np.arange(1, head + 1)
-    unit[tail[own]] = 1 + head + np.arange(own.sum())
-    shared, inverse, members = np.unique(group[~own] * MIN_COUNT + n[head:][~own], return_inverse=True, return_counts=True)
-    first = 1 + head + int(own.sum())
-    unit[tail[~own]] = first + inverse
-    lone = np.flatnonzero(singles)
-    once = np.zeros(TAIL, np.int64)
-    once[lone] = first + len(shared) + np.arange(len(lone))
-    groups = np.concatenate([group[own], shared // MIN_COUNT, lone]).astype(np.int64)
-    weight = np.concatenate([n[head:][own], shared % MIN_COUNT * members, singles[lone]]).astype(np.int64)
-    size = np.concatenate([np.ones(1 + head + int(own.sum())), members, singles[lone]])
-    classes = np.concatenate([np.arange(head + 1), 1 + WORDS + groups])
-
-    leaves, nodes, bits, bias, base = [], [], [], [], 0
-    for g in range(TAIL):
-        mine = np.flatnonzero(groups == g)
-        mine = mine[np.argsort(weight[mine], kind="stable")]
-        if len(mine) < 2:
-            continue
-        parent, turn, odds = (np.array(x) for x in huffman(weight[mine].tolist()))
-        at, who = np.arange(len(mine)), mine
-        while len(at):
-            leaves.append(1 + head + who)
-            nodes.append(base + parent[at] - len(mine))
-            bits.append(turn[at])
-            up = parent[at]
-            at, who = up[parent[up] >= 0], who[parent[up] >= 0]
-        bias.append(odds)
-        base += len(odds)
-    leaves, nodes, bits, bias = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (leaves, nodes, bits, bias))
-    by_leaf = np.argsort(leaves, kind="stable")
-    start = np.concatenate([[0], np.cumsum(np.bincount(leaves, minlength=len(classes)))])
+    share = (np.concatenate([[0, other_tokens], n[order]]) / max(1, other_tokens + n.sum())).astype(np.float32)
+    unit = np.empty(len(words), np.int32)
+    unit[order] = np.arange(2, len(words) + 2)
     by_hash = np.argsort(words)
-    return Lexicon(words[by_hash], unit[by_hash].astype(np.int32), once.astype(np.int32), classes.astype(np.int32), -np.log(size), start, nodes[by_leaf].astype(np.int32), bits[by_leaf].astype(np.int8), bias.astype(np.float32))
+    return Lexicon(words[by_hash], unit[by_hash], share, -float(np.log(max(1, other_words))))
+
+
+class Draw:
+    """Samples of about k units in proportion to their shares; units of a share of one in k or more are always in."""
+
+    def __init__(self, share: np.ndarray, k: int) -> None:
+        order = np.argsort(-share, kind="stable")
+        order = order[share[order] > 0]
+        q, m = share[order].astype(float), 0
+        left = np.append(q[::-1].cumsum()[::-1], 0)
+        while m < len(q) and m < k and q[m] * (k - m) >= left[m] * (1 - 1e-9):
+            m += 1
+        self.sure, self.rest = order[:m], order[m:]
+        self.k = k - m if len(self.rest) else 0
+        self.rate = self.k / left[m] if self.k else 0.0
+        self.ends = np.cumsum(q[m:] * self.rate)
+        self.weights = np.log(np.concatenate([q[:m], np.full(self.k, 1 / self.rate if self.k else 1.0)])).astype(np.float32)
+
+    def __call__(self, at: float) -> np.ndarray:
+        """The units of one sample, each once; at (0 to 1) says which. weights are theirs."""
+        if not self.k:
+            return self.sure
+        i = np.minimum(np.searchsorted(self.ends, at + np.arange(self.k)), len(self.rest) - 1)
+        return np.concatenate([self.sure, self.rest[i]])
+
+
+def initial_rows(block: int, rows: int = BLOCK, seed: int = 4) -> np.ndarray:
+    """The embeddings that the units of a block start from."""
+    return np.random.default_rng([seed, block]).standard_normal((BLOCK, WIDTH), dtype=np.float32)[:rows]
+
+
+def initial_parameters(units: int, seed: int = 4) -> dict[str, np.ndarray]:
+    """emb: a row a unit, as context; mix: a matrix for each place of the window; out: a row a unit, as prediction. With out
+    at 0 the network gives the shares of the corpus. Fixed by the seed, so a task makes its own."""
+    emb = np.empty((units, WIDTH), np.float32)
+    for k in range(0, units, BLOCK):
+        emb[k : k + BLOCK] = initial_rows(k // BLOCK, min(BLOCK, units - k), seed)
+    mix = np.random.default_rng(seed).standard_normal((4, WIDTH, WIDTH), dtype=np.float32) * np.float32(0.5 / WIDTH**0.5)
+    return {"emb": emb, "mix": mix, "out": np.zeros((units, WIDTH), np.float32)}
 
 
 def padded(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,102 +103,78 @@ def padded(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, place
 
 
-def summed(index: np.ndarray, values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct indexes, the sums of values[of] by index, and how many there are of each."""
+def summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indexes and the sums of their values."""
     order = np.argsort(index)
     s = index[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return s[first], np.add.reduceat(values.take(of[order], axis=0), first, axis=0), np.diff(np.append(first, len(s)))
+    return s[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 class Network:
-    """The class of a token from the tokens on either side; with a lexicon, which also gives p "emb" (a row a unit) and
-    "node" (a row a tree node), the word itself."""
-
-    def __init__(self, p: dict[str, np.ndarray], lex: Lexicon | None = None) -> None:
-        self.p = {k: v.astype(np.float32) for k, v in p.items()}
-        self.sums = {k: np.full(v.shape if k in ("ctx", "out", "bias") else len(v), 1e-6, np.float32) for k, v in p.items()}
-        self.seen = {k: np.zeros(len(p[k]), np.float32) for k in ("emb", "node") if k in p}
-        self.lex = lex
-        self.left = self.right = None
-
-    def _step(self, name: str, rows: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
-        """An Adagrad step on some rows, which share a sum each."""
-        s = self.sums[name][rows] + (g * g).mean(axis=1)
-        self.sums[name][rows] = s
-        self.p[name][rows] -= RATE * g / np.sqrt(s)[:, None]
-        self.seen[name][rows] += n
-
-    def _paths(self, units: np.ndarray, h: np.ndarray):
-        """For each node above these units: whose it is, the node, the turn, its weights and the log-odds of turn 1."""
-        n = self.lex.start[units + 1] - self.lex.start[units]
-        of = np.repeat(np.arange(len(units)), n)
-        at = np.repeat(self.lex.start[units] - (np.cumsum(n) - n), n) + np.arange(len(of))
-        nodes = self.lex.nodes[at]
-        v = self.p["node"].take(nodes, axis=0)
-        return of, nodes, self.lex.bits[at], v, np.einsum("ij,ij->i", v, h.take(of, axis=0)) + self.lex.bias[nodes]
-
-    def train(self, seq: np.ndarray, at: np.ndarray) -> None:
-        """Adagrad steps on the log-probability of the tokens at these places."""
-        classes = seq if self.lex is None else self.lex.classes[seq]
-        slot = CLASSES * np.arange(4)[:, None]
+    """Predicts a token from the two before and the two after it: p(u) is the unit's share times exp(out[u] . h), normalised,
+    where h comes from the embeddings around."""
+
+    def __init__(self, p: dict[str, np.ndarray], lex: Lexicon) -> None:
+        self.p, self.lex = p, lex
+        self.share = np.log(np.maximum(lex.share, 1e-30)).astype(np.float32)
+        self.slot = np.full(len(lex.share), -1, np.int32)
+
+    def hidden(self, seq: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = seq[a + OFFSETS]
+        e = self.p["emb"].take(near.ravel(), axis=0).reshape(4, len(a), WIDTH)
+        return near, e, np.tanh(np.matmul(e, self.p["mix"]).sum(axis=0))
+
+    def _odds(self, u: np.ndarray, h: np.ndarray, units: np.ndarray, weights: np.ndarray):
+        """Of each token: its unit's parameters and score, those of the sampled units, and the parts of p's normaliser that its own
+        and the sampled units have."""
+        mine = self.p["out"].take(u, axis=0)
+        own = np.einsum("ij,ij->i", mine, h)
+        other = self.p["out"].take(units, axis=0)
+        z = h @ other.T
+        z += weights
+        np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        self.slot[units] = np.arange(len(units), dtype=np.int32)
+        at = self.slot.take(u)
+        self.slot[units] = -1
+        twice = np.flatnonzero(at >= 0)
+        z[twice, at[twice]] = 0  # it counts by its own share
+        first = np.exp(np.minimum(own + self.share.take(u), 60))
+        return mine, own, other, z, first, first + z @ np.ones(len(units), np.float32)
+
+    def train(self, seq: np.ndarray, at: np.ndarray, draw: Draw, sums: dict[str, np.ndarray], rng: np.random.Generator) -> None:
+        """Adagrad steps on the log-probability of the tokens at these places; sums: squares of each row's gradients."""
+        p = self.p
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
-            near = np.stack([a - 2, a - 1, a + 1, a + 2])
-            cells, of = (classes[near] + slot).ravel(), np.tile(np.arange(len(a)), 4)
-            x = self.p["ctx"].reshape(-1, WIDTH).take(cells, axis=0).reshape(4, -1, WIDTH).sum(axis=0)
-            if self.lex is not None:
-                x += self.p["emb"].take(seq[near], axis=0).sum(axis=0)
-            h = np.tanh(x)
-            z = h @ self.p["out"].T + self.p["bias"]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(a)), classes[a]] -= 1
-            dh = z @ self.p["out"]
-            if self.lex is not None:
-                whose, nodes, bits, v, odds = self._paths(seq[a], h)
-                if len(whose):
-                    g = (1 / (1 + np.exp(-odds)) - bits).astype(np.float32)[:, None]
-                    first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
-                    dh[whose[first]] += np.add.reduceat(g * v, first, axis=0)
-                    self._step("node", *summed(nodes, g * h.take(whose, axis=0), np.arange(len(whose))))
-            dh *= 1 - h * h
-            grad = {"out": z.T @ h / len(a), "bias": z.sum(axis=0) / len(a), "ctx": np.zeros_like(self.p["ctx"])}
-            rows, g, _ = summed(cells, dh, of)
-            grad["ctx"].reshape(-1, WIDTH)[rows] = g / len(a)
-            for k, g in grad.items():
-                self.sums[k] += g * g
-                self.p[k] -= RATE * g / np.sqrt(self.sums[k])
-            if self.lex is not None:
-                rows, g, n = summed(seq[near].ravel(), dh, of)
-                real = rows > 0
-                self._step("emb", rows[real], g[real], n[real])
-
-    def log_probs(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(token | two before, two after) at these places, from tables of both sides' pairs of classes."""
-        if self.left is None:
-            c = self.p["ctx"]
-            self.left, self.right = ((c[k][:, None, :] + c[k + 1][None, :, :]).reshape(-1, WIDTH) for k in (0, 2))
-        classes = seq if self.lex is None else self.lex.classes[seq]
+            u = seq[a]
+            near, e, h = self.hidden(seq, a)
+            units = draw(rng.random())
+            mine, _, other, z, first, total = self._odds(u, h, units, draw.weights)
+            z /= total[:, None]
+            pull = (first / total - 1)[:, None]
+            dx = (pull * mine + z @ other) * (1 - h * h)
+            back = np.matmul(dx, p["mix"].transpose(0, 2, 1))
+            g = np.matmul(e.transpose(0, 2, 1), dx)
+            sums["mix"] += g * g
+            p["mix"] -= RATE * 0.1 * g / np.sqrt(sums["mix"])
+            for name, index, values in (("out", np.concatenate([u, units]), np.concatenate([pull * h, z.T @ h])), ("emb", near.ravel(), back.reshape(-1, WIDTH))):
+                rows, g = summed(index, values)
+                s = sums[name][rows] + np.einsum("ij,ij->i", g, g) / WIDTH
+                sums[name][rows] = s
+                p[name][rows] -= (RATE / np.sqrt(s))[:, None] * g
+
+    def log_probs(self, seq: np.ndarray, at: np.ndarray, draw: Draw) -> np.ndarray:
+        """log P(word | two before, two after) at these places."""
+        units = draw(0.5)
         out = np.empty(len(at))
-        for i in range(0, len(at), 8192):
-            a = at[i : i + 8192]
-            x = self.left.take(classes[a - 2] * CLASSES + classes[a - 1], axis=0) + self.right.take(classes[a + 1] * CLASSES + classes[a + 2], axis=0)
-            if self.lex is not None:
-                for k in (-2, -1, 1, 2):
-                    x += self.p["emb"].take(seq[a + k], axis=0)
-            h = np.tanh(x)
-            z = h @ self.p["out"].T
-            z += self.p["bias"]
-            own = z[np.arange(len(a)), classes[a]]
-            most = z.max(axis=1)
-            z -= most[:, None]
-            np.exp(z, out=z)
-            out[i : i + 8192] = own - most - np.log(z.sum(axis=1))
-            if self.lex is not None:
-                whose, _, bits, _, odds = self._paths(seq[a], h)
-                out[i : i + 8192] += self.lex.inside[seq[a]] - np.bincount(whose, np.logaddexp(0, np.where(bits == 1, -odds, odds)), len(a))
+        for i in range(0, len(at), BATCH):
+            a = at[i : i + BATCH]
+            u = seq[a]
+            _, own, _, _, _, total = self._odds(u, self.hidden(seq, a)[2], units, draw.weights)
+            out[i : i + BATCH] = self.share.take(u) + own - np.log(total)
+            out[i : i + BATCH][u == RARE] += self.lex.inside
         return out
 
 
@@ -260,21 +201,22 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["word", "n"])
 
 
-def vocabulary(rows: DataFrame) -> Lexicon:
-    """The lexicon of all words of all texts."""
+def vocabulary(rows: DataFrame, max_own: int = MAX_OWN) -> Lexicon:
+    """The lexicon of all words of all texts. Counting covers every word; the driver gets those with units of their own."""
     counts = staged(rows.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    more = counts.where("n > 1").toArrow()
-    singles = np.zeros(TAIL, np.int64)
-    # TAIL divides 2 to the 64, so the sign of the stored hash does not matter
-    for r in counts.where("n = 1").groupBy(F.pmod("word", F.lit(TAIL)).alias("g")).count().collect():
-        singles[r.g] = r["count"]
-    return lexicon(more["word"].to_numpy().view(np.uint64), more["n"].to_numpy(), singles)
+    of_count = counts.groupBy("n").agg(F.count("*").alias("words")).collect()  # as many as there are different counts
+    least, own = 2, 0
+    for r in sorted(of_count, key=lambda r: -r.n):
+        own += r.words if r.n > 1 else 0
+        if own > max_own:
+            least = r.n + 1
+            break
+    few = [r for r in of_count if r.n < least]
+    named = counts.where(F.col("n") >= least).toArrow()
+    return lexicon(named["word"].to_numpy().view(np.uint64), named["n"].to_numpy(), sum(r.words for r in few), sum(r.n * r.words for r in few))
 
 
-def _rows_of(p: dict[str, np.ndarray]) -> np.ndarray:
-    """All parameters as rows of WIDTH numbers: units, nodes, then the class network."""
-    v = flat(p)
-    return np.concatenate([p["emb"], p["node"], np.append(v, np.zeros(-len(v) % WIDTH)).reshape(-1, WIDTH)]).astype(np.float32)
+_CHANGES = "block int, row binary, n binary, change binary"
 
 
 def _mean(batches):
@@ -282,74 +224,98 @@ def _mean(batches):
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for block, row, n, change in zip(*(batch.column(k).to_pylist() for k in ("block", "row", "n", "change"))):
-            s, w = held.setdefault(block, (np.zeros((BLOCK, WIDTH)), np.zeros(BLOCK)))
+            change = np.frombuffer(change, np.float16 if block >= 0 else np.float32).reshape(len(row) // 2, -1)
             row, n = np.frombuffer(row, np.int16), np.frombuffer(n, np.float32)
-            s[row] += np.frombuffer(change, np.float16).reshape(-1, WIDTH) * n[:, None].astype(float)
+            s, w = held.setdefault(block, (np.zeros((BLOCK if block >= 0 else 1, change.shape[1])), np.zeros(BLOCK if block >= 0 else 1)))
+            s[row] += change * n[:, None].astype(float)
             w[row] += n
     for block, (s, w) in held.items():
         yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "change": pa.array([(s / np.maximum(w, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train(rows: DataFrame, lex: Lexicon, rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> dict[str, np.ndarray]:
-    """Parameters after rounds in which every partition trains on its own texts and the changes are averaged: those of
-    the class network weighted by positions, a word's and a node's by how often the partition met it. Word and
-    node parameters start at 0, where the tree gives the words' shares of their class in the corpus."""
-    sc = rows.sparkSession.sparkContext
-    n_units, n_nodes = len(lex.classes), len(lex.bias)
-    p = initial_parameters() | {"emb": np.zeros((n_units, WIDTH), np.float32), "node": np.zeros((n_nodes, WIDTH), np.float32)}
-    shared_lex = sc.broadcast(lex)
-    for turn in range(rounds):
-        shared = sc.broadcast(p)
+def _batch(block: int, row: np.ndarray, n: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "row": pa.array([row.astype(np.int16).tobytes()], pa.binary()), "n": pa.array([n.astype(np.float32).tobytes()], pa.binary()), "change": pa.array([change.tobytes()], pa.binary())})
+
 
-        def local(batches, shared=shared, turn=turn):
-            hasher, net, n = WordHasher(), Network(shared.value, shared_lex.value), 0
+def train(rows: DataFrame, shared_lex, rounds: int = 1) -> dict[str, np.ndarray]:
+    """Parameters after rounds in which every partition trains on all positions of its texts and the changes are averaged:
+    a unit's weighted by how often the partition met it, the window's by positions. shared_lex is a broadcast lexicon."""
+    sc, units = rows.sparkSession.sparkContext, len(shared_lex.value.share)
+    held = None
+    for turn in range(rounds):
+        start = sc.broadcast(held) if held is not None else None
+
+        def local(batches, start=start, turn=turn):
+            lex, hasher, n = shared_lex.value, WordHasher(), 0
+            p = initial_parameters(units) if start is None else {k: v.astype(np.float32) for k, v in start.value.items()}
+            mix = p["mix"].copy()
+            net, draw, rng = Network(p, lex), Draw(lex.share, AGAINST_TRAIN), np.random.default_rng(turn)
+            sums = {"mix": np.full(mix.shape, 1e-6, np.float32), "emb": np.full(units, 1e-6, np.float32), "out": np.full(units, 1e-6, np.float32)}
+            met = np.zeros(units, np.int32)
             for batch in batches:
                 texts = [t or b"" for t in batch.column("text").to_pylist()]
                 for i, j in blocks(texts):
                     words, counts = hasher(texts[i:j])
-                    seq, place = padded(shared_lex.value.units(words), counts)
-                    at = place[(n + turn) % every :: every]
-                    net.train(seq, at[np.random.default_rng(len(at)).permutation(len(at))])
+                    tokens = lex.units(words)
+                    np.add.at(met, tokens, 1)
+                    seq, place = padded(tokens, counts)
+                    net.train(seq, place[rng.permutation(len(place))], draw, sums, rng)
                     n += len(words)
             if not n:
                 return
-            change = _rows_of(net.p) - _rows_of(shared.value)
-            weight = np.concatenate([net.seen["emb"], net.seen["node"], np.full(len(change) - n_units - n_nodes, n, np.float32)])
-            for k in range(0, len(change), BLOCK):
-                row = np.flatnonzero(weight[k : k + BLOCK])
+            yield _batch(-1, np.zeros(1), np.array([n]), p["mix"].ravel() - mix.ravel())
+            for k in range(0, units, BLOCK):
+                row = np.flatnonzero(met[k : k + BLOCK])
                 if len(row):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "row": pa.array([row.astype(np.int16).tobytes()], pa.binary()), "n": pa.array([weight[k + row].astype(np.float32).tobytes()], pa.binary()), "change": pa.array([change[k + row].astype(np.float16).tobytes()], pa.binary())})
+                    emb = initial_rows(k // BLOCK)[row] if start is None else start.value["emb"][k + row]
+                    out = 0 if start is None else start.value["out"][k + row]
+                    change = np.concatenate([p["emb"][k + row] - emb, p["out"][k + row] - out], axis=1)
+                    yield _batch(k // BLOCK, row, met[k + row], change.astype(np.float16))
 
-        changes = rows.select("text").mapInArrow(local, "block int, row binary, n binary, change binary")
+        changes = rows.select("text").mapInArrow(local, _CHANGES)
         means = staged(changes.repartition(partitions(rows.sparkSession), "block").mapInArrow(_mean, "block int, change binary"), "parameters")
-        v = _rows_of(p)
-        for r in means.toLocalIterator():
-            part = v[r.block * BLOCK : (r.block + 1) * BLOCK]
-            part += np.frombuffer(r.change, np.float32).reshape(-1, WIDTH)[: len(part)]
-        p = unflat(v[n_units + n_nodes :].ravel()) | {"emb": v[:n_units], "node": v[n_units : n_units + n_nodes]}
-    return p
-
-
-def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, every: int = TRAIN_EVERY) -> DataFrame:
+        if held is None:
+            first = initial_parameters(0)
+            held = {"mix": first["mix"], "emb": np.empty((units, WIDTH), np.float16), "out": np.zeros((units, WIDTH), np.float16)}
+            for k in range(0, units, BLOCK):
+                held["emb"][k : k + BLOCK] = initial_rows(k // BLOCK, min(BLOCK, units - k))
+        for r in means.toLocalIterator():  # a block at a time
+            change = np.frombuffer(r.change, np.float32)
+            if r.block < 0:
+                held["mix"] = held["mix"] + change.reshape(held["mix"].shape)
+                continue
+            change = change.reshape(-1, 2 * WIDTH)
+            at = slice(r.block * BLOCK, min(units, (r.block + 1) * BLOCK))
+            held["emb"][at] += change[: at.stop - at.start, :WIDTH].astype(np.float16)
+            held["out"][at] += change[: at.stop - at.start, WIDTH:].astype(np.float16)
+        if start is not None:
+            start.destroy()
+    return held if held is not None else initial_parameters(units)
+
+
+def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, max_own: int = MAX_OWN) -> DataFrame:
     """One row for each row of docs: id, n_tokens, log_prob (the sum over all tokens of the log-probability that
     the network gives each word from the two words on either side), mean_log_prob.
 
-    Tokens are words (A-Z lower-cased). The probability is that of the word among all distinct words of docs: of its
-    class, then of its leaf in the class's Huffman tree, both from the words around it, then (under MIN_COUNT occurrences)
-    an equal share among the words of that class and count. Counts cover all texts, training every text at one
-    position in every (1: all), scores every token. Null, empty and blank texts have no tokens, log_prob 0 and a null
-    mean. Repeated rows count as often as they come; null ids are scored. An empty table gives no rows. Other columns are
-    not read. The model grows with the vocabulary: about 300 bytes on the driver and in each worker for a word that occurs
-    MIN_COUNT times or more, 12 for another that occurs twice.
+    Tokens are words (A-Z lower-cased); counts, training and scores take every token of every text. The probability is that of the
+    word among all distinct words of docs: the share of its unit in the corpus times what the words around say, normalised
+    over the vocabulary (over AGAINST units of it, drawn in proportion to their counts and weighted up; all of a small one).
+    Words that occur twice or more have units of their own, the max_own commonest at most; any others share one
+    unit and are equally likely inside it.
+
+    Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows count as often as they come;
+    null ids are scored; equal texts have equal scores. An empty table gives no rows. Other columns are not read.
+    Each input partition trains its own copy and the copies are averaged, so scores depend a little on how the input is
+    split. The model takes about 84 bytes a unit on the driver and 150 in a task: it grows with the vocabulary up to max_own units.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    lex = vocabulary(rows)
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast((train(rows, lex, rounds, every), lex))
+    shared_lex = sc.broadcast(vocabulary(rows, max_own))
+    model = sc.broadcast(train(rows, shared_lex, rounds))
 
     def score(batches):
-        p, lex = model.value
-        hasher, net = WordHasher(), Network(p, lex)
+        lex, hasher = shared_lex.value, WordHasher()
+        net, draw = Network({k: v.astype(np.float32) for k, v in model.value.items()}, lex), Draw(lex.share, AGAINST)
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -357,7 +323,7 @@ def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 words, counts = hasher(texts[i:j])
                 seq, place = padded(lex.units(words), counts)
                 n[i:j] = counts
-                s[i:j] = np.bincount(np.repeat(np.arange(j - i), counts), net.log_probs(seq, place), j - i)
+                s[i:j] = np.bincount(np.repeat(np.arange(j - i), counts), net.log_probs(seq, place, draw), j - i)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(s)], names=["id", "n_tokens", "log_prob"])
 
     out = rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, log_prob double")

@@ -9,12 +9,13 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.llm import masked_lm as LM
 from starloom.llm import quality as Q
 from starloom.llm import toxicity as X
 from starloom.llm.common import WordHasher
 from starloom.llm.html_text import extract_text, main_text
 from starloom.llm.line_rules import line_rules, without_common_lines
-from starloom.llm.masked_lm import TAIL, WORDS, Network, initial_parameters, masked_scores, padded, train, vocabulary
+from starloom.llm.masked_lm import masked_scores
 from starloom.llm.mixing import mixed_documents, pareto_mix
 from starloom.llm.packing import _encoder, best_fit_packing, cut, sum_of_squares
 from starloom.llm.quality import keep_good, quality_scores
@@ -406,64 +407,103 @@ def test_packing(spark, odd, none):
 # ---- language model ----
 
 
-def test_log_probs_are_normalised_and_gradients_help():
-    rng = np.random.default_rng(2)
-    tokens = np.tile(rng.integers(1, 9, 8), 300).astype(np.int32)
-    seq, place = padded(tokens, np.array([1200, 1200]))
-    net = Network(initial_parameters())
-    before = net.log_probs(seq, place).mean()
-    trained = Network(net.p)
-    for _ in range(20):
-        trained.train(seq, place)
-    trained.left = None
-    assert trained.log_probs(seq, place).mean() > before + 3
-    a = place[5]
-    h = np.tanh(sum(net.p["ctx"][k][seq[a + o]] for k, o in enumerate((-2, -1, 1, 2))))
-    z = net.p["out"] @ h + net.p["bias"]
-    assert net.log_probs(seq, place[5:6])[0] == pytest.approx(z[seq[a]] - np.log(np.exp(z).sum()), abs=1e-4)
+def brute_log_prob(p, lex, seq, a):
+    """log P of every unit at a place, summed over the whole vocabulary."""
+    h = np.tanh(sum(p["emb"][seq[a + o]].astype(float) @ p["mix"][k] for k, o in enumerate((-2, -1, 1, 2))))
+    with np.errstate(divide="ignore"):
+        z = np.log(lex.share.astype(float)) + p["out"].astype(float) @ h
+    return z - np.log(np.exp(z).sum())
+
+
+def network_of(units, seed=3, own=True):
+    rng = np.random.default_rng(seed)
+    n = np.sort(rng.integers(2, 400, units - 2))[::-1]
+    lex = LM.lexicon(np.arange(1, units - 1).astype(np.uint64), n, 30, 30)
+    p = LM.initial_parameters(units)
+    p["out"] = (0.4 * rng.normal(size=p["out"].shape)).astype(np.float32)
+    return p, lex, rng.integers(1, units, 400).astype(np.int32)
+
+
+def test_log_probs_against_brute_force():
+    p, lex, tokens = network_of(90)
+    seq, place = LM.padded(tokens, np.array([150, 250]))
+    got = LM.Network(p, lex).log_probs(seq, place, LM.Draw(lex.share, LM.AGAINST))
+    want = [brute_log_prob(p, lex, seq, a)[seq[a]] + (lex.inside if seq[a] == LM.RARE else 0) for a in place]
+    assert got.tolist() == pytest.approx(want, abs=1e-3)
+
+
+def test_large_vocabularies_are_normalised_by_a_draw():
+    p, lex, tokens = network_of(6000)
+    seq, place = LM.padded(tokens, np.array([400]))
+    net = LM.Network(p, lex)
+    got = net.log_probs(seq, place, LM.Draw(lex.share, LM.AGAINST))
+    want = [brute_log_prob(p, lex, seq, a)[seq[a]] + (lex.inside if seq[a] == LM.RARE else 0) for a in place]
+    assert np.abs(got - want).mean() < 0.2 and abs((got - want).mean()) < 0.1 and (got <= 1e-4).all()
+    draw = LM.Draw(lex.share, LM.AGAINST)
+    assert len(draw(0.3)) == len(draw.weights) == LM.AGAINST == len(set(draw(0.3).tolist()))
+    assert np.mean([lex.share[draw(x)] @ (np.exp(draw.weights) / lex.share[draw(x)]) for x in np.linspace(0.01, 0.99, 40)]) == pytest.approx(1, abs=0.02)
+
+
+def test_steps_follow_the_gradient():
+    """The step of a whole small vocabulary is along the numerical gradient of the mean log-probability."""
+    p, lex, tokens = network_of(30)
+    seq, place = LM.padded(tokens[:40], np.array([40]))
+    loss = lambda q: -sum(brute_log_prob(q, lex, seq, a)[seq[a]] for a in place)
+    q = {k: v.copy() for k, v in p.items()}
+    sums = {"mix": np.full(p["mix"].shape, 1e12, np.float32), "emb": np.full(30, 1e12, np.float32), "out": np.full(30, 1e12, np.float32)}
+    LM.Network(q, lex).train(seq, place, LM.Draw(lex.share, LM.AGAINST_TRAIN), sums, np.random.default_rng(0))
+    for name, scale in (("out", 1.0), ("emb", 1.0), ("mix", 0.1)):
+        step = (p[name].astype(float) - q[name]) * 1e6 / (LM.RATE * scale)
+        for at in [(5, 3), (9, 0), (12, 7)] if name != "mix" else [(0, 1, 2), (3, 4, 5)]:
+            hi, lo = ({k: v.astype(float).copy() for k, v in p.items()} for _ in range(2))
+            hi[name][at] += 1e-3
+            lo[name][at] -= 1e-3
+            assert step[at] == pytest.approx((loss(hi) - loss(lo)) / 2e-3, rel=0.2, abs=0.3)
 
 
 def test_lm_prefers_the_order_of_the_corpus(spark, odd, none):
     rng = np.random.default_rng(4)
     cycle = [f"w{k}" for k in range(12)]
     rows = [(i, " ".join(cycle * 30), "a") for i in range(60)] + [(1000 + i, " ".join(rng.permutation(cycle * 30)), "a") for i in range(5)]
-    got = masked_scores(docs(spark, rows), rounds=3, every=1).toPandas()
+    got = masked_scores(docs(spark, rows), rounds=2).toPandas()
     good, bad = got[got.doc_id < 1000].mean_log_prob, got[got.doc_id >= 1000].mean_log_prob
     assert good.min() > bad.max()
     out = {r.doc_id: r for r in masked_scores(odd).collect()}
     assert len(masked_scores(odd).collect()) == len(ODD) and out[1].n_tokens == 0 and out[1].log_prob == 0 and out[1].mean_log_prob is None and out[4].n_tokens == 50_000
     assert masked_scores(none).count() == 0
+    twice = masked_scores(docs(spark, [(1, "a b c a b", "x"), (1, "a b c a b", "y"), (None, "a b c a b", "z")])).collect()
+    assert len(twice) == 3 and len({r.log_prob for r in twice}) == 1
 
 
 def test_lm_predicts_words_and_not_buckets(spark):
-    """With production parameters: words of one class are told apart by their counts and by the words around them."""
+    """With production parameters: rare words are told apart by their counts and by the words around them, and words without
+    units of their own are still likelier the more there are of them."""
     rng = np.random.default_rng(11)
-    words = [f"t{k}" for k in range(4000)]
-    classes = (WordHasher()([" ".join(words).encode()])[0] % np.uint64(TAIL)).astype(int)
-    a, b, rare = [w for w, c in zip(words, classes) if c == classes[0]][:3]
-    common = [f"c{k}" for k in range(WORDS)]
+    common = [f"c{k}" for k in range(150)]
     filler = [" ".join(rng.choice(common, 400)) for _ in range(400)]
-    pairs = [" ".join(f"c0 {a} c0 c1 {b} c1" for _ in range(5)) for _ in range(20)]
-    asked = [f"c0 {a} c0", f"c0 {b} c0", f"c1 {b} c1", f"c1 {a} c1", f"c0 {rare} c0"]
+    pairs = [" ".join("c0 alpha c0 c1 beta c1" for _ in range(5)) for _ in range(20)]
+    asked = ["c0 alpha c0", "c0 beta c0", "c1 beta c1", "c1 alpha c1", "c0 unheard c0"]
     rows = [(i, t, "x") for i, t in enumerate(filler + pairs)] + [(10_000 + i, t, "x") for i, t in enumerate(asked)]
     got = {r.doc_id: r.log_prob for r in masked_scores(docs(spark, rows)).collect()}
     assert got[10_000] > got[10_001] + 0.5 and got[10_002] > got[10_003] + 0.5
     assert got[10_001] > got[10_004] + 0.5
 
 
-def test_lm_probabilities_cover_the_vocabulary(spark):
-    texts = [" ".join(f"v{int(x)}" for x in np.random.default_rng(k).zipf(1.3, 300) % 3000) for k in range(60)]
-    table = docs(spark, [(i, t, "x") for i, t in enumerate(texts)])
-    rows = table.select(F.col("text").cast("binary").alias("text"))
-    lex = vocabulary(rows)
-    every = np.unique(WordHasher()([t.encode() for t in texts])[0])
-    net = Network(train(rows, lex), lex)
-    around = lex.units(every[[3, 5, 8, 9]])
-    seq = np.array([[around[0], around[1], u, around[2], around[3]] for u in lex.units(every)]).ravel()
-    p = np.exp(net.log_probs(seq, 5 * np.arange(len(every)) + 2))
-    pad = np.exp(net.p["bias"] + net.p["out"] @ np.tanh(sum(net.p["ctx"][k][lex.classes[u]] + net.p["emb"][u] for k, u in enumerate(around))))
-    assert p.sum() == pytest.approx(1 - (pad[0] + pad[1 + WORDS :][np.bincount(lex.classes, minlength=len(pad))[1 + WORDS :] == 0].sum()) / pad.sum(), abs=1e-4)
-    assert len(every) > WORDS + TAIL and len(lex.classes) > WORDS + TAIL and np.abs(net.p["emb"]).sum() > 0
+def test_scores_against_brute_force(spark, monkeypatch):
+    """masked_scores from its own lexicon and parameters, token by token; words beyond max_own share a unit."""
+    texts = [" ".join(f"v{int(x)}" for x in np.random.default_rng(k).zipf(1.5, 60) % 90) for k in range(30)]
+    table = docs(spark, [(i, t, "x") for i, t in enumerate(texts)]).coalesce(2)
+    held = {}
+    monkeypatch.setattr(LM, "train", lambda rows, lex, rounds, train=LM.train: held.setdefault("p", train(rows, lex, rounds)))
+    got = {r.doc_id: r for r in masked_scores(table, max_own=40).collect()}
+    lex = LM.vocabulary(table.select(F.col("text").cast("binary").alias("text")), 40)
+    every = np.unique(np.concatenate([WordHasher()([t.encode()])[0] for t in texts]))
+    assert 20 < len(lex.known) <= 40 and len(held["p"]["out"]) == len(lex.known) + 2 and np.exp(-lex.inside) == pytest.approx(len(every) - len(lex.known))
+    for i in (0, 7, 29):
+        words, counts = WordHasher()([texts[i].encode()])
+        seq, place = LM.padded(lex.units(words), counts)
+        want = sum(brute_log_prob(held["p"], lex, seq, a)[seq[a]] + (lex.inside if seq[a] == LM.RARE else 0) for a in place)
+        assert got[i].log_prob == pytest.approx(want, abs=0.05) and got[i].n_tokens == len(place)
 
 
 def test_registered_names():
