@@ -1,9 +1,14 @@
-"""Main text of web pages: parser events to lines, text-to-tag ratios, Gaussian smoothing, threshold clustering."""
+"""Main text of web pages: parser events to lines, text-to-tag ratios, Gaussian smoothing, threshold clustering.
+
+Each run of text between block tags is a line. Its ratio is its characters over the tags met since the line before, times the share
+that is not in links, and nearly nothing in parts that names or tags show to be around an article. Ratios are
+smoothed along the page and cut; the lines over the cut are the cluster of content, which chooses the region: the article or
+main elements that hold it, else the smallest container with most of it, else its stretch of lines.
+"""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -11,40 +16,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements that start and end a line, that have no end tag, and whose contents are never main text (fixed values).
+#: Elements that start and end a line, that have no end tag, and whose contents are never shown as text (fixed values).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNWANTED = frozenset("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
+NO_TEXT = frozenset("canvas datalist head iframe noscript object script select style svg template textarea title".split())
+#: Elements around an article whatever they hold, and those that are so unless they hold most of the page (fixed values).
+AROUND_TAGS, FORM_TAGS = frozenset("aside button footer menu nav".split()), frozenset("dialog form header".split())
 MAIN = frozenset(["article", "main"])
-CONTAINERS = frozenset("article body center div html main section table tbody td".split())
-#: Parts of class names, ids and roles of what surrounds an article (fixed values).
-AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navigation|navbar|menu|breadcrumbs?|footer|contentinfo|sidebar|side|complementary|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|dialog|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|form|pagination|pager|skip|toolbar)(?:$|[\s_-])", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.I)
-#: Width of the smoothing kernel in lines.
-SIGMA, REACH = 1.0, 2
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("article center div main section table tbody td".split())
+#: Parts of class names, ids and roles of what surrounds an article, and of an article that is a reader's (fixed values).
+AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navigation|navbar|menu|breadcrumbs?|footer|contentinfo|sidebar|side|complementary|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|dialog|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|form|pagination|pager|skip|toolbar|header|masthead|topbar)(?:$|[\s_-])", re.I)
+READERS = re.compile(r"(?:^|\s)(?:comment|reply)(?:$|[\s_-])", re.I)
+#: Width of the smoothing kernel in lines, and what a line around the article counts of its ratio.
+SIGMA, REACH, FAINT = 1.0, 2, 0.05
 
 
 class Lines(HTMLParser):
-    """The lines of a page, one for each run of text between block tags.
+    """The lines of a page, one for each run of text between block tags, and the elements they are in.
 
-    A line is [text, tags met since the line before, wanted, path], where path has the numbers of the
-    open elements from the root down.
+    A line is (text, tags met since the line before, element, characters in links). Elements are numbered as they are met;
+    parent, tag and around (0, 1: unless it holds most of the page, 2: whatever it holds, 3: never text) are lists by number.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list = []
-        self.kinds: list[str] = []  # of every element met, by number
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, wanted, within an article
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.tag, self.parent, self.around, self.main = ["#root"], [0], [0], [0]
+        self.open, self.count = [0], {}
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
-        self.parts = []
         if text:
-            self.lines.append((text, self.tags, not self.open or self.open[-1][2], tuple(x[1] for x in self.open)))
+            self.lines.append((text, self.tags, self.open[-1], min(self.linked, len(text))))
             self.tags = 0
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -58,14 +66,26 @@ class Lines(HTMLParser):
             self.close_open("p", {"article", "main", "div", "section", "body", "td", "th", "li", "blockquote", "aside", "form"})
             if tag in ("li", "dt", "dd", "td", "th", "tr"):
                 self.close_open(tag, {"ul", "ol", "dl", "table", "body"} | ({"tr"} if tag in ("td", "th") else set()))
-        wanted, inside = (self.open[-1][2], self.open[-1][3]) if self.open else (True, False)
-        inside_now = inside or tag in MAIN
-        if wanted:
-            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-            hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")) for k, v in attrs)
-            wanted = not (tag in UNWANTED or hidden or (tag not in ("html", "body", "main") and names and AROUND.search(names)) or (not inside_now and (tag == "header" or (names and tag != "body" and HEADER.search(names)))))
-        self.open.append((tag, len(self.kinds), wanted, inside_now))
-        self.kinds.append(tag)
+        up = self.open[-1]
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+        hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")) for k, v in attrs)
+        reader = bool(names and READERS.search(names))
+        is_main = tag in MAIN and not reader
+        if tag in NO_TEXT:
+            around = 3
+        elif tag in AROUND_TAGS:
+            around = 2
+        elif is_main or tag in ("html", "body"):
+            around = 0
+        else:
+            around = int((tag in FORM_TAGS and not (tag == "header" and self.main[up])) or hidden or reader or bool(names and AROUND.search(names)))
+        here = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.around.append(around)
+        self.main.append(self.main[up] or (here if is_main else 0))
+        self.open.append(here)
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -73,11 +93,16 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def close_open(self, tag: str, limits: set) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+        """Closes the innermost open element of this tag and all inside it, unless one of limits is met first."""
+        if not self.count.get(tag):
+            return
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.tag[self.open[i]] == tag:
+                for e in self.open[i:]:
+                    self.count[self.tag[e]] -= 1
                 del self.open[i:]
                 return
-            if self.open[i][0] in limits:
+            if self.tag[self.open[i]] in limits:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -88,35 +113,27 @@ class Lines(HTMLParser):
             self.close_open(tag, {"article", "main", "body", "nav", "footer", "aside"} if tag not in BLOCKS or tag == "p" else {"html"})
 
     def handle_data(self, data: str) -> None:
-        if not self.open or self.open[-1][0] not in ("script", "style"):
+        if self.tag[self.open[-1]] not in ("script", "style"):
             self.parts.append(data)
+            if self.count.get("a"):
+                self.linked += len(data.strip())
 
 
 def smoothed(values: np.ndarray) -> np.ndarray:
     """Gaussian smoothing whose weights sum to one at the ends too."""
     k = np.exp(-0.5 * (np.arange(-REACH, REACH + 1) / SIGMA) ** 2)
-    return np.convolve(values, k, "same")[: len(values)] / np.convolve(np.ones(len(values)), k, "same")[: len(values)] if len(values) > 2 * REACH else values
+    part = slice(REACH, REACH + len(values))
+    return np.convolve(values, k)[part] / np.convolve(np.ones(len(values)), k)[part]
 
 
-def content_lines(lines: list) -> np.ndarray:
-    """Which lines belong to the cluster of high text-to-tag ratios.
-
-    Ratios are smoothed along the page and cut at half a standard deviation; unwanted parts never count.
-    """
-    wanted = np.array([x[2] for x in lines], dtype=bool)
-    ratio = np.array([len(x[0]) / max(1, x[1]) * x[2] for x in lines])
+def content_lines(ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Which lines belong to the cluster of high ratios, and the cut: half a standard deviation of the smoothed ratios."""
     soft = smoothed(ratio)
-    return wanted & (soft >= min(0.5 * soft.std(), soft.max()))
+    cut = min(0.5 * float(soft.std()), float(soft.max()))
+    return soft >= cut, cut
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page: all wanted lines of the regions that hold the cluster of content lines.
-
-    A region is the outermost article or main element with content, or where there is none the
-    smallest container of several lines that has four fifths of the content's characters.
-    """
-    if not html:
-        return ""
+def parsed(html: str) -> Lines:
     page = Lines()
     try:
         page.feed(html)
@@ -126,23 +143,71 @@ def main_text(html: str | None) -> str:
         page.feed(re.sub(r"<!\[[^>]*>?", "", html))
         page.close()
     page.flush()
-    lines = page.lines
-    if not any(x[2] for x in lines):
+    return page
+
+
+def faint_elements(page: Lines) -> np.ndarray:
+    """By element: 1 if it or one it is in is around the article, 2 if it is never text. Names and form tags do not count against an element
+    that holds an article, a main element, or over half of the page's text."""
+    n = len(page.tag)
+    chars, holds = np.zeros(n, np.int64), np.zeros(n, dtype=bool)
+    for text, _, e, _ in page.lines:
+        chars[e] += len(text)
+    for e in range(n - 1, 0, -1):
+        if page.around[e] == 3:
+            chars[e] = 0
+        holds[e] |= page.main[e] == e
+        chars[page.parent[e]] += chars[e]
+        holds[page.parent[e]] |= holds[e]
+    faint = np.zeros(n, np.int8)
+    for e in range(1, n):
+        kind = page.around[e]
+        own = 2 if kind == 3 else int(kind == 2 or (kind == 1 and not holds[e] and 2 * chars[e] <= chars[0]))
+        faint[e] = max(own, faint[page.parent[e]])
+    return faint
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page: the lines of the regions that hold the cluster of content lines.
+
+    A region is an outermost article or main element with content, or where there is none the smallest container of several
+    lines that has four fifths of the content's characters; where only the body has, the stretch of lines from
+    the first content line to the last, where lines at either end count that are headings or over the cut themselves and not mostly links. In a region all lines are kept but those around the article whose own ratio is under the cut.
+    """
+    page = parsed(html or "")
+    faint = faint_elements(page)
+    lines = [x for x in page.lines if faint[x[2]] < 2]
+    if not lines:
+        return ""
+    size, tags, at, linked = (np.array(v) for v in zip(*((len(t), n, e, a) for t, n, e, a in lines)))
+    plain = faint[at] == 0
+    ratio = size / np.maximum(1, tags) * np.where(plain, 1.0, FAINT) * (1 - 0.9 * linked / size)
+    chosen, cut = content_lines(ratio)
+    chosen &= plain | (ratio >= cut)
+    if not chosen.any() or not plain.any():
         return ""
-    chosen = content_lines(lines)
-    if not chosen.any():
-        chosen = np.array([x[2] for x in lines])
-    weight: dict[int, int] = {}
-    for x, c in zip(lines, chosen):
-        if c:
-            for e in x[3]:
-                weight[e] = weight.get(e, 0) + len(x[0])
-    regions = {next(e for e in x[3] if page.kinds[e] in MAIN) for x, c in zip(lines, chosen) if c and any(page.kinds[e] in MAIN for e in x[3])}
-    if not regions:
-        total = sum(len(x[0]) for x, c in zip(lines, chosen) if c)
-        held = Counter(e for x in lines if x[2] for e in x[3] if page.kinds[e] in CONTAINERS)
-        regions = set(sorted(e for e, w in weight.items() if 5 * w >= 4 * total and held[e] > 1)[-1:])
-    return "\n".join(x[0] for x in lines if x[2] and (not regions or regions.intersection(x[3])))
+    kept = plain | (ratio >= cut)
+    main = np.array(page.main)[at]
+    if (main[chosen] > 0).any():
+        return "\n".join(x[0] for x, k, m in zip(lines, kept, np.isin(main, np.unique(main[chosen & (main > 0)])) & (main > 0)) if k and m)
+    n = len(page.tag)
+    weight, held = np.bincount(at[chosen], size[chosen], n), np.bincount(at[plain], minlength=n)
+    for e in range(n - 1, 0, -1):
+        weight[page.parent[e]] += weight[e]
+        held[page.parent[e]] += held[e]
+    fit = [e for e in range(1, n) if page.tag[e] in CONTAINERS and held[e] > 1 and 5 * weight[e] >= 4 * weight[0]]
+    if fit:
+        inside = np.zeros(n, dtype=bool)
+        inside[fit[-1]] = True
+        for e in range(fit[-1] + 1, n):
+            inside[e] = inside[page.parent[e]]
+        stretch = inside[at]
+    else:
+        heads = np.array([page.tag[e] in HEADS for e in at])
+        ends = np.flatnonzero(chosen & (2 * linked <= size) & (heads | (ratio >= cut)))
+        ends = ends if len(ends) else np.flatnonzero(chosen)
+        stretch = (np.arange(len(lines)) >= ends[0]) & (np.arange(len(lines)) <= ends[-1])
+    return "\n".join(x[0] for x, k in zip(lines, kept & stretch) if k)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -151,7 +216,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null and empty pages, and pages of tags only, give the empty text. Character references are decoded, white space
     within a line becomes one space, lines are joined by a newline in page order; nothing else is dropped
     and no length is capped. Ids and urls are passed on as they are, nulls and repeats too.
-    One pass without a shuffle; a page is held in memory on its own.
+    Pages whose lines are all alike are kept whole, as no ratio is under the cut then; equal pages have equal texts. One pass without
+    a shuffle; a page is held in memory on its own, and time is in proportion to its length however deep it nests.
     """
 
     def run(batches):
