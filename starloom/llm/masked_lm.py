@@ -120,17 +120,21 @@ class Network:
         self.share = np.log(np.maximum(lex.share, 1e-30)).astype(np.float32)
         self.slot = np.full(len(lex.share), -1, np.int32)
 
+    def _take(self, name: str, rows: np.ndarray) -> np.ndarray:
+        """Some rows in single precision; a model that only scores is held in half."""
+        return np.asarray(self.p[name].take(rows, axis=0), np.float32)
+
     def hidden(self, seq: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near = seq[a + OFFSETS]
-        e = self.p["emb"].take(near.ravel(), axis=0).reshape(4, len(a), WIDTH)
+        e = self._take("emb", near.ravel()).reshape(4, len(a), WIDTH)
         return near, e, np.tanh(np.matmul(e, self.p["mix"]).sum(axis=0))
 
     def _odds(self, u: np.ndarray, h: np.ndarray, units: np.ndarray, weights: np.ndarray):
         """Of each token: its unit's parameters and score, those of the sampled units, and the parts of p's normaliser that its own
         and the sampled units have."""
-        mine = self.p["out"].take(u, axis=0)
+        mine = self._take("out", u)
         own = np.einsum("ij,ij->i", mine, h)
-        other = self.p["out"].take(units, axis=0)
+        other = self._take("out", units)
         z = h @ other.T
         z += weights
         np.minimum(z, 60, out=z)
@@ -306,7 +310,7 @@ def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null, empty and blank texts have no tokens, log_prob 0 and a null mean. Repeated rows count as often as they come;
     null ids are scored; equal texts have equal scores. An empty table gives no rows. Other columns are not read.
     Each input partition trains its own copy and the copies are averaged, so scores depend a little on how the input is
-    split. The model takes about 84 bytes a unit on the driver and 150 in a task: it grows with the vocabulary up to max_own units.
+    split. The model takes about 80 bytes a unit on the driver and in a task that scores, 150 in one that trains: it grows with the vocabulary up to max_own units.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sc = docs.sparkSession.sparkContext
@@ -315,7 +319,7 @@ def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def score(batches):
         lex, hasher = shared_lex.value, WordHasher()
-        net, draw = Network({k: v.astype(np.float32) for k, v in model.value.items()}, lex), Draw(lex.share, AGAINST)
+        net, draw = Network(model.value, lex), Draw(lex.share, AGAINST)
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
