@@ -25,6 +25,19 @@ def highlighted(text: Column, terms: list[str], before: str = "<mark>", after: s
     return F.regexp_replace(one_line(text), rf"(?i)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", f"{before}$1{after}") if words else one_line(text)
 
 
+def marked_snippet(text: Column, terms: list[str], size: int = 20, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """About size words of the text around its first match, with every match of a term marked and an ellipsis where it is cut; the
+    text's beginning without a match. Whole words are cut out before they are marked, so no mark is cut."""
+    words = F.split(one_line(text), " ")
+    asked = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True) if t)
+    hit = rf"(?i)(?<![\p{{L}}\p{{N}}])({asked})(?![\p{{L}}\p{{N}}])"
+    at = F.array_position(F.transform(words, lambda w: w.rlike(hit)), True) if asked else F.lit(0)
+    start = F.greatest(F.least(at - size // 4, F.size(words) - size + 1), F.lit(1)).cast("int")
+    piece = F.array_join(F.slice(words, start, size), " ")
+    piece = F.regexp_replace(piece, hit, f"{before}$1{after}") if asked else piece
+    return F.concat(F.when(start > 1, F.lit("… ")).otherwise(F.lit("")), piece, F.when(start + size <= F.size(words), F.lit(" …")).otherwise(F.lit("")))
+
+
 def compact(n: Column) -> Column:
     """1234 as 1.2k, 2500000 as 2.5M."""
     short = lambda d, unit: F.concat(F.regexp_replace(F.format_string("%.1f", F.floor(n / d * 10) / 10), r"\.0$", ""), F.lit(unit))

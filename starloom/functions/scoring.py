@@ -41,10 +41,10 @@ def bm25(tf: Column, length: Column, mean_length: Column, df: Column, n: Column)
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a over code points as eight hex digits (equal to bytes for ASCII)."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    step = lambda h, c: (h.bitwiseXOR(c) * FNV_PRIME).bitwiseAND(F.lit(WORD32))
-    return F.lower(F.lpad(F.hex(F.aggregate(codes, F.lit(FNV_START).cast("long"), step)), 8, "0"))
+    """FNV-1a over UTF-16 code units as eight hex digits (equal to bytes for ASCII)."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(?s)...."), F.lit(0))
+    step = lambda h, c: (h.bitwiseXOR(F.conv(c, 16, 10).cast("long")) * FNV_PRIME).bitwiseAND(F.lit(WORD32))
+    return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(FNV_START).cast("long"), step)), 8, "0"))
 
 
 def ip_hash(day: Column, ip: Column) -> Column:
@@ -55,9 +55,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double; 0 where a norm is 0; an error where lengths differ."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine in double; 0 where a norm is 0; an error where lengths differ. Norms that are known need not be summed again."""
+    norms = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors differ in length")).cast("double")).when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,17 +25,38 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clean_query(text: Column, compose: bool = False) -> Column:
-    """Control characters to spaces, white space collapsed, at most QUERY_LIMIT characters."""
-    return F.substring(one_line(F.regexp_replace(nfc(text) if compose else text, r"\p{Cc}", " ")), 1, QUERY_LIMIT)
+def clean_query(text: Column) -> Column:
+    """Composed, control characters to spaces, white space collapsed, at most QUERY_LIMIT characters."""
+    return F.substring(one_line(F.regexp_replace(nfc(text), r"\p{Cc}", " ")), 1, QUERY_LIMIT)
+
+
+def cleaned(text: str | None) -> str:
+    """clean_query of one text on the driver."""
+    return " ".join(regex.sub(r"\p{Cc}", " ", unicodedata.normalize("NFC", text or "")).split())[:QUERY_LIMIT]
+
+
+#: Where camel case and acronyms are cut, for columns and for texts on the driver.
+ACRONYM, HUMP = r"(\p{Lu}+)(\p{Lu}\p{Ll})", r"([\p{Ll}\p{N}])(\p{Lu})"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, with camel case and acronyms split; repeats stay."""
-    apart = F.regexp_replace(F.regexp_replace(text, r"(\p{Lu}+)(\p{Lu}\p{Ll})", "$1 $2"), r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
+    apart = F.regexp_replace(F.regexp_replace(text, ACRONYM, "$1 $2"), HUMP, "$1 $2")
     return F.regexp_extract_all(F.lower(apart), F.lit(RUN), F.lit(0))
 
 
+def token_list(text: str) -> list[str]:
+    """tokens of one text on the driver."""
+    for cut in (ACRONYM, HUMP):
+        text = regex.sub(cut, r"\1 \2", text)
+    return regex.findall(RUN, text.lower())
+
+
+def index_words(text: str) -> list[str]:
+    """index_tokens of one text on the driver."""
+    return regex.findall(RUN, text.lower().translate(str.maketrans(MARKED, FOLDED)))
+
+
 def index_tokens(text: Column) -> Column:
     """Tokens as the index holds them: lower-case runs, camel case left whole, diacritics of Latin letters folded."""
     return F.regexp_extract_all(fold(F.lower(text)), F.lit(RUN), F.lit(0))
@@ -55,8 +77,10 @@ def phrases(words: Column, size: int = 2) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def plain_name(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "")
+def plain_name(name: Column, compose: bool = False) -> Column:
+    """Letters and digits of a name, lower-case. Composing first tells no two names apart that look alike; names of the host are ASCII
+    and need none."""
+    return F.regexp_replace(F.lower(nfc(name) if compose else name), r"[^\p{L}\p{N}]+", "")
 
 
 def slug(name: Column) -> Column:
@@ -84,13 +108,11 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def plain_markdown(text: Column) -> Column:
-    """Markdown without comments, images, link targets, tags, fences, heading and quote marks."""
-    for pattern, put in [
-        (r"(?s)<!--.*?-->", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<[^>]+>", " "), (r"(?s)```.*?```", " "),
-        (r"(?m)^#{1,6}\s*", ""), (r"(?m)^>\s?", ""), (r"\r", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-    ]:
-        text = F.regexp_replace(text, pattern, put)
-    return F.trim(text)
+    """Markdown as running text: comments, images, tags, link targets and fence markers go, code stays; marks of headings and quotes go."""
+    body = F.regexp_replace(F.translate(text, "\r", ""), r"(?s)<!--.*?-->|!\[[^\]]*\]\([^)]*\)", " ")
+    body = F.regexp_replace(F.regexp_replace(body, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"<[^>]+>|```[^\n]*", " ")
+    lines = F.regexp_replace(body, r"(?m)^\s{0,3}(?:#{1,6}\s+(?:\s{0,3}>\s?)?|>\s?)", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def first_match(text: Column, terms: list[str]) -> Column:
@@ -129,6 +151,25 @@ def strip_tags(html: Column) -> Column:
     return one_line(F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)\b.*?</(script|style)>", " "), r"<[^>]*>", " "))
 
 
+def lab_embedding_text(full_name: Column, description: Column, topics: Column, language: Column, readme: Column, limit: int = 1500) -> Column:
+    """The lab profile's document for a model: one line of facts, then the readme without its markup."""
+    listed = F.when(F.size(topics) > 0, F.concat(F.lit("topics: "), F.array_join(topics, ", ")))
+    facts = F.concat_ws(" — ", full_name, F.when(description != "", description), listed, F.concat(F.lit("lang: "), F.coalesce(language, F.lit("unknown"))))
+    body = F.substring(plain_markdown(readme), 1, limit)
+    return F.when(F.coalesce(body, F.lit("")) != "", F.concat(facts, F.lit("\n"), body)).otherwise(facts)
+
+
+def table_name(login: Column) -> Column:
+    """The identifier of what is kept for a login."""
+    return F.concat(F.lit("fts_u_"), F.regexp_replace(F.translate(F.lower(login), "-", "_"), "[^a-z0-9_]", ""))
+
+
+def camelized(name: Column) -> Column:
+    """some_column_name as someColumnName."""
+    parts = F.regexp_extract_all(name, F.lit("(?i)_[a-z0-9]|_|[^_]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^_.$"), F.upper(F.substring(x, 2, 1))).otherwise(x)), "")
+
+
 def embedding_text(name: Column, description: Column, topics: Column, language: Column, readme: Column, limit: int = 1500) -> Column:
     """What a model would embed of a repository; blank parts are left out."""
     part = lambda x: F.when(one_line(x) != "", one_line(x))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Short names of languages in the lab profile (fixed values).
@@ -78,6 +78,11 @@ def candidates(repos: DataFrame, user_stars: DataFrame, login: str, f: Filters,
     return in_groups(found, group_repos, f.groups) if f.groups and group_repos is not None else found
 
 
+def placed(found: DataFrame) -> DataFrame:
+    """What a login starred with its place in the order of browse. One login's rows are one list, so one window."""
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("starred_at").desc_nulls_last(), F.desc("id"))).cast("long"))
+
+
 def browse(found: DataFrame) -> DataFrame:
     return found.orderBy(F.col("starred_at").desc_nulls_last(), F.desc("id"))
 

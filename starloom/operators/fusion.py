@@ -13,6 +13,8 @@ LEG_WEIGHTS = {"keyword": 1.0, "expanded": 0.6, "semantic": 1.0}
 NAME_TIERS, NAME_CAP = {"exact": 1.45, "prefix": 1.2, "token": 1.1}, 1.6
 TOPIC_BONUS, DESCRIPTION_BONUS, MOST_MATCHES = 0.003, 0.0015, 3
 ARCHIVED, SAME_OWNER, SAME_NAME = 0.4, 0.85, 0.70
+#: Fused scores are rounded to so many digits, so that equal ones are ties whatever the order of their factors.
+DIGITS = 12
 LAB_TIERS = {"exact": 1.6, "name": 1.45, "prefix": 1.2, "all": 1.1}
 
 
@@ -93,21 +95,22 @@ def duplicate_penalties(hits: DataFrame) -> DataFrame:
     order = [F.desc("score"), F.desc("stars"), F.col("id")]
     before = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     factor = F.pow(F.lit(SAME_OWNER), before(F.lower("owner"))) * F.pow(F.lit(SAME_NAME), before(plain_name(F.col("name"))))
-    return hits.withColumn("factor", factor).withColumn("score", F.col("score") * F.col("factor")).drop("factor")
+    return hits.withColumn("factor", factor).withColumn("score", F.round(F.col("score") * F.col("factor"), DIGITS)).drop("factor")
 
 
-def fuse(legs: dict[str, DataFrame], repos: DataFrame, terms: list[str], weights: dict[str, float] = LEG_WEIGHTS, penalties: bool = True, names_of: DataFrame | None = None) -> DataFrame:
+def fuse(legs: dict[str, DataFrame] | DataFrame, repos: DataFrame, terms: list[str], weights: dict[str, float] = LEG_WEIGHTS, penalties: bool = True, names_of: DataFrame | None = None) -> DataFrame:
     """id, score, rrf, boost, matched_by and leg ranks of what the legs found among repos, unordered.
 
     repos are the candidates; a leg's hit outside them is dropped. Name statistics are over the
-    repositories in any leg, or over names_of.
+    repositories in any leg, or over names_of. legs may be united already (leg, id, rank); they hold the few best of
+    each leg, so what they name is broadcast and the candidates are not moved.
     """
-    fused = fuse_ranks(union_legs(legs), weights)
-    found = repos.join(fused, "id")
+    fused = fuse_ranks(union_legs(legs) if isinstance(legs, dict) else legs, weights)
+    found = repos.join(F.broadcast(fused), "id")
     found = with_specificity(found, terms, found if names_of is None else names_of) if terms else found.withColumn("spec", F.lit(None).cast("map<string,double>"))
     boost = name_boost(terms, F.col("name"), F.col("spec")) if terms else F.lit(1.0)
     bonus = overlap_bonus(terms, F.col("topics"), F.col("description")) if terms else F.lit(0.0)
-    hits = found.withColumn("boost", boost).withColumn("score", F.col("rrf") * F.col("boost") * star_prior(F.col("stars")) * F.when(F.col("archived"), ARCHIVED).otherwise(1.0) + bonus)
+    hits = found.withColumn("boost", boost).withColumn("score", F.round(F.col("rrf") * F.col("boost") * star_prior(F.col("stars")) * F.when(F.col("archived"), ARCHIVED).otherwise(1.0) + bonus, DIGITS))
     hits = duplicate_penalties(hits) if penalties else hits
     by = F.array_compact(F.array(*(F.when(F.col(f"rank_{k}").isNotNull(), F.lit(k)) for k in weights), F.when(F.col("boost") > 1, F.lit("name"))))
     return hits.withColumn("matched_by", by).drop("spec")

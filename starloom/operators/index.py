@@ -1,51 +1,87 @@
-"""The inverted index: postings with positions, document lengths, trigrams; built as plain tables."""
+"""The inverted index: stemmed terms with positions, document lengths, statistics and trigrams, as bucketed parquet tables
+that a search reads a few files of. Changes are added as segments; what they replace is listed as dead."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from dataclasses import dataclass
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from starloom.functions.stemming import stems
-from starloom.functions.text import index_tokens
+from starloom.functions.stemming import stem
+from starloom.functions.text import index_tokens, index_words
+from starloom.sources.staging import shared_dir
 
 #: Index columns and their weights in BM25 (fixed values).
 WEIGHTS = {"full_name": 10.0, "description": 5.0, "topics": 4.0, "readme": 1.0}
 LAB_WEIGHTS = {"full_name": 8.0, "description": 3.0, "topics": 3.0, "readme": 1.0}
+COLUMNS = tuple(WEIGHTS)
+#: A position is that of the token in its column plus this much for each column before it.
+SPAN = 1 << 28
+#: Files of a bucket that a common term spreads over; dead rows that are broadcast; the bucket of the rows for whole documents.
+SPREAD, FEW_DEAD, WHOLE = 4, 1_000_000, -1
+
+
+#: Columns of the index's tables, so that opening them reads no footers.
+_SCHEMAS = {
+    "terms": "id long, term string, len long, places array<long>, bucket int, segment int", "trigrams": "id long, gram string, bucket int, segment int",
+    "stats": "n long, total long", "dead": "id long, upto int",
+}
 
 
-def columns(repos: DataFrame, stemmed: bool = False) -> DataFrame:
+def columns(repos: DataFrame) -> DataFrame:
     """id and the token arrays of each index column."""
     text = {"topics": F.array_join("topics", " ")}
-    made = {c: index_tokens(F.coalesce(text.get(c, F.col(c)), F.lit(""))) for c in WEIGHTS}
-    return repos.select("id", *((stems(x) if stemmed else x).alias(c) for c, x in made.items()))
+    return repos.select("id", *(index_tokens(F.coalesce(text.get(c, F.col(c)), F.lit(""))).alias(c) for c in COLUMNS))
 
 
-def postings(repos: DataFrame, stemmed: bool = False) -> DataFrame:
-    """id, field, pos, term: a row for each token."""
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in WEIGHTS)))
-    rows = columns(repos, stemmed).select("id", each.alias("x")).select("id", "x.field", F.posexplode("x.words").alias("pos", "term"))
-    return rows
+def _grouped(stemmed: bool):
+    """A row for each document and term with the term's places, and one for the document itself (an empty term, its length)."""
 
+    def run(batches):
+        known: dict[str, str] = {}
+        for batch in batches:
+            ids, terms, lens, places = [], [], [], []
+            for i, *lists in zip(batch.column("id").to_pylist(), *(batch.column(c).to_pylist() for c in COLUMNS)):
+                held: dict[str, list[int]] = {}
+                for k, words in enumerate(lists):
+                    for at, w in enumerate(words):
+                        if stemmed:
+                            s = known.get(w)
+                            if s is None:
+                                s = known[w] = stem(w)
+                            w = s
+                        held.setdefault(w, []).append(k * SPAN + at)
+                n = sum(map(len, lists))
+                ids += [i] * (len(held) + 1)
+                lens += [n] * (len(held) + 1)
+                terms += ["", *held]
+                places += [[], *held.values()]
+            if len(known) > 1_000_000:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(lens, pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["id", "term", "len", "places"])
 
-def _weighted(w: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    return run
 
 
-def frequencies(repos: DataFrame, weights: dict[str, float] = WEIGHTS, stemmed: bool = False) -> DataFrame:
-    """id, term, tf (weighted), len (tokens of all columns): what ranking reads, one row for a term and document.
+def postings(repos: DataFrame, stemmed: bool = True) -> DataFrame:
+    """id, term, len (tokens of all columns of the document), places: a row for each term of a document, no shuffle."""
+    return columns(repos).mapInArrow(_grouped(stemmed), "id long, term string, len long, places array<long>")
 
-    Counted inside each document, so building it needs no shuffle.
-    """
-    cols = columns(repos, stemmed).withColumn("len", sum((F.size(c) for c in weights), F.lit(0)))
-    tokens = F.concat(*(F.transform(c, _weighted(w)) for c, w in weights.items()))
-    rows = cols.select("id", "len", F.explode(tokens).alias("x")).select("id", "len", "x.term", "x.w")
-    return rows.groupBy("id", "term", "len").agg(F.sum("w").alias("tf"))
 
+def frequency(weights: dict[str, float], places: Column | str = "places") -> Column:
+    """Weighted frequency of a term from its places."""
+    in_column = lambda k: F.size(F.filter(places, lambda p: (p >= k * SPAN) & (p < (k + 1) * SPAN)))
+    return sum((w * in_column(COLUMNS.index(c)) for c, w in weights.items()), F.lit(0.0))
 
-def corpus_stats(repos: DataFrame) -> DataFrame:
-    """One row: n documents and their mean length."""
-    lengths = columns(repos).select(sum((F.size(c) for c in WEIGHTS), F.lit(0)).alias("len"))
-    return lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
+
+def frequencies(repos: DataFrame, weights: dict[str, float] = WEIGHTS, stemmed: bool = True) -> DataFrame:
+    """id, term, tf (weighted), len of a corpus that is not indexed."""
+    return postings(repos, stemmed).where("term <> ''").select("id", "term", "len", frequency(weights).alias("tf"))
 
 
 def trigrams(repos: DataFrame) -> DataFrame:
@@ -55,15 +91,126 @@ def trigrams(repos: DataFrame) -> DataFrame:
     return repos.select("id", text.alias("t")).where(F.length("t") >= 3).select("id", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
-def write_index(repos: DataFrame, path: str, buckets: int = 64, stemmed: bool = False) -> None:
-    """Persists frequencies clustered by a hash bucket of the term, so a query reads only its terms' files and row groups."""
-    rows = frequencies(repos, stemmed=stemmed).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    corpus_stats(repos).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def read_terms(spark, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
-    """The persisted rows of some terms; partitions and row groups of others are skipped."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
-    hit = [r.bucket for r in wanted.collect()]  # as many as the query has terms
-    return spark.read.parquet(f"{path}/terms").where(F.col("bucket").isin(hit) & F.col("term").isin(terms)).drop("bucket")
+@dataclass
+class SearchIndex:
+    """A persisted index under path. Reads are lazy plans over the files of the buckets that their terms are in; they see what was
+    there when it was opened, and its own changes."""
+
+    spark: SparkSession
+    path: str
+    buckets: int = 64
+    stemmed: bool = True
+    n_dead: int | None = None
+
+    @classmethod
+    def build(cls, repos: DataFrame, path: str | None = None, buckets: int = 64, stemmed: bool = True) -> SearchIndex:
+        """The index of a corpus, in place of any under this path; by default a new one in the shared folder."""
+        spark = repos.sparkSession
+        index = cls(spark, path or f"{shared_dir(spark)}/starloom/index-{uuid.uuid4().hex}", buckets, stemmed)
+        index._write(repos, 0, "overwrite")
+        spark.createDataFrame([], "id long, upto int").write.mode("overwrite").parquet(f"{index.path}/dead")
+        return index
+
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
+
+    def _write(self, repos: DataFrame, segment: int, mode: str) -> None:
+        def put(rows: DataFrame, key: str, name: str) -> None:
+            dealt = rows.withColumn("segment", F.lit(segment)).withColumn("spread", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+            dealt.repartition("bucket", "spread").drop("spread").sortWithinPartitions(key, "id").write.mode(mode).partitionBy("bucket", "segment").parquet(f"{self.path}/{name}")
+
+        put(postings(repos, self.stemmed).withColumn("bucket", F.when(F.col("term") == "", WHOLE).otherwise(self._bucket("term"))), "term", "terms")
+        put(trigrams(repos).withColumn("bucket", self._bucket("gram")), "gram", "trigrams")
+        mine = self._table("terms").where((F.col("bucket") == WHOLE) & (F.col("segment") == segment))
+        mine.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).coalesce(1).write.mode(mode).parquet(f"{self.path}/stats")
+
+    def _segments(self) -> int:
+        return (self._table("terms").where(F.col("bucket") == WHOLE).agg(F.max("segment")).first()[0] or 0) + 1
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
+
+    def _dead(self) -> int:
+        if self.n_dead is None:
+            self.n_dead = self._table("dead").count()
+        return self.n_dead
+
+    def _buckets(self, keys: list[str]) -> list[int]:
+        """The buckets that hold these keys, as _bucket() gives them."""
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return sorted({signed(xxhash.xxh64_intdigest(k.encode(), seed=42)) % self.buckets for k in keys})
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        if not self._dead():
+            return rows
+        dead = self._table("dead").groupBy(F.col("id").alias("dead_id")).agg(F.max("upto").alias("upto"))
+        return rows.join(F.broadcast(dead) if self._dead() <= FEW_DEAD else dead, (F.col("id") == F.col("dead_id")) & (F.col("segment") <= F.col("upto")), "left_anti")
+
+    def upsert(self, repos: DataFrame) -> None:
+        """Documents new or changed; what the index had of their ids is dead from now on. Reads see the old or the new."""
+        segment = self._segments()
+        self._write(repos, segment, "append")
+        self.delete(repos, segment - 1)
+
+    def delete(self, ids: DataFrame, upto: int | None = None) -> None:
+        """Takes the documents with these ids out."""
+        upto = self._segments() - 1 if upto is None else upto
+        ids.select("id", F.lit(upto).cast("int").alias("upto")).write.mode("append").parquet(f"{self.path}/dead")
+        self.n_dead = None
+
+    def of(self, words: list[str]) -> list[str]:
+        """The index terms of words as they are written."""
+        return [stem(w) if self.stemmed else w for w in words]
+
+    def rows(self, terms: list[str]) -> DataFrame:
+        """id, term, len, places of some index terms; other buckets' files and row groups are not read."""
+        asked = list(dict.fromkeys(terms)) or [""]
+        found = self._table("terms").where(F.col("bucket").isin(self._buckets(asked)) & F.col("term").isin(asked) & (F.col("term") != ""))
+        return self._live(found).select("id", "term", "len", "places")
+
+    def terms(self) -> DataFrame:
+        """id, term, len, places of the whole index."""
+        return self._live(self._table("terms").where(F.col("bucket") != WHOLE)).select("id", "term", "len", "places")
+
+    def lengths(self) -> DataFrame:
+        """id, len of every document."""
+        return self._live(self._table("terms").where(F.col("bucket") == WHOLE)).select("id", "len")
+
+    def stats(self) -> DataFrame:
+        """One row: n documents and their mean length; from the segments' sums where nothing is dead."""
+        if not self._dead():
+            return self._table("stats").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean_len"))
+        return self.lengths().agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
+
+    def grams(self, grams: list[str]) -> DataFrame:
+        """id, gram of some trigrams."""
+        return self._live(self._table("trigrams").where(F.col("bucket").isin(self._buckets(grams)) & F.col("gram").isin(grams))).select("id", "gram")
+
+    def matches(self, terms: list[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+        """id, len, term (as asked), tf (weighted) of the terms of a query; a term of several words is a phrase."""
+        split = {t: self.of(index_words(t)) for t in terms}
+        single = {t: s[0] for t, s in split.items() if len(s) == 1}
+        named = F.explode(F.filter(F.array(*(F.when(F.col("term") == s, F.lit(t)) for t, s in single.items())), lambda x: x.isNotNull())) if single else F.lit("")
+        out = self.rows(list(single.values())).select("id", "len", named.alias("asked"), frequency(weights).alias("tf"))
+        for t, words in split.items():
+            if len(words) > 1:
+                out = out.unionByName(self._phrase(words).select("id", "len", F.lit(t).alias("asked"), frequency(weights).alias("tf")))
+        return out.where("tf > 0").withColumnRenamed("asked", "term")
+
+    def _phrase(self, words: list[str]) -> DataFrame:
+        """id, len, places where the words stand one after another."""
+        out = None
+        for k, w in enumerate(words):
+            here = self.rows([w]).select("id", "len", F.transform("places", lambda p: p - k).alias("places"))
+            out = here if out is None else out.join(here.select("id", F.col("places").alias("next")), "id").select("id", "len", F.array_intersect("places", "next").alias("places"))
+        return out.where(F.size("places") > 0)
+
+
+def opened(spark: SparkSession, path: str, buckets: int = 64, stemmed: bool = True) -> SearchIndex | None:
+    """The index under a path, if there is one."""
+    index = SearchIndex(spark, path, buckets, stemmed)
+    try:
+        index._table("dead")
+    except AnalysisException:
+        return None
+    return index

@@ -1,37 +1,27 @@
-"""Retrieval legs: each gives (id, score) over the whole index, then ranks what a candidate set leaves."""
+"""Retrieval legs over a persisted index: each gives (id, score) over all documents, then ranks what a candidate set leaves."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.functions.scoring import bm25, cosine, dot
-from starloom.operators.index import WEIGHTS, columns, trigrams
+from starloom.functions.scoring import bm25, cosine, dot, norm
+from starloom.operators.index import WEIGHTS, SearchIndex
+from starloom.sources.staging import staged
 
 MIN_AND_HITS = 3
-
-
-def _occurrences(words: Column, term: str) -> Column:
-    """How often a term, or the run of its words, stands in a token array."""
-    parts = term.split()
-    if len(parts) == 1:
-        return F.size(F.filter(words, lambda w: w == parts[0]))
-    needle, last = F.array(*map(F.lit, parts)), F.size(words) - len(parts) + 1
-    return F.when(last >= 1, F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(words, i, len(parts)) == needle))).otherwise(0)
-
-
-def term_matches(repos: DataFrame, terms: list[str], weights: dict[str, float] = WEIGHTS, stemmed: bool = False) -> DataFrame:
-    """id, len, term, tf: weighted frequencies of the query's terms only. One scan, counted inside each row."""
-    cols = columns(repos, stemmed).withColumn("len", sum((F.size(c) for c in weights), F.lit(0)))
-    tf = [F.struct(F.lit(t).alias("term"), sum((w * _occurrences(F.col(c), t) for c, w in weights.items()), F.lit(0.0)).alias("tf")) for t in terms]
-    return cols.select("id", "len", F.array(*tf).alias("x")).select("id", "len", F.explode(F.filter("x", lambda x: x["tf"] > 0)).alias("x")).select("id", "len", "x.term", "x.tf")
+#: Scores are rounded to so many digits before they are ranked, so that ties do not hang on the order of a sum.
+DIGITS = 9
+#: Numbers in the query vectors of one pass over the stored ones.
+BLOCK_NUMBERS = 1_000_000
 
 
 def scored(matches: DataFrame, stats: DataFrame) -> DataFrame:
     """id, n_terms, score: BM25 with document frequencies over the whole index."""
     df = matches.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     full = matches.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
-    return full.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum(bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n"))).alias("score"))
+    worth = bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n"))
+    return full.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum(worth), DIGITS).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -44,67 +34,81 @@ def among(scores: DataFrame, candidates: DataFrame | None) -> DataFrame:
     return scores if candidates is None else scores.join(candidates.select("id"), "id", "left_semi")
 
 
-def keyword_leg(repos: DataFrame, stats: DataFrame, terms: list[str], k: int, candidates: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    """All terms where enough documents have them, else any: one plan, the count decides inside it."""
-    hits = among(scored(term_matches(repos, terms, stemmed=stemmed), stats), candidates)
-    if len(terms) > 1:
-        full = F.col("n_terms") == len(terms)
-        enough = hits.where(full).limit(MIN_AND_HITS).agg((F.count("*") >= MIN_AND_HITS).alias("enough"))
-        hits = hits.crossJoin(F.broadcast(enough)).where(~F.col("enough") | full).drop("enough")  # one row
-    return top(hits.select("id", "score"), k)
+def enough_or_all(hits: DataFrame, n: int, least: int) -> DataFrame:
+    """The hits with all n terms where there are least of them, else all hits: one plan, the count decides inside it."""
+    full = F.col("n_terms") == n
+    enough = hits.where(full).limit(least).agg((F.count("*") >= least).alias("enough"))
+    return hits.crossJoin(F.broadcast(enough)).where(~F.col("enough") | full).drop("enough")  # one row
+
 
+def keyword_leg(index: SearchIndex, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
+    """All terms where enough documents have them, else any."""
+    hits = among(scored(index.matches(terms), index.stats()), candidates)
+    return top((enough_or_all(staged(hits, "hits"), len(terms), MIN_AND_HITS) if len(terms) > 1 else hits).select("id", "score"), k)
 
-def text_legs(repos: DataFrame, stats: DataFrame, words: list[str], more: list[str], k: int, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The keyword leg and, with more terms, the expanded leg, from one aggregate over the terms of both: their
-    exchanges are the same, so Spark scans the documents once."""
-    matches = term_matches(repos, list(dict.fromkeys([*words, *more])))
+
+def text_legs(index: SearchIndex, words: list[str], more: list[str], k: int, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The keyword leg and, with more terms, the expanded leg, from one read of the rows of both and one aggregate."""
+    matches = index.matches(list(dict.fromkeys([*words, *more])))
     df = matches.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
-    full = matches.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
+    full = matches.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats()))  # one row
     worth = bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n"))
     asked, added = F.col("term").isin(words), F.col("term").isin(more) if more else F.lit(False)
-    per = full.groupBy("id").agg(F.count(F.when(asked, 1)).alias("n_terms"), F.sum(F.when(asked, worth)).alias("asked"), F.sum(F.when(added, worth)).alias("added"))
-    per = among(per, candidates)
+    total = lambda of: F.round(F.sum(F.when(of, worth)), DIGITS)
+    per = full.groupBy("id").agg(F.count(F.when(asked, 1)).alias("n_terms"), total(asked).alias("asked"), total(added).alias("added"))
+    per = staged(among(per, candidates), "hits")  # read for both legs and for the count that decides
     hits = per.where("n_terms > 0")
-    if len(words) > 1:
-        whole = F.col("n_terms") == len(words)
-        enough = hits.where(whole).limit(MIN_AND_HITS).agg((F.count("*") >= MIN_AND_HITS).alias("enough"))
-        hits = hits.crossJoin(F.broadcast(enough)).where(~F.col("enough") | whole)  # one row
+    hits = enough_or_all(hits, len(words), MIN_AND_HITS) if len(words) > 1 else hits
     legs = {"keyword": top(hits.select("id", F.col("asked").alias("score")), k)}
     if more:
         legs["expanded"] = top(per.where("added is not null").select("id", F.col("added").alias("score")), k)
     return legs
 
 
-def any_leg(repos: DataFrame, stats: DataFrame, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
-    return top(among(scored(term_matches(repos, terms), stats), candidates).select("id", "score"), k)
+def any_leg(index: SearchIndex, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
+    return top(among(scored(index.matches(terms), index.stats()), candidates).select("id", "score"), k)
 
 
-def all_leg(repos: DataFrame, stats: DataFrame, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
-    return top(among(scored(term_matches(repos, terms), stats).where(F.col("n_terms") == len(terms)), candidates).select("id", "score"), k)
+def all_leg(index: SearchIndex, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
+    return top(among(scored(index.matches(terms), index.stats()).where(F.col("n_terms") == len(terms)), candidates).select("id", "score"), k)
 
 
-def trigram_leg(repos: DataFrame, text: str) -> DataFrame:
-    """Documents whose name, description or topics hold the text, by its trigrams and then exactly."""
+def trigram_leg(index: SearchIndex, repos: DataFrame, text: str) -> DataFrame:
+    """Documents whose name, description or topics hold the text: those with all its trigrams, then exactly."""
     text = text.lower()
     grams = sorted({text[i : i + 3] for i in range(len(text) - 2)})
     if not grams:
         return repos.select("id").limit(0)
-    held = trigrams(repos).where(F.col("gram").isin(grams)).groupBy("id").count().where(F.col("count") == len(grams)).select("id")
+    held = index.grams(grams).groupBy("id").count().where(F.col("count") == len(grams)).select("id")
     whole = F.lower(F.concat_ws("\n", "full_name", "description", F.array_join("topics", " ")))
     return repos.join(held, "id", "left_semi").where(F.contains(whole, F.lit(text))).select("id")
 
 
 def vector_leg(vectors: DataFrame, query: list[float], k: int, candidates: DataFrame | None = None, normalised: bool = False) -> DataFrame:
-    """The k nearest vectors; the query is a literal, so the scan needs no join and top-k no shuffle."""
+    """The k nearest vectors; the query is a literal, so the scan needs no join and top-k no shuffle. A column norm of the
+    vectors is used where there is one."""
     if k <= 0:
         return top(vectors.select("id", F.lit(0.0).alias("score")).limit(0), 1)
     q = F.array(*(F.lit(float(x)) for x in query))
-    return top(among(vectors.select("id", (dot if normalised else cosine)(F.col("vector"), q).alias("score")), candidates), k)
+    own = F.col("norm") if "norm" in vectors.columns else None
+    score = dot(F.col("vector"), q) if normalised else cosine(F.col("vector"), q, own, F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
+    return top(among(vectors.select("id", F.round(score, DIGITS).alias("score")), candidates), k)
 
 
 def batch_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, score, rank for a bounded set of query vectors; they are broadcast, the corpus is not moved."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    ranked = pairs.select("query_id", "id", cosine(F.col("vector"), F.col("q")).alias("score"))
+    """query_id, id, score, rank: the k nearest stored vectors of each of queries(query_id, vector).
+
+    Queries travel to the vectors in blocks of a bounded number of numbers, one pass over the vectors for each block. A pass
+    keeps the k best of each query in every partition, so what is shuffled does not grow with the vectors.
+    """
+    width = queries.select(F.size("vector").alias("n")).agg(F.max("n"), F.count("*")).first()
+    blocks = max(1, -(-(width[0] or 1) * (width[1] or 1) // BLOCK_NUMBERS))
+    dealt = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("q_norm"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    stored = vectors.select("id", "vector", norm(F.col("vector")).alias("norm"))
+    out = None
+    for b in range(blocks):
+        pairs = stored.join(F.broadcast(dealt.where(F.col("block") == b)), F.size("vector") == F.size("q"))  # at most about BLOCK_NUMBERS
+        ranked = pairs.select("query_id", "id", F.round(cosine(F.col("vector"), F.col("q"), F.col("norm"), F.col("q_norm")), DIGITS).alias("score"))
+        out = ranked if out is None else out.unionByName(ranked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return ranked.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.text import README_LIMIT
+from starloom.sources.staging import staged
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -83,9 +84,9 @@ def same_ids(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def memberships(groups: DataFrame, group_repos: DataFrame) -> DataFrame:
-    """Every group with its repository ids in order; an empty list for none."""
-    lists = group_repos.groupBy("slug").agg(F.sort_array(F.collect_set("repo_id")).alias("repo_ids"))
-    return groups.join(lists, "slug", "left").select("id", "slug", "name", "position", F.coalesce("repo_ids", F.array().cast("array<bigint>")).alias("repo_ids"))
+    """Every group with each of its repositories once, in rows; a null repo_id for a group without any. A group of any size spreads over
+    tasks; a page makes a list of the few that it shows."""
+    return groups.select("id", "slug", "name", "position").join(group_repos.select("slug", "repo_id").distinct(), "slug", "left")
 
 
 def groups_of(group_repos: DataFrame) -> DataFrame:
@@ -95,14 +96,42 @@ def groups_of(group_repos: DataFrame) -> DataFrame:
 
 def budgeted_text(docs: DataFrame, budget: int = 20 * 1024 * 1024, cap: int = README_LIMIT) -> DataFrame:
     """login, id, indexed_chars: documents of a login in id order keep their text while it still fits a running
-    budget; one that does not fit is skipped and takes nothing. Sequential inside a login, so a fold over
-    the login's (id, length) pairs, eight bytes or so each; logins run in parallel."""
-    size = F.least(F.length("readme"), F.lit(cap)).cast("long")
-    lists = docs.groupBy("login").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce(size, F.lit(0)).alias("n")))).alias("docs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,n:bigint>>").alias("out"))
-
-    def step(acc, d):
-        fits = acc["used"] + d["n"] <= budget
-        return F.struct((acc["used"] + F.when(fits, d["n"]).otherwise(0)).alias("used"), F.array_append(acc["out"], F.struct(d["id"].alias("id"), F.when(fits, d["n"]).otherwise(F.lit(0).cast("long")).alias("n"))).alias("out"))
-
-    return lists.select("login", F.inline(F.aggregate("docs", start, step, lambda a: a["out"]))).toDF("login", "id", "indexed_chars")
+    budget; one that does not fit is skipped and takes nothing.
+
+    Rows are dealt by ranges of login and id, so a login's documents spread over tasks. In a round each login takes the longest run of
+    documents that fits, from sums by range and, only in the range that the budget ends in, a sum row by row. The document after it is
+    skipped, with all that are larger than what is left; rounds go on behind it until every login has come to its end.
+    """
+    size = F.least(F.coalesce(F.length("readme"), F.lit(0)), F.lit(cap)).cast("long")
+    dealt = docs.select("login", "id", size.alias("n")).repartitionByRange("login", "id").sortWithinPartitions("login", "id", "n")
+    rows = staged(dealt.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "dealt")
+    state = rows.groupBy("login").agg(F.lit(budget).cast("long").alias("left"), F.lit(-1).cast("long").alias("at"))
+    parts_before = Window.partitionBy("login").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    kept = None
+    while True:
+        state = staged(state, "state")
+        ahead = rows.join(state, "login").where("row > at and n <= left")
+        sums = ahead.groupBy("login", "part", "left").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(parts_before), F.lit(0)))
+        cut = staged(sums.where("before + s > left").groupBy("login").agg(F.min(F.struct("part", "before")).alias("c")).select(F.col("login").alias("cut_login"), F.col("c.part").alias("cut_part"), F.col("c.before").alias("before")), "cut")
+        placed = ahead.join(cut, F.col("login") == F.col("cut_login"), "left")
+        whole = placed.where("cut_part is null or part < cut_part").select("row", "n")
+        run = F.sum("n").over(Window.partitionBy("login").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+        inside = staged(placed.where("part = cut_part").withColumn("fits", F.col("before") + run <= F.col("left")).select("login", "row", "n", "left", "before", "fits"), "inside")
+        ends = inside.groupBy("login").agg(F.min(F.when(~F.col("fits"), F.col("row"))).alias("at"), F.min(F.col("left") - F.col("before")).alias("left"))
+        taken = inside.join(ends.select(F.col("login").alias("end_login"), F.col("at").alias("end")), F.col("login") == F.col("end_login")).where("row < end")
+        new = staged(whole.unionByName(taken.select("row", "n")), "kept")
+        kept = new if kept is None else kept.unionByName(new)
+        if cut.isEmpty():
+            break
+        used = taken.groupBy(F.col("login").alias("used_login")).agg(F.sum("n").alias("used"))
+        state = ends.join(used, F.col("login") == F.col("used_login"), "left").select("login", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), "at")
+    return rows.join(kept.withColumnRenamed("n", "kept"), "row", "left").select("login", "id", F.coalesce("kept", F.lit(0)).cast("long").alias("indexed_chars"))
+
+
+def fan_in(parts: list[DataFrame], old: DataFrame, window: DataFrame) -> DataFrame:
+    """Vectors of the window's ids from the parts(id, vector) of a run, later parts over earlier ones and all over the old ones."""
+    rows = None
+    for k, p in enumerate(parts):
+        part = p.select("id", F.struct(F.lit(k).alias("k"), "vector").alias("x"))
+        rows = part if rows is None else rows.unionByName(part)
+    return overlay(old, rows.groupBy("id").agg(F.max_by("x", "x.k").alias("x")).select("id", "x.vector"), window)

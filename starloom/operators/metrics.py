@@ -38,6 +38,25 @@ def mean_metrics(metrics: DataFrame, by: str | None = None) -> DataFrame:
     return metrics.groupBy(by).agg(*means) if by else metrics.agg(*means)
 
 
+def filter_precision(results: DataFrame, repos: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, hits, violations, precision of results(query_id, id) under asked(query_id, language): a hit of another language (none
+    counts as unknown) violates its filter; queries without a filter have none."""
+    known = repos.select("id", F.lower(F.coalesce("language", F.lit("unknown"))).alias("has"))
+    rows = results.join(asked, "query_id").join(known, "id", "left")
+    off = F.col("language").isNotNull() & (F.coalesce("has", F.lit("unknown")) != F.lower("language"))
+    out = rows.groupBy("query_id").agg(F.count("*").alias("hits"), F.sum(off.cast("long")).alias("violations"))
+    return out.withColumn("precision", 1 - F.col("violations") / F.col("hits"))
+
+
+def ablation(runs: dict[str, DataFrame], grades: DataFrame, queries: DataFrame) -> DataFrame:
+    """The query metrics of several runs (say with and without boosts) side by side, with a column run."""
+    out = None
+    for name, ranked in runs.items():
+        part = query_metrics(ranked, grades, queries).withColumn("run", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def orphans(grades: DataFrame, repos: DataFrame) -> DataFrame:
     """Graded ids that the corpus does not have."""
     return grades.join(repos.select("id"), "id", "left_anti")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from dataclasses import dataclass, field
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.functions.text import QUERY_LIMIT, clean_query, phrases, tokens
+from starloom.functions.text import clean_query, cleaned, phrases, token_list, tokens
 from starloom.operators.filters import Filters
 from starloom.plans.lexicon import CONCEPTS
 
@@ -17,23 +16,14 @@ MODES, SORTS = ("auto", "keyword", "semantic", "hybrid"), ("relevance", "stars",
 MAX_EXPANSION, MAX_OFFSET, MAX_LIMIT, LIMIT = 8, 10_000, 50, 20
 #: Signs of a name rather than words: digits and joining marks, camel case, owner/name (fixed values).
 SIGNAL, CAMEL, REPO_NAME = r"[0-9_./@:#-]", r"\p{Ll}\p{Lu}", r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
-_SPLIT = (re.compile(r"([A-ZÀ-Þ]+)([A-ZÀ-Þ][a-zß-ÿ])"), re.compile(r"([a-z0-9ß-ÿ])([A-ZÀ-Þ])"))
 
 
-def normalize(text: str) -> str:
-    text = "".join(" " if unicodedata.category(c) == "Cc" else c for c in unicodedata.normalize("NFC", text or ""))
-    return " ".join(text.split())[:QUERY_LIMIT]
-
-
-def tokenize(text: str) -> list[str]:
-    for p in _SPLIT:
-        text = p.sub(r"\1 \2", text)
-    return re.findall(r"[^\W_]+", text.lower())
+normalize, tokenize = cleaned, token_list
 
 
 def classify(text: str) -> str:
     text = normalize(text)
-    if text and " " not in text and (re.search(SIGNAL, text) or _SPLIT[1].search(text) or re.match(REPO_NAME, text)):
+    if text and " " not in text and (regex.search(SIGNAL, text) or regex.search(CAMEL, text) or regex.match(REPO_NAME, text)):
         return "identifier"
     return "keyword" if len(tokenize(text)) <= 2 else "descriptive"
 
@@ -93,10 +83,10 @@ def archived_choice(choice: str | None) -> bool | None:
 
 def classified(queries: DataFrame, column: str = "query") -> DataFrame:
     """queries with kind and n_tokens."""
-    q = clean_query(F.col(column))
+    queries, q = queries.withColumn("__cleaned", clean_query(F.col(column))), F.col("__cleaned")
     words = tokens(q)
     name = (q != "") & ~F.contains(q, F.lit(" ")) & (q.rlike(SIGNAL) | q.rlike(CAMEL) | q.rlike(REPO_NAME))
-    return queries.withColumn("kind", F.when(name, "identifier").when(F.size(words) <= 2, "keyword").otherwise("descriptive")).withColumn("n_tokens", F.size(words))
+    return queries.withColumn("kind", F.when(name, "identifier").when(F.size(words) <= 2, "keyword").otherwise("descriptive")).withColumn("n_tokens", F.size(words)).drop("__cleaned")
 
 
 def concept_table(spark, concepts: dict = CONCEPTS) -> DataFrame:
@@ -107,7 +97,7 @@ def concept_table(spark, concepts: dict = CONCEPTS) -> DataFrame:
 
 def expanded(queries: DataFrame, id_col: str = "query_id", column: str = "query", concepts: dict = CONCEPTS) -> DataFrame:
     """query id and the concepts it names, in the lexicon's order. The lexicon is broadcast: its size is fixed."""
-    words = tokens(clean_query(F.col(column)))
-    said = queries.select(id_col, F.explode(F.array_distinct(F.concat(words, phrases(words)))).alias("trigger"))
+    words = tokens(F.col("cleaned"))
+    said = queries.withColumn("cleaned", clean_query(F.col(column))).select(id_col, F.explode(F.array_distinct(F.concat(words, phrases(words)))).alias("trigger"))
     hit = said.join(F.broadcast(concept_table(queries.sparkSession, concepts)), "trigger").select(id_col, "place", "concept").distinct()
     return hit.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "concept"))), lambda x: x["concept"]).alias("concepts"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from starloom.functions import display as D
 from starloom.functions import scoring as S
 from starloom.functions import text as T
-from starloom.functions.text import FOLDED, MARKED
+from starloom.functions.stem_sql import stem_ctes
+from starloom.functions.stemming import stem
+from starloom.functions.text import FOLDED, MARKED, index_words
 from starloom.operators import filters as FL
 from starloom.operators import fusion as FU
 from starloom.operators import index as IX
@@ -19,10 +21,11 @@ from starloom.operators import merging as MG
 from starloom.operators import metrics as ME
 from starloom.operators import planning as PL
 from starloom.operators import ranking as RK
-from starloom.plans.engine import Engine
+from starloom.plans.engine import Engine, index_over
 from starloom.plans.lab import lab_search as lab_plan
+from starloom.plans.lab import pooled
 from starloom.plans.lexicon import CONCEPTS
-from starloom.plans.query import SearchRequest, classified, expanded, tokenize
+from starloom.plans.query import SearchRequest, classified, expand, expanded, tokenize
 from starloom.sources import tables, wire
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,16 +60,35 @@ PLAIN = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 INDEX = f"""+cols AS (SELECT id, {TOKENS("COALESCE(full_name, '')")} AS c1, {TOKENS("COALESCE(description, '')")} AS c2, {TOKENS("array_to_string(topics, ' ')")} AS c3, {TOKENS("COALESCE(readme, '')")} AS c4 FROM repos),
 lens AS (SELECT id, len(c1) + len(c2) + len(c3) + len(c4) AS len FROM cols),
 stats AS (SELECT count(*) AS n, avg(len) AS mean_len FROM lens),
-toks AS (SELECT id, unnest(c1) AS term, 10.0::DOUBLE AS w FROM cols UNION ALL SELECT id, unnest(c2), 5.0 FROM cols UNION ALL SELECT id, unnest(c3), 4.0 FROM cols UNION ALL SELECT id, unnest(c4), 1.0 FROM cols)"""
-SCORE = """dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-hits AS (SELECT tf.id, count(*) AS n_terms, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))) AS score
-    FROM tf JOIN dfs USING (term) JOIN lens USING (id), stats GROUP BY tf.id)"""
+raw AS (SELECT id, 1 AS col, unnest(c1) AS word, generate_subscripts(c1, 1) AS pos FROM cols UNION ALL SELECT id, 2, unnest(c2), generate_subscripts(c2, 1) FROM cols
+    UNION ALL SELECT id, 3, unnest(c3), generate_subscripts(c3, 1) FROM cols UNION ALL SELECT id, 4, unnest(c4), generate_subscripts(c4, 1) FROM cols),
+{stem_ctes("SELECT word FROM raw")},
+toks AS (SELECT id, stem AS term, col, pos, CASE col WHEN 1 THEN 10.0::DOUBLE WHEN 2 THEN 5 WHEN 3 THEN 4 ELSE 1 END AS w, CASE col WHEN 1 THEN 8.0::DOUBLE WHEN 2 THEN 3 WHEN 3 THEN 3 ELSE 1 END AS lab_w FROM raw JOIN stems USING (word))"""
+WORTH = "CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len))"
 
 
-def _bm25_sql(terms: list[str], where: str = "TRUE", extra: str = "", k: int = 50) -> str:
-    listed = ", ".join(f"'{t}'" for t in terms)
-    return f"""{INDEX}, tf AS (SELECT id, term, sum(w) AS tf FROM toks WHERE term IN ({listed}) GROUP BY id, term), {SCORE}{extra}
-SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits WHERE {where} ORDER BY score DESC, id LIMIT {k}"""
+def _tf_sql(terms: list[str], weight: str = "w") -> str:
+    """id, term, tf of terms as they are asked for, phrases among them."""
+    parts = []
+    for t in terms:
+        words = [stem(w) for w in index_words(t)]
+        joins = "".join(f" JOIN toks t{k} ON t{k}.id = t0.id AND t{k}.col = t0.col AND t{k}.pos = t0.pos + {k} AND t{k}.term = '{w}'" for k, w in enumerate(words) if k)
+        parts.append(f"SELECT t0.id, '{t}' AS term, sum(t0.{weight}) AS tf FROM toks t0{joins} WHERE t0.term = '{words[0]}' GROUP BY t0.id")
+    return " UNION ALL ".join(parts)
+
+
+def _hits_sql(name: str, terms: list[str], weight: str = "w") -> str:
+    """CTE name(id, n_terms, score)."""
+    return f"{name}_tf AS ({_tf_sql(terms, weight)}), {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term), {name} AS (SELECT f.id, count(*) AS n_terms, round(sum({WORTH}), 9) AS score FROM {name}_tf f JOIN {name}_df USING (term) JOIN lens USING (id), stats GROUP BY f.id)"
+
+
+def _top_sql(name: str, hits: str, where: str = "TRUE", k: int = 50) -> str:
+    """CTE name(id, score, rank): the best k of hits."""
+    return f"{name} AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {hits} WHERE {where} ORDER BY score DESC, id LIMIT {k})"
+
+
+def _bm25_sql(terms: list[str], where: str = "TRUE", weight: str = "w") -> str:
+    return f"""{INDEX}, {_hits_sql("hits", terms, weight)}, {_top_sql("best", "hits", where)} SELECT id, round(score, 6) AS score, rank FROM best"""
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -135,9 +157,9 @@ def repo_detail(spark, d):
     return Engine.over(spark, d).show("src6/doc-6").select("id", "owner", "name", "description", "starred_at", "slugs")
 
 
-@query("SELECT g.id::BIGINT AS id, g.slug, g.position, COALESCE(list_sort(list(DISTINCT r.repo_id) FILTER (r.repo_id IS NOT NULL)), []) AS repo_ids FROM groups g LEFT JOIN group_repos r USING (slug) GROUP BY ALL")
+@query("SELECT DISTINCT g.id::BIGINT AS id, g.slug, g.position, r.repo_id FROM groups g LEFT JOIN group_repos r USING (slug)")
 def group_membership(spark, d):
-    return MG.memberships(tables.groups(spark), tables.group_repos(spark, d)).select("id", "slug", "position", "repo_ids")
+    return MG.memberships(tables.groups(spark), tables.group_repos(spark, d)).select("id", "slug", "position", "repo_id")
 
 
 @query("SELECT repo_id, list_sort(list(DISTINCT slug)) AS slugs FROM group_repos GROUP BY repo_id")
@@ -160,10 +182,43 @@ def name_df(spark, d):
     return FU.name_df(tables.repos(spark, d))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN readme IS NULL THEN 'missing' WHEN length(readme) > 0 THEN 'ok' ELSE 'error' END AS status FROM repos) GROUP BY status")
+_STORED = "CASE id % 5 WHEN 0 THEN 'present' WHEN 1 THEN 'missing' WHEN 2 THEN 'too_big' WHEN 3 THEN 'pending' END"
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN s IN ('present', 'too_big') THEN 'ok' WHEN s IN ('missing', 'pending') THEN s ELSE 'error' END AS status FROM (SELECT {_STORED} AS s FROM repos)) GROUP BY status")
 def readme_states(spark, d):
-    state = F.when(F.col("readme").isNull(), "missing").when(F.length("readme") > 0, "ok").otherwise("error")
-    return tables.repos(spark, d).groupBy(state.alias("status")).agg(F.count("*").alias("n"))
+    return tables.repos(spark, d).groupBy(tables.fetch_status(F.expr(_STORED)).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT login, CASE WHEN n % 3 = 0 THEN 'never' WHEN n % 3 = 1 THEN 'empty' ELSE 'never' END AS state, CASE WHEN n % 3 > 0 THEN n END AS checked_at FROM (SELECT login, count(*) AS n FROM user_stars GROUP BY login)")
+def lists_states(spark, d):
+    n = tables.user_stars(spark, d).groupBy("login").agg(F.count("*").alias("n"))
+    stored = n.where("n % 3 > 0").select("login", F.when(F.col("n") % 3 == 1, "empty").otherwise("odd").alias("state"), F.lit(None).cast("string").alias("error"), F.col("n").alias("checked_at"))
+    return tables.lists_info(n, stored).select("login", "state", "checked_at")
+
+
+@query("SELECT login, 0::BIGINT AS semantic_docs, count(*) AS stars FROM user_stars GROUP BY login")
+def hidden_counters(spark, d):
+    states = tables.user_stars(spark, d).groupBy("login").agg(F.count("*").alias("semantic_docs"), F.count("*").alias("stars"))
+    return tables.without_semantic(states, False)
+
+
+@query("SELECT login, 'fts_u_' || regexp_replace(replace(lower(login), '-', '_'), '[^a-z0-9_]', '', 'g') AS name FROM (SELECT DISTINCT 'U-' || login || '.X' AS login FROM user_stars)")
+def index_names(spark, d):
+    logins = tables.user_stars(spark, d).select(F.concat(F.lit("U-"), "login", F.lit(".X")).alias("login")).distinct()
+    return logins.select("login", T.table_name(F.col("login")).alias("name"))
+
+
+@query("SELECT name, array_to_string(list_transform(string_split(name, '_'), lambda x, i: CASE WHEN i > 1 THEN upper(left(x, 1)) || substring(x, 2) ELSE x END), '') AS camel FROM (SELECT DISTINCT lower(event_type) || '_of_' || user_id % 7 || 'x_y' AS name FROM events)")
+def camel_names(spark, d):
+    names = tables.read(spark, d, "events").select(F.concat(F.lower("event_type"), F.lit("_of_"), (F.col("user_id") % 7).cast("string"), F.lit("x_y")).alias("name")).distinct()
+    return names.select("name", T.camelized(F.col("name")).alias("camel"))
+
+
+@query("SELECT count(*) AS candidates, count(v.id) AS vectors, least(1.0::DOUBLE, count(v.id)::DOUBLE / count(*)) AS coverage FROM repos r LEFT JOIN vectors v USING (id) WHERE r.language = 'en'")
+def semantic_coverage(spark, d):
+    engine = Engine.over(spark, d)
+    return engine.coverage(engine.repos.where("language = 'en'"))
 
 
 # ---- text ----
@@ -211,82 +266,108 @@ def compact_numbers(spark, d):
     return tables.repos(spark, d).select("id", D.compact(F.col("stars")).alias("stars"))
 
 
-@query()
+def _snippet_ctes(rows: str, terms: list[str], name: str = "") -> str:
+    """CTEs that end in snip(id, snippet) for rows with id, readme, description."""
+    edge, words = "[^\\p{L}\\p{N}]", "|".join(terms)
+    hit = f"(?:^|{edge})({words})(?:$|{edge})"
+    return f"""{name}t AS (SELECT id, trim(regexp_replace(readme, '\\s+', ' ', 'g')) AS body, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS about FROM {rows}),
+{name}f AS (SELECT id, body, about, CASE WHEN COALESCE(regexp_matches(lower(body), '{hit}'), FALSE) THEN body ELSE about END AS x, COALESCE(regexp_matches(lower(body), '{hit}'), FALSE) OR COALESCE(regexp_matches(lower(about), '{hit}'), FALSE) AS hit FROM {name}t),
+{name}p AS (SELECT *, CASE WHEN regexp_matches(lower(x), '^({words})(?:$|{edge})') THEN 1 WHEN hit THEN length(regexp_extract(lower(x), '(?s)^(.*?){hit}', 1)) + 2 END AS spot FROM {name}f),
+{name}s0 AS (SELECT *, greatest(spot - 60, 1) AS s0 FROM {name}p),
+{name}s1 AS (SELECT *, CASE WHEN s0 > 1 AND instr(substring(x, s0, 60), ' ') > 0 THEN s0 + instr(substring(x, s0, 60), ' ') ELSE s0 END AS start FROM {name}s0),
+{name}c AS (SELECT *, substring(x, start, 220) AS piece, start + 220 <= length(x) AS more FROM {name}s1),
+{name}e AS (SELECT *, CASE WHEN instr(reverse(piece), ' ') > 0 THEN length(piece) - instr(reverse(piece), ' ') ELSE length(piece) END AS last FROM {name}c),
+{name}snip AS (SELECT id, CASE WHEN hit THEN CASE WHEN start > 1 THEN '…' ELSE '' END || trim(CASE WHEN more AND last > 0 AND last < length(piece) THEN substring(piece, 1, last) ELSE piece END) || CASE WHEN more THEN '…' ELSE '' END
+    WHEN about IS NULL THEN '' WHEN length(about) > 220 THEN rtrim(substring(about, 1, 219)) || '…' ELSE about END AS snippet FROM {name}e)"""
+
+
+@query(f"+{_snippet_ctes('repos', ANY)} SELECT id, snippet FROM snip")
 def snippet_window(spark, d):
     return tables.repos(spark, d).select("id", T.snippet(F.col("readme"), F.col("description"), ANY).alias("snippet"))
 
 
 @query("SELECT DISTINCT r.id FROM repos r WHERE contains(lower(concat_ws(chr(10), full_name, description, array_to_string(topics, ' '))), 'then')")
 def trigram_match(spark, d):
-    return LG.trigram_leg(tables.repos(spark, d), "then")
+    return LG.trigram_leg(index_over(spark, d), tables.repos(spark, d), "then")
 
 
 # ---- ranking over the index ----
 
 
-def _index(spark, d):
-    repos = tables.repos(spark, d)
-    return repos, IX.corpus_stats(repos)
-
-
 @query(_bm25_sql(ANY))
 def bm25_or(spark, d):
-    return _rounded(LG.any_leg(*_index(spark, d), ANY, 50), "score")
+    return _rounded(LG.any_leg(index_over(spark, d), ANY, 50), "score")
 
 
 @query(_bm25_sql(BOTH, "n_terms = 2"))
 def bm25_and(spark, d):
-    return _rounded(LG.all_leg(*_index(spark, d), BOTH, 50), "score")
+    return _rounded(LG.all_leg(index_over(spark, d), BOTH, 50), "score")
 
 
 @query(_bm25_sql(RARE, "n_terms = 2 OR (SELECT count(*) FROM hits WHERE n_terms = 2) < 3"))
 def bm25_fallback(spark, d):
-    return _rounded(LG.keyword_leg(*_index(spark, d), RARE, 50), "score")
+    return _rounded(LG.keyword_leg(index_over(spark, d), RARE, 50), "score")
 
 
 @query(_bm25_sql(ANY, "id IN (SELECT id FROM repos WHERE language = 'en' AND NOT archived)"))
 def bm25_candidates(spark, d):
-    repos, stats = _index(spark, d)
-    return _rounded(LG.any_leg(repos, stats, ANY, 50, repos.where(FL.predicate(FL.Filters(language="en", archived=False)))), "score")
+    found = tables.repos(spark, d).where(FL.predicate(FL.Filters(language="en", archived=False)))
+    return _rounded(LG.any_leg(index_over(spark, d), ANY, 50, found), "score")
 
 
-@query(f"{INDEX}, tf AS (SELECT id, term, sum(CASE w WHEN 10 THEN 8 WHEN 5 THEN 3 WHEN 4 THEN 3 ELSE 1 END)::DOUBLE AS tf FROM toks WHERE term IN ('token', 'idiot', 'example') GROUP BY id, term), {SCORE} SELECT id, n_terms, round(score, 6) AS score FROM hits")
+@query(f"{INDEX}, {_hits_sql('hits', ANY, 'lab_w')} SELECT id, n_terms, round(score, 6) AS score FROM hits")
 def bm25_weighted(spark, d):
-    repos, stats = _index(spark, d)
-    return _rounded(LG.scored(LG.term_matches(repos, ANY, IX.LAB_WEIGHTS), stats), "score")
+    index = index_over(spark, d)
+    return _rounded(LG.scored(index.matches(ANY, IX.LAB_WEIGHTS), index.stats()), "score")
 
 
-@query(f"""{INDEX}, runs AS (SELECT id, 'of the' AS term, 10.0 * len(list_filter(range(1, len(c1)), lambda i: c1[i] = 'of' AND c1[i + 1] = 'the')) + 5.0 * len(list_filter(range(1, len(c2)), lambda i: c2[i] = 'of' AND c2[i + 1] = 'the'))
-    + 4.0 * len(list_filter(range(1, len(c3)), lambda i: c3[i] = 'of' AND c3[i + 1] = 'the')) + 1.0 * len(list_filter(range(1, len(c4)), lambda i: c4[i] = 'of' AND c4[i + 1] = 'the')) AS t FROM cols),
-tf AS (SELECT id, term, t::DOUBLE AS tf FROM runs WHERE t > 0), {SCORE} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits ORDER BY score DESC, id LIMIT 50""")
+@query(_bm25_sql(["of the", "and the in"]))
 def bm25_phrase(spark, d):
-    return _rounded(LG.any_leg(*_index(spark, d), ["of the"], 50), "score")
+    return _rounded(LG.any_leg(index_over(spark, d), ["of the", "and the in"], 50), "score")
 
 
-@query()
+@query(_bm25_sql(["tokens", "examples", "idiotic"], "n_terms = 3 OR (SELECT count(*) FROM hits WHERE n_terms = 3) < 3"))
 def bm25_porter(spark, d):
-    repos, stats = _index(spark, d)
-    return _rounded(LG.keyword_leg(repos, stats, ["token", "exampl"], 50, stemmed=True), "score")
+    return _rounded(LG.keyword_leg(index_over(spark, d), ["tokens", "examples", "idiotic"], 50), "score")
 
 
-@query(f"{INDEX} SELECT term, count(DISTINCT id) AS df, round(sum(w), 3) AS tf FROM toks GROUP BY term HAVING count(DISTINCT id) >= 5")
+@query(f"{INDEX} SELECT term, count(DISTINCT id) AS df, round(sum(w), 3) AS tf FROM toks GROUP BY term")
 def term_statistics(spark, d):
-    rows = IX.frequencies(tables.repos(spark, d))
-    return rows.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 3).alias("tf")).where("df >= 5")
+    rows = index_over(spark, d).terms().select("term", IX.frequency(IX.WEIGHTS).alias("tf"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("tf"), 3).alias("tf"))
+
+
+@query(f"{INDEX} SELECT (SELECT count(*) FROM lens) AS documents, (SELECT round(avg(len), 6) FROM lens) AS mean_len, count(*) AS postings, count(DISTINCT term) AS terms FROM (SELECT DISTINCT id, term FROM toks)")
+def index_build(spark, d):
+    """Builds the index anew and sums it up."""
+    index = IX.SearchIndex.build(tables.repos(spark, d))
+    docs = index.stats().select(F.col("n").alias("documents"), F.round("mean_len", 6).alias("mean_len"))
+    return docs.crossJoin(F.broadcast(index.terms().agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))))  # one row each
+
+
+@query(f"""+kept AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'changed idiots ' || name ELSE readme END AS readme, full_name, description, topics FROM repos WHERE id % 7 <> 0), {INDEX[1:].replace("FROM repos)", "FROM kept)", 1)}, {_hits_sql("hits", ANY)}, {_top_sql("best", "hits")} SELECT id, round(score, 6) AS score, rank FROM best""")
+def index_upsert(spark, d):
+    """An index after some documents were changed and some taken out."""
+    repos = tables.repos(spark, d)
+    index = IX.SearchIndex.build(repos)
+    index.upsert(repos.where("id % 5 = 0").withColumn("readme", F.concat(F.lit("changed idiots "), "name")))
+    index.delete(repos.where("id % 7 = 0"))
+    return _rounded(LG.any_leg(index, ANY, 50), "score")
 
 
-BATCH_SQL = f"""{INDEX}, asked AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS("text")})) AS term FROM benchmark WHERE item_id % 4 = 0), tf AS (SELECT id, term, sum(w) AS tf FROM toks WHERE term IN (SELECT term FROM asked) GROUP BY id, term),
+BATCH_SQL = f"""{INDEX}, said AS (SELECT item_id AS query_id, unnest({TOKENS("text")}) AS word FROM benchmark), {stem_ctes("SELECT word FROM said").replace("porter", "item_porter").replace("stems AS", "item_stems AS").replace("vocabulary", "item_words")},
+asked AS (SELECT DISTINCT query_id, stem AS term FROM said JOIN item_stems USING (word)), tf AS (SELECT id, term, sum(w) AS tf FROM toks WHERE term IN (SELECT term FROM asked) GROUP BY id, term),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-worth AS (SELECT term, tf.id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean_len)) AS s FROM tf JOIN dfs USING (term) JOIN lens USING (id), stats),
-scores AS (SELECT query_id, id, round(sum(s), 6) AS score FROM asked JOIN worth USING (term) GROUP BY 1, 2)
+worth AS (SELECT term, tf.id, {WORTH} AS s FROM tf JOIN dfs USING (term) JOIN lens USING (id), stats),
+scores AS (SELECT query_id, id, sum(s) AS score FROM asked JOIN worth USING (term) GROUP BY 1, 2)
 SELECT query_id, count(*) AS hits, round(max(score), 4) AS best FROM scores GROUP BY query_id"""
 
 
 @query(BATCH_SQL)
 def batch_search(spark, d):
-    asked = tables.read(spark, d, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = Engine.over(spark, d).batch_keyword(asked, 1 << 30)
-    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max(F.round("score", 6)), 4).alias("best"))
+    asked = tables.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = Engine.over(spark, d).batch_keyword(asked, None)
+    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 4).alias("best"))
 
 
 # ---- vectors ----
@@ -298,31 +379,31 @@ def _first_vector(vectors: DataFrame) -> list[float]:
     return list(vectors.orderBy("id").first().vector)
 
 
-@query(f"+{FIRST} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, q ORDER BY 3 LIMIT 20")
+@query(f"+{FIRST} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY round(list_cosine_similarity(vector, qv), 9) DESC, id) AS rank FROM vectors, q ORDER BY 3 LIMIT 20")
 def knn_cosine(spark, d):
     v = tables.vectors(spark, d)
     return _rounded(LG.vector_leg(v, _first_vector(v), 20), "score")
 
 
-@query(f"+{FIRST} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, q WHERE label = 3 ORDER BY 3 LIMIT 20")
+@query(f"+{FIRST} SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY round(list_cosine_similarity(vector, qv), 9) DESC, id) AS rank FROM vectors, q WHERE label = 3 ORDER BY 3 LIMIT 20")
 def knn_filtered(spark, d):
     v = tables.vectors(spark, d)
     return _rounded(LG.vector_leg(v, _first_vector(v), 20, v.where("label = 3")), "score")
 
 
-@query(f"+{FIRST} SELECT id, round(list_dot_product(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_dot_product(vector, qv) DESC, id) AS rank FROM vectors, q ORDER BY 3 LIMIT 20")
+@query(f"+{FIRST} SELECT id, round(list_dot_product(vector, qv), 6) AS score, row_number() OVER (ORDER BY round(list_dot_product(vector, qv), 9) DESC, id) AS rank FROM vectors, q ORDER BY 3 LIMIT 20")
 def dot_topk(spark, d):
     v = tables.vectors(spark, d)
     return _rounded(LG.vector_leg(v, _first_vector(v), 20, normalised=True), "score")
 
 
-@query("+qs AS (SELECT id AS query_id, vector AS qv FROM vectors ORDER BY id LIMIT 25), s AS (SELECT query_id, id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, qs) SELECT * FROM s WHERE rank <= 10")
+@query("+qs AS (SELECT id AS query_id, vector AS qv FROM vectors WHERE id % 50 = 0), s AS (SELECT query_id, id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vector, qv), 9) DESC, id) AS rank FROM vectors, qs) SELECT * FROM s WHERE rank <= 10")
 def knn_batch(spark, d):
     v = tables.vectors(spark, d)
-    return _rounded(LG.batch_knn(v.orderBy("id").limit(25).withColumnRenamed("id", "query_id"), v, 10), "score")
+    return _rounded(LG.batch_knn(v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), v, 10), "score")
 
 
-@query("+q AS (SELECT vector AS qv FROM vectors WHERE id = 10) SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY list_cosine_similarity(vector, qv) DESC, id) AS rank FROM vectors, q WHERE id <> 10 ORDER BY 3 LIMIT 15")
+@query("+q AS (SELECT vector AS qv FROM vectors WHERE id = 10) SELECT id, round(list_cosine_similarity(vector, qv), 6) AS score, row_number() OVER (ORDER BY round(list_cosine_similarity(vector, qv), 9) DESC, id) AS rank FROM vectors, q WHERE id <> 10 ORDER BY 3 LIMIT 15")
 def similar_items(spark, d):
     return _rounded(Engine.over(spark, d).similar(10, 15), "score")
 
@@ -335,8 +416,37 @@ top AS (SELECT * FROM legs WHERE rank <= 200),
 best AS (SELECT id, min(rank) FILTER (leg = 'keyword') AS k, min(rank) FILTER (leg = 'expanded') AS e, min(rank) FILTER (leg = 'semantic') AS s FROM top GROUP BY id),
 fused AS (SELECT id, COALESCE(1.0::DOUBLE / (60 + k), 0) + COALESCE(0.6::DOUBLE / (60 + e), 0) + COALESCE(1.0::DOUBLE / (60 + s), 0) AS rrf, k, e, s FROM best)"""
 PRIOR = "CASE WHEN stars > 0 THEN least(1.25::DOUBLE, 1 + 0.25::DOUBLE * log10(1.0::DOUBLE + stars) / log10(50001::DOUBLE)) ELSE 1.0::DOUBLE END"
-FUSED = f"""{LEGS}, base AS (SELECT r.*, rrf, k, e, s, rrf * {PRIOR} * CASE WHEN archived THEN 0.4::DOUBLE ELSE 1 END AS score FROM repos r JOIN fused USING (id)),
-ranked AS (SELECT *, score * power(0.85::DOUBLE, row_number() OVER (PARTITION BY lower(owner) ORDER BY score DESC, stars DESC, id) - 1) * power(0.7::DOUBLE, row_number() OVER (PARTITION BY {PLAIN('name')} ORDER BY score DESC, stars DESC, id) - 1) AS final FROM base)"""
+#: The registered searches: a concept whose words the collection has, a query that names no document, and its terms.
+SPEECH = {"speech": ("Speech", ["token"], ["idiot", "of the", "licensed"])}
+ASK, PAGE_ASK, LAB_ASK = "doc src3 token example", "the doc token", "the token"
+
+
+def _has_run(text: str, term: str) -> str:
+    return f"contains(' ' || array_to_string({CAMEL(text)}, ' ') || ' ', ' {term} ')"
+
+
+def _search_sql(found: str, ask: str, k: int = 50) -> str:
+    """CTEs from the index up to ranked(id, ..., boost, score): a hybrid search among the repositories of the query found."""
+    words = list(dict.fromkeys(tokenize(ask)))
+    more = expand(words, SPEECH).terms
+    terms = FU.evidence(words, more)
+    spec = lambda t: f"(1 / (1 + log2(1.0::DOUBLE + COALESCE((SELECT max(df) FROM dfs WHERE token IN ({', '.join(repr(p) for p in t.split())})), 0))))"
+    key = lambda t: t.replace(" ", "")
+    tier = lambda t: f"CASE WHEN {PLAIN('name')} = '{key(t)}' THEN 0.45::DOUBLE WHEN {'starts_with(' + PLAIN('name') + ', ' + repr(key(t)) + ')' if len(key(t)) > 2 else 'FALSE'} THEN 0.2 WHEN {_has_run('name', t)} THEN 0.1 ELSE 0 END"
+    in_topics = " + ".join(f"(len(list_filter(topics, lambda x: {_has_run('x', t)})) > 0)::INT" for t in terms)
+    in_about = " + ".join(f"({_has_run(chr(67) + 'OALESCE(description, ' + chr(39) * 2 + ')', t)})::INT" for t in terms)
+    return f"""{INDEX}, found AS ({found}), {_hits_sql("kw", words)}, {_hits_sql("ex", more)}, inside AS (SELECT * FROM kw WHERE id IN (SELECT id FROM found)),
+{_top_sql("keyword_leg", "inside", f"n_terms = {len(words)} OR (SELECT count(*) FROM inside WHERE n_terms = {len(words)}) < 3", k)}, {_top_sql("expanded_leg", "ex", "id IN (SELECT id FROM found)", k)},
+q AS (SELECT vector AS qv FROM vectors ORDER BY id LIMIT 1), near AS (SELECT v.id, round(list_cosine_similarity(vector, qv), 9) AS score FROM vectors v, q WHERE v.id IN (SELECT id FROM found)), {_top_sql("semantic_leg", "near", k=k)},
+legs AS (SELECT 'k' AS leg, id, rank FROM keyword_leg UNION ALL SELECT 'e', id, rank FROM expanded_leg UNION ALL SELECT 's', id, rank FROM semantic_leg),
+best AS (SELECT id, min(rank) FILTER (leg = 'k') AS k, min(rank) FILTER (leg = 'e') AS e, min(rank) FILTER (leg = 's') AS s FROM legs GROUP BY id),
+base AS (SELECT r.*, COALESCE(1.0::DOUBLE / (60 + k), 0) + COALESCE(0.6::DOUBLE / (60 + e), 0) + COALESCE(1.0::DOUBLE / (60 + s), 0) AS rrf, k, e, s FROM found r JOIN best USING (id)),
+dfs AS (SELECT token, count(*) AS df FROM (SELECT id, unnest(list_distinct({CAMEL("name")})) AS token FROM base) GROUP BY token),
+boosted AS (SELECT *, least(1.6::DOUBLE, greatest({", ".join(f"1 + ({tier(t)}) * {spec(t)}" for t in terms)})) AS boost, 0.003::DOUBLE * least({in_topics}, 3) + 0.0015::DOUBLE * least({in_about}, 3) AS bonus FROM base),
+fused AS (SELECT *, round(rrf * boost * {PRIOR} * CASE WHEN archived THEN 0.4::DOUBLE ELSE 1 END + bonus, 12) AS score0 FROM boosted),
+ranked AS (SELECT *, round(score0 * power(0.85::DOUBLE, row_number() OVER (PARTITION BY lower(owner) ORDER BY score0 DESC, stars DESC, id) - 1) * power(0.7::DOUBLE, row_number() OVER (PARTITION BY {PLAIN("name")} ORDER BY score0 DESC, stars DESC, id) - 1), 12) AS score FROM fused),
+placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, stars DESC, id) AS position,
+    list_filter([CASE WHEN k IS NOT NULL THEN 'keyword' END, CASE WHEN e IS NOT NULL THEN 'expanded' END, CASE WHEN s IS NOT NULL THEN 'semantic' END, CASE WHEN boost > 1 THEN 'name' END], lambda x: x IS NOT NULL) AS matched_by FROM ranked)"""
 
 
 def _legs(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -383,32 +493,73 @@ def overlap_bonus(spark, d):
     return tables.repos(spark, d).select("id", F.round(FU.overlap_bonus(["en", "the", "of", "src1"], F.col("topics"), F.col("description")), 9).alias("bonus"))
 
 
-@query(f"+{FUSED} SELECT id, round(final, 9) AS score FROM ranked")
+FOUND = "SELECT r.*, NULL::VARCHAR AS starred_at FROM repos r WHERE lower(language) = 'en' AND NOT archived"
+STARRED_BY = "SELECT r.*, s.starred_at FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7'"
+
+
+def _searched(spark, d, ask: str = ASK) -> tuple[Engine, SearchRequest]:
+    engine = Engine.over(spark, d, concepts=SPEECH)
+    return engine, SearchRequest("u7", ask, vector=tuple(_first_vector(engine.vectors)), limit=50)
+
+
+def _hits(spark, d) -> DataFrame:
+    engine, request = _searched(spark, d)
+    found = engine.repos.where(FL.predicate(FL.Filters(language="en", archived=False))).withColumn("starred_at", F.lit(None).cast("string"))
+    return engine.hits(request, found)[0]
+
+
+@query(f"{_search_sql(FOUND, ASK)} SELECT id, round(score0, 9) AS base, round(score, 9) AS score, round(boost, 9) AS boost, round(bonus, 9) AS bonus FROM ranked")
 def dup_penalty(spark, d):
-    repos, legs = _legs(spark, d)
-    return _rounded(FU.fuse(legs, repos, []).select("id", "score"), "score", digits=9)
+    """Hits before and after the penalties for owners and names that come again."""
+    engine, _ = _searched(spark, d)
+    hits = _hits(spark, d).select("id", "score", "boost", F.round(FU.overlap_bonus(FU.evidence(tokenize(ASK), expand(tokenize(ASK), SPEECH).terms), F.col("topics"), F.col("description")), 9).alias("bonus"), "rrf", "stars", "archived")
+    base = F.round(F.col("rrf") * F.col("boost") * S.star_prior(F.col("stars")) * F.when(F.col("archived"), FU.ARCHIVED).otherwise(1.0) + F.col("bonus"), 12)
+    return _rounded(hits.select("id", base.alias("base"), "score", "boost", "bonus"), "base", "score", "boost", digits=9)
 
 
-@query(f"+{FUSED} SELECT id, round(final, 9) AS score, stars, row_number() OVER (ORDER BY final DESC, stars DESC, id) AS position FROM ranked ORDER BY final DESC, stars DESC, id LIMIT 50")
+@query(f"{_search_sql(FOUND, ASK)} SELECT id, round(score, 9) AS score, round(boost, 9) AS boost, k AS rank_keyword, e AS rank_expanded, s AS rank_semantic, matched_by, stars, position FROM placed WHERE position <= 50")
 def hybrid_search(spark, d):
-    repos, legs = _legs(spark, d)
-    return _rounded(RK.page(FU.fuse(legs, repos, []), "relevance", 0, 50).select("id", "score", "stars", "position"), "score", digits=9)
+    """Keyword, concept and vector legs among the collection's English documents, fused with names, stars, topics and penalties."""
+    page = RK.page(_hits(spark, d), "relevance", 0, 50)
+    return _rounded(page.select("id", "score", "boost", "rank_keyword", "rank_expanded", "rank_semantic", "matched_by", "stars", "position"), "score", "boost", digits=9)
 
 
-@query()
+@query(f"""{_search_sql(STARRED_BY, PAGE_ASK)}, {_snippet_ctes("(SELECT * FROM placed WHERE position <= 10)", FU.evidence(tokenize(PAGE_ASK), expand(tokenize(PAGE_ASK), SPEECH).terms))}, about AS (SELECT id, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS text FROM placed),
+{_snippet_ctes("(SELECT id, NULL::VARCHAR AS readme, description FROM placed WHERE position > 10)", FU.evidence(tokenize(PAGE_ASK), expand(tokenize(PAGE_ASK), SPEECH).terms), "rest_")}
+SELECT position, id, round(score, 9) AS score, starred_at, k AS rank_keyword, e AS rank_expanded, s AS rank_semantic, matched_by, COALESCE((SELECT list_sort(list(DISTINCT slug)) FROM group_repos g WHERE g.repo_id = id), []) AS slugs,
+    COALESCE((SELECT snippet FROM snip WHERE snip.id = placed.id), (SELECT snippet FROM rest_snip WHERE rest_snip.id = placed.id)) AS snippet, 'hybrid' AS mode, NULL::VARCHAR AS degraded FROM placed WHERE position <= 50""")
 def search_page(spark, d):
-    return Engine.over(spark, d).search(SearchRequest("u7", "the ereath token", limit=20))
+    engine, request = _searched(spark, d, PAGE_ASK)
+    rows = engine.search(request).select("position", "id", "score", "starred_at", "rank_keyword", "rank_expanded", "rank_semantic", "matched_by", "slugs", "snippet", "mode", "degraded")
+    return _rounded(rows, "score", digits=9)
 
 
-@query()
+LAB_SPEECH = {"speech": ("Speech", ["token"], ["idiot", "example"])}
+
+
+@query(f"""{INDEX}, found AS (SELECT * FROM repos WHERE NOT archived), {_hits_sql("kw", ["the", "token"], "lab_w")}, {_hits_sql("ex", ["idiot", "example"], "lab_w")}, inside AS (SELECT * FROM kw WHERE id IN (SELECT id FROM found)),
+{_top_sql("leg", "inside", "n_terms = 2 OR NOT EXISTS (SELECT 1 FROM inside WHERE n_terms = 2)")}, {_top_sql("wide", "ex", "id IN (SELECT id FROM found)")},
+merged AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM leg UNION ALL SELECT id, rank FROM wide) GROUP BY id), {_top_sql("lexical", "merged")},
+q AS (SELECT vector AS qv FROM vectors ORDER BY id LIMIT 1), near AS (SELECT v.id, round(list_dot_product(vector, qv), 9) AS score FROM vectors v, q WHERE v.id IN (SELECT id FROM found)), {_top_sql("semantic", "near")},
+fused AS (SELECT id, l.rank AS lex_rank, s.rank AS sem_rank, COALESCE(1.0::DOUBLE / (60 + l.rank), 0) + COALESCE(1.0::DOUBLE / (60 + s.rank), 0) AS rrf FROM lexical l FULL JOIN semantic s USING (id)),
+scored AS (SELECT f.*, round(rrf * least(1.25::DOUBLE, 1 + 0.04::DOUBLE * log10(stars + 1.0::DOUBLE)), 9) AS score FROM fused f JOIN found USING (id))
+SELECT row_number() OVER (ORDER BY score DESC, rrf DESC, id) AS position, id, round(rrf, 9) AS base, score, lex_rank, sem_rank FROM scored ORDER BY position LIMIT 20""")
 def lab_search(spark, d):
-    repos, stats = _index(spark, d)
     v = tables.vectors(spark, d)
-    return lab_plan(repos, stats, "the token", "hybrid+expand", 20, v, _first_vector(v), with_archived=False)
+    rows = lab_plan(index_over(spark, d), tables.repos(spark, d), LAB_ASK, "hybrid+expand", 20, v, _first_vector(v), concepts=LAB_SPEECH, with_archived=False)
+    return _rounded(rows.drop("snippet"), "base", digits=9)
+
+
+@query()
+def lab_pool(spark, d):
+    """The pool of all modes' results that a judge of relevance would see."""
+    v = tables.vectors(spark, d)
+    run = lambda mode: lab_plan(index_over(spark, d), tables.repos(spark, d), LAB_ASK, mode, 20, v, _first_vector(v), concepts=LAB_SPEECH)
+    return pooled({mode: run(mode) for mode in ("keyword", "semantic", "hybrid", "hybrid+expand")})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid search over the whole collection: BM25, vector and browse evidence fused."""
+    """Hybrid search over the collection."""
     return hybrid_search(spark, sf_dir)
 
 
@@ -431,12 +582,12 @@ def sort_starred(spark, d):
 def sort_pushed(spark, d):
     found = FL.universe(tables.repos(spark, d), tables.user_stars(spark, d), "u7")
     day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + (F.col("id") % 97) * 86400), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return RK.page(found.withColumn("pushed_at", F.when(F.col("id") % 4 == 0, "bad date").otherwise(day)), "pushed", 0, 10_000).select("id", "pushed_at", "position")
+    return RK.page(found.withColumn("pushed_at", F.when(F.col("id") % 4 == 0, "bad date").otherwise(day)), "pushed", 0, 2_000_000_000).select("id", "pushed_at", "position")
 
 
-@query("SELECT r.id, s.starred_at FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7' AND r.language = 'en'")
+@query("SELECT r.id, s.starred_at, row_number() OVER (ORDER BY s.starred_at DESC NULLS LAST, r.id DESC) AS place FROM repos r JOIN user_stars s ON r.id = s.repo_id WHERE s.login = 'u7' AND r.language = 'en'")
 def browse_page(spark, d):
-    return Engine.over(spark, d).browse("u7", FL.Filters(language="en")).select("id", "starred_at")
+    return FL.placed(Engine.over(spark, d).candidates("u7", FL.Filters(language="en"))).select("id", "starred_at", "place")
 
 
 @query("+u AS (SELECT repo_id AS id, max(starred_at) AS starred_at FROM user_stars GROUP BY 1) SELECT id, starred_at, row_number() OVER (ORDER BY starred_at DESC NULLS LAST, id) AS place, (row_number() OVER (ORDER BY starred_at DESC NULLS LAST, id) - 1) // 25 AS batch FROM u ORDER BY place LIMIT 150")
@@ -527,11 +678,19 @@ def publish_readmes(spark, d):
     return MG.publish_readmes(r, r.where("id % 2 = 0"), "run1").select("id", "readme_state")
 
 
-@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'old' END AS origin FROM vectors WHERE id % 5 <> 0 AND (id % 2 = 0 OR id % 3 = 0)")
+@query("SELECT id, round(list_sum(CASE WHEN id % 2 = 0 THEN list_transform(vector, lambda x: x * 2) ELSE vector END), 6) AS total, len(vector)::INT AS size FROM vectors WHERE id % 5 <> 0 AND (id % 2 = 0 OR id % 3 = 0)")
 def vector_overlay(spark, d):
-    v = tables.vectors(spark, d).select("id")
-    side = lambda k, name: v.where(f"id % {k} = 0").withColumn("vector", F.lit(name))
-    return MG.overlay(side(3, "old"), side(2, "new"), v.where("id % 5 <> 0")).withColumnRenamed("vector", "origin")
+    v = tables.vectors(spark, d).select("id", "vector")
+    new = v.where("id % 2 = 0").withColumn("vector", F.transform("vector", lambda x: x * 2))
+    out = MG.overlay(v.where("id % 3 = 0"), new, v.where("id % 5 <> 0"))
+    return out.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("vector").alias("size"))
+
+
+@query("SELECT id, round(list_sum(vector) * CASE WHEN id % 3 = 0 THEN 4 WHEN id % 2 = 0 THEN 3 ELSE 1 END, 6) AS total FROM vectors WHERE id % 5 <> 0")
+def vector_fan_in(spark, d):
+    v = tables.vectors(spark, d).select("id", "vector")
+    times = lambda k, n: v.where(f"id % {k} = 0").withColumn("vector", F.transform("vector", lambda x: x * n))
+    return MG.fan_in([times(2, 3), times(3, 4)], v, v.where("id % 5 <> 0")).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT id FROM vectors EXCEPT SELECT id FROM vectors WHERE id % 9 <> 0)) = 0 AS up_to_date")
@@ -558,12 +717,13 @@ def readme_plan(spark, d):
     return PL.readme_work(*_plan(spark, d), window=400)
 
 
-FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+_UNITS = "list_prepend(2166136261::BIGINT, flatten(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN ord(c) > 65535 THEN [55296 + ((ord(c) - 65536) >> 10), 56320 + ((ord(c) - 65536) & 1023)]::BIGINT[] ELSE [ord(c)]::BIGINT[] END)))"
+FNV = f"list_reduce({_UNITS}, lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
 
 
-@query(f"SELECT id, lpad(lower(to_hex({FNV.format(x='full_name')})), 8, '0') AS hash FROM repos")
+@query(f"SELECT id, lpad(lower(to_hex({FNV.format(x='t')})), 8, '0') AS hash FROM (SELECT id, readme || ' 😀' || id AS t FROM repos WHERE readme IS NOT NULL)")
 def fnv_hash(spark, d):
-    return tables.repos(spark, d).select("id", S.fnv1a(F.col("full_name")).alias("hash"))
+    return tables.repos(spark, d).where("readme is not null").select("id", S.fnv1a(F.concat("readme", F.lit(" 😀"), F.col("id").cast("string"))).alias("hash"))
 
 
 @query("SELECT user_id, sha256('2024-01-01' || chr(0) || user_id::VARCHAR) AS hash FROM (SELECT DISTINCT user_id FROM events)")
@@ -571,9 +731,13 @@ def ip_hash(spark, d):
     return tables.read(spark, d, "events").select("user_id").distinct().select("user_id", S.ip_hash(F.lit("2024-01-01"), F.col("user_id").cast("string")).alias("hash"))
 
 
-@query(f"SELECT id, lpad(lower(to_hex({FNV.format(x='full_name')})), 8, '0') AS hash FROM repos WHERE id % 4 <> 1")
+@query(f"""+one AS (SELECT id, name, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS about, array_to_string(topics, ', ') AS listed, language, trim(regexp_replace(substring(readme, 1, 1500), '\\s+', ' ', 'g')) AS body FROM repos),
+doc AS (SELECT id, concat_ws(chr(10), concat_ws(' — ', name, nullif(about, '')), 'Topics: ' || listed, 'Language: ' || language, nullif(body, '')) AS t FROM one)
+SELECT id, lpad(lower(to_hex({FNV.format(x='t')})), 8, '0') AS hash FROM doc WHERE id % 4 <> 1""")
 def embed_plan(spark, d):
-    docs = tables.repos(spark, d).select("id", F.col("full_name").alias("doc"))
+    """What has to be embedded anew, by the hash of the whole document that a model would see."""
+    text = T.embedding_text(F.col("name"), F.col("description"), F.col("topics"), F.col("language"), F.col("readme"))
+    docs = tables.repos(spark, d).select("id", text.alias("doc"))
     return PL.embed_work(docs, docs.where("id % 4 in (1, 2)").select("id", F.when(F.col("id") % 4 == 1, S.fnv1a(F.col("doc"))).otherwise("").alias("hash")))
 
 
@@ -613,10 +777,12 @@ def state_fold(spark, d):
     return PL.fold_state(e, "user_id", "event_id", ["phase", "done"])
 
 
-@query()
+@query("""+sized AS (SELECT owner AS login, id, least(COALESCE(length(readme), 0), 65536) AS n, row_number() OVER (PARTITION BY owner ORDER BY id) AS k FROM repos),
+fold AS (SELECT login, id, k, CASE WHEN n <= 20971520 THEN n ELSE 0 END AS kept, CASE WHEN n <= 20971520 THEN n ELSE 0 END AS used FROM sized WHERE k = 1
+    UNION ALL SELECT s.login, s.id, s.k, CASE WHEN f.used + s.n <= 20971520 THEN s.n ELSE 0 END, f.used + CASE WHEN f.used + s.n <= 20971520 THEN s.n ELSE 0 END FROM fold f JOIN sized s ON s.login = f.login AND s.k = f.k + 1)
+SELECT login, id, kept::BIGINT AS indexed_chars FROM fold""")
 def fts_budget(spark, d):
-    docs = tables.repos(spark, d).select(F.col("owner").alias("login"), "id", "readme")
-    return MG.budgeted_text(docs, 40_000)
+    return MG.budgeted_text(tables.repos(spark, d).select(F.col("owner").alias("login"), "id", "readme"))
 
 
 # ---- metrics ----
@@ -631,12 +797,16 @@ m AS (SELECT q.query_id, COALESCE(h5, 0) / 5.0::DOUBLE AS p5, COALESCE(s5, 0) /
 _METRICS = ("p5", "p5_strict", "r10", "mrr", "ndcg10", "success3")
 
 
-def _metrics(spark, d) -> DataFrame:
+def _run_and_grades(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     repos = tables.repos(spark, d)
     docs, labels = tables.read(spark, d, "documents"), tables.read(spark, d, "labels")
     grades = docs.join(labels, "doc_id").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), (F.col("quality") + F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("grade"))
     run = RK.rank_by_score(repos.select(F.col("owner").alias("query_id"), "id", F.col("stars").alias("score")), "query_id")
-    return ME.query_metrics(run, grades, repos.select(F.col("owner").alias("query_id")).distinct())
+    return run, grades, repos.select(F.col("owner").alias("query_id")).distinct()
+
+
+def _metrics(spark, d) -> DataFrame:
+    return ME.query_metrics(*_run_and_grades(spark, d))
 
 
 @query(f"+{GRADED} SELECT query_id, {', '.join(f'round({c}, 9) AS {c}' for c in _METRICS)} FROM m")
@@ -660,6 +830,21 @@ def text_statistics(spark, d):
     return ME.text_statistics(tables.repos(spark, d))
 
 
+@query(f"""+run AS (SELECT owner AS query_id, id, row_number() OVER (PARTITION BY owner ORDER BY stars DESC, id) AS rank FROM repos), r AS (SELECT r.query_id, r.id, COALESCE(p.language, 'unknown') AS has, CASE WHEN length(r.query_id) = 4 THEN 'EN' END AS asked FROM run r JOIN repos p USING (id) WHERE rank <= 10)
+SELECT query_id, count(*) AS hits, count(*) FILTER (asked IS NOT NULL AND lower(has) <> lower(asked)) AS violations, round(1 - count(*) FILTER (asked IS NOT NULL AND lower(has) <> lower(asked))::DOUBLE / count(*), 9) AS precision FROM r GROUP BY 1""")
+def filter_precision(spark, d):
+    repos = tables.repos(spark, d)
+    run = RK.rank_by_score(repos.select(F.col("owner").alias("query_id"), "id", F.col("stars").alias("score")), "query_id").where("rank <= 10")
+    asked = repos.select(F.col("owner").alias("query_id")).distinct().withColumn("language", F.when(F.length("query_id") == 4, "EN"))
+    return _rounded(ME.filter_precision(run, repos, asked), "precision", digits=9)
+
+
+@query(f"+{GRADED} SELECT query_id, 'boosted' AS run, {', '.join(f'round({c}, 9) AS {c}' for c in _METRICS)} FROM m UNION ALL SELECT query_id, 'again', {', '.join(f'round({c}, 9) AS {c}' for c in _METRICS)} FROM m")
+def boost_ablation(spark, d):
+    run, grades, asked = _run_and_grades(spark, d)
+    return _rounded(ME.ablation({"boosted": run, "again": run}, grades, asked), *_METRICS, digits=9)
+
+
 # ---- facets and collections ----
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from starloom.operators.index import trigrams, write_index
+from starloom.operators.index import SearchIndex
 from starloom.operators.metrics import text_statistics
+from starloom.sources.blobs import write_vectors
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame | None:
@@ -38,11 +39,15 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{found.agg(F.max('version')).first()[0]}")
 
 
-def build_index(repos: DataFrame, path: str, buckets: int = 64, stemmed: bool = False) -> None:
-    """The search tables of a corpus: terms, statistics, trigrams, and a report on its texts."""
-    write_index(repos, path, buckets, stemmed)
-    trigrams(repos).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("gram", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/trigrams")
+def build_index(repos: DataFrame, path: str, buckets: int = 64, vectors: DataFrame | None = None) -> SearchIndex:
+    """The search tables of a corpus: a stemmed index and a plain one beside it, its vectors, and a report on its texts. Returns the
+    stemmed index."""
+    index = SearchIndex.build(repos, f"{path}/stemmed", buckets)
+    SearchIndex.build(repos, f"{path}/plain", buckets, stemmed=False)
+    if vectors is not None:
+        write_vectors(vectors, f"{path}/vectors")
     write_json(text_statistics(repos), f"{path}/report")
+    return index
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -46,6 +46,26 @@ def group_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.select(F.explode(F.array(F.when(F.col("quality") == 1, F.lit("quality")), F.when(F.col("toxic") == 1, F.lit("toxic")))).alias("slug"), F.col("doc_id").alias("repo_id")).where("slug is not null")
 
 
+def fetch_status(state) -> object:
+    """The status of a stored readme state as planners read it: one that is too big is there too; what is not known is an error."""
+    return F.when(state.isin("present", "too_big"), "ok").when(state.isin("missing", "pending"), state).otherwise("error")
+
+
+#: What an import of lists may have come to (fixed values).
+LIST_STATES = ("never", "ok", "empty", "error")
+
+
+def lists_info(logins: DataFrame, stored: DataFrame) -> DataFrame:
+    """login, state, error, checked_at for every login; without a stored row, or with a state that no import writes, the state is never."""
+    rows = logins.select("login").join(stored.select("login", "state", "error", "checked_at"), "login", "left")
+    return rows.withColumn("state", F.when(F.col("state").isin(*LIST_STATES), F.col("state")).otherwise("never"))
+
+
+def without_semantic(states: DataFrame, enabled: bool) -> DataFrame:
+    """Index states with the counter of embedded documents at 0 where search by meaning is off."""
+    return states if enabled else states.withColumn("semantic_docs", F.lit(0).cast(states.schema["semantic_docs"].dataType))
+
+
 def groups(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES (1L, 'quality', 'Quality', 0), (2L, 'toxic', 'Toxic', 1) AS t(id, slug, name, position)")
 

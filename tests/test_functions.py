@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.functions import display as D
 from starloom.functions import scoring as S
 from starloom.functions import text as T
 from starloom.functions.stemming import stem, stems
@@ -24,7 +25,7 @@ def test_index_tokens_fold_marks_and_keep_camel_case_whole(spark):
 def test_clean_query_clamps_and_composes(spark):
     assert one(spark, F.length(T.clean_query(F.lit("x" * 600))))[0] == 512
     assert one(spark, T.clean_query(F.lit(" a\t\x00b  c ")))[0] == "a b c"
-    assert one(spark, T.clean_query(F.lit("é"), compose=True))[0] == "é"
+    assert one(spark, T.clean_query(F.lit("é"), ))[0] == "é"
 
 
 @pytest.mark.parametrize("words, want", [(["a", "b", "a", "b"], ["a b", "b a"]), (["a"], []), ([], [])])
@@ -50,7 +51,28 @@ def test_markdown_is_stripped(spark):
     text = "# Title\n<!-- no -->\n![i](x) [link](y) <b>bold</b>\n```\ncode\n```\n> quote"
     got = one(spark, T.plain_markdown(F.lit(text)))[0]
     assert "Title" in got and "link" in got and "bold" in got and "quote" in got
-    assert not any(x in got for x in ("code", "no -->", "](", "<b>", "#", ">"))
+    assert "code" in got and not any(x in got for x in ("no -->", "](", "<b>", "#", ">", "```"))
+    rest = [one(spark, T.plain_markdown(F.lit(x)))[0] for x in ("```js\nlet a = 1;\n```\nafter", "  ## Two\n\n\n\n   > said\r\nend", "[a](b)[c](d) x<br/>y", "a#b > c")]
+    assert rest == ["let a = 1;\n \nafter", "Two\n\nsaid\nend", "ac x y", "a#b > c"]
+
+
+def test_driver_and_columns_read_queries_alike(spark):
+    texts = ["useEffect XMLHttpRequest", "ÀÉtat françaisÜber", "ΑθήναΕλλάδα ΓΔΕλ", "МоскваГород", "naïve CAFÉ_x", "a\u0301\x07b  c", "x2Y v1.2-beta", "漢字かな", "", "  ", "ǅungla ᾈx"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").withColumn("q", T.clean_query(F.col("x"))).select("k", "q", T.tokens(F.col("x")).alias("t"), T.index_tokens(F.col("x")).alias("i")).collect()
+    for r in rows:
+        assert (r.q, r.t, r.i) == (T.cleaned(texts[r.k]), T.token_list(texts[r.k]), T.index_words(texts[r.k])), texts[r.k]
+
+
+def test_snippets_are_marked_whole(spark):
+    text = " ".join(f"w{k}" for k in range(100)) + " the Needle, here " + "tail " * 50
+    got = one(spark, D.marked_snippet(F.lit(text), ["needle", "w1"]), D.marked_snippet(F.lit(text), ["zz"]), D.marked_snippet(F.lit("a b"), []), D.marked_snippet(F.lit("a needle"), ["needle"]), D.marked_snippet(F.lit(text), ["needle"]))
+    assert got[0].startswith("w0 <mark>w1</mark> w2") and got[1].endswith("w19 …") and got[2] == "a b" and got[3] == "a <mark>needle</mark>"
+    assert got[4].startswith("… ") and "<mark>Needle</mark>, here" in got[4] and got[4].count("<mark>") == 1 and len(got[4].split()) == 22
+
+
+def test_identifiers_and_lab_documents(spark):
+    row = one(spark, T.table_name(F.lit("Foo-Bar.x")), T.camelized(F.lit("repo_id_2x")), T.lab_embedding_text(F.lit("a/b"), F.lit(""), F.array(F.lit("x"), F.lit("y")), F.lit(None).cast("string"), F.lit("# T\nbody")), T.lab_embedding_text(F.lit("a/b"), F.lit("d"), F.array().cast("array<string>"), F.lit("Go"), F.lit(None).cast("string")))
+    assert row[:] == ("fts_u_foo_barx", "repoId2x", "a/b — topics: x, y — lang: unknown\nT\nbody", "a/b — d — lang: Go")
 
 
 def test_run_of_tokens(spark):
@@ -64,6 +86,7 @@ def test_embedding_text_leaves_out_blanks(spark):
 
 
 def test_hashes(spark):
+    assert one(spark, S.fnv1a(F.lit("😀")))[0] == "cb31c4b8"
     row = one(spark, S.fnv1a(F.lit("hello")), S.fnv1a(F.lit("")), S.ip_hash(F.lit("2024-01-01"), F.lit("1.2.3.4")))
     import hashlib
 

@@ -98,6 +98,20 @@ def test_budgeted_text_skips_and_goes_on(spark):
     assert {(r.login, r.id): r.indexed_chars for r in MG.budgeted_text(docs, 10).collect()} == {("u", 1): 6, ("u", 2): 0, ("u", 3): 4, ("v", 1): 0, ("v", 2): 0}
 
 
+def test_budgeted_text_against_a_fold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"l{k % 3}", int(i), "x" * int(rng.choice([0, 1, 3, 9, 30, 80])) if i % 17 else None) for k, i in enumerate(rng.permutation(240))]
+    for budget, cap in ((200, 50), (1000, 1000)):
+        used, want = {}, {}
+        for login, i, text in sorted(rows):
+            n = min(len(text or ""), cap)
+            fits = used.get(login, 0) + n <= budget
+            used[login] = used.get(login, 0) + n * fits
+            want[login, i] = n * fits
+        got = MG.budgeted_text(spark.createDataFrame(rows, "login string, id long, readme string").repartition(5), budget, cap)
+        assert {(r.login, r.id): r.indexed_chars for r in got.collect()} == want
+
+
 def test_put_and_publish(spark):
     schema = "id long, readme string, readme_state string, readme_run string"
     rows = spark.createDataFrame([(1, None, None, None), (2, "old", "present", None)], schema)

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from starloom.functions import display as D
 from starloom.operators import index as IX
+from starloom.operators import merging as MG
+from starloom.operators import metrics as ME
 from starloom.plans import ingest as IN
-from starloom.plans.lab import lab_search
-from starloom.sources import sinks
+from starloom.plans.lab import lab_search, pooled
+from starloom.sources import sinks, tables
 
 REPO = "id long, full_name string, name string, description string, topics array<string>, language string, stars long, archived boolean, readme string, readme_state string, readme_run string, pushed_at string"
 
@@ -34,10 +36,14 @@ def test_versions(spark, tmp_path):
 
 
 def test_build_index(spark, tmp_path):
-    repos = spark.createDataFrame([repo(1, "alpha", "beta beta"), repo(2, "gamma", None)], REPO)
-    sinks.build_index(repos, str(tmp_path / "ix"), 2)
+    repos = spark.createDataFrame([repo(1, "alpha", "betas beta"), repo(2, "gamma", None)], REPO)
+    vectors = spark.createDataFrame([(1, [1.0, 0.5])], "id long, vector array<double>")
+    index = sinks.build_index(repos, str(tmp_path / "ix"), 2, vectors)
     assert spark.read.json(str(tmp_path / "ix/report")).first().n == 1
-    assert {r.id for r in spark.read.parquet(str(tmp_path / "ix/trigrams")).where("gram = 'alp'").collect()} == {1}
+    assert {r.id for r in index.grams(["alp"]).collect()} == {1}
+    plain = IX.opened(spark, str(tmp_path / "ix/plain"), 2, stemmed=False)
+    assert [[len(r.places) for r in i.rows(i.of(["beta"])).collect()] for i in (index, plain)] == [[2], [1]]
+    assert spark.read.parquet(str(tmp_path / "ix/vectors")).count() == 1
 
 
 def test_listing_run(spark):
@@ -67,11 +73,42 @@ def test_refresh_run(spark):
         IN.embed(spark.createDataFrame([(1, "x")], "id long, doc string"), lambda texts: []).collect()
 
 
-def test_lab(spark):
+def test_lab(spark, tmp_path):
     repos = spark.createDataFrame([repo(1, "vector-db", "a vector store", 10), repo(2, "other", "vector things", 5000), repo(3, "zzz", "nothing")], REPO)
-    stats = IX.corpus_stats(repos)
-    rows = lab_search(repos, stats, "vector", "keyword").orderBy("position").collect()
-    assert [r.id for r in rows] == [1, 2] and "<mark>vector</mark>" in rows[0].snippet
-    assert [r.id for r in lab_search(repos, stats, "ctor", "keyword").collect()] == [1]
+    index = IX.SearchIndex.build(repos, str(tmp_path / "ix"), 2)
+    rows = lab_search(index, repos, "vector", "keyword").orderBy("position").collect()
+    assert [r.id for r in rows] == [1, 2] and "<mark>vector</mark>" in rows[0].snippet and [r.lex_rank for r in rows] == [1, 2]
+    assert [r.id for r in lab_search(index, repos, "ctor", "keyword").collect()] == [1]
     v = spark.createDataFrame([(3, [1.0]), (1, [0.5])], "id long, vector array<double>")
-    assert {r.id for r in lab_search(repos, stats, "vector", "hybrid", vectors=v, vector=[1.0]).collect()} == {1, 2, 3}
+    runs = {m: lab_search(index, repos, "vector", m, vectors=v, vector=[1.0]) for m in ("keyword", "semantic", "hybrid")}
+    assert {r.id for r in runs["hybrid"].collect()} == {1, 2, 3}
+    pool = {r.id: r for r in pooled(runs).collect()}
+    assert set(pool) == {1, 2, 3} and (pool[1].lex, pool[1].sem) == (1, 2) and pool[3].lex is None and len(pool[1].modes) == 3 and pool[2].modes[0].startswith("#")
+
+
+def test_states_and_counters(spark):
+    states = spark.createDataFrame([("present",), ("too_big",), ("missing",), ("pending",), ("odd",), (None,)], "s string")
+    assert [r[0] for r in states.select(tables.fetch_status(F.col("s"))).collect()] == ["ok", "ok", "missing", "pending", "error", "error"]
+    logins = spark.createDataFrame([("a",), ("b",), ("c",)], "login string")
+    stored = spark.createDataFrame([("a", "ok", None, "t"), ("b", "weird", "e", "t")], "login string, state string, error string, checked_at string")
+    assert sorted((r.login, r.state, r.checked_at) for r in tables.lists_info(logins, stored).collect()) == [("a", "ok", "t"), ("b", "never", "t"), ("c", "never", None)]
+    counted = spark.createDataFrame([("a", 5)], "login string, semantic_docs long")
+    assert tables.without_semantic(counted, False).first().semantic_docs == 0 and tables.without_semantic(counted, True).first().semantic_docs == 5
+
+
+def test_filter_precision_and_ablation(spark):
+    repos = spark.createDataFrame([(1, "Go"), (2, None), (3, "Rust")], "id long, language string")
+    results = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 2), (3, 3)], "query_id long, id long")
+    asked = spark.createDataFrame([(1, "go"), (2, "unknown"), (3, None)], "query_id long, language string")
+    got = {r.query_id: (r.hits, r.violations) for r in ME.filter_precision(results, repos, asked).collect()}
+    assert got == {1: (3, 2), 2: (1, 0), 3: (1, 0)}
+    grades = spark.createDataFrame([(1, 3, 2)], "query_id long, id long, grade int")
+    run = lambda order: spark.createDataFrame([(1, i, k + 1) for k, i in enumerate(order)], "query_id long, id long, rank long")
+    got = {r.run: r.mrr for r in ME.ablation({"on": run([3, 1]), "off": run([1, 3])}, grades, spark.createDataFrame([(1,)], "query_id long")).collect()}
+    assert got == {"on": 1.0, "off": 0.5}
+
+
+def test_parts_fan_in(spark):
+    v = lambda *x: spark.createDataFrame([(i, [float(y)]) for i, y in x], "id long, vector array<double>")
+    out = MG.fan_in([v((1, 1), (2, 1)), v((2, 2))], v((2, 0), (3, 0), (4, 0)), v((1, 0), (2, 0), (3, 0)))
+    assert {r.id: r.vector[0] for r in out.collect()} == {1: 1.0, 2: 2.0, 3: 0.0}

@@ -64,50 +64,71 @@ def ids(df):
     return {r.id for r in df.collect()}
 
 
-def test_text_index(docs):
-    stats = IX.corpus_stats(docs)
-    hits = LG.any_leg(docs, stats, ["auth"], 10).collect()
+@pytest.fixture(scope="module")
+def index(docs, tmp_path_factory):
+    return IX.SearchIndex.build(docs, str(tmp_path_factory.mktemp("index") / "ix"), buckets=4)
+
+
+def test_text_index(docs, index):
+    hits = LG.any_leg(index, ["auth"], 10).collect()
     assert {r.id for r in hits} == {1, 2} and sorted(r["rank"] for r in hits) == [1, 2]
-    assert ids(LG.any_leg(docs, stats, ["embeddings"], 10)) == {3}
-    assert ids(LG.keyword_leg(docs, stats, ["authent"], 10, stemmed=True)) == {1}
-    assert ids(LG.trigram_leg(docs, "flar")) == {2} and ids(LG.trigram_leg(docs, "auth")) == {1, 2} and ids(LG.trigram_leg(docs, "everyone")) == set() and ids(LG.trigram_leg(docs, "au")) == set()
-    assert LG.any_leg(docs, stats, ["auth"], 1).count() == 1
+    assert ids(LG.any_leg(index, ["embeddings"], 10)) == ids(LG.any_leg(index, ["embedding"], 10)) == {3}
+    assert ids(LG.keyword_leg(index, ["authenticate"], 10)) == {1} and ids(LG.any_leg(index, ["sessions management"], 10)) == {1}
+    assert ids(LG.trigram_leg(index, docs, "flar")) == {2} and ids(LG.trigram_leg(index, docs, "auth")) == {1, 2} and ids(LG.trigram_leg(index, docs, "everyone")) == set() and ids(LG.trigram_leg(index, docs, "au")) == set()
+    assert LG.any_leg(index, ["auth"], 1).count() == 1 and LG.any_leg(index, ["nothing"], 5).count() == 0
 
 
-def test_bm25_equals_sqlite(docs):
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_bm25_equals_sqlite(docs, stemmed, tmp_path):
     rows = docs.collect()
     db = sqlite3.connect(":memory:")
-    db.execute("CREATE VIRTUAL TABLE t USING fts5(full_name, description, topics, readme, tokenize='unicode61')")
+    db.execute(f"CREATE VIRTUAL TABLE t USING fts5(full_name, description, topics, readme, tokenize='{'porter ' if stemmed else ''}unicode61')")
     for r in rows:
         db.execute("INSERT INTO t(rowid, full_name, description, topics, readme) VALUES (?,?,?,?,?)", (r.id, r.full_name, r.description, " ".join(r.topics), r.readme))
-    stats = IX.corpus_stats(docs)
-    for terms, match in ((["auth"], '"auth"'), (["vector", "database"], '"vector" OR "database"'), (["session management"], '"session management"')):
+    index = IX.SearchIndex.build(docs, str(tmp_path / "ix"), 2, stemmed)
+    for terms, match in ((["auth"], '"auth"'), (["vectors", "database"], '"vectors" OR "database"'), (["session management"], '"session management"'), (["authentication", "searching"], '"authentication" OR "searching"')):
         want = dict(db.execute("SELECT rowid, -bm25(t, 10.0, 5.0, 4.0, 1.0) FROM t WHERE t MATCH ?", (match,)).fetchall())
-        got = {r.id: r.score for r in LG.scored(LG.term_matches(docs, terms), stats).collect()}
-        assert got == pytest.approx(want)
+        got = {r.id: r.score for r in LG.scored(index.matches(terms), index.stats()).collect()}
+        assert got == pytest.approx(want, abs=1e-8)
 
 
-def test_few_full_matches_fall_back_to_any(docs):
-    stats = IX.corpus_stats(docs)
-    assert ids(LG.keyword_leg(docs, stats, ["tiny", "vector"], 10)) == {2, 3}
-    assert ids(LG.keyword_leg(docs, stats, ["tiny", "auth"], 10)) == {1, 2}
-    assert ids(LG.keyword_leg(docs, stats, ["tiny", "auth"], 10, docs.where("id = 1"))) == {1}
+def test_few_full_matches_fall_back_to_any(docs, index):
+    assert ids(LG.keyword_leg(index, ["tiny", "vector"], 10)) == {2, 3}
+    assert ids(LG.keyword_leg(index, ["tiny", "auth"], 10)) == {1, 2}
+    assert ids(LG.keyword_leg(index, ["tiny", "auth"], 10, docs.where("id = 1"))) == {1}
 
 
-def test_legs_from_one_scan(docs):
-    stats = IX.corpus_stats(docs)
+def test_legs_from_one_read(docs, index):
     rows = lambda df: {(r.id, round(r.score, 9), r["rank"]) for r in df.collect()}
     for words, more in ((["auth"], ["session management", "oauth"]), (["tiny", "auth"], ["vector"]), (["tiny", "vector"], [])):
-        legs = LG.text_legs(docs, stats, words, more, 10, docs.where("id < 3"))
-        assert rows(legs["keyword"]) == rows(LG.keyword_leg(docs, stats, words, 10, docs.where("id < 3")))
-        assert ("expanded" in legs) == bool(more) and (not more or rows(legs["expanded"]) == rows(LG.any_leg(docs, stats, more, 10, docs.where("id < 3"))))
+        legs = LG.text_legs(index, words, more, 10, docs.where("id < 3"))
+        assert rows(legs["keyword"]) == rows(LG.keyword_leg(index, words, 10, docs.where("id < 3")))
+        assert ("expanded" in legs) == bool(more) and (not more or rows(legs["expanded"]) == rows(LG.any_leg(index, more, 10, docs.where("id < 3"))))
+
+
+def test_buckets_are_the_tables(index, spark):
+    words = ["auth", "naïve", "", "漢字", "x" * 100]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(index._bucket("w").alias("b")).collect()
+    assert [r.b for r in got] == [index._buckets([w])[0] for w in words]
 
 
-def test_persisted_index(docs, tmp_path, spark):
-    IX.write_index(docs, str(tmp_path / "ix"), buckets=4)
-    got = {(r.id, r.term, r.tf) for r in IX.read_terms(spark, str(tmp_path / "ix"), ["auth", "vector"], buckets=4).collect()}
-    assert got == {(r.id, r.term, r.tf) for r in LG.term_matches(docs, ["auth", "vector"]).collect()}
-    assert IX.postings(docs).where("term = 'auth' and id = 2").count() == 4
+def test_searches_read_their_buckets_only(index):
+    plan = index.rows(["auth"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "term" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_changes_equal_a_new_index(docs, tmp_path, spark):
+    """Documents put, changed and taken out one after another, against an index of what is then there."""
+    index = IX.SearchIndex.build(docs, str(tmp_path / "ix"), 4)
+    new = spark.createDataFrame([repo(2, "nuxflare/auth", "A changed server", ["auth"], readme="now with sessions"), repo(9, "x/y", "auth again and again", readme="auth")], REPO)
+    index.upsert(new)
+    index.delete(spark.createDataFrame([(3,)], "id long"))
+    fresh = IX.SearchIndex.build(docs.where("id = 1").unionByName(new), str(tmp_path / "new"), 4)
+    for terms in (["auth"], ["session", "server"], ["vector"]):
+        assert sorted(map(tuple, LG.scored(index.matches(terms), index.stats()).collect())) == sorted(map(tuple, LG.scored(fresh.matches(terms), fresh.stats()).collect()))
+    assert ids(LG.trigram_leg(index, docs.unionByName(new), "again")) == {9} and ids(index.lengths()) == {1, 2, 9}
+    index.upsert(docs.where("id = 3"))
+    assert ids(LG.any_leg(index, ["vector"], 5)) == {3} and IX.opened(spark, str(tmp_path / "ix"), 4) is not None and IX.opened(spark, str(tmp_path / "none")) is None
 
 
 AUTH = [
@@ -175,7 +196,7 @@ def engine(docs, spark):
     groups = spark.createDataFrame([(1, "g", "G", 0)], "id long, slug string, name string, position int")
     members = spark.createDataFrame([("g", 2)], "slug string, repo_id long")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "id long, vector array<double>")
-    return Engine(docs, links, groups, members, vectors)
+    return Engine(docs, links, groups, members, vectors, index=IX.SearchIndex.build(docs, buckets=4))
 
 
 def test_search(engine):
@@ -184,6 +205,7 @@ def test_search(engine):
     assert next(r.slugs for r in rows if r.id == 2) == ["g"] and all(r.snippet for r in rows)
     assert "expanded" in rows[0].matched_by or "keyword" in rows[0].matched_by
     both = engine.search(SearchRequest("u", "auth", vector=(0.0, 1.0))).collect()
+    assert all(r.rank_semantic for r in both) and both[0].boost >= 1
     assert {r.id for r in both} == {1, 2, 3} and both[0].mode == "hybrid" and both[0].degraded is None
     assert [r.id for r in engine.search(SearchRequest("u")).collect()] == [3, 2, 1]
     assert engine.search(SearchRequest("u", "!!!")).count() == 0 and engine.search(SearchRequest("nobody", "auth")).count() == 0
@@ -191,6 +213,15 @@ def test_search(engine):
     assert engine.search(SearchRequest("u", "auth", filters=FL.Filters(groups=("g",)))).count() == 1
 
 
+def test_status_lists_and_coverage(engine, spark):
+    assert engine.lists().select("slug", "repo_id").collect() == [("g", 2)]
+    row = engine.status("u").first()
+    assert (row.stars, row.repos, row.readmes, row.candidates, row.vectors, row.coverage) == (3, 3, 3, 3, 3, 1.0)
+    assert engine.coverage(engine.repos.limit(0)).first().coverage == 0.0
+    extra = spark.createDataFrame([(77,)], "id long")
+    assert engine.coverage(engine.repos.select("id").unionByName(extra)).first().coverage == 0.75
+
+
 def test_show_and_similar(engine):
     assert engine.show("nuxflare/auth").first().slugs == ["g"] and engine.show("no/ne").count() == 0
     assert [r.id for r in engine.similar(1, 2).orderBy("rank").collect()] == [2, 3]
@@ -202,7 +233,7 @@ def test_batches_match_single_queries(engine, spark):
     queries = spark.createDataFrame([(1, "auth server"), (2, "vector database")], "query_id long, query string")
     got = {(r.query_id, r.id): r.score for r in engine.batch_keyword(queries).collect()}
     for q, terms in ((1, ["auth", "server"]), (2, ["vector", "database"])):
-        want = {(q, r.id): r.score for r in LG.any_leg(engine.repos, engine.stats, terms, 50).collect()}
+        want = {(q, r.id): r.score for r in LG.any_leg(engine.index, terms, 50).collect()}
         assert {k: v for k, v in got.items() if k[0] == q} == pytest.approx(want)
     fused = engine.batch_fused({"keyword": engine.batch_keyword(queries).select("query_id", "id", "rank")}).collect()
     assert {(r.query_id, r.id) for r in fused} == set(got)
