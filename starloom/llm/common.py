@@ -136,6 +136,13 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
+def sliced(batches, rows: int = 512):
+    """Record batches in slices of a few rows, so that copies of texts as Python objects never are of a whole batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def blocks(texts, limit: int = 1_000_000):
     """Slices (start, stop) of a list of byte strings, each of about limit bytes or one long text."""
     i = 0

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WordHasher, blocks, mix, partitions, semi_join, shingles, staged
+from starloom.llm.common import WordHasher, blocks, mix, partitions, semi_join, shingles, sliced, staged
 from starloom.llm.components import components
 
 #: Shingles that one bucket holds at about, and a text's characters for one shingle.
-BUCKET_SHINGLES, CHARS_PER_SHINGLE = 2_000_000, 6
+BUCKET_SHINGLES, CHARS_PER_SHINGLE = 1_600_000, 6
 #: Cost of scanning an inverted list, in subsets enumerated; sizes over MOST_LIGHT are never light.
 SCAN_COST, MOST_LIGHT = 8, 16
 
@@ -120,7 +120,7 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("ids", p
 def _pack(width: int, buckets: int):
     def run(batches):
         hasher, box = WordHasher(), _Outbox(buckets)
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
             for doc_id, s in zip(ids, text_sets(texts, width, hasher)):
                 box.add(doc_id, s)
@@ -287,7 +287,7 @@ def _sets(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int) -
 
     def run(batches):
         hasher = WordHasher()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or b"" for x in batch.column("text").to_pylist()]
             for i, j in blocks(texts):
                 found = list(text_sets(texts[i:j], width, hasher))
