@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WordHasher, blocks, partitions, sliced, staged
+from starloom.llm.common import WordHasher, blocks, partitions, staged
 
 #: Words with parameters of their own, at most: the commonest that occur twice or more. Bounds the model's memory, to about
 #: 2 * WIDTH * 4 bytes a word in a task; all other words are one unit and share theirs.
@@ -18,7 +18,7 @@ MAX_OWN = 4_000_000
 WIDTH, BATCH, RATE = 16, 2048, 0.3
 #: Units that a prediction is normalised over, in training and in scores: the commonest for certain, others drawn in
 #: proportion to their counts and weighted up. A vocabulary of no more units is summed whole.
-AGAINST_TRAIN, AGAINST = 64, 128
+AGAINST_TRAIN, AGAINST = 48, 96
 OFFSETS = np.array([-2, -1, 1, 2])[:, None]
 PAD, RARE = 0, 1
 #: Parameter rows that travel together when they are averaged.
@@ -191,7 +191,7 @@ def _count(batches):
         h, inverse = np.unique(np.concatenate([held, *fresh]), return_inverse=True)
         return h, np.bincount(inverse, np.concatenate([counts, np.ones(sum(map(len, fresh)), np.int64)]), len(h)).astype(np.int64)
 
-    for batch in sliced(batches):
+    for batch in batches:
         texts = [t or b"" for t in batch.column("text").to_pylist()]
         for i, j in blocks(texts):
             fresh.append(hasher(texts[i:j])[0])
@@ -256,7 +256,7 @@ def train(rows: DataFrame, shared_lex, rounds: int = 1) -> dict[str, np.ndarray]
             net, draw, rng = Network(p, lex), Draw(lex.share, AGAINST_TRAIN), np.random.default_rng(turn)
             sums = {"mix": np.full(mix.shape, 1e-6, np.float32), "emb": np.full(units, 1e-6, np.float32), "out": np.full(units, 1e-6, np.float32)}
             met = np.zeros(units, np.int32)
-            for batch in sliced(batches):
+            for batch in batches:
                 texts = [t or b"" for t in batch.column("text").to_pylist()]
                 for i, j in blocks(texts):
                     words, counts = hasher(texts[i:j])
@@ -320,7 +320,7 @@ def masked_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def score(batches):
         lex, hasher = shared_lex.value, WordHasher()
         net, draw = Network(model.value, lex), Draw(lex.share, AGAINST)
-        for batch in sliced(batches):
+        for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             n, s = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for i, j in blocks(texts):
