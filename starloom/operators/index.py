@@ -4,7 +4,7 @@ that a search reads a few files of. Changes are added as segments; what they rep
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -98,19 +98,26 @@ class SearchIndex:
 
     spark: SparkSession
     path: str
-    buckets: int = 64
+    buckets: int
     stemmed: bool = True
     n_dead: int | None = None
+    tables: dict[str, DataFrame] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, repos: DataFrame, path: str | None = None, buckets: int = 64, stemmed: bool = True) -> SearchIndex:
-        """The index of a corpus, in place of any under this path; by default a new one in the shared folder."""
+    def build(cls, repos: DataFrame, path: str | None = None, buckets: int | None = None, stemmed: bool = True) -> SearchIndex:
+        """The index of a corpus, in place of any under this path; by default a new one in the shared folder, with as many buckets as
+        a shuffle has partitions."""
         spark = repos.sparkSession
+        buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
         index = cls(spark, path or f"{shared_dir(spark)}/starloom/index-{uuid.uuid4().hex}", buckets, stemmed)
         index._write(repos, 0, "overwrite")
         spark.createDataFrame([], "id long, upto int").write.mode("overwrite").parquet(f"{index.path}/dead")
+        index._changed()
         return index
 
+    def _changed(self) -> None:
+        self.tables, self.n_dead = {}, None
+
     def _bucket(self, column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
@@ -121,6 +128,7 @@ class SearchIndex:
 
         put(postings(repos, self.stemmed).withColumn("bucket", F.when(F.col("term") == "", WHOLE).otherwise(self._bucket("term"))), "term", "terms")
         put(trigrams(repos).withColumn("bucket", self._bucket("gram")), "gram", "trigrams")
+        self._changed()
         mine = self._table("terms").where((F.col("bucket") == WHOLE) & (F.col("segment") == segment))
         mine.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).coalesce(1).write.mode(mode).parquet(f"{self.path}/stats")
 
@@ -128,7 +136,10 @@ class SearchIndex:
         return (self._table("terms").where(F.col("bucket") == WHOLE).agg(F.max("segment")).first()[0] or 0) + 1
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        """A table whose files are listed once."""
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        return self.tables[name]
 
     def _dead(self) -> int:
         if self.n_dead is None:
@@ -156,7 +167,7 @@ class SearchIndex:
         """Takes the documents with these ids out."""
         upto = self._segments() - 1 if upto is None else upto
         ids.select("id", F.lit(upto).cast("int").alias("upto")).write.mode("append").parquet(f"{self.path}/dead")
-        self.n_dead = None
+        self._changed()
 
     def of(self, words: list[str]) -> list[str]:
         """The index terms of words as they are written."""
@@ -206,7 +217,7 @@ class SearchIndex:
         return out.where(F.size("places") > 0)
 
 
-def opened(spark: SparkSession, path: str, buckets: int = 64, stemmed: bool = True) -> SearchIndex | None:
+def opened(spark: SparkSession, path: str, buckets: int, stemmed: bool = True) -> SearchIndex | None:
     """The index under a path, if there is one."""
     index = SearchIndex(spark, path, buckets, stemmed)
     try:

@@ -39,7 +39,7 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v{found.agg(F.max('version')).first()[0]}")
 
 
-def build_index(repos: DataFrame, path: str, buckets: int = 64, vectors: DataFrame | None = None) -> SearchIndex:
+def build_index(repos: DataFrame, path: str, buckets: int | None = None, vectors: DataFrame | None = None) -> SearchIndex:
     """The search tables of a corpus: a stemmed index and a plain one beside it, its vectors, and a report on its texts. Returns the
     stemmed index."""
     index = SearchIndex.build(repos, f"{path}/stemmed", buckets)
