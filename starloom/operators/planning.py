@@ -72,8 +72,10 @@ def fold_state(events: DataFrame, key: str, seq: str, columns: list[str]) -> Dat
 
 
 def daily_budget(requests: DataFrame, limit: int, key: str = "key", at: str = "ts", tie: str = "id") -> DataFrame:
-    """Requests with their number of the key's UTC day and whether they are within the limit."""
-    day = F.to_date(F.to_utc_timestamp(F.col(at), F.current_timezone()))
+    """Requests with their number of the key's UTC day, whatever the session's zone, and whether they are within the limit.
+    Timestamps without a zone are taken to be UTC."""
+    zoned = requests.schema[at].dataType.typeName() == "timestamp"
+    day = F.to_date(F.to_utc_timestamp(F.col(at), F.current_timezone()) if zoned else F.col(at))
     used = F.row_number().over(Window.partitionBy(key, day).orderBy(at, tie)).cast("long")
     return requests.withColumn("day", day).withColumn("used", used).withColumn("allowed", F.col("used") <= max(0, int(limit)))
 
