@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Removes the files of staged frames that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/starloom/" in f:
+                path = jvm.org.apache.hadoop.fs.Path(f)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,6 +154,17 @@ def sliced(batches, rows: int = 512):
             yield batch.slice(i, rows)
 
 
+def byte_slices(batches, column: str, limit: int = 16 << 20):
+    """Record batches in slices of about limit bytes in a column of texts, or of one row that has more."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def blocks(texts, limit: int = 1_000_000):
     """Slices (start, stop) of a list of byte strings, each of about limit bytes or one long text."""
     i = 0

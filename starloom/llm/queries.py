@@ -14,6 +14,7 @@ from starloom.llm.mixing import mix_sql, pareto_mix
 from starloom.llm.packing import best_fit_packing
 from starloom.llm.quality import quality_scores
 from starloom.llm.secret_scan import scan_secrets
+from starloom.llm.source_audit import audit_sql, source_audit
 from starloom.llm.toxicity import toxicity_scores
 from starloom.llm.vector_graph import near_vectors, vectors_sql
 
@@ -58,6 +59,10 @@ def op10_masked_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_bradley_terry": op1_quality_bradley_terry,
     "op2_html_main_text": op2_html_main_text,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_masked_lm_scores": op10_masked_lm_scores,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -76,4 +82,5 @@ ORACLE_SQL = {
     "op5_line_frequency_rules": line_rules_sql(),
     "op7_pareto_mix": mix_sql(),
     "op8_ngram_jaccard_join": jaccard_sql(),
+    "op13_source_divergence": audit_sql(),
 }
