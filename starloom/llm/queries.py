@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from starloom.llm.collocations import collocations, collocations_sql
 from starloom.llm.common import table
 from starloom.llm.html_text import extract_text
 from starloom.llm.jaccard_join import jaccard_join, jaccard_sql
@@ -59,6 +60,10 @@ def op10_masked_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(table(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_masked_lm_scores": op10_masked_lm_scores,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -82,5 +88,6 @@ ORACLE_SQL = {
     "op5_line_frequency_rules": line_rules_sql(),
     "op7_pareto_mix": mix_sql(),
     "op8_ngram_jaccard_join": jaccard_sql(),
+    "op12_phrase_collocations": collocations_sql(),
     "op13_source_divergence": audit_sql(),
 }
