@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import _BASE, _BYTE, _LOWER, _MULT, BROADCAST_KEYS, WordHasher, blocks, byte_slices, dropped, mix, staged
+from starloom.llm.common import _BASE, _BYTE, _LOWER, _MULT, BROADCAST_KEYS, WordHasher, blocks, byte_slices, dropped, mix, partitions, staged
 
 #: Words of a phrase at most; occurrences that a candidate has at least; rows of a language in the result.
 DEPTH, MIN_COUNT, TOP = 5, 100, 2000
@@ -319,7 +319,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    n_ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    n_ranges = max(partitions(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     blob, sums = "lang string, range int, payload binary", "lang string, h long, n long"
 
     def counted(task) -> DataFrame:
@@ -352,7 +352,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     best = best.select("lang", "words", "a", "n", "cut.*")
 
     order = [F.desc("score"), F.desc("a")]
-    salt = F.pmod(F.xxhash64("words"), F.lit(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    salt = F.pmod(F.xxhash64("words"), F.lit(partitions(spark)))
     first = best.withColumn("salt", salt).withColumn("place", F.rank().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= top)
     first = first.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= top).drop("salt", "place")
     first = staged(first, "first")

@@ -16,6 +16,7 @@ from starloom.llm.packing import best_fit_packing
 from starloom.llm.quality import quality_scores
 from starloom.llm.secret_scan import scan_secrets
 from starloom.llm.source_audit import audit_sql, source_audit
+from starloom.llm.suffix_dedup import repeats, repeats_sql
 from starloom.llm.toxicity import toxicity_scores
 from starloom.llm.vector_graph import near_vectors, vectors_sql
 
@@ -60,6 +61,10 @@ def op10_masked_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_masked_lm_scores": op10_masked_lm_scores,
+    "op11_suffix_buckets": op11_suffix_buckets,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -88,6 +94,7 @@ ORACLE_SQL = {
     "op5_line_frequency_rules": line_rules_sql(),
     "op7_pareto_mix": mix_sql(),
     "op8_ngram_jaccard_join": jaccard_sql(),
+    "op11_suffix_buckets": repeats_sql(),
     "op12_phrase_collocations": collocations_sql(),
     "op13_source_divergence": audit_sql(),
 }
