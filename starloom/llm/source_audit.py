@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import byte_slices, dropped, staged
+from starloom.llm.common import byte_slices, dropped, partitions, staged
 
 #: A term: letters of ASCII and anything beyond it.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -112,7 +112,7 @@ def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     nul = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(nul(text_col).alias("text"), nul(lang_col).alias("lang"), nul(source_col).alias("source"))
     sized = staged(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes")), "sources")
-    shards = max(1, -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    shards = max(partitions(docs.sparkSession), -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
 
     counts = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
     kept = staged(counts.groupBy("shard").applyInArrow(_keep(min_docs), "lang string, source string, term string, n long, one boolean, shard int"), "terms")
