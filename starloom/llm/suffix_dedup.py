@@ -2,8 +2,9 @@
 
 A window is a run of LENGTH bytes. Two windows are equal only if they hold the same anchor at the same place: the GRAM-byte run
 with the least hash in them. Anchors deal the windows into initial buckets that can be sorted apart from each other. Inside a
-bucket every position gets the rank of its first 8 bytes as bucket pointer; buckets are then refined by sorting on the pointers of a
-later offset (8, 16, 32, 36 bytes on), each round reusing the pointers that the round before it has set, until they tell windows apart.
+bucket every position gets the rank of its first 25 bytes as bucket pointer; buckets are then refined by sorting on the pointers of a
+later offset (25, then 50 bytes on), each round reusing the pointers that the round before it has set. Windows that are alone in a
+bucket drop out.
 
 First each shard of a task refines its own texts, so that of what it holds many times one is left to compare with other shards.
 """
@@ -22,7 +23,7 @@ from starloom.llm.common import _BYTE, BROADCAST_KEYS, WordHasher, blocks, byte_
 #: Bytes of a passage; bytes of an anchor.
 LENGTH, GRAM = 100, 32
 #: Bytes of text in a shard, and at most in each bucket's share of all text; bytes of one piece of a long text that is searched for anchors.
-SHARD_BYTES, BUCKET_BYTES, PIECE = 16 << 20, 16 << 20, 4 << 20
+SHARD_BYTES, BUCKET_BYTES, PIECE = 4 << 20, 16 << 20, 4 << 20
 #: Occurrences of one anchor that are compared in one task; windows of commoner anchors are dealt out by their own hashes.
 HOT = 20_000
 #: Bytes of contexts that are refined at once.
@@ -88,47 +89,87 @@ def anchors(texts: list[bytes], hasher: WordHasher):
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _steps(length: int) -> list[int]:
-    """Depths of the rounds: 8, 16, 32, ... and the length."""
-    steps = [8]
-    while steps[-1] * 2 < length:
-        steps.append(steps[-1] * 2)
-    return [*steps, length]
-
-
-def refine(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The bucket of each window of data at starts (which may repeat): equal windows are in one bucket."""
-    steps = _steps(length)
-    needed, mask = [], np.zeros(len(data) + 1, dtype=bool)
-    mask[starts] = True
-    for depth, below in zip(steps[:0:-1], steps[-2::-1]):
-        needed.append(np.flatnonzero(mask))
-        mask[needed[-1] + depth - below] = True
-    at = np.flatnonzero(mask)
-    key = np.zeros(len(at), dtype=np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | data[at + k]
-    pointer = np.zeros(len(data) + 1, dtype=np.int32)
-    for below, depth, following in zip([0, *steps], steps, [*needed[::-1], None]):
-        order = np.argsort(key)
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        pointer[at[order]] = np.cumsum(new) - 1
-        if following is None:
-            break
-        at = following
-        shift = steps[steps.index(depth) + 1] - depth
-        key = (pointer[at].astype(np.uint64) << np.uint64(32)) | pointer[at + shift].astype(np.uint64)
-    return pointer[starts]
+def _pointers(key: np.ndarray, at: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+    """Sets the bucket pointers of places by sorting their keys; whether each shares its bucket."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    number = np.cumsum(new, dtype=np.int32) - 1
+    pointer[at[order]] = number
+    shared = np.empty(len(k), dtype=bool)
+    shared[order] = (np.diff(np.append(np.flatnonzero(new), len(k))) > 1)[number]
+    return shared
+
+
+def refine(data: np.ndarray, starts: np.ndarray, hasher: WordHasher, length: int = LENGTH) -> np.ndarray:
+    """The bucket of each window of data at starts (which may repeat): equal windows are in one bucket. Windows that were alone
+    in a bucket before the last round have a negative one."""
+    q = -(-length // 4)
+    far = length - 2 * q
+    bucket = -1 - np.arange(len(starts))
+    if not len(starts):
+        return bucket
+    pointer, mask = np.zeros(len(data) + 1, dtype=np.int32), np.zeros(len(data) + 1, dtype=bool)
+
+    def places(*offsets: int) -> np.ndarray:
+        mask[:] = False
+        for k in offsets:
+            mask[starts[live] + k] = True
+        return np.flatnonzero(mask)
+
+    def alone(at: np.ndarray, shared: np.ndarray, *offsets: int) -> np.ndarray:
+        mask[at] = shared
+        out = np.ones(len(live), dtype=bool)
+        for k in offsets:
+            out &= mask[starts[live] + k]
+        return live[out]
+
+    live = np.arange(len(starts))
+    at = places(0, q, far, far + q)
+    live = alone(at, _pointers(_windows(data, at, q, hasher), at, pointer), 0, q, far, far + q)
+    at = places(0, far)
+    live = alone(at, _pointers((pointer[at].astype(np.uint64) << np.uint64(32)) | pointer[at + q].astype(np.uint64), at, pointer), 0, far)
+    at = places(0)
+    _pointers((pointer[at].astype(np.uint64) << np.uint64(32)) | pointer[at + far].astype(np.uint64), at, pointer)
+    bucket[live] = pointer[starts[live]]
+    return bucket
+
+
+def _windows(data: np.ndarray, at: np.ndarray, n: int, hasher: WordHasher) -> np.ndarray:
+    """Hashes of n bytes at sorted places, from sums over blocks of data."""
+    out, block = np.empty(len(at), dtype=np.uint64), 1 << 20
+    hasher._grow(block + n + 1)
+    edge = np.searchsorted(at, np.arange(0, len(data) + block, block))
+    for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
+        if lo == hi:
+            continue
+        part = data[k * block : (k + 1) * block + n]
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * hasher.power[: len(part)], out=total[1:])
+        i = at[lo:hi] - k * block
+        out[lo:hi] = mix((total[i + n] - total[i]) * hasher.back[i] + np.uint64(n))
+    return out
+
+
+def _same(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, hasher: WordHasher) -> np.ndarray:
+    """Numbers that are equal for contexts with the same bytes and the same place of the anchor."""
+    hasher._grow(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * hasher.power[: len(data)], out=total[1:])
+    h = mix(mix((total[begin + size] - total[begin]) * hasher.back[begin] + size.astype(np.uint64)) + left.astype(np.uint64))
+    return (h >> np.uint64(1)).view(np.int64)
 
 
 def repeated(bucket: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Whether a window's bucket has one that comes earlier; windows of one place (a row twice) are no repeats of each other."""
-    by = np.lexsort((order, bucket))
+    out = np.zeros(len(bucket), dtype=bool)
+    some = np.flatnonzero(bucket >= 0)
+    by = some[np.argsort(bucket[some])]
     b, o = bucket[by], order[by]
-    first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
-    out = np.empty(len(b), dtype=bool)
-    out[by] = o != np.repeat(o[first], np.diff(np.append(first, len(b))))
+    if len(b):
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        out[by] = o != np.repeat(np.minimum.reduceat(o, first), np.diff(np.append(first, len(b))))
     return out
 
 
@@ -225,7 +266,7 @@ def _find(n_buckets: int):
                 data, base = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
                 n = s2[twice] - s1[twice] + 1
                 entry, starts, rank = np.repeat(twice, n), spread(s1[twice], n), _ranks(docs)[0]
-                gone = repeated(refine(data, starts + base[who[entry]]), (rank[who[entry]] << 32) | starts)
+                gone = repeated(refine(data, starts + base[who[entry]], hasher), (rank[who[entry]] << 32) | starts)
                 w, f, l = _runs(who[entry[gone]], starts[gone])
                 yield from _dealt(_RUNS, _packed(key["d1"][w] % n_buckets, key, w, f.astype(np.int32), l.astype(np.int32)))
                 left, at = entry[~gone], starts[~gone]  # entries are sorted, and so are their starts
@@ -363,23 +404,27 @@ def _refined(blobs):
         order = np.argsort(h, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
         until = np.cumsum(size[order])
-        lo, whos, gones = 0, [], []
+        lo = 0
         while lo < len(order):  # whole buckets, about CHUNK bytes of them at once
             reach = np.searchsorted(until, (until[lo - 1] if lo else 0) + CHUNK)
             k = np.searchsorted(edge, max(reach, lo + 1))
             hi = int(edge[k]) if k < len(edge) else len(order)
             some = order[lo:hi]
-            text = data[spread(at[some], size[some])]
-            n = e["l"][some].astype(np.int64) - e["r"][some] + 1
-            offset = spread(np.zeros(len(some), np.int64), n)
-            where = np.repeat(np.cumsum(size[some]) - size[some], n) + offset
-            starts = np.repeat(e["a"][some].astype(np.int64) - e["l"][some], n) + offset
-            of = np.repeat(who[some], n)
-            gone = repeated(refine(text, where), (of << 32) | starts)
-            whos.append(of[gone])
-            gones.append(starts[gone])
+            first, run = e["a"][some].astype(np.int64) - e["l"][some], e["l"][some].astype(np.int64) - e["r"][some]
+            text, begin = data[spread(at[some], size[some])], np.cumsum(size[some]) - size[some]
+            copies = repeated(_same(text, begin, size[some], e["l"][some], hasher), (who[some] << 32) | first)
+            runs = np.empty(int(copies.sum()), dtype=_RUN)  # contexts that are equal as a whole: the earliest stands for them
+            runs["s1"], runs["s2"] = first[copies], (first + run)[copies]
+            out.append(_listed(docs, who[some[copies]], runs))
+            group = np.searchsorted(edge, np.arange(lo, hi), side="right")
+            left = np.bincount(group[~copies], minlength=int(group[-1]) + 1)[group] > 1
+            rest = np.flatnonzero(~copies & left)
+            n = run[rest] + 1
+            offset = spread(np.zeros(len(rest), np.int64), n)
+            starts, of = np.repeat(first[rest], n) + offset, np.repeat(who[some[rest]], n)
+            gone = repeated(refine(text, np.repeat(begin[rest], n) + offset, hasher), (of << 32) | starts)
+            found(docs, of[gone], starts[gone])
             lo = hi
-        found(docs, np.concatenate(whos), np.concatenate(gones))
     return pa.concat_tables(out)
 
 
@@ -419,10 +464,10 @@ def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("d1"), F.hash("text").alias("d2"), "text")
     n = max(partitions(docs.sparkSession), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     dealt, lists = "bucket int, kind int, payload binary", "d1 long, d2 int, entries binary, runs binary"
-    named = rows.mapInArrow(_find(n), dealt).groupBy("bucket").applyInArrow(_common, lists)
+    named = rows.mapInArrow(_find(n), dealt).repartition(n, "bucket").groupBy("bucket").applyInArrow(_common, lists)
     named = named.groupBy("d1", "d2").agg(F.collect_list("entries").alias("entries"), F.collect_list("runs").alias("runs"))
     around = rows.join(named, ["d1", "d2"]).select("doc_id", "d1", "d2", "text", "entries", "runs")
-    runs = around.mapInArrow(_contexts(n), dealt).groupBy("bucket").applyInArrow(_refined, lists)
+    runs = around.mapInArrow(_contexts(n), dealt).repartition(n, "bucket").groupBy("bucket").applyInArrow(_refined, lists)
     return rows, runs.groupBy("d1", "d2").agg(F.collect_list("runs").alias("runs"))
 
 

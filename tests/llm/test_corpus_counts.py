@@ -120,9 +120,10 @@ def test_refined_buckets_are_equal_windows():
     rng = np.random.default_rng(9)
     for length in (9, 16, 33, 100):
         data = rng.integers(0, 2, 3000).astype(np.uint8) if length < 20 else np.tile(rng.integers(0, 9, 130).astype(np.uint8), 20)
-        starts = rng.integers(0, len(data) - length, 700)
-        bucket = refine(data, starts, length)
+        starts = rng.permutation(len(data) - length)[:700]
+        bucket = refine(data, starts, WordHasher(), length)
         windows = [data[s : s + length].tobytes() for s in starts]
+        assert all(windows.count(w) == 1 for w, x in zip(windows, bucket.tolist()) if x < 0)
         assert len({*zip(bucket.tolist(), windows)}) == len(set(windows)) == len(set(bucket.tolist()))
         first = {}
         for w, s in sorted(zip(windows, starts.tolist()), key=lambda x: x[1]):
