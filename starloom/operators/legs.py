@@ -16,9 +16,9 @@ DIGITS = 9
 BLOCK_NUMBERS = 1_000_000
 
 
-def scored(matches: DataFrame, stats: DataFrame) -> DataFrame:
-    """id, n_terms, score: BM25 with document frequencies over the whole index."""
-    df = matches.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+def scored(matches: DataFrame, stats: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """id, n_terms, score: BM25 with document frequencies over the whole index, as stored (df) or counted."""
+    df = matches.groupBy("term").agg(F.count("*").alias("df")) if df is None else df  # a row for each query term
     full = matches.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
     worth = bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n"))
     return full.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum(worth), DIGITS).alias("score"))
@@ -43,15 +43,14 @@ def enough_or_all(hits: DataFrame, n: int, least: int) -> DataFrame:
 
 def keyword_leg(index: SearchIndex, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
     """All terms where enough documents have them, else any."""
-    hits = among(scored(index.matches(terms), index.stats()), candidates)
+    hits = among(scored(index.matches(terms), index.stats(), index.dfs(terms)), candidates)
     return top((enough_or_all(staged(hits, "hits"), len(terms), MIN_AND_HITS) if len(terms) > 1 else hits).select("id", "score"), k)
 
 
 def text_legs(index: SearchIndex, words: list[str], more: list[str], k: int, candidates: DataFrame | None = None) -> dict[str, DataFrame]:
     """The keyword leg and, with more terms, the expanded leg, from one read of the rows of both and one aggregate."""
-    matches = index.matches(list(dict.fromkeys([*words, *more])))
-    df = matches.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
-    full = matches.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats()))  # one row
+    asked_for = list(dict.fromkeys([*words, *more]))
+    full = index.matches(asked_for).join(F.broadcast(index.dfs(asked_for)), "term").crossJoin(F.broadcast(index.stats()))  # one row
     worth = bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n"))
     asked, added = F.col("term").isin(words), F.col("term").isin(more) if more else F.lit(False)
     total = lambda of: F.round(F.sum(F.when(of, worth)), DIGITS)
@@ -66,11 +65,11 @@ def text_legs(index: SearchIndex, words: list[str], more: list[str], k: int, can
 
 
 def any_leg(index: SearchIndex, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
-    return top(among(scored(index.matches(terms), index.stats()), candidates).select("id", "score"), k)
+    return top(among(scored(index.matches(terms), index.stats(), index.dfs(terms)), candidates).select("id", "score"), k)
 
 
 def all_leg(index: SearchIndex, terms: list[str], k: int, candidates: DataFrame | None = None) -> DataFrame:
-    return top(among(scored(index.matches(terms), index.stats()).where(F.col("n_terms") == len(terms)), candidates).select("id", "score"), k)
+    return top(among(scored(index.matches(terms), index.stats(), index.dfs(terms)).where(F.col("n_terms") == len(terms)), candidates).select("id", "score"), k)
 
 
 def trigram_leg(index: SearchIndex, repos: DataFrame, text: str) -> DataFrame:

@@ -18,7 +18,7 @@ from starloom.operators.merging import groups_of, memberships
 from starloom.operators.ranking import page, with_snippets
 from starloom.plans.lexicon import CONCEPTS
 from starloom.plans.query import SearchRequest, classify, expand, normalize, tokenize
-from starloom.sources import tables
+from starloom.sources import files, tables
 from starloom.sources.staging import staged
 
 #: Rows that a leg keeps for a relevance order and for an explicit one.
@@ -34,8 +34,8 @@ _BUILT: dict[tuple, SearchIndex] = {}
 
 
 def index_over(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The index of the tables in a folder, built on first use in a session and read from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of the tables in a folder, built on first use in a session and read from then on, until the tables' files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(files.state(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")))
     if key not in _BUILT:
         _BUILT[key] = SearchIndex.build(tables.repos(spark, sf_dir))
     return _BUILT[key]
@@ -145,8 +145,7 @@ class Engine:
         words = index_tokens(F.col("query"))
         asked = queries.select("query_id", F.explode(F.array_distinct(stems(words) if self.index.stemmed else words)).alias("term"))
         rows = self.index.terms().join(asked.select("term").distinct(), "term", "left_semi").select("id", "term", "len", frequency(WEIGHTS).alias("tf"))
-        df = rows.groupBy("term").agg(F.count("*").alias("df"))
-        worth = rows.join(df, "term").crossJoin(F.broadcast(self.index.stats())).select("term", "id", bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n")).alias("s"))
+        worth = rows.join(self.index.all_dfs(), "term").crossJoin(F.broadcast(self.index.stats())).select("term", "id", bm25(F.col("tf"), F.col("len"), F.col("mean_len"), F.col("df"), F.col("n")).alias("s"))
         scores = asked.join(worth, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("long")
         return scores.withColumn("rank", rank) if k is None else scores.withColumn("rank", rank).where(F.col("rank") <= k)

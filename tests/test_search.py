@@ -1,5 +1,6 @@
 """Filters, legs, fusion, orders and the engine on the small fixtures."""
 
+import random
 import sqlite3
 
 import pytest
@@ -131,6 +132,86 @@ def test_changes_equal_a_new_index(docs, tmp_path, spark):
     assert ids(LG.any_leg(index, ["vector"], 5)) == {3} and IX.opened(spark, str(tmp_path / "ix"), 4) is not None and IX.opened(spark, str(tmp_path / "none")) is None
 
 
+def found_by(index, *words):
+    return sorted((r.id, round(r.score, 9)) for r in LG.scored(index.matches(list(words)), index.stats(), index.dfs(list(words))).collect())
+
+
+def test_an_index_says_how_it_was_built(docs, tmp_path, spark):
+    path = str(tmp_path / "accounts" / "fts_u_a")
+    built = IX.SearchIndex.build(docs, path, 5)
+    again = IX.opened(spark, path)
+    assert (again.buckets, again.stemmed) == (5, True) and found_by(again, "auth", "vector") == found_by(built, "auth", "vector") != []
+    with pytest.raises(ValueError, match="5 buckets"):
+        IX.opened(spark, path, 64)
+    assert IX.opened(spark, str(tmp_path / "none")) is None
+    IX.SearchIndex.build(docs, str(tmp_path / "accounts" / "fts_u_b"), 5)
+    assert IX.listed(spark, str(tmp_path / "accounts")) == ["fts_u_a", "fts_u_b"]
+    IX.drop(spark, path)
+    assert IX.listed(spark, str(tmp_path / "accounts")) == ["fts_u_b"] and IX.opened(spark, path) is None
+
+
+def test_readers_see_one_version(docs, tmp_path, spark, monkeypatch):
+    """A reader that opens the index between the writes of a change, or while its manifest is half written, sees what was there before."""
+    index = IX.SearchIndex.build(docs, str(tmp_path / "ix"), 4)
+    before, seen = found_by(index, "auth"), []
+    commit = IX.SearchIndex._commit
+
+    def looked(self, change):
+        reader = IX.opened(spark, self.path)
+        seen.append((ids(reader.lengths()), found_by(reader, "auth")))
+        return commit(self, change)
+
+    monkeypatch.setattr(IX.SearchIndex, "_commit", looked)
+    old = IX.opened(spark, index.path)
+    index.upsert(spark.createDataFrame([repo(2, "a/b", "auth auth"), repo(7, "c/d", "auth")], REPO))
+    assert seen == [({1, 2, 3}, before)] and found_by(old, "auth") == before
+    assert ids(index.lengths()) == {1, 2, 3, 7} == ids(IX.opened(spark, index.path).lengths())
+    (tmp_path / "ix" / "manifest" / "000000000009.json").write_text('{"version": 9, "buck')
+    assert ids(IX.opened(spark, index.path).lengths()) == {1, 2, 3, 7}
+
+
+def test_two_writers_lose_nothing(docs, tmp_path, spark):
+    """Both opened the same version; the slower one goes on from what the faster one made."""
+    first = IX.SearchIndex.build(docs, str(tmp_path / "ix"), 4)
+    second = IX.opened(spark, first.path)
+    first.upsert(spark.createDataFrame([repo(8, "a/b", "auth")], REPO))
+    second.upsert(spark.createDataFrame([repo(8, "a/b", "vector"), repo(9, "c/d", "auth")], REPO))
+    now = IX.opened(spark, first.path)
+    assert ids(now.lengths()) == {1, 2, 3, 8, 9} and ids(now.rows(["auth"])) == {1, 2, 9} | (ids(IX.SearchIndex.build(docs).rows(["auth"])) - {8})
+
+
+def test_many_changes_leave_few_segments(docs, tmp_path, spark):
+    index = IX.SearchIndex.build(docs, str(tmp_path / "ix"), 4)
+    for k in range(11):
+        index.upsert(spark.createDataFrame([repo(20 + k % 4, f"o/n{k}", f"auth number{k}")], REPO))
+    last = [repo(20 + k % 4, f"o/n{k}", f"auth number{k}") for k in range(7, 11)]
+    fresh = IX.SearchIndex.build(docs.unionByName(spark.createDataFrame(last, REPO)), str(tmp_path / "fresh"), 4)
+    assert len(index.manifest["segments"]) <= 6
+    for words in (("auth",), ("number3", "number9"), ("number10", "vector")):
+        assert found_by(index, *words) == found_by(fresh, *words)
+    index.merge()
+    index.vacuum()
+    assert len(index.manifest["segments"]) == 1 and not index.manifest["dead"] and found_by(IX.opened(spark, index.path), "auth") == found_by(fresh, "auth")
+    assert {n: len(list((tmp_path / "ix" / n).glob("segment=*"))) for n in ("terms", "df", "trigrams", "dead")} == {"terms": 1, "df": 1, "trigrams": 1, "dead": 0}
+    assert index.all_dfs().where("term = 'auth'").first().df == fresh.dfs(["auth"]).first().df
+
+
+def test_a_common_term_spreads_over_files(tmp_path, spark):
+    """One word in every document, and the documents' own rows: both go to as many files as their size asks for."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32k")
+    try:
+        rng = random.Random(3)
+        many = spark.range(20_000).select("id", *(F.lit(x).alias(c) for c, x in (("full_name", "o/n"), ("owner", "o"), ("name", "n"), ("description", "")))).withColumn("topics", F.array().cast("array<string>"))
+        word = F.concat(F.lit("common w"), (F.xxhash64("id") % rng.randint(5000, 6000)).cast("string"))
+        many = many.withColumn("readme", F.concat_ws(" ", *(word for _ in range(3)))).repartition(16)
+        index = IX.SearchIndex.build(many, str(tmp_path / "ix"), 4)
+        files = lambda rows: len({r.f for r in rows.select(F.input_file_name().alias("f")).distinct().collect()})
+        assert files(index._table("terms").where("term = 'common'")) > 4 and files(index._table("terms").where("bucket = -1")) > 4
+        assert index.rows(["common"]).count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 AUTH = [
     repo(1, "better-auth/better-auth", topics=["authentication", "oauth"], language="TypeScript", stars=30000), repo(2, "logto-io/logto", topics=["authentication"], language="TypeScript", stars=14000),
     repo(3, "nuxflare/auth", topics=["authentication"], language="TypeScript", stars=24), repo(4, "anomalyco/openauth", topics=["oauth"], language="TypeScript", stars=5000), repo(5, "casbin/casbin", topics=["authorization"], language="Go", stars=18000),
