@@ -106,13 +106,15 @@ def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     empty table gives no rows.
 
     Counts are summed in each slice of a task before they are shuffled by language and term, so the commonest term sends a row for each
-    source and slice. Shards follow the bytes of text. A shard's pair sums take its terms in blocks; the number of pairs
+    source and slice. Terms are counted in as many shards as a shuffle has partitions at
+    least, and summed in fewer, by the bytes of text, as each sum of a shard is a row. A shard's pair sums take its terms in blocks; the number of pairs
     is what the result has.
     """
     nul = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(nul(text_col).alias("text"), nul(lang_col).alias("lang"), nul(source_col).alias("source"))
     sized = staged(rows.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).alias("bytes")), "sources")
-    shards = max(partitions(docs.sparkSession), -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    wide = max(1, -(-(sized.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))  # shards of the sums, each a row for every two sources
+    shards = wide * -(-partitions(docs.sparkSession) // wide)  # shards of the counts
 
     counts = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
     kept = staged(counts.groupBy("shard").applyInArrow(_keep(min_docs), "lang string, source string, term string, n long, one boolean, shard int"), "terms")
@@ -122,8 +124,8 @@ def source_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     groups = sized.select("lang", "source").join(of_source, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("ones", F.lit(0)).alias("ones"))
     groups = staged(groups.select("lang", "source", "total", F.sum("total").over(whole).cast("long").alias("lang_total"), F.sum("ones").over(whole).cast("long").alias("v")), "groups")
 
-    dealt = groups.where("v > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = kept.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_sums(top_terms), "part string, lang string, source string, item string, value long")
+    dealt = groups.where("v > 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+    found = kept.withColumn("shard", F.col("shard") % wide).groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_sums(top_terms), "part string, lang string, source string, item string, value long")
     found = staged(found, "sums")
 
     apart = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
