@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from starloom.functions.markdown import plain_markdown
+
 #: Fixed limits of queries and snippets, in characters.
 QUERY_LIMIT, SNIPPET, SNIPPET_BEFORE, README_LIMIT = 512, 220, 60, 65_536
 RUN = r"[\p{L}\p{N}]+"
@@ -107,14 +109,6 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.rtrim(F.substring(text, 1, n - 1)), F.lit("…"))).otherwise(text)
 
 
-def plain_markdown(text: Column) -> Column:
-    """Markdown as running text: comments, images, tags, link targets and fence markers go, code stays; marks of headings and quotes go."""
-    body = F.regexp_replace(F.translate(text, "\r", ""), r"(?s)<!--.*?-->|!\[[^\]]*\]\([^)]*\)", " ")
-    body = F.regexp_replace(F.regexp_replace(body, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"<[^>]+>|```[^\n]*", " ")
-    lines = F.regexp_replace(body, r"(?m)^\s{0,3}(?:#{1,6}\s+(?:\s{0,3}>\s?)?|>\s?)", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
-
-
 def first_match(text: Column, terms: list[str]) -> Column:
     """Where the earliest whole-word match of a term of two characters or more begins, from 1; 0 if none does."""
     found = [F.regexp_instr(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{t.lower()}\E(?![\p{{L}}\p{{N}}])")) for t in terms if len(t) >= 2]
