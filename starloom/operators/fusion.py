@@ -98,15 +98,18 @@ def duplicate_penalties(hits: DataFrame) -> DataFrame:
     return hits.withColumn("factor", factor).withColumn("score", F.round(F.col("score") * F.col("factor"), DIGITS)).drop("factor")
 
 
-def fuse(legs: dict[str, DataFrame] | DataFrame, repos: DataFrame, terms: list[str], weights: dict[str, float] = LEG_WEIGHTS, penalties: bool = True, names_of: DataFrame | None = None) -> DataFrame:
+def fuse(legs: dict[str, DataFrame] | DataFrame, repos: DataFrame, terms: list[str], weights: dict[str, float] = LEG_WEIGHTS, penalties: bool = True, names_of: DataFrame | None = None, boosts: bool = True, few: bool = False) -> DataFrame:
     """id, score, rrf, boost, matched_by and leg ranks of what the legs found among repos, unordered.
 
     repos are the candidates; a leg's hit outside them is dropped. Name statistics are over the
-    repositories in any leg, or over names_of. legs may be united already (leg, id, rank); they hold the few best of
-    each leg, so what they name is broadcast and the candidates are not moved.
+    repositories in any leg, or over names_of. legs may be united already (leg, id, rank). Where they hold the few best of
+    each leg (few), what they name is broadcast and the candidates are not moved. Without boosts the score is the fused rank alone.
     """
     fused = fuse_ranks(union_legs(legs) if isinstance(legs, dict) else legs, weights)
-    found = repos.join(F.broadcast(fused), "id")
+    found = repos.join(F.broadcast(fused) if few else fused, "id")
+    if not boosts:
+        by = F.array_compact(F.array(*(F.when(F.col(f"rank_{k}").isNotNull(), F.lit(k)) for k in weights)))
+        return found.withColumn("boost", F.lit(1.0)).withColumn("score", F.round("rrf", DIGITS)).withColumn("matched_by", by)
     found = with_specificity(found, terms, found if names_of is None else names_of) if terms else found.withColumn("spec", F.lit(None).cast("map<string,double>"))
     boost = name_boost(terms, F.col("name"), F.col("spec")) if terms else F.lit(1.0)
     bonus = overlap_bonus(terms, F.col("topics"), F.col("description")) if terms else F.lit(0.0)

@@ -100,7 +100,7 @@ class Engine:
         if usable:
             legs["semantic"] = vector_leg(self.vectors, list(r.vector), k, found)
         ranked = staged(union_legs(legs), "legs")  # k rows a leg at most: found once, whatever reads the hits
-        return fuse(ranked, found, evidence(words, terms), self.weights), label, meant and not usable
+        return fuse(ranked, found, evidence(words, terms), self.weights, few=True), label, meant and not usable
 
     def search(self, r: SearchRequest) -> DataFrame:
         """One page: position, the repository's columns, score, what it was matched by, its rank in each leg and its boost, its

@@ -24,8 +24,7 @@ from starloom.operators import ranking as RK
 from starloom.plans.engine import Engine, index_over
 from starloom.plans.lab import lab_search as lab_plan
 from starloom.plans.lab import pooled
-from starloom.plans.lexicon import CONCEPTS
-from starloom.plans.query import SearchRequest, classified, expand, expanded, tokenize
+from starloom.plans.query import SearchRequest, expand, tokenize
 from starloom.sources import tables, wire
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,8 +424,9 @@ def _has_run(text: str, term: str) -> str:
     return f"contains(' ' || array_to_string({CAMEL(text)}, ' ') || ' ', ' {term} ')"
 
 
-def _search_sql(found: str, ask: str, k: int = 50) -> str:
-    """CTEs from the index up to ranked(id, ..., boost, score): a hybrid search among the repositories of the query found."""
+def _search_sql(found: str, ask: str, k: int = 50, legs: str = "kes") -> str:
+    """CTEs from the index up to ranked(id, ..., boost, score): a search by some legs among the repositories of the query found."""
+    leg = {"k": "keyword_leg", "e": "expanded_leg", "s": "semantic_leg"}
     words = list(dict.fromkeys(tokenize(ask)))
     more = expand(words, SPEECH).terms
     terms = FU.evidence(words, more)
@@ -438,7 +438,7 @@ def _search_sql(found: str, ask: str, k: int = 50) -> str:
     return f"""{INDEX}, found AS ({found}), {_hits_sql("kw", words)}, {_hits_sql("ex", more)}, inside AS (SELECT * FROM kw WHERE id IN (SELECT id FROM found)),
 {_top_sql("keyword_leg", "inside", f"n_terms = {len(words)} OR (SELECT count(*) FROM inside WHERE n_terms = {len(words)}) < 3", k)}, {_top_sql("expanded_leg", "ex", "id IN (SELECT id FROM found)", k)},
 q AS (SELECT vector AS qv FROM vectors ORDER BY id LIMIT 1), near AS (SELECT v.id, round(list_cosine_similarity(vector, qv), 9) AS score FROM vectors v, q WHERE v.id IN (SELECT id FROM found)), {_top_sql("semantic_leg", "near", k=k)},
-legs AS (SELECT 'k' AS leg, id, rank FROM keyword_leg UNION ALL SELECT 'e', id, rank FROM expanded_leg UNION ALL SELECT 's', id, rank FROM semantic_leg),
+legs AS ({' UNION ALL '.join(f"SELECT '{x}' AS leg, id, rank FROM {leg[x]}" for x in legs)}),
 best AS (SELECT id, min(rank) FILTER (leg = 'k') AS k, min(rank) FILTER (leg = 'e') AS e, min(rank) FILTER (leg = 's') AS s FROM legs GROUP BY id),
 base AS (SELECT r.*, COALESCE(1.0::DOUBLE / (60 + k), 0) + COALESCE(0.6::DOUBLE / (60 + e), 0) + COALESCE(1.0::DOUBLE / (60 + s), 0) AS rrf, k, e, s FROM found r JOIN best USING (id)),
 dfs AS (SELECT token, count(*) AS df FROM (SELECT id, unnest(list_distinct({CAMEL("name")})) AS token FROM base) GROUP BY token),
@@ -596,29 +596,6 @@ def newest_batches(spark, d):
     return RK.batches(RK.newest(newest, 150), 25)
 
 
-# ---- query understanding ----
-
-ASKED = [(1, "auth"), (2, "http client with retries"), (3, "durable background jobs"), (4, "tui for git"), (5, "vector database"), (6, "rate-limit"), (7, "useEffect"), (8, "foo/bar"), (9, "author"), (10, "  "), (11, "OAuth2 login"), (12, "state management store")]
-_VALUES = ", ".join(f"({i}, '{q}')" for i, q in ASKED)
-_LEXICON = ", ".join(f"('{k}', {i}, '{' '.join(tokenize(t))}')" for i, (k, v) in enumerate(CONCEPTS.items()) for t in v[1])
-
-
-def _asked(spark) -> DataFrame:
-    return spark.createDataFrame(ASKED, "query_id int, query string")
-
-
-@query(f"+asked AS (SELECT * FROM (VALUES {_VALUES}) t(query_id, query)), c AS (SELECT *, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS q FROM asked) SELECT query_id, query, CASE WHEN q <> '' AND NOT contains(q, ' ') AND (regexp_matches(q, '[0-9_./@:#-]') OR regexp_matches(q, '\\p{{Ll}}\\p{{Lu}}')) THEN 'identifier' WHEN len({CAMEL('q')}) <= 2 THEN 'keyword' ELSE 'descriptive' END AS kind, len({CAMEL('q')})::INT AS n_tokens FROM c")
-def classify_queries(spark, d):
-    return classified(_asked(spark))
-
-
-@query(f"""+asked AS (SELECT * FROM (VALUES {_VALUES}) t(query_id, query)), lex AS (SELECT * FROM (VALUES {_LEXICON}) t(concept, place, trigger)), w AS (SELECT query_id, {CAMEL("query")} AS w FROM asked),
-said AS (SELECT query_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS trigger FROM w),
-hit AS (SELECT DISTINCT query_id, place, concept FROM said JOIN lex USING (trigger)) SELECT query_id, list(concept ORDER BY place) AS concepts FROM hit GROUP BY query_id""")
-def expand_queries(spark, d):
-    return expanded(_asked(spark))
-
-
 # ---- merges ----
 
 OLD_NEW = """old AS (SELECT id, stars, readme AS body, 'old' AS seen FROM repos WHERE id % 3 <> 0), new AS (SELECT id, stars + 1 AS stars, CASE WHEN id % 5 = 0 THEN NULL ELSE description END AS body, 'new' AS seen FROM repos WHERE id % 2 = 0)"""
@@ -839,12 +816,6 @@ def filter_precision(spark, d):
     return _rounded(ME.filter_precision(run, repos, asked), "precision", digits=9)
 
 
-@query(f"+{GRADED} SELECT query_id, 'boosted' AS run, {', '.join(f'round({c}, 9) AS {c}' for c in _METRICS)} FROM m UNION ALL SELECT query_id, 'again', {', '.join(f'round({c}, 9) AS {c}' for c in _METRICS)} FROM m")
-def boost_ablation(spark, d):
-    run, grades, asked = _run_and_grades(spark, d)
-    return _rounded(ME.ablation({"boosted": run, "again": run}, grades, asked), *_METRICS, digits=9)
-
-
 # ---- facets and collections ----
 
 
@@ -861,3 +832,6 @@ def facet_counts(spark, d):
 def keyset_page(spark, d):
     after = (F.col("stars") < 1500) | ((F.col("stars") == 1500) & (F.col("id") > 100))
     return tables.repos(spark, d).where(after).orderBy(F.desc("stars"), "id").limit(25).select("id", "stars")
+
+
+from starloom import registry_design  # noqa: E402, F401  registers its queries under the same names
