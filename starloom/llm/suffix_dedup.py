@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import _BYTE, BROADCAST_KEYS, WordHasher, blocks, byte_slices, mix, partitions, staged
+from starloom.llm.common import _BASE, _BYTE, BROADCAST_KEYS, WordHasher, blocks, byte_slices, mix, partitions, staged
 
 #: Bytes of a passage; bytes of an anchor.
 LENGTH, GRAM = 100, 32
@@ -246,7 +246,8 @@ def _dealt(kind: int, rows):
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    """The bucket of each hash, mixed once more: those of anchors are small, as each is the least of many."""
+    return (((mix(h + _BASE) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def _find(n_buckets: int):
