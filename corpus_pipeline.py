@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import BROADCAST_KEYS, staged, table
+from starloom.llm.common import BROADCAST_KEYS, dropped, free_names, staged, table
 from starloom.llm.jaccard_join import jaccard_join
 from starloom.llm.mixing import mixed_documents
 from starloom.llm.packing import best_fit_packing
@@ -29,19 +29,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by a 64-bit hash of id and text: a null id, or an id that several texts share, is a row like
     others. Of rows that are equal in both, one stays. Texts without words are nobody's copies: all stay.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    found = staged(jaccard_join(keyed, id_col="__key", width=5, similarity_pct=80).where("n_shingles > 0").select("__key", "component_id"), "groups")
-    ids = keyed.select("__key", "doc_id").distinct()
-    members = staged(found.distinct().join(ids, "__key"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__key")).alias("f")).select(F.col("f.__key").alias("__first"))
-    gone = staged(members.join(first, F.col("__key") == F.col("__first"), "left_anti").select(F.col("__key").alias("__gone")), "copies")
+    key, of, gone_key, twice_key = free_names(docs, "row_key", "first_key", "gone_key", "twice_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = staged(jaccard_join(keyed, id_col=key, width=5, similarity_pct=80).where("n_shingles > 0").select(key, "component_id"), "groups")
+    ids = keyed.select(key, "doc_id").distinct()
+    members = staged(found.distinct().join(ids, key), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key)).alias("f")).select(F.col("f")[key].alias(of))
+    gone = staged(members.join(first, F.col(key) == F.col(of), "left_anti").select(F.col(key).alias(gone_key)), "copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    kept = keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
-    twice = found.groupBy("__key").count().where("count > 1").select(F.col("__key").alias("__twice"))
+    kept = keyed.join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    twice = found.groupBy(key).count().where("count > 1").select(F.col(key).alias(twice_key))
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    one = kept.join(twice, F.col("__key") == F.col("__twice"), "left_semi").dropDuplicates(["__key"])
-    return kept.join(twice, F.col("__key") == F.col("__twice"), "left_anti").unionByName(one).select(*docs.columns)
+    one = kept.join(twice, F.col(key) == F.col(twice_key), "left_semi").dropDuplicates([key])
+    return kept.join(twice, F.col(key) == F.col(twice_key), "left_anti").unionByName(one).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs, before = staged(stage(spark, docs, sf_dir), name), docs
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

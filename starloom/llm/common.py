@@ -3,50 +3,40 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.sources.files import delete
+from starloom.sources.staging import shared_dir, staged
+
 #: A word everywhere in these operators: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of at most this many keys (16 bytes each in a hashed relation) are broadcast; more are shuffled.
 BROADCAST_KEYS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the one set by setCheckpointDir. A local session (tests)
-    without either gets a folder of its own; on a cluster that is an error, as executors could not read it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-        if not found.isDefined() and not local:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='starloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/starloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(*frames: DataFrame) -> None:
-    """Removes the files of staged frames that nothing reads any more; other frames are left alone."""
+    """Removes the files of staged frames that nothing reads any more; files elsewhere than in the shared folder are left alone."""
+    bare = lambda path: re.sub(r"^\w+:/+", "/", path)
     for df in frames:
-        jvm = df.sparkSession._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/starloom/" in f:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        mine = bare(f"{shared_dir(df.sparkSession)}/starloom/")
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if bare(folder).startswith(mine):
+                delete(df.sparkSession, folder)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names for columns, changed where df has a column of the name, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,3 +165,6 @@ def blocks(texts, limit: int = 1_000_000):
             j += 1
         yield i, j
         i = j
+
+
+__all__ = ["shared_dir", "staged"]

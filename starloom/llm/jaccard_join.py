@@ -15,7 +15,9 @@ How it runs:
    still in different components. Size and position bounds cut pairs, and every pair left is
    verified on whole sets, so components are exact while a group of m near copies costs about m pairs.
 
-A bucket and a group of classes have about BUCKET_SHINGLES entries whatever the input's size.
+A bucket and a group of classes have about BUCKET_SHINGLES entries whatever the input's size, but for a shingle that a large share
+of all documents has: each class with it is an entry of about 20 bytes of one bucket. What a step wrote is removed when the
+next ones have read it.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WordHasher, blocks, mix, partitions, semi_join, shingles, sliced, staged
+from starloom.llm.common import WordHasher, blocks, dropped, mix, partitions, semi_join, shingles, sliced, staged
 from starloom.llm.components import components
 
 #: Shingles that one bucket holds at about, and a text's characters for one shingle.
@@ -246,7 +248,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = max(partitions(spark), -(-chars // (CHARS_PER_SHINGLE * BUCKET_SHINGLES)))
     packed = staged(docs.mapInArrow(_pack(width, buckets), "bucket int, payload binary, ids array<long>, keys array<long>, ns array<int>"), "shingles")
 
-    rows = packed.where("bucket = -1").select(F.inline(F.arrays_zip("ids", "keys", "ns"))).toDF("id", "key", "n")
+    rows = staged(packed.where("bucket = -1").select(F.inline(F.arrays_zip("ids", "keys", "ns"))).toDF("id", "key", "n"), "rows")
     classes = staged(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id")), "classes")  # apart from the joins on key, so that Spark may split a hot class there
     sizes = {r.n: r["count"] for r in rows.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}  # 16 rows at most
     boundary = light_boundary(sizes, pct)
@@ -254,6 +256,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = packed.where("bucket >= 0").select("bucket", "payload").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_fingerprints(buckets), "dest int, payload binary")
     posted = shared.repartition(buckets, "dest").groupBy("dest").applyInArrow(_postings(pct, boundary), "gram long, key long, n int, pos int, need int")
     posted = staged(posted.select("gram", F.col("key").alias("c"), "n", "pos", "need"), "postings")
+    dropped(packed)
 
     leaders = posted.groupBy("gram").agg(F.min(F.struct("pos", "c", "n", "need")).alias("l"), F.count("*").alias("m")).where("m > 1").select("gram", "l.*")
     members = staged(posted.join(leaders.select("gram"), "gram", "left_semi").select("c").distinct(), "members")
@@ -267,10 +270,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split = posted.join(leaders.select("gram"), "gram", "left_semi").join(first, posted["c"] == first["node"], "left").select("gram", "c", "n", "pos", "need", F.coalesce("root", "c").alias("root"))
     torn = split.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("gram")
     split = staged(split.join(torn, "gram", "left_semi"), "split")
+    dropped(posted)
     more = split.alias("a").join(split.alias("b"), "gram").where((F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")) & _possible(pct, boundary))
     more = more.select(F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
     more = _verified(more, sets, pct).where("linked").select("u", "v")
     roots = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    dropped(split, tested, sets)
 
     # roots are the smallest class hash; the component is named by its smallest id, as are documents that share an id
     rooted = classes.where("class_id is not null").join(roots, classes["key"] == roots["node"], "left").select("key", "class_id", F.coalesce("root", "key").alias("root"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import BROADCAST_KEYS, WORD, staged
+from starloom.llm.common import BROADCAST_KEYS, WORD, free_names, staged
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -90,17 +90,18 @@ def without_common_lines(docs: DataFrame, text_col: str = "text", host_col: str
     Texts without a common line (null, empty and blank ones too) come back as they are, columns unchanged. What is taken
     out depends on host and text only, so rows are told apart by a hash of both and ids play no part.
     """
+    line_key, gone_key, gone_lines, left_text = free_names(docs, "line_key", "gone_key", "gone_lines", "left_text")
     key = F.xxhash64(F.col(host_col).isNull(), F.col(text_col).isNull(), F.col(host_col), F.col(text_col))
     hashed = F.transform(_lines(F.col(text_col)), lambda x: F.struct(F.xxhash64(_norm(x)).alias("h")))
     lines = staged(docs.select(key.alias("key"), F.col(host_col).alias("host"), hashed.alias("lines")), "lines")
     common = common_lines(lines, min_docs, host_pct)
     each = lines.dropDuplicates(["key"]).select("key", "host", F.explode(F.array_distinct("lines.h")).alias("h"))
-    gone = each.join(common, F.expr("h = common_h and host <=> common_host"), "left_semi").groupBy(F.col("key").alias("__gone_key")).agg(F.collect_list("h").alias("__gone"))
-    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(_norm(x)))), "\n")
+    gone = each.join(common, F.expr("h = common_h and host <=> common_host"), "left_semi").groupBy(F.col("key").alias(gone_key)).agg(F.collect_list("h").alias(gone_lines))
+    left = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains(gone_lines, F.xxhash64(_norm(x)))), "\n")
     words = lambda x: F.regexp_count(x, F.lit(WORD))
-    out = docs.withColumn("__line_key", key).join(staged(gone, "gone"), F.col("__line_key") == F.col("__gone_key"), "left").withColumn("__left", F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
-    kept = out.where(F.col("__gone").isNull() | (words(F.col(text_col)) - words(F.col("__left")) <= max_removed * words(F.col(text_col))))
-    return kept.withColumn(text_col, F.col("__left")).select(*docs.columns)
+    out = docs.withColumn(line_key, key).join(staged(gone, "gone"), F.col(line_key) == F.col(gone_key), "left").withColumn(left_text, F.when(F.col(gone_lines).isNull(), F.col(text_col)).otherwise(left))
+    kept = out.where(F.col(gone_lines).isNull() | (words(F.col(text_col)) - words(F.col(left_text)) <= max_removed * words(F.col(text_col))))
+    return kept.withColumn(text_col, F.col(left_text)).select(*docs.columns)
 
 
 def line_rules_sql(documents: str = "documents") -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import BROADCAST_KEYS, WORD, staged
+from starloom.llm.common import BROADCAST_KEYS, WORD, free_names, staged
 
 #: Steps in which the ranking variable of a source is summed before the cut is looked for.
 BINS = 16_384
@@ -69,13 +69,13 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     words taken come nearest to the target. Sample size is thus fixed in words.
 
     Sources go by code point, null last, and weigh as cycle says. Null and blank texts have size 0 and take 0.
-    Equal ranks fall by id; rows that repeat an id are ranked next to each other. No rows: none out.
+    Equal ranks fall by id, size and a hash of the text, so reruns agree; rows that are equal in all are alike. No rows: none out.
     A source's cut is found from sums over BINS steps of the rank; only the step that holds the cut is
     ranked row by row, so a source with most of the rows still spreads over all tasks.
     """
     size = n_words(F.col(text_col))
     grade = F.length(F.bin(size)) if propensity_col is None else F.round(F.least(F.greatest(F.coalesce(F.col(propensity_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(float(MAX_GRADE))))
-    base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), grade.cast("long").alias("g"), *extra), "sizes")
+    base = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"), grade.cast("long").alias("g"), *extra), "sizes")
     grades = staged(base.groupBy("source", "g").agg(F.sum("size").alias("words")), "grades")
     targets = staged(source_targets(grades.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, max_copies), "targets")
     levels = grade_levels(grades.where("g > 0 and words > 0"), targets, max_copies).withColumnRenamed("source", "level_source")
@@ -90,7 +90,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     ranked = of_source(base, sources).withColumn("expected", expected).withColumn("certain", F.floor("expected")).withColumn("p", F.col("expected") - F.col("certain"))
     u = random_of(F.col("id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = staged(ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds))).withColumn("step", F.floor(F.col("rank") * BINS)).select("id", "source", "size", "source_size", "target", "certain", "rank", "step", *extra), "ranked")
+    ranked = staged(ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds / (1 + odds))).withColumn("step", F.floor(F.col("rank") * BINS)).select("id", "source", "size", "tie", "source_size", "target", "certain", "rank", "step", *extra), "ranked")
 
     left = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("certain") * F.col("size"))).alias("wanted"))
     steps = ranked.where("step is not null").groupBy("source", "step").agg(F.sum("size").alias("words"))
@@ -100,7 +100,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
     placed = of_source(ranked, cut, "left")
     sure = placed.where("step is null or cut_step is null or step <> cut_step").withColumn("more", F.when(F.col("step") < F.col("cut_step"), 1).otherwise(0))
-    within = Window.partitionBy("source").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source").orderBy("rank", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     close = placed.where("step = cut_step").withColumn("more", F.when(F.sum("size").over(within) - F.col("size") / 2 <= F.col("wanted"), 1).otherwise(0))
     copies = F.col("certain") + F.col("more")
     return sure.unionByName(close).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", F.round("target", 6).alias("target"), copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *extra)
@@ -114,16 +114,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     equal in all three, one comes as often as all of them are taken.
     """
     nulls = [F.col(c).isNull() for c in (id_col, source_col, text_col)]
-    keyed = docs.withColumn("__mix_key", F.xxhash64(*nulls, id_col, source_col, text_col))
-    taken = pareto_mix(keyed, id_col=id_col, source_col=source_col, text_col=text_col, extra=("__mix_key",), **options)
-    taken = staged(taken.groupBy(F.col("__mix_key").alias("__mix_row")).agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows")).where("__mix_copies > 0"), "taken")
-    times = F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int")))
-    drawn = lambda rows: rows.select(*docs.columns, times.alias("__mix_turn")).drop("__mix_turn")
-    alike = taken.where("__mix_rows > 1")
-    out = drawn(keyed.join(taken.where("__mix_rows = 1"), F.col("__mix_key") == F.col("__mix_row")))
+    key, row, copies, rows, turn = free_names(docs, "mix_key", "mix_row", "mix_copies", "mix_rows", "mix_turn")
+    keyed = docs.withColumn(key, F.xxhash64(*nulls, id_col, source_col, text_col))
+    taken = pareto_mix(keyed, id_col=id_col, source_col=source_col, text_col=text_col, extra=(key,), **options)
+    taken = staged(taken.groupBy(F.col(key).alias(row)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0), "taken")
+    times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    drawn = lambda some: some.select(*docs.columns, times.alias(turn)).drop(turn)
+    alike = taken.where(F.col(rows) > 1)
+    out = drawn(keyed.join(taken.where(F.col(rows) == 1), F.col(key) == F.col(row)))
     if alike.isEmpty():
         return out
-    return out.unionByName(drawn(keyed.join(alike, F.col("__mix_key") == F.col("__mix_row")).dropDuplicates(["__mix_key"])))
+    return out.unionByName(drawn(keyed.join(alike, F.col(key) == F.col(row)).dropDuplicates([key])))
 
 
 def mix_sql(documents: str = "documents", seed: int = 17) -> str:

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import staged
+from starloom.llm.common import free_names, staged
 
 #: Names that values are assigned to when they are secret (fixed values).
 NAMES = r"(?i:secret|token|passw(?:or)?d|pwd|passphrase|api[_\-]?key|access[_\-]?key|private[_\-]?key|client[_\-]?key|credential|auth(?!or))"
@@ -147,8 +147,11 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, id_col: str
     ids are kept. labelled holds reviewed findings (candidate, before, after, label), of which
     at most about MAX_LABELLED train the forest; without it labelled_findings() stands in. Equal findings have equal scores; a score of
     threshold is a secret. An empty table gives no rows. The forest is trained on those findings
-    only, so its cost does not grow with docs; texts with a candidate are the only ones cut up.
+    only, so its cost does not grow with docs; texts with a candidate are the only ones cut up. An extra column with the name of
+    one of the result's others is an error.
     """
+    if clash := {*map(str.lower, extra)} & {id_col.lower(), "start", "length", "candidate", "score", "is_secret"}:
+        raise ValueError(f"extra columns have the names of others: {sorted(clash)}")
     model = train_forest(staged(labelled_findings(docs.sparkSession) if labelled is None else reviewed(labelled), "findings"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *extra)
     found = with_features(candidates(rows, ["id", *extra]))
@@ -162,19 +165,21 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, text_col:
 
     Texts are told apart by their md5, so null ids and repeated rows need no key. A candidate that is confirmed
     at one place of a text is masked wherever it is a candidate. Only the texts with candidates are joined to
-    their strings: by broadcast up to few of them, else by shuffle, beside which all other rows stay where they are.
+    their strings: by broadcast up to few of them, else by shuffle, beside which all other rows stay where they are. Columns
+    may have any names.
     """
+    key, named_by, body, secrets = free_names(docs, "key", "text_md5", "body", "secrets")
     text, has = F.col(text_col), F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
-    named = docs.where(has).select(F.md5(text_col).alias("__text"), text.alias("__body")).dropDuplicates(["__text"])
-    found = scan_secrets(named, labelled, id_col="__text", text_col="__body").where("is_secret").groupBy("__text").agg(F.collect_set("candidate").alias("__secrets"))
+    named = docs.where(has).select(F.md5(text_col).alias(named_by), text.alias(body)).dropDuplicates([named_by])
+    found = scan_secrets(named, labelled, id_col=named_by, text_col=body).where("is_secret").groupBy(named_by).agg(F.collect_set("candidate").alias(secrets))
     found = staged(found, "secrets")
     hits, gaps = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
-    masked = F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.when(F.array_contains("__secrets", h), mask).otherwise(F.coalesce(h, F.lit("")))))
-    cleaned = F.when(F.col("__secrets").isNull(), text).otherwise(F.array_join(masked, ""))
+    masked = F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.when(F.array_contains(secrets, h), mask).otherwise(F.coalesce(h, F.lit("")))))
+    cleaned = F.when(F.col(secrets).isNull(), text).otherwise(F.array_join(masked, ""))
 
     def clean(rows: DataFrame, secrets: DataFrame) -> DataFrame:
-        return rows.join(secrets, F.col("__key") == F.col("__text"), "left").withColumn(text_col, cleaned).select(*docs.columns)
+        return rows.join(secrets, F.col(key) == F.col(named_by), "left").withColumn(text_col, cleaned).select(*docs.columns)
 
     if found.count() <= few:
-        return clean(docs.withColumn("__key", F.when(has, F.md5(text_col))), F.broadcast(found))
-    return clean(docs.where(has).withColumn("__key", F.md5(text_col)), found).unionByName(docs.where(~has))
+        return clean(docs.withColumn(key, F.when(has, F.md5(text_col))), F.broadcast(found))
+    return clean(docs.where(has).withColumn(key, F.md5(text_col)), found).unionByName(docs.where(~has))

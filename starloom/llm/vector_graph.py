@@ -386,9 +386,9 @@ def _with_cosines(batches):
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("w"), pa.array(cos)], names=["u", "w", "cos"])
 
 
-def _across(pairs: DataFrame, reps: DataFrame, homes: DataFrame, walks: DataFrame, least: float, rounds: int = 16) -> DataFrame:
+def _across(pairs: DataFrame, reps: DataFrame, homes: DataFrame, walks: DataFrame, least: float, rounds: int = 64) -> DataFrame:
     """Links (u, w) between vectors that share no shard: pairs(u, w) and what the united lists lead to from them, round
-    by round, until nothing within SLACK of the limit is new."""
+    by round, until nothing within SLACK of the limit is new; an error if that takes more than rounds."""
     a, b = reps.select(F.col("c").alias("u"), F.col("v").alias("p")), reps.select(F.col("c").alias("w"), F.col("v").alias("q"))
     ordered = lambda df: df.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).where("u <> w").distinct()
     fresh = staged(ordered(pairs), "outside")
@@ -404,6 +404,9 @@ def _across(pairs: DataFrame, reps: DataFrame, homes: DataFrame, walks: DataFram
         step = ordered(both.join(walks.withColumnRenamed("c", "w"), "w").select("u", F.explode("walk").alias("w"))).join(done.select("u", "w"), ["u", "w"], "left_anti")
         hu, hw = homes.select(F.col("c").alias("u"), F.col("shards").alias("hu")), homes.select(F.col("c").alias("w"), F.col("shards").alias("hw"))
         fresh = staged(step.join(hu, "u").join(hw, "w").where(~F.arrays_overlap("hu", "hw")).select("u", "w"), "outside")
+    else:
+        if not fresh.isEmpty():
+            raise RuntimeError(f"links between shards did not settle in {rounds} rounds")
     return fresh.limit(0) if done is None else done.where(F.col("cos") >= least).select("u", "w")
 
 

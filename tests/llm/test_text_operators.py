@@ -666,3 +666,35 @@ def test_registered_names():
 
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and json.dumps(queries.ORACLE_SQL)
+
+
+# ---- column names ----
+
+
+def test_columns_may_have_any_names(spark):
+    """Tables whose other columns have the names that the operators use inside, with null, empty and repeated rows."""
+    import corpus_pipeline
+    from starloom.llm.common import free_names
+
+    inner = ["key", "Key_", "text_md5", "body", "secrets", "line_key", "gone_key", "gone_lines", "left_text", "mix_key", "mix_row", "mix_copies", "mix_rows", "mix_turn", "row_key", "first_key", "twice_key", "id", "size", "g", "tie", "rank", "step", "n", "__text", "__gone", "__key"]
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, f'{words} password = "hunter2!x9Qz"\ncommon line here', "en", "a", 0), (2, words + " tail", "en", "a", 0), (3, None, "en", None, 0), (4, "", "en", "a", 0), (None, "x y z", "en", "b", 0), (2, words + " tail", "en", "a", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bare = spark.createDataFrame(rows, schema)
+    wide = spark.createDataFrame([(*r, *range(len(inner))) for r in rows], schema + "".join(f", {c} int" for c in inner))
+    plain = lambda df: sorted((tuple(r)[:5] for r in df.collect()), key=str)
+    for run in (redact_secrets, without_common_lines, mixed_documents, lambda d: corpus_pipeline.near_duplicates(spark, d, "")):
+        got = run(wide)
+        assert got.columns == wide.columns and plain(got) == plain(run(bare))
+        assert all(tuple(r)[5:] == tuple(range(len(inner))) for r in got.collect())
+        assert run(wide.limit(0)).count() == 0
+    assert free_names(wide, "KEY", "new", "new") == ["KEY__", "new", "new_"]
+    with pytest.raises(ValueError, match="start"):
+        scan_secrets(wide.withColumn("start", F.lit(1)), extra=("start",))
+
+
+def test_ties_of_the_mix_fall_alike(spark):
+    """Rows of one id and grade whose sizes differ: the same ones are taken whatever the order of the rows."""
+    rows = [(7, " ".join(["w"] * n) + f" {k}", f"s{k % 2}") for n in range(8, 15) for k in range(6)]
+    taken = lambda part: sorted((r["size"], r.taken) for r in pareto_mix(docs(spark, rows).orderBy(F.rand(part)).repartition(part)).collect())
+    assert taken(1) == taken(3) == taken(7)
