@@ -2,8 +2,9 @@
 
 Each run of text between block tags is a line. Its ratio is its characters over the tags met since the line before, times the share
 that is not in links, and nearly nothing in parts that names or tags show to be around an article. Ratios are
-smoothed along the page and cut; the lines over the cut are the cluster of content, which chooses the region: the article or
-main elements that hold it, else the smallest container with most of it, else its stretch of lines.
+smoothed along the page and cut; the lines over the cut are the cluster of content, and it chooses the region: the article or
+main elements where they hold most of it, else the smallest container with most of it, else its stretch of lines. Parts around the
+article are never in the text, whatever their ratio.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("canvas datalist head iframe noscript object script select style svg template textarea title".split())
-#: Elements around an article whatever they hold, and those that are so unless they hold most of the page (fixed values).
+#: Elements around an article whatever they hold, and those that are so unless they hold most of the page's paragraphs (fixed values).
 AROUND_TAGS, FORM_TAGS = frozenset("aside button footer menu nav".split()), frozenset("dialog form header".split())
-MAIN = frozenset(["article", "main"])
-HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose text is left out of the line that they are in.
+MUTED = NO_TEXT - {"head"} | {"button"}
+MAIN = frozenset(["article", "main"])  # as tags and as roles
+HEADS, PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("blockquote p pre".split())
 CONTAINERS = frozenset("article center div main section table tbody td".split())
 #: Parts of class names, ids and roles of what surrounds an article, and of an article that is a reader's (fixed values).
 AROUND = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navigation|navbar|menu|breadcrumbs?|footer|contentinfo|sidebar|side|complementary|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|dialog|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|form|pagination|pager|skip|toolbar|header|masthead|topbar)(?:$|[\s_-])", re.I)
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|login)(?:$|[\s_-])", re.I)
 READERS = re.compile(r"(?:^|\s)(?:comment|reply)(?:$|[\s_-])", re.I)
 #: Width of the smoothing kernel in lines, and what a line around the article counts of its ratio.
 SIGMA, REACH, FAINT = 1.0, 2, 0.05
@@ -36,7 +40,8 @@ class Lines(HTMLParser):
     """The lines of a page, one for each run of text between block tags, and the elements they are in.
 
     A line is (text, tags met since the line before, element, characters in links). Elements are numbered as they are met;
-    parent, tag and around (0, 1: unless it holds most of the page, 2: whatever it holds, 3: never text) are lists by number.
+    parent, tag and around (0, 1: unless it holds most of the page, 2: whatever it holds, 3: never text, 4: unless it holds the article,
+    5: unless it holds most of the page's paragraphs) are lists by number.
     """
 
     def __init__(self) -> None:
@@ -45,7 +50,7 @@ class Lines(HTMLParser):
         self.tag, self.parent, self.around, self.main = ["#root"], [0], [0], [0]
         self.open, self.count = [0], {}
         self.parts: list[str] = []
-        self.tags = self.linked = 0
+        self.tags = self.linked = self.muted = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -63,6 +68,8 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
+            if tag == "body":
+                self.close_open("head", set())
             self.close_open("p", {"article", "main", "div", "section", "body", "td", "th", "li", "blockquote", "aside", "form"})
             if tag in ("li", "dt", "dd", "td", "th", "tr"):
                 self.close_open(tag, {"ul", "ol", "dl", "table", "body"} | ({"tr"} if tag in ("td", "th") else set()))
@@ -70,15 +77,19 @@ class Lines(HTMLParser):
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "")) for k, v in attrs)
         reader = bool(names and READERS.search(names))
-        is_main = tag in MAIN and not reader
+        is_main = (tag in MAIN or any(k == "role" and v in MAIN for k, v in attrs)) and not reader
         if tag in NO_TEXT:
             around = 3
         elif tag in AROUND_TAGS:
             around = 2
         elif is_main or tag in ("html", "body"):
             around = 0
+        elif reader or hidden or (names and REMARKS.search(names)):
+            around = 4
+        elif tag in FORM_TAGS and not (tag == "header" and self.main[up]):
+            around = 5
         else:
-            around = int((tag in FORM_TAGS and not (tag == "header" and self.main[up])) or hidden or reader or bool(names and AROUND.search(names)))
+            around = int(bool(names and AROUND.search(names)))
         here = len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
@@ -86,6 +97,7 @@ class Lines(HTMLParser):
         self.main.append(self.main[up] or (here if is_main else 0))
         self.open.append(here)
         self.count[tag] = self.count.get(tag, 0) + 1
+        self.muted += tag in MUTED
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,6 +112,7 @@ class Lines(HTMLParser):
             if self.tag[self.open[i]] == tag:
                 for e in self.open[i:]:
                     self.count[self.tag[e]] -= 1
+                    self.muted -= self.tag[e] in MUTED
                 del self.open[i:]
                 return
             if self.tag[self.open[i]] in limits:
@@ -113,7 +126,7 @@ class Lines(HTMLParser):
             self.close_open(tag, {"article", "main", "body", "nav", "footer", "aside"} if tag not in BLOCKS or tag == "p" else {"html"})
 
     def handle_data(self, data: str) -> None:
-        if self.tag[self.open[-1]] not in ("script", "style"):
+        if not self.muted:
             self.parts.append(data)
             if self.count.get("a"):
                 self.linked += len(data.strip())
@@ -147,22 +160,26 @@ def parsed(html: str) -> Lines:
 
 
 def faint_elements(page: Lines) -> np.ndarray:
-    """By element: 1 if it or one it is in is around the article, 2 if it is never text. Names and form tags do not count against an element
-    that holds an article, a main element, or over half of the page's text."""
+    """By element: 1 if it or one it is in is around the article, 2 if it is never text. Names do not count against an element that holds
+    an article or main element, or over half of the page's text, nor form tags against one with over half of its
+    paragraphs; remarks and notices are around the article however long they are."""
     n = len(page.tag)
-    chars, holds = np.zeros(n, np.int64), np.zeros(n, dtype=bool)
+    chars, prose, holds = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, dtype=bool)
     for text, _, e, _ in page.lines:
         chars[e] += len(text)
+        prose[e] += len(text) * (page.tag[e] in PARAGRAPHS)
     for e in range(n - 1, 0, -1):
         if page.around[e] == 3:
-            chars[e] = 0
+            chars[e] = prose[e] = 0
         holds[e] |= page.main[e] == e
         chars[page.parent[e]] += chars[e]
+        prose[page.parent[e]] += prose[e]
         holds[page.parent[e]] |= holds[e]
     faint = np.zeros(n, np.int8)
     for e in range(1, n):
         kind = page.around[e]
-        own = 2 if kind == 3 else int(kind == 2 or (kind == 1 and not holds[e] and 2 * chars[e] <= chars[0]))
+        freed = holds[e] or (kind == 1 and 2 * chars[e] > chars[0]) or (kind == 5 and 2 * prose[e] > chars[0])
+        own = 2 if kind == 3 else int(kind == 2 or (kind > 0 and not freed))
         faint[e] = max(own, faint[page.parent[e]])
     return faint
 
@@ -170,9 +187,11 @@ def faint_elements(page: Lines) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """The article of a page: the lines of the regions that hold the cluster of content lines.
 
-    A region is an outermost article or main element with content, or where there is none the smallest container of several
-    lines that has four fifths of the content's characters; where only the body has, the stretch of lines from
-    the first content line to the last, where lines at either end count that are headings or over the cut themselves and not mostly links. In a region all lines are kept but those around the article whose own ratio is under the cut.
+    Where article and main elements have at least half of the content's characters, the regions are the outermost of them with a quarter
+    or more of what the fullest has. Else such elements are cards beside the article, and the region is the smallest container of several
+    other lines that has four fifths of their content's characters; where only the body has, the stretch of lines from
+    the first content line to the last, where lines at either end count that are headings or over the cut themselves and not mostly
+    links. In a region all lines are kept but those around the article, and lines at its ends that are under the cut and mostly links.
     """
     page = parsed(html or "")
     faint = faint_elements(page)
@@ -181,15 +200,28 @@ def main_text(html: str | None) -> str:
         return ""
     size, tags, at, linked = (np.array(v) for v in zip(*((len(t), n, e, a) for t, n, e, a in lines)))
     plain = faint[at] == 0
+    if not plain.any():
+        return ""
     ratio = size / np.maximum(1, tags) * np.where(plain, 1.0, FAINT) * (1 - 0.9 * linked / size)
     chosen, cut = content_lines(ratio)
-    chosen &= plain | (ratio >= cut)
-    if not chosen.any() or not plain.any():
-        return ""
-    kept = plain | (ratio >= cut)
+    chosen = chosen & plain if (chosen & plain).any() else plain
     main = np.array(page.main)[at]
-    if (main[chosen] > 0).any():
-        return "\n".join(x[0] for x, k, m in zip(lines, kept, np.isin(main, np.unique(main[chosen & (main > 0)])) & (main > 0)) if k and m)
+    weight = np.bincount(main[chosen], size[chosen], len(page.tag))
+    if 2 * weight[1:].sum() >= weight.sum():
+        region = plain & (main > 0) & (4 * weight[main] >= weight[1:].max())
+    else:
+        plain, chosen = plain & (main == 0), chosen & (main == 0)
+        region = plain & _held(page, size, at, plain, chosen, ratio, linked, cut)
+    weak = region & ~chosen & (2 * linked > size)
+    inner = np.flatnonzero(region & ~weak)
+    if not len(inner):
+        inner = np.flatnonzero(region)
+    region[: inner[0]] = region[inner[-1] + 1 :] = False
+    return "\n".join(x[0] for x, k in zip(lines, region) if k)
+
+
+def _held(page: Lines, size, at, plain, chosen, ratio, linked, cut: float) -> np.ndarray:
+    """The lines of the smallest container that holds the content, or else of the content's stretch."""
     n = len(page.tag)
     weight, held = np.bincount(at[chosen], size[chosen], n), np.bincount(at[plain], minlength=n)
     for e in range(n - 1, 0, -1):
@@ -201,13 +233,11 @@ def main_text(html: str | None) -> str:
         inside[fit[-1]] = True
         for e in range(fit[-1] + 1, n):
             inside[e] = inside[page.parent[e]]
-        stretch = inside[at]
-    else:
-        heads = np.array([page.tag[e] in HEADS for e in at])
-        ends = np.flatnonzero(chosen & (2 * linked <= size) & (heads | (ratio >= cut)))
-        ends = ends if len(ends) else np.flatnonzero(chosen)
-        stretch = (np.arange(len(lines)) >= ends[0]) & (np.arange(len(lines)) <= ends[-1])
-    return "\n".join(x[0] for x, k in zip(lines, kept & stretch) if k)
+        return inside[at]
+    heads = np.array([page.tag[e] in HEADS for e in at])
+    ends = np.flatnonzero(chosen & (2 * linked <= size) & (heads | (ratio >= cut)))
+    ends = ends if len(ends) else np.flatnonzero(chosen)
+    return (np.arange(len(size)) >= ends[0]) & (np.arange(len(size)) <= ends[-1])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

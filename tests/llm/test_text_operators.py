@@ -290,26 +290,66 @@ def naive_text(html):
     """main_text with a loop for every rule."""
     page = H.parsed(html)
     up = lambda e: [e, *up(page.parent[e])] if e else []
-    under = lambda e: sum(len(t) for t, _, at, _ in page.lines if e in [0, *up(at)] and not any(page.around[x] == 3 for x in up(at)))
+    shown = lambda at: not any(page.around[x] == 3 for x in up(at))
+    under = lambda e, tags=None: sum(len(t) for t, _, at, _ in page.lines if e in [0, *up(at)] and shown(at) and (tags is None or page.tag[at] in tags))
     holds = lambda e: any(page.main[x] == x and e in up(x) for x in range(1, len(page.tag)))
-    faint = lambda e: any(page.around[x] == 2 or (page.around[x] == 1 and not holds(x) and 2 * under(x) <= under(0)) for x in up(e))
-    lines = [x for x in page.lines if not any(page.around[e] == 3 for e in up(x[2]))]
+    freed = lambda e: holds(e) or (page.around[e] == 1 and 2 * under(e) > under(0)) or (page.around[e] == 5 and 2 * under(e, H.PARAGRAPHS) > under(0))
+    faint = lambda e: any(page.around[x] == 2 or (page.around[x] in (1, 4, 5) and not freed(x)) for x in up(e))
+    lines = [x for x in page.lines if shown(x[2])]
     weak = [faint(x[2]) for x in lines]
+    if not lines or all(weak):
+        return ""
     ratio = [len(t) / max(1, n) * (H.FAINT if w else 1) * (1 - 0.9 * a / len(t)) for (t, n, _, a), w in zip(lines, weak)]
     kernel = lambda i, j: np.exp(-0.5 * (i - j) ** 2 / H.SIGMA**2) if abs(i - j) <= H.REACH else 0
     soft = [sum(kernel(i, j) * r for j, r in enumerate(ratio)) / sum(kernel(i, j) for j in range(len(ratio))) for i in range(len(ratio))]
-    cut = min(0.5 * np.std(soft), max(soft)) if soft else 0
-    chosen = [s >= cut and (not w or r >= cut) for s, w, r in zip(soft, weak, ratio)]
-    if not any(chosen) or all(weak):
-        return ""
-    regions = {page.main[x[2]] for x, c in zip(lines, chosen) if c} - {0}
-    inside = [page.main[x[2]] in regions for x in lines]
-    if not regions:
-        content = sum(len(x[0]) for x, c in zip(lines, chosen) if c)
-        fit = [e for e in range(1, len(page.tag)) if page.tag[e] in H.CONTAINERS and sum(e in up(x[2]) for x, w in zip(lines, weak) if not w) > 1 and 5 * sum(len(x[0]) for x, c in zip(lines, chosen) if c and e in up(x[2])) >= 4 * content]
+    cut = min(0.5 * np.std(soft), max(soft))
+    chosen = [s >= cut and not w for s, w in zip(soft, weak)]
+    chosen = chosen if any(chosen) else [not w for w in weak]
+    content = lambda m: sum(len(x[0]) for x, c in zip(lines, chosen) if c and page.main[x[2]] == m)
+    mains = {page.main[x[2]] for x in lines} - {0}
+    if sum(map(content, mains)) >= content(0):
+        fullest = max(map(content, mains))
+        inside = [not w and page.main[x[2]] in mains and 4 * content(page.main[x[2]]) >= fullest for x, w in zip(lines, weak)]
+    else:
+        rest = [not w and not page.main[x[2]] for x, w in zip(lines, weak)]
+        chosen = [c and r for c, r in zip(chosen, rest)]
+        size = lambda e: sum(len(x[0]) for x, c in zip(lines, chosen) if c and e in [0, *up(x[2])])
+        fit = [e for e in range(1, len(page.tag)) if page.tag[e] in H.CONTAINERS and sum(e in up(x[2]) for x, r in zip(lines, rest) if r) > 1 and 5 * size(e) >= 4 * size(0)]
         ends = [i for i, x in enumerate(lines) if chosen[i] and 2 * x[3] <= len(x[0]) and (page.tag[x[2]] in H.HEADS or ratio[i] >= cut)] or [i for i, c in enumerate(chosen) if c]
-        inside = [max(fit) in up(x[2]) if fit else ends[0] <= i <= ends[-1] for i, x in enumerate(lines)]
-    return "\n".join(x[0] for x, i, w, r in zip(lines, inside, weak, ratio) if i and (not w or r >= cut))
+        inside = [r and (max(fit) in up(x[2]) if fit else ends[0] <= i <= ends[-1]) for i, (x, r) in enumerate(zip(lines, rest))]
+    links = [2 * x[3] > len(x[0]) and not c for x, c in zip(lines, chosen)]
+    strong = [i for i, k in enumerate(inside) if k and not links[i]] or [i for i, k in enumerate(inside) if k]
+    return "\n".join(x[0] for i, x in enumerate(lines) if inside[i] and strong[0] <= i <= strong[-1])
+
+
+ARTICLE, OTHER = "The article itself runs on and on. " * 9, "Words of somebody else about it. " * 20
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div role="main"><p>{ARTICLE}</p></div><article class="teaser">A short card.</article>', ARTICLE), (f"<article><p>{ARTICLE}</p><nav>Home</nav><aside>Related: {OTHER}</aside></article>", ARTICLE),
+        ("<article><p>one two</p><button>Subscribe</button><form><label>Email address and more words</label></form></article>", "one two"), (f"<nav><p>{OTHER}</p></nav><p>Short.</p>", "Short."), (f'<div class="cookie-notice">{OTHER}</div><p>Short text.</p>', "Short text."),
+        (f'<div class="post"><p>{ARTICLE}</p></div><div class="comments"><p>{OTHER}</p></div>', ARTICLE), (f'<article><p>{ARTICLE}</p><div id="respond">{OTHER}</div></article>', ARTICLE), (f'<div><p>{ARTICLE}</p><p>End.</p></div>' + "<article class=card><h3>Card</h3><p>Teaser.</p></article>" * 4, ARTICLE + "\nEnd."),
+        ("<p>Pick <select><option>A<option>B</select> now <button>go</button> and on</p>", "Pick now and on"), ("<head><title>x</title><body><p>kept text", "kept text"), (f"<article><p>{ARTICLE}</p><p>End.</p><ul><li><a href=x>more of this</a><li><a href=y>and of that</a></ul></article>", ARTICLE + "\nEnd."),
+    ],
+)
+def test_what_is_around_never_comes_back(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == "\n".join(x.strip() for x in want.split("\n"))
+
+
+def test_ratios_decide_beside_article_elements(monkeypatch):
+    """Cards marked up as articles, longer together than the article and full of links."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 999, n))
+    pages = []
+    for _ in range(20):
+        body = [words(60) for _ in range(3)]
+        cards = "".join("<article class=card>" + "".join(f"<div><a href=x>{words(4)}</a></div>" for _ in range(6)) + "</article>" for _ in range(12))
+        pages.append(("<body><div>" + "".join(f"<p>{x}</p>" for x in body) + f"</div>{cards}</body>", "\n".join(body)))
+    assert all(main_text(h) == t for h, t in pages)
+    monkeypatch.setattr(H, "content_lines", lambda ratio: (np.ones(len(ratio), dtype=bool), 0.0))
+    assert not any(main_text(h) == t for h, t in pages)
 
 
 def bare_page(rng):
