@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from urllib.parse import urlencode
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from starloom.functions.text import RUN, fold, one_line
+from starloom.functions.text import RUN, one_line
 
 #: Points of a command matcher (fixed values).
 EXACT, PREFIX, TOKEN, LABEL = 10_000, 2_000, (100, 80, 60, 20), 25
@@ -68,10 +71,21 @@ def freshness(synced: Column, now: Column) -> Column:
     return F.when(synced.isNull(), "never").when(days < 1, "fresh").when(days < 7, "aging").otherwise("stale")
 
 
+def bare(text: str) -> str:
+    """A text without the marks on its letters, in whatever script."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@F.pandas_udf(StringType())
+def unmarked(text: pd.Series) -> pd.Series:
+    """bare() of a column; there is no built-in decomposition."""
+    return text.map(bare, na_action="ignore")
+
+
 def command_score(label: Column, keywords: Column, typed: str) -> Column:
     """Points of a command for what is typed; null unless every typed token matches somewhere."""
-    words = [w for w in re.findall(r"\w+", typed.lower())]
-    flat = lambda c: F.trim(fold(F.lower(c)))
+    words = [w for w in re.findall(r"\w+", bare(typed.lower()))]
+    flat = lambda c: F.trim(unmarked(F.lower(c)))
     name, extra = flat(label), flat(F.array_join(keywords, " "))
     parts = lambda c: F.regexp_extract_all(c, F.lit(RUN), F.lit(0))
 

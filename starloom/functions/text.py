@@ -79,6 +79,11 @@ def phrases(words: Column, size: int = 2) -> Column:
     return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, size), " ")))).otherwise(F.array().cast("array<string>"))
 
 
+def all_phrases(words: Column, most: int = 2) -> Column:
+    """Distinct runs of 2 to most neighbouring tokens, shorter ones first."""
+    return F.array_distinct(F.concat(*(phrases(words, k) for k in range(2, most + 1))))
+
+
 def plain_name(name: Column, compose: bool = False) -> Column:
     """Letters and digits of a name, lower-case. Composing first tells no two names apart that look alike; names of the host are ASCII
     and need none."""

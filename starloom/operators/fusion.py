@@ -36,6 +36,11 @@ def fuse_ranks(ranked: DataFrame, weights: dict[str, float] = LEG_WEIGHTS) -> Da
     return merged.select("id", score.alias("rrf"), *(f"rank_{k}" for k in weights))
 
 
+def normalised(fused: DataFrame, configured: dict[str, float]) -> DataFrame:
+    """fused with base: its score as a share of what the first rank in every configured leg would give, so a leg that found nothing still counts."""
+    return fused.withColumn("base", F.col("rrf") / (sum(configured.values()) / (RRF_K + 1)))
+
+
 def name_df(repos: DataFrame) -> DataFrame:
     """token, df: in how many repositories' names each token is."""
     return repos.select("id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))

@@ -83,6 +83,17 @@ def trigram_leg(index: SearchIndex, repos: DataFrame, text: str) -> DataFrame:
     return repos.join(held, "id", "left_semi").where(F.contains(whole, F.lit(text))).select("id")
 
 
+def similar_names(index: SearchIndex, text: str, k: int, least: float = 0.4, candidates: DataFrame | None = None) -> DataFrame:
+    """id, score, rank: documents by how many of the text's trigrams their name, description and topics have, as a share of them; those
+    under least are no hits. A typing error breaks three trigrams, so long words bear some."""
+    text = text.lower()
+    grams = sorted({text[i : i + 3] for i in range(len(text) - 2)})
+    if not grams:
+        return top(index.lengths().select("id", F.lit(0.0).alias("score")).limit(0), 1)
+    held = index.grams(grams).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(least * len(grams)))
+    return top(among(held.select("id", F.round(F.col("n") / len(grams), DIGITS).alias("score")), candidates), k)
+
+
 def vector_leg(vectors: DataFrame, query: list[float], k: int, candidates: DataFrame | None = None, normalised: bool = False) -> DataFrame:
     """The k nearest vectors; the query is a literal, so the scan needs no join and top-k no shuffle. A column norm of the
     vectors is used where there is one."""

@@ -48,11 +48,12 @@ def embed(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], batc
     return docs.select("id", F.coalesce("doc", F.lit("")).alias("doc")).mapInPandas(run, "id long, vector array<double>")
 
 
-def refresh_run(repos: DataFrame, links: DataFrame, states: DataFrame, vectors: DataFrame, published: DataFrame, fetched: DataFrame, model: Callable[[list[str]], list[list[float]]], run: str, window: int = PL.WINDOW) -> dict[str, DataFrame]:
+def refresh_run(repos: DataFrame, links: DataFrame, states: DataFrame, vectors: DataFrame, published: DataFrame, fetched: DataFrame, model: Callable[[list[str]], list[list[float]]], run: str, window: int = PL.WINDOW, parts: list[DataFrame] = ()) -> dict[str, DataFrame]:
     """What to fetch, the repositories with their readmes, the vectors of the window, and the hashes to publish.
 
     fetched(id, text) are the readmes that a fetcher brought for the plan. Only documents whose hash is not the
-    published one are embedded. Readmes count as published once their vectors are in the result.
+    published one are embedded. parts(id, vector) are what earlier steps of the same run have embedded: later ones over earlier, all over
+    the stored vectors, and not embedded again. Readmes count as published once their vectors are in the result.
     """
     stars = links.select(F.col("repo_id").alias("id"), "starred_at").join(repos.select("id", "pushed_at"), "id")
     plan = PL.readme_work(stars, states, vectors, window)
@@ -61,8 +62,11 @@ def refresh_run(repos: DataFrame, links: DataFrame, states: DataFrame, vectors:
     text = embedding_text(F.col("full_name"), F.col("description"), F.col("topics"), F.col("language"), F.col("readme"))
     docs = full.join(plan.select("id"), "id", "left_semi").select("id", text.alias("doc"))
     dirty = PL.embed_work(docs, published)
-    fresh = embed(docs.join(dirty.select("id"), "id", "left_semi"), model)
+    todo = docs.join(dirty.select("id"), "id", "left_semi")
+    for p in parts:
+        todo = todo.join(p.select("id"), "id", "left_anti")
+    fresh = embed(todo, model)
     recent = PL.newest(stars, window).select("id")
-    merged = MG.overlay(vectors, fresh, recent)
+    merged = MG.fan_in([*parts, fresh], vectors, recent)
     hashes = MG.upsert(published, docs.select("id", fnv1a(F.coalesce("doc", F.lit(""))).alias("hash")), ["id"])
     return {"plan": plan, "vectors": merged, "hashes": hashes, "repos": MG.publish_readmes(stored, merged.select("id"), run)}

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from starloom.functions import markdown as MD
 from starloom.functions import scoring as S
+from starloom.operators import collections as CO
 from starloom.operators import diversity as DV
 from starloom.operators import filters as FL
 from starloom.operators import fusion as FU
+from starloom.operators import gates as GA
 from starloom.operators import idsets as IS
 from starloom.operators import legs as LG
 from starloom.operators import metrics as ME
 from starloom.operators import rules as RU
 from starloom.plans import chunks as CH
 from starloom.plans import grammar as GR
+from starloom.plans import rerank as RR
 from starloom.plans.engine import Engine, index_over
 from starloom.plans.query import classified, expand, expanded, tokenize
 from starloom.registry import ASK, CAMEL, FOUND, INDEX, PRIOR, SPEECH, _first_vector, _hits_sql, _rounded, _search_sql, _top_sql, query
@@ -195,3 +198,68 @@ def boost_ablation(spark, d):
     rows = ME.ablation(runs, grades, spark.range(1).select(F.lit("ask").alias("query_id")))
     named = rows.select(F.split_part("run", F.lit(" "), F.lit(1)).alias("mode"), F.split_part("run", F.lit(" "), F.lit(2)).alias("boosts"), *_METRICS)
     return _rounded(named, *_METRICS, digits=9)
+
+
+# ---- typing errors, facets, collections, a second look, gates ----
+
+TYPED = "srcc3/doc-13"
+_GRAMS = sorted({TYPED[i : i + 3] for i in range(len(TYPED) - 2)})
+_WHOLE = "lower(concat_ws(chr(10), full_name, description, array_to_string(topics, ' ')))"
+
+
+@query(f"""+g AS (SELECT id, round(({" + ".join(f"contains({_WHOLE}, '{g}')::INT" for g in _GRAMS)}) / {len(_GRAMS)}.0::DOUBLE, 9) AS score FROM repos)
+SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM g WHERE score >= 0.4 ORDER BY rank LIMIT 50""")
+def similar_names(spark, d):
+    """What a name with a typing error may have meant."""
+    return _rounded(LG.similar_names(index_over(spark, d), TYPED, 50), "score")
+
+
+@query("""+f AS (SELECT id, language = 'en' AS a, NOT archived AS b, stars >= 1000 AS c, language, topics, archived, stars FROM repos)
+SELECT 'language' AS facet, language AS value, count(*) AS n FROM f WHERE b AND c GROUP BY 2 UNION ALL SELECT 'archived', archived::VARCHAR, count(*) FROM f WHERE a AND c GROUP BY 2
+UNION ALL SELECT 'stars', (stars // 1000)::VARCHAR, count(*) FROM f WHERE a AND b GROUP BY 2 UNION ALL SELECT 'topic', t, count(*) FROM (SELECT id, unnest(list_distinct(topics)) AS t FROM f WHERE a AND b AND c) GROUP BY 2""")
+def live_facets(spark, d):
+    """Facets under a selection, each without its own."""
+    chosen = {"language": F.col("language") == "en", "archived": ~F.col("archived"), "stars": F.col("stars") >= 1000}
+    return CO.facets(tables.repos(spark, d), chosen, {"language": F.col("language"), "archived": F.col("archived"), "stars": F.floor(F.col("stars") / 1000), "topic": F.col("topics")})
+
+
+@query("""+s AS (SELECT repo_id AS id, max(starred_at) AS starred_at FROM user_stars GROUP BY repo_id), r AS (SELECT repos.*, s.starred_at FROM repos LEFT JOIN s USING (id)), t AS (SELECT max(starred_at)::TIMESTAMP AS now FROM s),
+c AS (SELECT 'recent' AS kind, '' AS key, id FROM r, t WHERE epoch(now - starred_at::TIMESTAMP) <= 7776000 UNION ALL SELECT 'known', '', id FROM r WHERE stars >= 1000 UNION ALL SELECT 'archived', '', id FROM r WHERE archived AND stars >= 1000
+    UNION ALL SELECT 'language', lower(language), id FROM r WHERE language <> '' UNION ALL SELECT DISTINCT 'topic', lower(x), id FROM (SELECT id, unnest(topics) AS x FROM r)),
+n AS (SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, key) AS place FROM c GROUP BY kind, key)
+SELECT kind, key, id AS repo_id FROM c JOIN n USING (kind, key) WHERE place <= CASE kind WHEN 'language' THEN 8 WHEN 'topic' THEN 12 ELSE 1 END""")
+def own_collections(spark, d):
+    """Collections that make themselves: recent, well-known, archived, the largest languages and topics."""
+    stars = tables.user_stars(spark, d).groupBy(F.col("repo_id").alias("id")).agg(F.max("starred_at").alias("starred_at"))
+    now = F.to_timestamp(F.lit(stars.agg(F.max("starred_at")).first()[0]))
+    return CO.collections(tables.repos(spark, d).join(stars, "id", "left"), now)
+
+
+@query(f"""+n AS (SELECT count(*) AS n FROM benchmark), asked AS (SELECT item_id AS query_id, list_distinct({CAMEL("text")}) AS q FROM benchmark),
+hits AS (SELECT id % n AS query_id, id, row_number() OVER (PARTITION BY id % n ORDER BY stars DESC, id) AS position, description, substring(readme, 1, 2048) AS body FROM repos, n),
+s AS (SELECT query_id, id, position, CASE WHEN position <= 30 THEN round(greatest(len(list_intersect(q, {CAMEL("description")})), len(list_intersect(q, {CAMEL("body")}))) / len(q)::DOUBLE, 9) END AS rerank FROM hits JOIN asked USING (query_id))
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY position > 30, rerank DESC NULLS LAST, position) AS position, round(rerank, 6) AS rerank, FALSE AS degraded FROM s""")
+def second_look(spark, d):
+    """The first results of many queries in a model's order; the model is a stand-in that counts common words."""
+    bench = tables.read(spark, d, "benchmark")
+    repos = tables.repos(spark, d).crossJoin(F.broadcast(bench.agg(F.count("*").alias("n"))))  # one row
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("stars"), "id"))
+    hits = repos.withColumn("query_id", F.col("id") % F.col("n")).withColumn("position", place)
+    passages = hits.select("query_id", "id", F.explode(F.array("description", "readme")).alias("passage"))
+    asked = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _rounded(RR.reranked(hits, passages, asked), "rerank")
+
+
+_WEIGHT = "+ ".join(f"(u >= {end})::INT " for end in GA._POISSON)
+
+
+@query(f"""+m AS (SELECT source AS query_id, avg(quality) FILTER ((doc_id // 20) % 2 = 0) AS now_q, avg(quality) FILTER ((doc_id // 20) % 2 = 1) AS base_q, avg(toxic) FILTER ((doc_id // 20) % 2 = 0) AS now_t, avg(toxic) FILTER ((doc_id // 20) % 2 = 1) + 0.5 AS base_t FROM documents JOIN labels USING (doc_id) GROUP BY source),
+l AS (SELECT query_id, 'quality' AS metric, now_q AS now, base_q AS base FROM m UNION ALL SELECT query_id, 'toxic', now_t, base_t FROM m), b AS (SELECT * FROM l WHERE now IS NOT NULL AND base IS NOT NULL),
+w AS (SELECT metric, b, now, base, {_WEIGHT} AS w FROM (SELECT *, ('0x' || substr(md5(query_id || ':' || b), 1, 8))::BIGINT % 1000000 AS u FROM b, range({GA.RESAMPLES}) t(b))),
+c AS (SELECT metric, b, round(sum(w * (now - base)) / sum(w), 9) AS change FROM w GROUP BY metric, b), p AS (SELECT metric, avg(CASE WHEN change < 0 THEN 1.0::DOUBLE ELSE 0 END) AS worse FROM c GROUP BY metric)
+SELECT metric, count(*) AS queries, round(avg(base), 6) AS base, round(avg(now), 6) AS now, round(any_value(worse), 6) AS worse, any_value(worse) < 0.95 AS passed FROM b JOIN p USING (metric) GROUP BY metric""")
+def metric_gate(spark, d):
+    """Means of labels by source against a baseline, half the documents each; one of the baselines is raised."""
+    rows = tables.read(spark, d, "documents").join(tables.read(spark, d, "labels"), "doc_id")
+    of = lambda k, more: rows.where(F.floor(F.col("doc_id") / 20) % 2 == k).groupBy(F.col("source").alias("query_id")).agg(F.avg("quality").alias("quality"), (F.avg("toxic") + more).alias("toxic"))
+    return _rounded(GA.gated(of(0, 0.0), of(1, 0.5), ["quality", "toxic"]), "base", "now", "worse")

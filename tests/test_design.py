@@ -262,3 +262,136 @@ def test_pages_of_odd_hits(spark):
     odd = [(None, k, None, None, 1.0, None, [None, 1.0] if k else [0.0, 0.0]) for k in range(4)]
     got = DV.diversified(spark.createDataFrame(odd, schema), limit=3).orderBy("position").collect()
     assert [(r.id, r.suppressed_by) for r in got] == [(0, None), (1, None), (2, "owner")]
+
+
+# ---- collections, rerank, gates, explain, blobs ----
+
+
+def test_collections_and_facets(spark):
+    rng = random.Random(4)
+    rows = [(*repo(k, f"o/n{k}", language=rng.choice([None, "", "Go", "go", *[f"l{j}" for j in range(12)]]), topics=[rng.choice(["A", "a", *[f"t{j}" for j in range(15)]]) for _ in range(rng.randint(0, 4))], stars=rng.choice([0, 999, 1000, 5000]), archived=rng.random() < 0.3), rng.choice([None, "2024-06-01T00:00:00Z", "2024-03-01T00:00:00Z", "2023-01-01T00:00:00Z"])) for k in range(120)]
+    repos = spark.createDataFrame(rows, REPO + ", starred_at string")
+    from starloom.operators.collections import collections, facets
+
+    got = {}
+    for r in collections(repos, F.to_timestamp(F.lit("2024-06-02 00:00:00"))).collect():
+        assert r.repo_id not in got.setdefault((r.kind, r.key), set())
+        got[(r.kind, r.key)].add(r.repo_id)
+    want = {("recent", ""): {r[0] for r in rows if r[11] and r[11] == "2024-06-01T00:00:00Z"}, ("known", ""): {r[0] for r in rows if r[8] >= 1000}, ("archived", ""): {r[0] for r in rows if r[8] >= 1000 and r[9]}}
+    for kind, of, most in (("language", lambda r: {r[6].lower()} if r[6] else set(), 8), ("topic", lambda r: {t.lower() for t in r[5]}, 12)):
+        held = {}
+        for r in rows:
+            for v in of(r):
+                held.setdefault(v, set()).add(r[0])
+        for v in sorted(held, key=lambda v: (-len(held[v]), v))[:most]:
+            want[(kind, v)] = held[v]
+    assert got == want
+    said = {(r.facet, r.value): r.n for r in facets(repos, {"language": F.col("language") == "go", "archived": ~F.col("archived")}, {"language": F.col("language"), "topic": F.col("topics"), "archived": F.col("archived")}).collect()}
+    count = {}
+    for r in rows:
+        for facet, values in (("language", {r[6]} - {None}), ("topic", set(r[5])), ("archived", {str(r[9]).lower()})):
+            if (facet == "language" or r[6] == "go") and (facet == "archived" or not r[9]):
+                for v in values:
+                    count[(facet, v)] = count.get((facet, v), 0) + 1
+    assert said == count
+
+
+def test_rerank(spark):
+    from starloom.plans.rerank import OVERLAP, Scorer, reranked
+
+    hits = spark.createDataFrame([(q, i, p) for q in (1, 2) for p, i in enumerate((10, 11, 12, 13, 14), 1)], "query_id int, id long, position int")
+    passages = spark.createDataFrame([(q, i, t) for q in (1, 2) for i, t in ((10, "nothing"), (11, "vector search here"), (11, "z"), (12, "vector"), (14, "vector search"))] + [(1, 12, None)], "query_id int, id long, passage string")
+    queries = spark.createDataFrame([(1, "vector search"), (2, None)], "query_id int, query string")
+    order = lambda df, q: [(r.id, r.rerank) for r in df.where(f"query_id = {q}").orderBy("position").collect()]
+    got = reranked(hits, passages, queries, depth=4)
+    assert order(got, 1) == [(11, 1.0), (12, 0.5), (10, 0.0), (13, 0.0), (14, None)] and [i for i, _ in order(got, 2)] == [10, 11, 12, 13, 14]
+    assert not got.where("degraded").count()
+    named = reranked(hits.withColumn("f", F.when(F.col("id") == 12, 3.0).otherwise(1.0)), passages, queries, depth=4, intent=F.col("f"))
+    assert order(named, 1)[0] == (12, 1.5)
+
+    def broken(queries, passages):
+        if any("vector" in q for q in queries):
+            raise RuntimeError("no model")
+        return [1.0] * len(passages)
+
+    def slow(queries, passages):
+        import time
+
+        time.sleep(3)
+        return [1.0] * len(passages)
+
+    for scorer, seconds in ((Scorer(broken), 10.0), (Scorer(slow), 0.2), (Scorer(lambda q, p: [0.5]), 10.0), (Scorer(lambda q, p: [float("nan")] * len(p)), 10.0)):
+        bad = reranked(hits, passages, queries, scorer, seconds=seconds, flight=1)
+        assert order(bad, 1) == [(10, None), (11, None), (12, None), (13, None), (14, None)] and bad.where("query_id = 1 and not degraded").count() == 0
+    seen = Scorer(lambda q, p: [float(x.startswith("query: ")) for x in q], prefix="query: ")
+    assert dict(order(reranked(hits, passages, queries, seen), 1))[10] == 1.0 and OVERLAP.scores(["", "a b"], ["x", "B c"]) == [0.0, 0.5]
+    assert reranked(hits.limit(0), passages, queries).count() == 0
+
+
+def test_gates_tell_regressions_from_noise(spark):
+    from starloom.operators.gates import gated, latency
+
+    rng = np.random.default_rng(5)
+    base = [(q, float(x), float(x)) for q, x in enumerate(rng.uniform(0.2, 0.9, 60))]
+    noise = [(q, a + float(rng.normal(0, 0.05)), b - 0.03 - float(rng.uniform(0, 0.05))) for q, a, b in base] + [(999, 0.0, 0.0)]
+    table = lambda x: spark.createDataFrame(x, "query_id long, steady double, fallen double")
+    got = {r.metric: r for r in gated(table(noise), table(base), ["steady", "fallen"]).collect()}
+    assert got["steady"].passed and not got["fallen"].passed and got["fallen"].worse == 1.0 and got["steady"].queries == 60
+    assert all(r.passed for r in gated(table(base), table(base), ["steady", "fallen"]).collect()) and all(r.passed and r.queries == 0 for r in gated(table(base), table([]), ["steady"]).collect())
+    assert gated(table(noise), table(base), ["fallen"], tolerance=0.2).first().passed
+    times = spark.createDataFrame([(q, s, float(q)) for q in range(1, 101) for s in ("fts", "fuse")], "query_id long, stage string, ms double")
+    limits = {r.stage: (round(r.p50, 2), round(r.p95, 2), r.passed) for r in latency(times, {"fts": 60.0}).collect()}
+    assert limits == {"fts": (50.5, 95.05, False), "fuse": (50.5, 95.05, True)}
+
+
+def test_explained_results(spark):
+    import json
+
+    from starloom.operators.fusion import fuse_ranks, normalised
+    from starloom.plans.explain import Stages, explained
+
+    hits = spark.createDataFrame([(1, 0.5, 0.02, 1.2, 100, True, ["name"], 3, None)], "id long, score double, rrf double, boost double, stars long, archived boolean, matched_by array<string>, rank_keyword long, rank_semantic long")
+    said = json.loads(explained(hits, {"keyword": 1.0, "semantic": 1.0}).first().explain)
+    assert said["legs"]["keyword"] == {"rank": 3, "weight": 1.0} and "rank" not in said["legs"]["semantic"] and said["factors"]["archived"] == 0.4 and said["factors"]["name"] == 1.2
+    stages = Stages()
+    with stages.timed("fts"):
+        pass
+    with stages.timed("fts"):
+        pass
+    rows = stages.rows(spark, "q").collect()
+    assert [(r.query_id, r.stage) for r in rows] == [("q", "fts")] and rows[0].ms >= 0
+    ranked = spark.createDataFrame([("keyword", 1, 1), ("semantic", 1, 1), ("semantic", 2, 2)], "leg string, id long, rank long")
+    base = {r.id: r.base for r in normalised(fuse_ranks(ranked, {"keyword": 1.0, "semantic": 1.0}), {"keyword": 1.0, "semantic": 1.0}).collect()}
+    assert base[1] == pytest.approx(1.0) and base[2] == pytest.approx(61 / 62 / 2)
+
+
+def test_typing_errors_find_names(spark, tmp_path):
+    from starloom.operators.legs import similar_names
+
+    docs = spark.createDataFrame([repo(1, "better-auth/better-auth"), repo(2, "o/lazygit"), repo(3, "o/lazydocker"), repo(4, "x/y", "a lazy git client")], REPO)
+    index = IX.SearchIndex.build(docs, str(tmp_path / "ix"), 4)
+    found = lambda q, **k: [r.id for r in similar_names(index, q, 5, **k).orderBy("rank").collect()]
+    assert found("lazzygit") == [2] and found("betterauht") == [1] and found("zq") == [] and found("lazygit")[0] == 2 and found("lazy", least=0.9) == [2, 3, 4]
+    assert found("lazygit", candidates=docs.where("id > 2")) == [4, 3]
+
+
+def test_blobs_that_do_not_fit_are_named(spark):
+    from starloom.sources import blobs as BL
+
+    good = BL.encode(np.eye(3))
+    rows = [(1, good, [1, 2, 3]), (2, good, [1, 2]), (3, b"short", [1]), (4, b"XX" + good[2:], [1, 2, 3]), (5, None, [1]), (6, good, None)]
+    table = spark.createDataFrame(rows, "n int, blob binary, ids array<long>")
+    got = {r.n: r.error for r in BL.unfit_blobs(table).collect()}
+    assert set(got) == {2, 3, 4, 5, 6} and got[2] == "3 vectors for 2 ids" and got[6] == "no ids" and BL.read_vectors(table.where("n < 3")).count() == 3
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(23)], "id long, vector array<double>")
+    parts = BL.in_parts(vectors, 5)
+    assert all(len(r.ids) <= 12 for r in parts.collect()) and parts.count() > 2
+    assert sorted((r.id, list(r.vector)) for r in BL.read_vectors(parts).collect()) == [(k, [float(k), 1.0]) for k in range(23)]
+
+
+def test_small_texts(spark):
+    from starloom.functions import display as D
+    from starloom.functions import text as T
+
+    row = spark.range(1).select(T.all_phrases(F.array(*map(F.lit, "a b c a b".split())), 3).alias("p"), D.command_score(F.lit("Öffne Ἀθῆναι"), F.array(F.lit("naïve")), "αθηναι naive").alias("s"), D.command_score(F.lit("x"), F.array(F.lit("y")), "z").alias("n")).first()
+    assert row.p == ["a b", "b c", "c a", "a b c", "b c a", "c a b"] and row.s is not None and row.n is None
