@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ from starloom.plans import rerank as RR
 from starloom.plans.engine import Engine, index_over
 from starloom.plans.query import classified, expand, expanded, tokenize
 from starloom.registry import ASK, CAMEL, FOUND, INDEX, PRIOR, SPEECH, _first_vector, _hits_sql, _rounded, _search_sql, _top_sql, query
+from starloom.sources import recorded as RD
 from starloom.sources import tables
-from starloom.sources.staging import staged
+from starloom.sources.staging import shared_dir, staged
 
 # ---- varied pages ----
 
@@ -263,3 +266,26 @@ def metric_gate(spark, d):
     rows = tables.read(spark, d, "documents").join(tables.read(spark, d, "labels"), "doc_id")
     of = lambda k, more: rows.where(F.floor(F.col("doc_id") / 20) % 2 == k).groupBy(F.col("source").alias("query_id")).agg(F.avg("quality").alias("quality"), (F.avg("toxic") + more).alias("toxic"))
     return _rounded(GA.gated(of(0, 0.0), of(1, 0.5), ["quality", "toxic"]), "base", "now", "worse")
+
+
+# ---- recorded listings ----
+
+
+@query("""+e AS (SELECT event_id // 100 AS page, event_id % 97 AS id, event_id FROM events WHERE event_id < 1200), p AS (SELECT page, max(page) OVER () AS last, count(*) AS n FROM e GROUP BY page)
+SELECT page::INT AS page, CASE page WHEN 3 THEN 'unchanged' WHEN 6 THEN 'limited' WHEN 7 THEN 'missing' WHEN 8 THEN 'failed' WHEN 9 THEN 'capped' ELSE 'ok' END AS state,
+    CASE WHEN page NOT IN (3, 6, 7, 8, 9) AND page < last THEN page + 1 END::INT AS next, CASE WHEN page = 6 THEN 30 END::BIGINT AS wait_s, CASE WHEN page NOT IN (3, 6, 7, 8, 9) THEN n ELSE 0 END::BIGINT AS n, page <= 6 AS listed FROM p WHERE page <= 9""")
+def recorded_pages(spark, d):
+    """Pages laid out from events, read through the data source: good ones, an unchanged one, errors, and the cap."""
+    e = tables.read(spark, d, "events").where("event_id < 1200").select(F.floor(F.col("event_id") / 100).cast("int").alias("page"), F.to_json(F.struct((F.col("event_id") % 97).alias("id"))).alias("item"))
+    bodies = e.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("body"))
+    last = bodies.agg(F.max("page").alias("last"))
+    code = F.when(F.col("page") == 3, 304).when(F.col("page") == 6, 429).when(F.col("page") == 7, 404).when(F.col("page") == 8, 502).otherwise(200)
+    link = F.when(F.col("page") < F.col("last"), F.concat(F.lit('<https://x/y?page='), (F.col("page") + 1).cast("string"), F.lit('>; rel="next"'))).otherwise("")
+    path = f"{shared_dir(spark)}/starloom/recorded-{uuid.uuid4().hex}"
+    RD.record(bodies.crossJoin(F.broadcast(last)).select("page", code.alias("status"), F.create_map(F.lit("link"), link, F.lit("Retry-After"), F.lit("30")).alias("headers"), "body"), path)  # one row
+    RD.register(spark)
+    pages = staged(spark.read.format("recorded").option("path", path).option("pages", 8).load(), "pages")
+    n = F.coalesce(F.size(F.from_json("json", "array<struct<id:long>>")), F.lit(0)).cast("long")
+    kept = RD.listing(pages).select(F.col("page").alias("listed_page"), F.lit(True).alias("listed"))
+    rows = pages.join(kept, F.col("page") == F.col("listed_page"), "left")
+    return rows.select("page", "state", "next", "wait_s", F.when(F.col("json").isNull(), F.lit(0).cast("long")).otherwise(n).alias("n"), F.coalesce("listed", F.lit(False)).alias("listed"))

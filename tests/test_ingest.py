@@ -174,3 +174,45 @@ def test_budget_stream_equals_batch(spark, tmp_path):
         spark.conf.set(key, old)
     got = {(r.id, r.used, r.allowed) for r in spark.table("budget").collect()}
     assert got == {(r.id, r.used, r.allowed) for r in PL.daily_budget(batch, 5).collect()}
+
+
+# ---- recorded responses ----
+
+
+def test_rows_of_recorded_responses():
+    from starloom.sources.recorded import row_of
+
+    said = lambda **x: row_of(4, json.dumps(x))
+    link = '<https://h/u?per_page=100&page=3>; rel="prev", <https://h/u?per_page=100&page=5>; rel="next"'
+    assert said(status=200, headers={"Link": link, "ETag": "e1", "x-ratelimit-remaining": "12"}, body="[]") == (4, 200, "ok", "e1", 5, None, 12, "[]", None)
+    assert said(status=200, body="[1]")[2:5] == ("ok", None, None) and said(status=304, headers={"etag": "e"}, body="")[2:4] == ("unchanged", "e")
+    assert said(status=404)[2] == "missing" and said(status=403)[2:6] == ("limited", None, None, None) and said(status=429, headers={"retry-after": "30"})[5] == 30 and said(status=429, headers={"retry-after": "-1"})[5] is None
+    assert said(status=502)[8] == "HTTP 502" and said(status=200, body="{")[2] == "unreadable" and said(status=200)[2] == "unreadable"
+    assert row_of(1, "{")[2] == row_of(1, "[]")[2] == row_of(1, '{"body": "x"}')[2] == row_of(1, '{"status": "x"}')[2] == "unreadable"
+
+
+def test_recorded_pages_in_batches_and_as_a_stream(spark, tmp_path):
+    from starloom.sources import recorded as RD
+
+    path = str(tmp_path / "recording")
+    body = lambda p: json.dumps([{"id": p * 10 + k} for k in range(3)])
+    rows = [(p, {3: 304, 5: 429}.get(p, 200), {"link": f'<https://h/u?page={p + 1}>; rel="next"', "retry-after": "7"}, body(p)) for p in range(1, 8)]
+    table = spark.createDataFrame(rows, "page int, status int, headers map<string,string>, body string")
+    RD.record(table.where("page <= 4"), path)
+    RD.register(spark)
+    read = lambda **o: spark.read.format("recorded").options(path=path, **o).load()
+    assert [(r.page, r.state, r.next) for r in read().orderBy("page").collect()] == [(1, "ok", 2), (2, "ok", 3), (3, "unchanged", None), (4, "ok", 5)]
+    assert read().rdd.getNumPartitions() == 4
+
+    def batch() -> None:
+        stream = spark.readStream.format("recorded").option("path", path).load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        stream.awaitTermination()
+
+    batch()
+    table.where("page > 4").select("page", F.to_json(F.struct("status", "headers", "body")).alias("value")).repartition("page").write.mode("append").partitionBy("page").text(path)
+    batch()
+    got = sorted(map(tuple, spark.read.schema(RD.SCHEMA).parquet(str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, read().collect())) and len(got) == 7
+    capped = {r.page: (r.state, r.error) for r in read(pages=5).collect()}
+    assert capped[6] == ("capped", "more than 5 pages") and 7 not in capped
+    assert sorted(r.page for r in RD.listing(read()).collect()) == [1, 2, 3, 4, 5] and spark.read.format("recorded").option("path", str(tmp_path / "none")).load().count() == 0
