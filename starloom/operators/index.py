@@ -354,13 +354,15 @@ def _read_manifest(spark: SparkSession, path: str) -> dict | None:
     return None
 
 
-def opened(spark: SparkSession, path: str, buckets: int | None = None) -> SearchIndex | None:
-    """The index under a path as it is now, if there is one. How it was built is read from it; another number of buckets is an error."""
+def opened(spark: SparkSession, path: str, buckets: int | None = None, stemmed: bool | None = None) -> SearchIndex | None:
+    """The index under a path as it is now, if there is one. How it was built is read from it; what is asked for has to agree."""
     found = _read_manifest(spark, path)
     if found is None:
         return None
     if buckets is not None and buckets != found["buckets"]:
         raise ValueError(f"the index under {path} has {found['buckets']} buckets, not {buckets}")
+    if stemmed is not None and stemmed != found["stemmed"]:
+        raise ValueError(f"the index under {path} is {'stemmed' if found['stemmed'] else 'not stemmed'}")
     return SearchIndex(spark, path, found)
 
 
