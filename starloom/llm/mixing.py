@@ -121,7 +121,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     times = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
     drawn = lambda some: some.select(*docs.columns, times.alias(turn)).drop(turn)
     alike = taken.where(F.col(rows) > 1)
-    out = drawn(keyed.join(taken.where(F.col(rows) == 1), F.col(key) == F.col(row)))
+    out = drawn(keyed.join(taken.where(F.col(rows) == 1).hint("merge"), F.col(key) == F.col(row)))  # alike at every size
     if alike.isEmpty():
         return out
     return out.unionByName(drawn(keyed.join(alike, F.col(key) == F.col(row)).dropDuplicates([key])))
