@@ -13,8 +13,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A term is kept in a language that has it in so many documents; ranks reported of the terms; the scale of probabilities.
 MIN_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
-#: Bytes of text whose terms make up about one shard, and rows of (term, source) that one block of pair sums takes.
-SHARD_BYTES, BLOCK_ROWS = 16 << 20, 200_000
+#: Bytes of text whose terms make up about one shard, bytes that are counted at once, and rows of (term, source) that one block of pair sums takes.
+SHARD_BYTES, SLICE_BYTES, BLOCK_ROWS = 16 << 20, 8 << 20, 200_000
 
 _COUNT = f"""
 WITH t AS (SELECT doc, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM docs),
@@ -33,7 +33,7 @@ _F = "((p - q) * (p - q)) // (p + q)"
 def _duck():
     import duckdb
 
-    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "900MB", "temp_directory": ""})
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
 
 
 def _arrow(relation, schema: pa.Schema) -> pa.Table:
@@ -49,7 +49,7 @@ _FOUND = pa.schema([("part", pa.string()), ("lang", pa.string()), ("source", pa.
 def _counted(batches):
     """Counts of each term by language and source: a row for each in every slice of a few MB of text."""
     with _duck() as db:
-        for part in byte_slices(batches, "text"):
+        for part in byte_slices(batches, "text", SLICE_BYTES):
             db.register("docs", pa.Table.from_batches([part]).append_column("doc", pa.array(range(part.num_rows), pa.int32())))
             yield from _arrow(db.sql(_COUNT), _COUNTED).to_batches(max_chunksize=50_000)
 
