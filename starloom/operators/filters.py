@@ -22,6 +22,12 @@ class Filters:
     starred_before: str | None = None
     topics: tuple[str, ...] = field(default=())
     groups: tuple[str, ...] = field(default=())
+    owner: str | None = None
+    has_readme: bool | None = None
+    fork: bool | None = None
+    pushed_after: str | None = None
+    pushed_before: str | None = None
+    any_topics: tuple[str, ...] = field(default=())
 
 
 def predicate(f: Filters) -> Column:
@@ -43,6 +49,18 @@ def predicate(f: Filters) -> Column:
         p &= F.col("starred_at") <= f.starred_before
     for t in f.topics:
         p &= F.array_contains(F.transform("topics", F.lower), t.lower())
+    if f.owner is not None:
+        p &= F.lower("owner") == f.owner.lower()
+    if f.has_readme is not None:
+        p &= (F.trim(F.coalesce("readme", F.lit(""))) != "") == f.has_readme
+    if f.fork is not None:
+        p &= F.coalesce("fork", F.lit(False)) == f.fork
+    if f.pushed_after is not None:
+        p &= F.col("pushed_at") >= f.pushed_after
+    if f.pushed_before is not None:
+        p &= F.col("pushed_at") <= f.pushed_before
+    if f.any_topics:
+        p &= F.arrays_overlap(F.transform("topics", F.lower), F.array(*(F.lit(t.lower()) for t in f.any_topics)))
     return p
 
 

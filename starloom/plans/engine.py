@@ -16,6 +16,7 @@ from starloom.operators.index import WEIGHTS, SearchIndex, frequency
 from starloom.operators.legs import DIGITS, text_legs, vector_leg
 from starloom.operators.merging import groups_of, memberships
 from starloom.operators.ranking import page, with_snippets
+from starloom.plans.errors import NotFound
 from starloom.plans.lexicon import CONCEPTS
 from starloom.plans.query import SearchRequest, classify, expand, normalize, tokenize
 from starloom.sources import files, tables
@@ -25,10 +26,6 @@ from starloom.sources.staging import staged
 LEG, SORTED_LEG = 50, 500
 
 
-class NotFound(LookupError):
-    """A login or repository that the tables do not have."""
-
-
 #: Search indexes that this session has built, by what they are of.
 _BUILT: dict[tuple, SearchIndex] = {}
 
@@ -62,6 +59,18 @@ class Engine:
     def over(cls, spark: SparkSession, sf_dir: str, **options) -> Engine:
         return cls(tables.repos(spark, sf_dir), tables.user_stars(spark, sf_dir), tables.groups(spark), tables.group_repos(spark, sf_dir), tables.vectors(spark, sf_dir), index=index_over(spark, sf_dir), **options)
 
+    def health(self) -> dict:
+        """Whether the index can be read, its version and its documents; from its manifest, without a job."""
+        m = self.index.manifest
+        return {"ok": bool(m["segments"]), "index_version": m["version"], "segments": len(m["segments"]), "documents": sum(s["n"] for s in m["segments"]), "semantic": self.vectors is not None}
+
+    def repo(self, full_name: str) -> dict:
+        """show() of one repository as a dictionary; NotFound where there is none."""
+        found = self.show(full_name).collect()
+        if not found:
+            raise NotFound(f"no repository {full_name}", full_name=full_name)
+        return found[0].asDict(True)
+
     def lists(self) -> DataFrame:
         """Every group with its repositories."""
         return memberships(self.groups, self.group_repos)

@@ -395,3 +395,47 @@ def test_small_texts(spark):
 
     row = spark.range(1).select(T.all_phrases(F.array(*map(F.lit, "a b c a b".split())), 3).alias("p"), D.command_score(F.lit("Öffne Ἀθῆναι"), F.array(F.lit("naïve")), "αθηναι naive").alias("s"), D.command_score(F.lit("x"), F.array(F.lit("y")), "z").alias("n")).first()
     assert row.p == ["a b", "b c", "c a", "a b c", "b c a", "c a b"] and row.s is not None and row.n is None
+
+
+# ---- errors and further filters ----
+
+
+def test_errors_have_status_and_body(spark):
+    from starloom.operators import planning as PL
+    from starloom.plans import errors as ER
+
+    rows = spark.createDataFrame([(True, None), (False, 90), (False, None)], "running boolean, at long").select(PL.admission(F.lit(100), F.col("running"), F.col("at"), F.lit(None).cast("long"), F.lit(False)).alias("a")).collect()
+    said = []
+    for r in rows:
+        try:
+            ER.admitted("u", r.a)
+            said.append((200, None))
+        except ER.ApiError as e:
+            said.append((ER.response(e)[0], ER.response(e)[1]["error"]))
+    assert said == [(409, "SyncInProgress"), (429, "SyncCooldown"), (200, None)]
+    with pytest.raises(ER.SyncCooldown) as e:
+        ER.admitted("u", rows[1].a)
+    assert e.value.body()["retry_after"] == PL.FULL_COOLDOWN - 10 and e.value.body()["login"] == "u"
+    assert ER.response(ValueError("secret")) == (500, {"error": "InternalError", "message": "InternalError"}) and ER.response(ER.NotFound("no x", x=1)) == (404, {"error": "NotFound", "message": "no x", "x": 1})
+    assert issubclass(ER.NotFound, LookupError) and [ER.BadRequest.status, ER.BudgetExceeded.status, ER.IndexNotReady.status, ER.Upstream.status] == [400, 429, 503, 502]
+    from starloom.sources.recorded import row_of
+    from pyspark.sql import Row
+
+    page = lambda text: Row("page", "status", "state", "etag", "next", "wait_s", "remaining", "json", "error")(*row_of(2, text))
+    ER.of_page(page('{"status": 304}'))
+    for text, status in (('{"status": 404}', 404), ('{"status": 429, "headers": {"retry-after": "9"}}', 502), ("{", 502)):
+        with pytest.raises(ER.ApiError) as e:
+            ER.of_page(page(text))
+        assert e.value.status == status
+    with pytest.raises(ER.BudgetExceeded):
+        ER.within_budget("search", Row(used=4, allowed=False))
+
+
+def test_further_filters(spark):
+    from starloom.operators.filters import Filters, predicate
+
+    rows = [(*repo(1, "A/x", topics=["Cli"], readme="r"), True, "2024-01-01"), (*repo(2, "a/y", topics=["tui", "x"], readme=" "), False, "2024-02-01"), (*repo(3, "b/z", readme=None), None, None)]
+    table = spark.createDataFrame(rows, REPO + ", fork boolean, pushed_at string")
+    left = lambda **k: {r.id for r in table.where(predicate(Filters(**k))).select("id").collect()}
+    assert left(owner="A") == {1, 2} and left(has_readme=True) == {1} and left(has_readme=False) == {2, 3} and left(fork=False) == {2, 3} and left(fork=True) == {1}
+    assert left(pushed_after="2024-01-15") == {2} and left(pushed_before="2024-01-15") == {1} and left(any_topics=("CLI", "tui")) == {1, 2} and left(any_topics=("none",)) == set()
