@@ -180,6 +180,6 @@ def redact_secrets(docs: DataFrame, labelled: DataFrame | None = None, text_col:
     def clean(rows: DataFrame, secrets: DataFrame) -> DataFrame:
         return rows.join(secrets, F.col(key) == F.col(named_by), "left").withColumn(text_col, cleaned).select(*docs.columns)
 
-    if found.count() <= few:
-        return clean(docs.withColumn(key, F.when(has, F.md5(text_col))), F.broadcast(found))
+    if found.count() <= few:  # a hash costs less than to look for candidates once more
+        return clean(docs.withColumn(key, F.md5(text_col)), F.broadcast(found))
     return clean(docs.where(has).withColumn(key, F.md5(text_col)), found).unionByName(docs.where(~has))
