@@ -310,6 +310,15 @@ def test_show_and_similar(engine):
         engine.similar(99, 1)
 
 
+def test_index_is_opened_when_it_is_asked_for(engine):
+    """show(), similar() and candidates read no index, so none is built for them."""
+    asked = []
+    lazy = Engine(engine.repos, engine.user_stars, engine.groups, engine.group_repos, engine.vectors, index=lambda: asked.append(1) or engine.index)
+    assert lazy.show("nuxflare/auth").count() == 1 and lazy.similar(1, 2).count() == 2 and lazy.candidates("u", FL.Filters()).count() == 3
+    assert not asked
+    assert lazy.index is engine.index and lazy.index is engine.index and len(asked) == 1
+
+
 def test_batches_match_single_queries(engine, spark):
     queries = spark.createDataFrame([(1, "auth server"), (2, "vector database")], "query_id long, query string")
     got = {(r.query_id, r.id): r.score for r in engine.batch_keyword(queries).collect()}
