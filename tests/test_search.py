@@ -319,6 +319,21 @@ def test_index_is_opened_when_it_is_asked_for(engine):
     assert lazy.index is engine.index and lazy.index is engine.index and len(asked) == 1
 
 
+def test_postings_of_large_batches_come_in_slices(docs):
+    """What a task groups at once is of about SLICE_TOKENS tokens, however many rows Arrow sends together."""
+    import pyarrow as pa
+
+    words = [f"running{i % 7}" for i in range(IX.SLICE_TOKENS // 3)]
+    lists = lambda *x: pa.array(x, pa.list_(pa.string()))
+    none = [[]] * 8
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), lists(*none), lists(["runs"], *none[1:]), lists(*none), lists(*[words] * 8)], names=["id", *IX.COLUMNS])
+    out = list(IX._grouped(True)([batch]))
+    assert len(out) > 2
+    got = {(r["id"], r["term"]): r for b in out for r in b.to_pylist()}
+    assert len(got) == 8 * 8 + 1 and got[0, "run"]["places"] == [IX.SPAN] and got[5, ""] == {"id": 5, "term": "", "len": len(words), "places": []}
+    assert got[7, "running3"]["places"] == [3 * IX.SPAN + i for i in range(3, len(words), 7)] and got[0, "running3"]["len"] == len(words) + 1
+
+
 def test_batches_match_single_queries(engine, spark):
     queries = spark.createDataFrame([(1, "auth server"), (2, "vector database")], "query_id long, query string")
     got = {(r.query_id, r.id): r.score for r in engine.batch_keyword(queries).collect()}
