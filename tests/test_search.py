@@ -334,6 +334,25 @@ def test_postings_of_large_batches_come_in_slices(docs):
     assert got[7, "running3"]["places"] == [3 * IX.SPAN + i for i in range(3, len(words), 7)] and got[0, "running3"]["len"] == len(words) + 1
 
 
+def test_nearest_of_many_queries_by_blocks(spark, monkeypatch):
+    """The same rows as one query at a time, copies, ties, zeros, nulls and lengths among them, and no row for each pair."""
+    rng = random.Random(3)
+    some = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(12)]
+    odd = [[0.0] * 4, [1.0, None, 0.0, 2.0], [1.0, float("nan"), 0.0, 0.0], [1e200, 0.0, 0.0, 1e200], [1e-200, 0.0, 0.0, 0.0], [1.0, 2.0]]
+    rows = [[x + rng.choice([0, 0, 3e-10, 1e-9]) for x in rng.choice(some)] for _ in range(120)] + odd * 2
+    v = spark.createDataFrame(list(enumerate(rows)), "id long, vector array<double>")
+    queries = v.where("id % 5 = 0 or id > 119").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(LG, "BLOCK_NUMBERS", 200)
+    monkeypatch.setattr(LG, "PAIRS", 100)
+    found = LG.batch_knn(queries, v, 6)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.query_id, r["rank"], r.id, str(r.score)) for r in found.collect())
+    pairs = queries.crossJoin(v.withColumnRenamed("vector", "w")).where("size(vector) = size(w)")
+    pairs = pairs.select("query_id", "id", F.round(LG.cosine(F.col("w"), F.col("vector")), LG.DIGITS).alias("score"))
+    best = pairs.withColumn("rank", F.row_number().over(LG.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 6")
+    assert got == sorted((r.query_id, r["rank"], r.id, str(r.score)) for r in best.collect())
+
+
 def test_batches_match_single_queries(engine, spark):
     queries = spark.createDataFrame([(1, "auth server"), (2, "vector database")], "query_id long, query string")
     got = {(r.query_id, r.id): r.score for r in engine.batch_keyword(queries).collect()}
