@@ -363,6 +363,16 @@ def test_batches_match_single_queries(engine, spark):
     assert {(r.query_id, r.id) for r in fused} == set(got)
 
 
+def test_batches_are_summed_where_documents_are(engine, spark):
+    """No row for a document and a query is dealt out again; the words of all queries travel instead, or shuffle if they are many."""
+    queries = spark.createDataFrame([(1, "auth server auth"), (2, "zzz"), (3, None), (4, "")], "query_id long, query string")
+    scores = engine.batch_keyword(queries, None)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("hashpartitioning(")[1:] if x.startswith("query_id") and "id#" in x.split(")")[0].split(",")[1]]
+    want = {r.id: r.score for r in LG.any_leg(engine.index, ["auth", "server"], 50).collect()}
+    assert {(r.query_id, r.id): r.score for r in scores.collect()} == pytest.approx({(1, i): x for i, x in want.items()})
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(2, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 1.0])], "id long, vector array<double>")
     assert [r.id for r in LG.vector_leg(v, [1.0, 0.0], 2).orderBy("rank").collect()] == [1, 2]
