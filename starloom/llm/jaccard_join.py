@@ -7,17 +7,19 @@ How it runs:
 
 1. Every text is hashed to its shingle set. The set's own hash names the class of documents with equal
    sets, so copies travel on as one class.
-2. Fingerprints are dealt to buckets by hash; a bucket returns those that two classes or more hold, with
-   their exact document frequency. The rest cannot be shared and are only counted.
+2. Fingerprints are dealt to buckets by hash, each with the place of its class in a block of about 1,000,000 fingerprints. A
+   bucket returns to the blocks those that two classes or more hold, with the number of blocks' classes that hold them, one
+   order for all. The rest cannot be shared. What travels for a fingerprint is 4 bytes and less than one for its class,
+   in whatever number of buckets.
 3. For each class the rarest fingerprints form the prefix that a partner has to meet; only shared ones
    become postings of the inverted lists. Light classes post subsets instead.
 4. Round one compares each member of a list with the list's leader only. Round two compares what is
    still in different components. Size and position bounds cut pairs, and every pair left is
    verified on whole sets, so components are exact while a group of m near copies costs about m pairs.
 
-A bucket and a group of classes have about BUCKET_SHINGLES entries whatever the input's size, but for a shingle that a large share
-of all documents has: each class with it is an entry of about 20 bytes of one bucket. What a step wrote is removed when the
-next ones have read it.
+A bucket has about BUCKET_SHINGLES entries and a block 1,000,000 (or one text's) whatever the input's size, but for a shingle that
+a large share of all documents has: each class with it is an entry of about 5 bytes of one bucket. What a step wrote is removed
+when the next ones have read it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,54 +81,65 @@ def _key(s: np.ndarray) -> int:
     return int(mix(np.array([np.bitwise_xor.reduce(mix(s + i)) + np.uint64(len(s)) * np.uint64(zlib.crc32(s.tobytes()) | 1)], dtype=np.uint64))[0]) or 1
 
 
+def _encoded(fp: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Fingerprints as they are, and columns of small numbers, compressed byte by byte of the numbers."""
+    planes = b"".join(c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    return np.uint32(len(fp)).tobytes() + fp.tobytes() + zlib.compress(planes, 1)
+
+
+def _decoded(payload) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprints, and a row for each column of numbers."""
+    k = int(np.frombuffer(payload, np.uint32, 1)[0])
+    planes = np.frombuffer(zlib.decompress(memoryview(payload)[4 + 4 * k :]), np.uint8).reshape(-1, 4, k)
+    return np.frombuffer(payload, np.uint32, k, 4), np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[..., 0]
+
+
+_CLASS = np.dtype([("key", "<u8"), ("n", "<u4")])
+_ENTRY = np.dtype([("key", "<u8"), ("n", "<u4"), ("fp", "<u4"), ("bucket", "<u4"), ("df", "<u4")])
+
+
 class _Outbox:
-    """Collects the sets of many documents, then yields them as one packed row for each bucket."""
+    """Collects the sets of many documents as a block of classes, then yields the block's list of classes and a packed row for
+    each bucket. A fingerprint's class is its place in the list, so that what a row takes hardly grows with the number of buckets."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.ids, self.keys, self.ns, self.sets, self.size = buckets, [], [], [], [], 0
+    def __init__(self, buckets: int, block: int) -> None:
+        self.buckets, self.block, self.keys, self.sets, self.size = buckets, block, [], [], 0
 
-    def add(self, doc_id, s: np.ndarray) -> None:
-        self.ids.append(doc_id)
+    def add(self, s: np.ndarray) -> None:
         self.keys.append(_key(s))
-        self.ns.append(len(s))
-        self.sets.append(s if doc_id is not None else s[:0])  # rows without an id link with nothing
+        self.sets.append(s)
         self.size += len(s) + 20
 
     def rows(self):
-        if not self.ids:
-            return
-        keys, ns = np.array(self.keys, dtype=np.uint64), np.array(self.ns, dtype=np.uint32)
-        for i in range(0, len(keys), 20_000):
-            yield -1, b"", self.ids[i : i + 20_000], keys[i : i + 20_000].view(np.int64).tolist(), ns[i : i + 20_000].tolist()
-        named = np.flatnonzero([i is not None for i in self.ids])
-        if not len(named):
-            self.__init__(self.buckets)
+        if not self.keys:
             return
-        first = np.sort(named[np.unique(keys[named], return_index=True)[1]])
-        keys, ns = keys[first], ns[first]
+        keys, first = np.unique(np.array(self.keys, dtype=np.uint64), return_index=True)
+        ns = np.array([len(self.sets[i]) for i in first], dtype=np.uint32)
+        listed = np.empty(len(keys), dtype=_CLASS)
+        listed["key"], listed["n"] = keys, ns
+        yield self.block % self.buckets, self.block, listed.tobytes(), None
         everything = np.concatenate([self.sets[i] for i in first])
         owner = np.repeat(np.arange(len(first), dtype=np.uint32), ns)
         bucket = ((everything >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.uint16 if self.buckets < 65536 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         fp, owner, bucket = (everything & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owner[order], bucket[order]
-        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         for lo, hi in zip(edges, [*edges[1:], len(bucket)]):
-            who, counts = np.unique(owner[lo:hi], return_counts=True)
-            head = np.array([len(who), hi - lo], dtype=np.uint32)
-            yield int(bucket[lo]), b"".join(x.tobytes() for x in (head, keys[who], ns[who], counts.astype(np.uint32), fp[lo:hi])), [], [], []
-        self.ids, self.keys, self.ns, self.sets, self.size = [], [], [], [], 0
+            yield int(bucket[lo]), self.block, None, _encoded(fp[lo:hi], np.diff(owner[lo:hi], prepend=np.uint32(0)))
+        self.__init__(self.buckets, self.block + 1)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("ns", pa.list_(pa.int32()))])
+_PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("classes", pa.binary()), ("payload", pa.binary())])
 
 
 def _pack(width: int, buckets: int):
     def run(batches):
-        hasher, box = WordHasher(), _Outbox(buckets)
+        hasher, box = WordHasher(), _Outbox(buckets, TaskContext.get().partitionId() << 32)
         for batch in sliced(batches):
-            ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
-            for doc_id, s in zip(ids, text_sets(texts, width, hasher)):
-                box.add(doc_id, s)
+            named = batch.filter(batch.column(0).is_valid())  # rows without an id link with nothing
+            for s in text_sets([x or b"" for x in named.column(1).to_pylist()], width, hasher):
+                if len(s):
+                    box.add(s)
                 if box.size > 1_000_000:
                     yield from _batches(box)
         yield from _batches(box)
@@ -139,44 +153,42 @@ def _batches(box: _Outbox):
         yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows[i : i + 64]), _PACKED)], schema=_PACKED)
 
 
-def _read_packed(payload: bytes):
-    k, total = np.frombuffer(payload, np.uint32, 2)
-    keys = np.frombuffer(payload, np.uint64, k, 8)
-    ns, counts = np.frombuffer(payload, np.uint32, k, 8 + 8 * k), np.frombuffer(payload, np.uint32, k, 8 + 12 * k)
-    return keys, ns, counts, np.frombuffer(payload, np.uint32, total, 8 + 16 * k)
+def _keyed(width: int):
+    """Each row's id, class and number of shingles."""
 
+    def run(batches):
+        hasher = WordHasher()
+        for batch in sliced(batches):
+            sets = [(_key(s), len(s)) for s in text_sets([x or b"" for x in batch.column(1).to_pylist()], width, hasher)]
+            keys, ns = np.array([k for k, _ in sets], dtype=np.uint64).view(np.int64), np.array([n for _, n in sets], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(ns)], names=["id", "key", "n"])
 
-_ENTRY = np.dtype([("key", "<u8"), ("n", "<u4"), ("fp", "<u4"), ("bucket", "<u4"), ("df", "<u4")])
-
+    return run
 
-def _shared_fingerprints(groups: int):
-    """A bucket's fingerprints that two classes or more hold, packed by the group of their class."""
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket, heads = table.column("bucket")[0].as_py(), [_read_packed(x.as_buffer()) for x in table.column("payload")]
-        keys = np.concatenate([h[0] for h in heads])
-        new = np.zeros(len(keys), dtype=bool)  # classes come once from every block of texts that holds them
-        new[np.unique(keys, return_index=True)[1]] = True
-        ns, counts = (np.concatenate([h[k] for h in heads]) for k in (1, 2))
-        fp = np.concatenate([h[3] for h in heads])[np.repeat(new, counts)]
-        del heads
-        owner = np.repeat(np.flatnonzero(new).astype(np.uint32), counts[new])
-        order = np.argsort(fp)
-        fp = fp[order]
-        runs = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1]))) if len(fp) else np.zeros(0, np.int64)
-        df = np.diff(np.append(runs, len(fp)))
-        shared, df = np.repeat(df > 1, df), np.repeat(df[df > 1], df[df > 1])
-        order, fp = order[shared], fp[shared]
-        out = np.empty(len(order), dtype=_ENTRY)
-        out["key"], out["n"], out["fp"], out["bucket"], out["df"] = keys[owner[order]], ns[owner[order]], fp, bucket, df
-        dest = (out["key"] % np.uint64(groups)).astype(np.uint32)
-        by = np.lexsort((out["key"], dest))
-        out, dest = out[by], dest[by]
-        edges = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1]))) if len(dest) else np.zeros(0, np.int64)
-        payloads = [zlib.compress(out[lo:hi].tobytes(), 1) for lo, hi in zip(edges, [*edges[1:], len(dest)])]
-        return pa.table({"dest": pa.array(dest[edges].astype(np.int32)), "payload": pa.array(payloads, type=pa.binary())})
-
-    return run
+def _shared_fingerprints(table: pa.Table) -> pa.Table:
+    """A bucket's fingerprints that two classes or more hold, packed by their block. A class that several blocks hold counts in
+    each, so those of its copies are among them. The blocks' lists of classes are passed on."""
+    bucket, listed = table.column("bucket")[0], table.filter(table.column("classes").is_valid())
+    sent = table.filter(table.column("payload").is_valid())
+    heads = [_decoded(x.as_buffer()) for x in sent.column("payload")]
+    edges = np.cumsum([0] + [len(fp) for fp, _ in heads])
+    fp = np.concatenate([fp for fp, _ in heads]) if heads else np.zeros(0, np.uint32)
+    order = np.argsort(fp)
+    ranked = fp[order]
+    runs = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(fp) else np.zeros(0, np.int64)
+    count = np.diff(np.append(runs, len(fp)))
+    df = np.empty(len(fp), np.uint32)
+    df[order] = np.repeat(count, count)
+    del order, ranked
+    blocks_, payloads = listed.column("block").to_pylist(), [None] * listed.num_rows
+    for block, (own, steps), lo, hi in zip(sent.column("block").to_pylist(), heads, edges, edges[1:]):
+        shared = np.flatnonzero(df[lo:hi] > 1)
+        if len(shared):
+            blocks_.append(block)
+            payloads.append(_encoded(own[shared], np.diff(np.cumsum(steps[0], dtype=np.uint32)[shared], prepend=np.uint32(0)), df[lo:hi][shared]))
+    classes = listed.column("classes").to_pylist() + [None] * (len(blocks_) - listed.num_rows)
+    return pa.table([pa.array(x, type=f.type) for x, f in zip(([bucket.as_py()] * len(blocks_), blocks_, classes, payloads), _PACKED)], schema=_PACKED)
 
 
 def _light_postings(gram: np.ndarray, key: np.ndarray, n: np.ndarray, start: np.ndarray, held: np.ndarray, pct: int, boundary: int) -> list[tuple]:
@@ -198,11 +210,20 @@ def _light_postings(gram: np.ndarray, key: np.ndarray, n: np.ndarray, start: np.
 
 
 def _postings(pct: int, boundary: int):
-    """What each class of a group posts: its prefix's shared fingerprints, or subsets if it is light."""
+    """What each class of a block posts: its prefix's shared fingerprints, or subsets if it is light."""
     schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("need", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), _ENTRY) for x in table.column("payload")])
+        listed = np.frombuffer(table.filter(table.column("classes").is_valid()).column("classes")[0].as_buffer(), _CLASS)
+        sent = table.filter(table.column("payload").is_valid())
+        heads = [_decoded(x.as_buffer()) for x in sent.column("payload")]
+        e = np.empty(sum(len(fp) for fp, _ in heads), dtype=_ENTRY)
+        at = 0
+        for bucket, (fp, (steps, df)) in zip(sent.column("bucket").to_pylist(), heads):
+            part = e[at : at + len(fp)]
+            own = listed[np.cumsum(steps)]
+            part["key"], part["n"], part["fp"], part["bucket"], part["df"] = own["key"], own["n"], fp, bucket, df
+            at += len(fp)
         e = e[np.lexsort((e["fp"], e["bucket"], e["df"], e["key"]))]
         gram = mix((e["bucket"].astype(np.uint64) << np.uint64(32)) | e["fp"])
         start = np.flatnonzero(np.concatenate(([True], e["key"][1:] != e["key"][:-1]))) if len(e) else np.zeros(0, np.int64)
@@ -246,17 +267,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-chars // (CHARS_PER_SHINGLE * BUCKET_SHINGLES)))
-    packed = staged(docs.mapInArrow(_pack(width, buckets), "bucket int, payload binary, ids array<long>, keys array<long>, ns array<int>"), "shingles")
-
-    rows = staged(packed.where("bucket = -1").select(F.inline(F.arrays_zip("ids", "keys", "ns"))).toDF("id", "key", "n"), "rows")
+    rows = staged(docs.mapInArrow(_keyed(width), "id long, key long, n int"), "rows")
     classes = staged(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id")), "classes")  # apart from the joins on key, so that Spark may split a hot class there
     sizes = {r.n: r["count"] for r in rows.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}  # 16 rows at most
     boundary = light_boundary(sizes, pct)
 
-    shared = packed.where("bucket >= 0").select("bucket", "payload").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_fingerprints(buckets), "dest int, payload binary")
-    posted = shared.repartition(buckets, "dest").groupBy("dest").applyInArrow(_postings(pct, boundary), "gram long, key long, n int, pos int, need int")
-    posted = staged(posted.select("gram", F.col("key").alias("c"), "n", "pos", "need"), "postings")
-    dropped(packed)
+    # sets are hashed once more here and go straight to their buckets: written as a table first, they would take the disk twice
+    sent = "bucket int, block long, classes binary, payload binary"
+    shared = docs.mapInArrow(_pack(width, buckets), sent).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_fingerprints, sent)
+    posted = shared.repartition(buckets, "block").groupBy("block").applyInArrow(_postings(pct, boundary), "gram long, key long, n int, pos int, need int")
+    posted = staged(posted.select("gram", F.col("key").alias("c"), "n", "pos", "need").distinct(), "postings")  # blocks that hold a class post the same
 
     leaders = posted.groupBy("gram").agg(F.min(F.struct("pos", "c", "n", "need")).alias("l"), F.count("*").alias("m")).where("m > 1").select("gram", "l.*")
     members = staged(posted.join(leaders.select("gram"), "gram", "left_semi").select("c").distinct(), "members")

@@ -2,10 +2,13 @@
 
 import itertools
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from starloom.llm import jaccard_join as J
 from starloom.llm import vector_graph as VG
 from starloom.llm.components import components
 from starloom.llm.jaccard_join import jaccard_join, light_boundary, required, subset_sizes
@@ -113,6 +116,26 @@ def test_repeated_ids_with_other_texts_keep_their_links(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_what_travels_for_a_shingle_hardly_grows_with_the_buckets(monkeypatch):
+    """The larger the input, the more buckets there are, and the fewer shingles of a class meet in one."""
+    monkeypatch.setattr(J, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)), raising=False)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(500), pa.int64()), "text": pa.array([t.encode() for t in texts])})
+    few, many = (sum(len(x) for b in J._pack(4, n)([batch]) for x in b.column("payload").to_pylist() if x) / (500 * 397) for n in (20, 2000))
+    assert 4 < few < many < 1.3 * few and many < 6
+
+
+def test_copies_in_many_partitions(spark):
+    """Classes that several blocks hold are one, in lists and in what is compared."""
+    rng = np.random.default_rng(6)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, int(n))] for n in rng.choice([2, 5, 9, 40, 80], 40)]
+    rows = list(enumerate(" ".join(mutated(rng, w, int(rng.integers(0, 2)))) for w in base for _ in range(6)))
+    rows += [(1000 + i, t) for i, t in rows[::3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df).collect()} == brute(rows, 4, 85)
+
+
 def test_bounds():
     for pct in (80, 85):
         for a in range(1, 60):
