@@ -19,7 +19,7 @@ WIDTH, BATCH, RATE = 16, 2048, 0.3
 #: Units that a prediction is normalised over, in training and in scores: the commonest for certain, others drawn in
 #: proportion to their counts and weighted up. A vocabulary of no more units is summed whole.
 AGAINST_TRAIN, AGAINST = 48, 96
-OFFSETS = np.array([-2, -1, 1, 2])[:, None]
+OFFSETS = np.array([-2, -1, 1, 2])
 PAD, RARE = 0, 1
 #: Parameter rows that travel together when they are averaged.
 BLOCK = 8192
@@ -103,12 +103,33 @@ def padded(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, place
 
 
-def summed(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indexes and the sums of their values."""
-    order = np.argsort(index)
-    s = index[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return s[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
+class Groups:
+    """The distinct ones of some rows, and which one each is; sums over those that are equal."""
+
+    def __init__(self, index: np.ndarray) -> None:
+        n = len(index)
+        bits = n.bit_length()
+        key = np.sort((index.astype(np.int64) << bits) | np.arange(n))  # sorts faster than argsort
+        self.order, key = key & ((1 << bits) - 1), key >> bits
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.first = np.flatnonzero(new)
+        self.rows = key[self.first]
+        self.at = np.empty(n, np.int64)
+        self.at[self.order] = np.cumsum(new) - 1
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """The first two of a row are added for all rows at once, what is left of frequent ones by their runs."""
+        count = np.diff(self.first, append=len(self.order))
+        out = values.take(self.order.take(self.first), axis=0)
+        two = np.flatnonzero(count > 1)
+        out[two] += values.take(self.order.take(self.first[two] + 1), axis=0)
+        more = np.flatnonzero(count > 2)
+        if len(more):
+            left = count[more] - 2
+            ends = np.cumsum(left)
+            rest = np.arange(ends[-1]) + np.repeat(self.first[more] + 2 - ends + left, left)
+            out[more] += np.add.reduceat(values.take(self.order.take(rest), axis=0), ends - left, axis=0)
+        return out
 
 
 class Network:
@@ -124,61 +145,67 @@ class Network:
         """Some rows in single precision; a model that only scores is held in half."""
         return np.asarray(self.p[name].take(rows, axis=0), np.float32)
 
-    def hidden(self, seq: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        near = seq[a + OFFSETS]
-        e = self._take("emb", near.ravel()).reshape(4, len(a), WIDTH)
-        return near, e, np.tanh(np.matmul(e, self.p["mix"]).sum(axis=0))
+    def _hidden(self, e: np.ndarray) -> np.ndarray:
+        """h, from the embeddings around side by side."""
+        return np.tanh(e @ self.p["mix"].reshape(-1, WIDTH))
 
-    def _odds(self, u: np.ndarray, h: np.ndarray, units: np.ndarray, weights: np.ndarray):
-        """Of each token: its unit's parameters and score, those of the sampled units, and the parts of p's normaliser that its own
-        and the sampled units have."""
-        mine = self._take("out", u)
+    def _odds(self, h: np.ndarray, mine: np.ndarray, share: np.ndarray, other: np.ndarray, weights: np.ndarray, at: np.ndarray):
+        """From each token's own parameters and log share, those of the sampled units and which of them a token is (or -1): its score,
+        and the parts of p's normaliser that the sampled and its own unit have, and the whole."""
         own = np.einsum("ij,ij->i", mine, h)
-        other = self._take("out", units)
         z = h @ other.T
         z += weights
-        np.minimum(z, 60, out=z)
+        if (np.abs(other).sum(axis=1) + weights).max() > 60:  # h is between -1 and 1
+            np.minimum(z, 60, out=z)
         np.exp(z, out=z)
-        self.slot[units] = np.arange(len(units), dtype=np.int32)
-        at = self.slot.take(u)
-        self.slot[units] = -1
         twice = np.flatnonzero(at >= 0)
         z[twice, at[twice]] = 0  # it counts by its own share
-        first = np.exp(np.minimum(own + self.share.take(u), 60))
-        return mine, own, other, z, first, first + z @ np.ones(len(units), np.float32)
+        first = np.exp(np.minimum(own + share, 60))
+        return own, z, first, first + z @ np.ones(len(other), np.float32)
 
     def train(self, seq: np.ndarray, at: np.ndarray, draw: Draw, sums: dict[str, np.ndarray], rng: np.random.Generator) -> None:
-        """Adagrad steps on the log-probability of the tokens at these places; sums: squares of each row's gradients."""
-        p = self.p
+        """Adagrad steps on the log-probability of the tokens at these places; sums: squares of each row's gradients. Rows that a step
+        needs are read and written once each."""
+        p, mix = self.p, self.p["mix"].reshape(-1, WIDTH)
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
-            u = seq[a]
-            near, e, h = self.hidden(seq, a)
-            units = draw(rng.random())
-            mine, _, other, z, first, total = self._odds(u, h, units, draw.weights)
-            z /= total[:, None]
-            pull = (first / total - 1)[:, None]
-            dx = (pull * mine + z @ other) * (1 - h * h)
-            back = np.matmul(dx, p["mix"].transpose(0, 2, 1))
-            g = np.matmul(e.transpose(0, 2, 1), dx)
+            n, units = len(a), draw(rng.random())
+            near, met = Groups(seq[a[:, None] + OFFSETS].ravel()), Groups(np.concatenate([seq[a], units]))
+            emb, out = p["emb"].take(near.rows, axis=0), p["out"].take(met.rows, axis=0)
+            e, mine, other = emb.take(near.at, axis=0).reshape(n, -1), out.take(met.at[:n], axis=0), out.take(met.at[n:], axis=0)
+            slot = np.full(len(met.rows), -1)
+            slot[met.at[n:]] = np.arange(len(units))
+            h = self._hidden(e)
+            _, z, first, total = self._odds(h, mine, self.share.take(met.rows).take(met.at[:n]), other, draw.weights, slot.take(met.at[:n]))
+            pull, total = (first / total - 1)[:, None], total[:, None]
+            dx = (pull * mine + z @ other / total) * (1 - h * h)
+            back = (dx @ mix.T).reshape(-1, WIDTH)
+            g = (e.T @ dx).reshape(sums["mix"].shape)
             sums["mix"] += g * g
             p["mix"] -= RATE * 0.1 * g / np.sqrt(sums["mix"])
-            for name, index, values in (("out", np.concatenate([u, units]), np.concatenate([pull * h, z.T @ h])), ("emb", near.ravel(), back.reshape(-1, WIDTH))):
-                rows, g = summed(index, values)
-                s = sums[name][rows] + np.einsum("ij,ij->i", g, g) / WIDTH
-                sums[name][rows] = s
-                p[name][rows] -= (RATE / np.sqrt(s))[:, None] * g
+            for name, groups, held, values in (("out", met, out, np.concatenate([pull * h, z.T @ (h / total)])), ("emb", near, emb, back)):
+                g = groups.summed(values)
+                s = sums[name].take(groups.rows) + np.einsum("ij,ij->i", g, g) / WIDTH
+                sums[name][groups.rows] = s
+                g *= (RATE / np.sqrt(s))[:, None]
+                held -= g
+                p[name][groups.rows] = held
 
     def log_probs(self, seq: np.ndarray, at: np.ndarray, draw: Draw) -> np.ndarray:
-        """log P(word | two before, two after) at these places."""
+        """log P(word | two before, two after) at these places, which ascend: embeddings are read once for all windows they are in."""
         units = draw(0.5)
+        other = self._take("out", units)
+        self.slot[units] = np.arange(len(units), dtype=np.int32)
         out = np.empty(len(at))
         for i in range(0, len(at), BATCH):
             a = at[i : i + BATCH]
-            u = seq[a]
-            _, own, _, _, _, total = self._odds(u, self.hidden(seq, a)[2], units, draw.weights)
-            out[i : i + BATCH] = self.share.take(u) + own - np.log(total)
+            u, start = seq[a], a[0] - 2
+            e = self._take("emb", seq[start : a[-1] + 3]).take((a - start)[:, None] + OFFSETS, axis=0).reshape(len(a), -1)
+            share = self.share.take(u)
+            own, _, _, total = self._odds(self._hidden(e), self._take("out", u), share, other, draw.weights, self.slot.take(u))
+            out[i : i + BATCH] = share + own - np.log(total)
             out[i : i + BATCH][u == RARE] += self.lex.inside
+        self.slot[units] = -1
         return out
 
 

@@ -656,6 +656,35 @@ def test_steps_follow_the_gradient():
             assert step[at] == pytest.approx((loss(hi) - loss(lo)) / 2e-3, rel=0.2, abs=0.3)
 
 
+def test_rows_of_the_model_are_read_once():
+    """Scores read a token's embedding once for all windows that it is in, a training step reads each of its rows once."""
+    read = []
+
+    class Counted(np.ndarray):
+        def take(self, rows, axis=None):
+            read.append(len(rows))
+            return np.asarray(self).take(rows, axis=axis)
+
+    p, lex, tokens = network_of(500)
+    p["emb"] = p["emb"].view(Counted)
+    seq, place = LM.padded(np.tile(tokens, 5), np.array([1200, 800]))
+    LM.Network(p, lex).log_probs(seq, place, LM.Draw(lex.share, LM.AGAINST))
+    assert sum(read) <= len(seq)
+    read.clear()
+    sums = {"mix": np.full(p["mix"].shape, 1e-6, np.float32), "emb": np.full(500, 1e-6, np.float32), "out": np.full(500, 1e-6, np.float32)}
+    LM.Network(p, lex).train(seq, place, LM.Draw(lex.share, LM.AGAINST_TRAIN), sums, np.random.default_rng(0))
+    assert sum(read) <= 500
+
+
+@pytest.mark.parametrize("most", [1, 3, 5000])
+def test_sums_over_equal_rows(most):
+    rng = np.random.default_rng(most)
+    index, values = rng.integers(0, most, 700).astype(np.int32) ** 2, rng.normal(size=(700, 3))
+    groups, want = LM.Groups(index), {k: values[index == k].sum(axis=0) for k in set(index.tolist())}
+    assert groups.rows.tolist() == sorted(want) and (groups.rows[groups.at] == index).all()
+    assert groups.summed(values) == pytest.approx(np.array([want[k] for k in sorted(want)]))
+
+
 def test_lm_prefers_the_order_of_the_corpus(spark, odd, none):
     rng = np.random.default_rng(4)
     cycle = [f"w{k}" for k in range(12)]
