@@ -69,6 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs, before = staged(stage(spark, docs, sf_dir), name), docs
-        dropped(before)
+        made = stage(spark, docs, sf_dir)
+        docs = staged(made, name)
+        dropped(made)  # the rows of the stage before and what this one wrote besides
     return STAGES[-1][1](spark, docs, sf_dir)

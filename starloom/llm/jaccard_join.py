@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WordHasher, blocks, dropped, mix, partitions, semi_join, shingles, sliced, staged
+from starloom.llm.common import WordHasher, blocks, dropped, mix, partitions, semi_join, shingles, sliced, small_batches, staged
 from starloom.llm.components import components
 
 #: Shingles that one bucket holds at about, and a text's characters for one shingle.
@@ -65,7 +65,7 @@ def light_boundary(sizes: dict[int, int], pct: int) -> int:
 
 def text_sets(texts: list[bytes], width: int, hasher: WordHasher):
     """The sorted shingle set of each text."""
-    for i, j in blocks(texts):
+    for i, j in blocks(texts, 250_000):  # numbers of 8 bytes for each byte of them
         words, counts = hasher(texts[i:j])
         at = 0
         for c in counts:
@@ -267,7 +267,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-chars // (CHARS_PER_SHINGLE * BUCKET_SHINGLES)))
-    rows = staged(docs.mapInArrow(_keyed(width), "id long, key long, n int"), "rows")
+    with small_batches(spark):
+        rows = staged(docs.mapInArrow(_keyed(width), "id long, key long, n int"), "rows")
     classes = staged(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("class_id")), "classes")  # apart from the joins on key, so that Spark may split a hot class there
     sizes = {r.n: r["count"] for r in rows.where(F.col("n").between(1, MOST_LIGHT)).groupBy("n").count().collect()}  # 16 rows at most
     boundary = light_boundary(sizes, pct)
@@ -276,7 +277,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = "bucket int, block long, classes binary, payload binary"
     shared = docs.mapInArrow(_pack(width, buckets), sent).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_fingerprints, sent)
     posted = shared.repartition(buckets, "block").groupBy("block").applyInArrow(_postings(pct, boundary), "gram long, key long, n int, pos int, need int")
-    posted = staged(posted.select("gram", F.col("key").alias("c"), "n", "pos", "need").distinct(), "postings")  # blocks that hold a class post the same
+    with small_batches(spark):
+        posted = staged(posted.select("gram", F.col("key").alias("c"), "n", "pos", "need").distinct(), "postings")  # blocks that hold a class post the same
 
     leaders = posted.groupBy("gram").agg(F.min(F.struct("pos", "c", "n", "need")).alias("l"), F.count("*").alias("m")).where("m > 1").select("gram", "l.*")
     members = staged(posted.join(leaders.select("gram"), "gram", "left_semi").select("c").distinct(), "members")
@@ -322,7 +324,8 @@ def _sets(docs: DataFrame, members: DataFrame, classes: DataFrame, width: int) -
     named = staged(members.join(classes, F.col("c") == F.col("key")).select("c", F.col("class_id").alias("id")), "named")
     n = named.count()
     chosen = semi_join(docs, named.select("id").distinct(), "id", n)
-    sets = staged(chosen.select("text").mapInArrow(run, "c long, s array<long>"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = staged(chosen.select("text").mapInArrow(run, "c long, s array<long>"), "sets")
     return semi_join(sets, members, "c", n).dropDuplicates(["c"])
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import partitions, staged
+from starloom.llm.common import partitions, small_batches, staged
 
 #: Short pieces that one task packs at about; the rest of a part-filled bin costs under half a bin in a hundred.
 SHARD_PIECES = 16_384
@@ -131,7 +131,8 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pieces = staged(docs.mapInArrow(_pieces(vocabulary, pattern, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    with small_batches(spark):
+        pieces = staged(docs.mapInArrow(_pieces(vocabulary, pattern, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     short = pieces.where(F.col("length") < capacity)
 
